@@ -1,4 +1,7 @@
 """All registered queries and their SQL, gathered from the modules beside this one."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from corpuslens.plans import rankings, scans
+
+MODULES = (scans, rankings)
+QUERIES: dict = {name: q for m in MODULES for name, q in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
