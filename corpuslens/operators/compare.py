@@ -70,11 +70,20 @@ def line_similarity(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFra
 def rename_pairs(removed: DataFrame, added: DataFrame, least: int = 50) -> DataFrame:
     """old_path, new_path, similarity: pairs of at least that similarity that are each other's only best.
 
-    A pair of similarity over 0 is equal or shares a line, so candidates meet on whole contents or on lines; nothing is compared by a
-    cross join. Ties on either side take a row out."""
+    Candidates are equal contents, or share a line of both prefixes: with lines ordered by rarity, the common lines of a pair weigh at
+    least half of either source, so the rarest of them has at least that weight from it on. Very common lines thus bring few pairs
+    together, and none is lost. Ties on either side take a row out."""
     equal = removed.select(F.col("path").alias("old_path"), "content_hash").join(added.select(F.col("path").alias("new_path"), "content_hash"), "content_hash").select("old_path", "new_path")
-    lines = lambda df, p: line_counts(df).select(F.col("path").alias(p), "line")
-    sharing = lines(removed, "old_path").join(lines(added, "new_path"), "line").select("old_path", "new_path")
+    old, new = line_counts(removed), line_counts(added)
+    rarity = old.unionByName(new).groupBy("line").agg(F.count("*").alias("df"))
+
+    def prefix(counts: DataFrame, p: str) -> DataFrame:
+        w = Window.partitionBy("path").orderBy("df", "line")
+        weight = F.col("n") * F.col("bytes")
+        own = counts.join(rarity, "line").withColumn("size", F.sum(weight).over(Window.partitionBy("path"))).withColumn("before", F.sum(weight).over(w) - weight)
+        return own.filter((F.col("size") - F.col("before")) * 100 >= F.col("size") * least).select(F.col("path").alias(p), "line")
+
+    sharing = prefix(old, "old_path").join(prefix(new, "new_path"), "line").select("old_path", "new_path")
     scored = line_similarity(equal.unionByName(sharing).distinct(), removed, added).filter(F.col("similarity") >= least)
     best = lambda p: F.max("similarity").over(Window.partitionBy(p))
     top = scored.withColumn("old_best", best("old_path")).withColumn("new_best", best("new_path"))
