@@ -18,7 +18,7 @@ row each; an empty table gives an empty result; extra columns aren't looked at;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 from typing import NamedTuple
 
@@ -28,11 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_arrow_batches, stored, table, text_key, text_of
+from .common import BROADCAST_ROWS, small_arrow_batches, stored, table, text_key, text_of
 
 SHINGLE, THRESHOLD = 4, 4
 #: Shingles hashed at a time: 64 bits are spread to bytes for that many.
 HASH_BLOCK = 16_384
+#: Nodes of a task's union-find, and edges of a partition of them: some 30 MB of a Python worker.
+FOREST_NODES, FOREST_EDGES = 200_000, 200_000
 
 
 # --- fingerprints ---------------------------------------------------------------------------------------------------
@@ -161,17 +163,52 @@ def links_at(fps: np.ndarray, home: np.ndarray, threshold: int = THRESHOLD) -> l
     return edges
 
 
+class Forest:
+    """Union-find over the edges that one task has seen: whatever their number, a star for each component comes out."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        parent = self.parent
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]  # halves the path
+        return x
+
+    def join(self, edges: Iterable[tuple[int, int]]) -> None:
+        for a, b in edges:
+            a, b = self.top(a), self.top(b)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+
+    def stars(self) -> pa.RecordBatch:
+        out = np.array([(t, x) for x in self.parent if (t := self.top(x)) != x], np.int64).reshape(-1, 2)
+        self.parent = {}
+        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (a, b) of a partition as stars (least, other)."""
+    forest = Forest()
+    for b in batches:
+        forest.join(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        if len(forest.parent) > FOREST_NODES:
+            yield forest.stars()
+    yield forest.stars()
+
+
 def compare_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, fp, home) sorted by anchor -> edges; an anchor that spans batches is carried along."""
+    """(anchor, fp, home) sorted by anchor -> edges, as stars of all the partition's links; an anchor that spans batches is carried along."""
     carried: list[tuple[np.ndarray, ...]] = []
+    forest = Forest()
 
-    def edges(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    def link(rows: tuple[np.ndarray, ...]) -> None:
         key, fps, home = rows
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
-        some = np.add.reduceat(home.astype(np.int64), cuts[:-1]) if len(key) else np.zeros(0, np.int64)
-        out = [e for a, b, h in zip(cuts[:-1], cuts[1:], some, strict=True) if h and b - a > 1 for e in links_at(fps[a:b], home[a:b])]
-        a = np.array(out, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
+        some = np.add.reduceat(home.astype(np.int64), cuts[:-1])
+        two = np.flatnonzero((some > 0) & (np.diff(cuts) > 1))
+        for a, b in zip(cuts[two].tolist(), cuts[two + 1].tolist(), strict=True):
+            forest.join(links_at(fps[a:b], home[a:b]))
 
     for b in batches:
         if not b.num_rows:
@@ -184,10 +221,13 @@ def compare_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         all_ = tuple(np.concatenate(x) for x in zip(*carried, new, strict=True))
         last = int(np.searchsorted(all_[0], all_[0][-1]))
         if last:
-            yield edges(tuple(x[:last] for x in all_))
+            link(tuple(x[:last] for x in all_))
+        if len(forest.parent) > FOREST_NODES:
+            yield forest.stars()
         carried = [tuple(x[last:] for x in all_)]
     if carried:
-        yield edges(tuple(np.concatenate(x) for x in zip(*carried, strict=True)))
+        link(tuple(np.concatenate(x) for x in zip(*carried, strict=True)))
+    yield forest.stars()
 
 
 def near_links(nodes: DataFrame, layout: tuple[Part, ...]) -> DataFrame:
@@ -201,18 +241,22 @@ def near_links(nodes: DataFrame, layout: tuple[Part, ...]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row]), pa.array(home)], ["anchor", "fp", "home"])
 
     placed = nodes.select("fp").mapInArrow(replicate, "anchor long, fp long, home boolean")
-    return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare_sorted, "a long, b long").distinct()
+    return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare_sorted, "a long, b long")
 
 
 # --- components -----------------------------------------------------------------------------------------------------
 
 
-def starred(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """v, root: for every node with an edge that isn't its component's least, the least. Alternates large-star and
-    small-star; each round is written, so it can be read again after a loss, and joins have plain exchanges on either side."""
+def starred(edges: DataFrame, most_rounds: int = 60, block: int = FOREST_EDGES) -> DataFrame:
+    """v, root: for every node with an edge that isn't its component's least, the least.
+
+    In each round, partitions of `block` edges are contracted to stars by union-find; if there is only one, that is the result.
+    Otherwise a large-star and a small-star step, by joins, carry least nodes across partitions, until nothing changes. Each
+    step is written, so it can be read again after a loss, and its joins have plain exchanges on either side.
+    """
 
     def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a") / F.lit(2**40))).first())
+        return tuple(df.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.hash("b", "a").cast("long"))).first())
 
     def linked_to_least(both: DataFrame, larger: bool) -> DataFrame:
         least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
@@ -224,9 +268,11 @@ def starred(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         return stored(star.filter(F.col("a") != F.col("b")).distinct(), "star")
 
     edges = stored(edges, "edges")
-    before = state(edges)
+    n, before = edges.count(), None
     for _ in range(most_rounds):
-        if not before[0]:
+        parts = max(1, -(-n // block))
+        edges = stored(edges.repartition(parts).mapInArrow(contract, "a long, b long"), "contracted")
+        if parts == 1:
             break
         ab = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
         large = linked_to_least(ab.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))), True)
@@ -234,7 +280,7 @@ def starred(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         now = state(edges)
         if now == before:
             break
-        before = now
+        n, before = now[0], now
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("b").alias("v"), F.col("a").alias("root"))
@@ -250,10 +296,14 @@ def components(docs: DataFrame, layout: str | None = None) -> DataFrame:
     nodes = stored(rows.groupBy("fp").agg(F.min(first).alias("least")), "nodes")
     parts = LAYOUTS[layout or ("coarse" if nodes.count() <= FINE else "fine")]
     stars = starred(near_links(nodes, parts))
-    rooted = stored(nodes.join(stars, nodes["fp"] == stars["v"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
-    least = stored(rooted.groupBy("root").agg(F.min("least").alias("least")), "component")
-    labels = stored(rooted.drop("least").join(least, "root").select("fp", "least"), "labels")
-    return rows.join(labels, "fp")
+    # members of components of two or more fingerprints, and their least row; all others are their own component
+    members = stored(stars.unionByName(stars.select(F.col("root").alias("v"), "root").distinct()), "members")
+    small = members.count() <= BROADCAST_ROWS
+    near = F.broadcast if small else lambda df: df
+    least = stored(nodes.join(near(members), nodes["fp"] == members["v"]).groupBy("root").agg(F.min("least").alias("root_least")), "component")
+    labels = stored(members.join(near(least), "root").select(F.col("v").alias("fp"), "root_least"), "labels")
+    found = rows.join(nodes, "fp").join(near(labels), "fp", "left")
+    return found.select("rid", "doc_id", "text_key", "fp", F.coalesce("root_least", "least").alias("least"))
 
 
 def near_duplicates(docs: DataFrame, layout: str | None = None) -> DataFrame:

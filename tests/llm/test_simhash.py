@@ -54,8 +54,8 @@ def test_every_close_pair_shares_a_home_anchor(layout):
         assert (np.unique(np.stack([key, row]), axis=1).shape[1]) == len(key)
 
 
-@pytest.mark.parametrize("layout", list(sh.LAYOUTS))
-def test_components_match_brute_force(spark, layout):
+@pytest.mark.parametrize(("layout", "block"), [("coarse", 200_000), ("fine", 200_000), ("coarse", 20)])
+def test_components_match_brute_force(spark, layout, block):
     rng = random.Random(5)
     fps = [rng.getrandbits(64) for _ in range(150)]
     for i in range(150):  # chains, stars and a dense ball
@@ -65,7 +65,7 @@ def test_components_match_brute_force(spark, layout):
         fps.append(base)
     arr = np.unique(np.array(fps, np.uint64))
     nodes = spark.createDataFrame([(int(x),) for x in arr.view(np.int64)], "fp long").repartition(5)
-    star = {r.v: r.root for r in sh.starred(sh.near_links(nodes, sh.LAYOUTS[layout])).collect()}
+    star = {r.v: r.root for r in sh.starred(sh.near_links(nodes, sh.LAYOUTS[layout]), block=block).collect()}
     roots = brute(arr)
     got, want = {}, {}
     for x, r in zip(arr.view(np.int64).tolist(), roots, strict=True):
