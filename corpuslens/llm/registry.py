@@ -16,5 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_secret_scan": secret_scan.oracle_sql(),
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op10_quality_rules": quality_rules.OP10_SQL,
 }

@@ -224,3 +224,24 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("found", lambda x: x["kind_order"] == k)).cast("long")
     base = written(F.filter("found", lambda x: x["kind_order"] < BASE_KINDS))
     return found.select("doc_id", *(count(i).alias(f"n_{RULES[i].kind}") for i in range(BASE_KINDS)), F.sha2(base.cast("binary"), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
+
+
+def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """DuckDB SQL for op2's rows: the same prefix sums over texts between matches, for each kind, without the index."""
+    each = []
+    for k, r in enumerate(rules):
+        p = ("(?i)" if r.ignore_case else "") + r.pattern
+        p = "'" + p.replace("'", "''") + "'"
+        counted = f"regexp_extract_all(text, {p}, {r.group})"
+        each.append(
+            f"SELECT rid, {k} AS o, '{r.kind}' AS kind, s, s + n AS e FROM (SELECT rid, list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS s, length(m[k]) AS n, length(c[k]) AS counted"
+            f" FROM (SELECT rid, m, g, c, unnest(range(1, len(m) + 1)) AS k FROM (SELECT rid, regexp_extract_all(text, {p}) AS m, regexp_split_to_array(text, {p}) AS g, {counted} AS c FROM t))) WHERE counted >= {r.least}"
+        )
+    written = "kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT)"
+    return (
+        "WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),\n spans AS (" + "\n UNION ALL ".join(each) + "),\n"
+        + " l AS (SELECT rid, "
+        + ", ".join(f"count(*) FILTER (o = {k}) AS n_{rules[k].kind}" for k in range(BASE_KINDS))
+        + f", string_agg({written}, ',' ORDER BY s, o) FILTER (o < {BASE_KINDS}) AS base, string_agg({written}, ',' ORDER BY s, o) AS spans FROM spans GROUP BY rid)\n"
+        + "SELECT doc_id, " + ", ".join(f"coalesce(n_{rules[k].kind}, 0) AS n_{rules[k].kind}" for k in range(BASE_KINDS)) + ", sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN l USING (rid)"
+    )
