@@ -65,3 +65,23 @@ def kept_greedily(rows: DataFrame, key: str, rank: str) -> DataFrame:
     typed = F.transform(ranges, lambda x: F.struct(x["r"].cast("long").alias("r"), x["s"].cast("long").alias("s"), x["e"].cast("long").alias("e")))
     kept = F.aggregate(typed, empty, lambda acc, x: F.when(F.exists(acc, lambda k: (x["s"] < k["e"]) & (k["s"] < x["e"])), acc).otherwise(F.concat(acc, F.array(x))))
     return rows.groupBy(key).agg(kept.alias("k")).select(key, F.explode("k").alias("x")).select(key, F.col("x.r").alias(rank), F.col("x.s").alias("start"), F.col("x.e").alias("end"))
+
+
+def covers(inner: DataFrame, outer: DataFrame, key: str, cell: int = 65_536) -> DataFrame:
+    """Every inner row (key, id, start, end) with every outer one (key, category, start, end) around it: id, category, o_start, o_end."""
+    i = inner.select(key, "id", "start", "end", F.floor(F.col("start") / F.lit(cell)).alias("cell_"))
+    o = outer.select(F.col(key).alias("o_key"), "category", F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.explode(cells(F.col("start"), F.col("end"), cell)).alias("o_cell"))
+    on = (F.col(key) == F.col("o_key")) & (F.col("cell_") == F.col("o_cell")) & (F.col("start") >= F.col("o_start")) & (F.col("end") <= F.col("o_end"))
+    return i.join(o, on).select("id", "category", "o_start", "o_end")
+
+
+def best_covers(inner: DataFrame, outer: DataFrame, key: str, cell: int = 65_536) -> DataFrame:
+    """id, category, o_start, o_end: one proof for each inner row and category, the outer interval that reaches furthest. Combined map-side."""
+    best = F.max(F.struct("o_end", (-F.col("o_start")).alias("less")))
+    return covers(inner, outer, key, cell).groupBy("id", "category").agg(best.alias("b")).select("id", "category", (-F.col("b.less")).alias("o_start"), F.col("b.o_end").alias("o_end"))
+
+
+def nearest_enclosing(inner: DataFrame, outer: DataFrame, key: str, cell: int = 65_536) -> DataFrame:
+    """id, o_start, o_end: the smallest outer interval around each inner row, the earlier of equals."""
+    best = F.min(F.struct((F.col("o_end") - F.col("o_start")).alias("n"), "o_start", "o_end"))
+    return covers(inner, outer, key, cell).groupBy("id").agg(best.alias("b")).select("id", "b.o_start", "b.o_end")
