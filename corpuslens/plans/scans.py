@@ -285,7 +285,7 @@ def path_parts(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT page_id, lower(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')) AS p FROM pages)
- SELECT page_id, CASE WHEN regexp_extract(p, '([^/]*)$', 1) = '25' THEN 100 WHEN contains(regexp_extract(p, '([^/]*)$', 1), '25') THEN 85 WHEN contains(p, '25') THEN 70
+ SELECT page_id, CASE WHEN regexp_extract(p, '([^/]*)$', 1) = '25' THEN 100 WHEN regexp_replace(regexp_extract(p, '([^/]*)$', 1), '^(.+)[.][^.]*$', '\\1') = '25' THEN 95 WHEN contains(regexp_extract(p, '([^/]*)$', 1), '25') THEN 85 WHEN contains(p, '25') THEN 70
  WHEN strpos(p, '2') > 0 AND strpos(p[strpos(p, '2') + 1:], '5') > 0 THEN CAST(round(80.0 / (strpos(p[strpos(p, '2') + 1:], '5') + 1)) AS INT) END AS score
  FROM s WHERE strpos(p, '2') > 0 AND strpos(p[strpos(p, '2') + 1:], '5') > 0""")
 def files_ranked(spark, sf_dir):
