@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as tx
+from corpuslens.sources.shared import written
 
 K1, B = 1.2, 0.75
 
@@ -50,11 +51,12 @@ def bm25_joined(postings: DataFrame, lengths: DataFrame, queries: DataFrame) ->
 
 def ranked(rows: DataFrame, by: list, name: str, keep: int | None = None) -> DataFrame:
     """rows with their rank from 1 in the given order. With keep, only the first ones: a top-k, each task giving keep rows at most.
-    Without it the ranks of all rows are made from sorted ranges and their counts, so no task holds all rows."""
+    Without it the ranks of all rows are made from sorted ranges and their counts, so no task holds all rows. The ranges are written,
+    as two computations of them need not have the same bounds."""
     if keep is not None:
         top = rows.orderBy(*by).limit(keep)
         return top.withColumn(name, F.row_number().over(Window.orderBy(*by)).cast("long"))
-    ranged = rows.repartitionByRange(*by).withColumn("part_", F.spark_partition_id())
+    ranged = written(rows.repartitionByRange(*by).withColumn("part_", F.spark_partition_id()), "ranges")
     numbered = ranged.withColumn("n_", F.row_number().over(Window.partitionBy("part_").orderBy(*by)))
     sizes = ranged.groupBy("part_").agg(F.count("*").alias("c_"))
     before = sizes.select("part_", F.coalesce(F.sum("c_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b_"))

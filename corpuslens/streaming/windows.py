@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.sources.shared import shared_folder, written
+
 #: How late an event may be.
 LATENESS = "2 hours"
 
@@ -35,14 +36,12 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_to_end(spark: SparkSession, sf_dir: str, windows: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """All windows of the stream's present content. What a watermark still holds back at the end is added from a batch over the same
     rows, so the result has every window once."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpuslens-")
-    at = f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     stream = windows(event_stream(spark, sf_dir))
     (stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()).awaitTermination()
     out = spark.read.schema(stream.schema).parquet(f"{at}/out")
     every = windows(spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
     # written first: the plan of a session aggregation claims a partitioning that a join must not rely on
-    every.write.parquet(f"{at}/every")
-    every = spark.read.schema(stream.schema).parquet(f"{at}/every")
+    every = written(every, "windows")
     keys = [c for c in out.columns if c not in ("n", "v")]
     return out.unionByName(every.join(out.select(keys), keys, "left_anti"))
