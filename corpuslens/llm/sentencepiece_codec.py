@@ -37,6 +37,8 @@ SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Characters indexed at a time, known chunks of a worker, longest chunk that is remembered.
 INDEX_CHARS, CACHE_ENTRIES, CACHE_CHARS = 500_000, 500_000, 48
+#: Chunks up to this length are relaxed together.
+ROUND_CHARS = 40
 
 
 class Model:
@@ -54,6 +56,8 @@ class Model:
         if any(SPACE in self.pieces[i].lstrip(SPACE) for i in normal):
             raise ValueError("a piece goes on after U+2581 within: chunks would not be independent")
         self.id_of = {self.pieces[i]: i for i in normal}
+        singles = sorted((ord(self.pieces[i]), i) for i in normal if len(self.pieces[i]) == 1)
+        self.single_points, self.single_ids = np.array([x for x, _ in singles], np.uint32), np.array([i for _, i in singles], np.int32)
         self.byte_id = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         #: Text of an id when decoding; control pieces have none.
@@ -89,7 +93,8 @@ class Model:
             m = min(INDEX_CHARS, n - block)
             padded = np.concatenate((part, np.zeros(w, ">u2"))).astype(">u2")  # byte order counts: keys are compared as bytes
             suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, w)[:m]).view(f"S{2 * w}").ravel()
-            order = np.argsort(suffixes, kind="stable")
+            order = suffix_order(part, w)
+            order = order[order < m]
             array = suffixes[order]
             first, last = np.searchsorted(array, self.low, "left"), np.searchsorted(array, self.high, "right")
             times = last - first
@@ -103,6 +108,24 @@ class Model:
         return s[by], length[by], k[by]
 
 
+def suffix_order(codes: np.ndarray, width: int) -> np.ndarray:
+    """The suffixes' starts, sorted by their first `width` characters at least, by prefix doubling from four characters."""
+    n = len(codes)
+    c = np.concatenate((codes.astype(np.uint64), np.zeros(3, np.uint64)))
+    key = (c[:n] << np.uint64(48)) | (c[1 : n + 1] << np.uint64(32)) | (c[2 : n + 2] << np.uint64(16)) | c[3 : n + 3]
+    k = 4
+    while True:
+        order = np.argsort(key)
+        if k >= width:
+            return order
+        ordered = key[order]
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1]))).astype(np.uint64) + np.uint64(1)
+        key = rank << np.uint64(32)
+        key[: max(0, n - k)] |= rank[k:]
+        k *= 2
+
+
 @lru_cache(maxsize=2)
 def model(path: str) -> Model:
     return Model(path)
@@ -131,6 +154,58 @@ def relaxed(n: int, edges: dict[tuple[int, int], tuple[int, int]]) -> list[tuple
     return out
 
 
+def relaxed_together(m: Model, bounds: np.ndarray, chosen: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, piece or -1) of the symbols of all chosen chunks, by start: `relaxed` for many short chunks at once.
+
+    In each round every chunk merges its best pair (rank, then leftmost); chunks without a pair are done. Only the pairs
+    beside a merge are looked up again.
+    """
+    n, none = int(bounds[-1]), len(m.piece_rank)
+    table = np.full((n, m.width + 1), -1, np.int32)
+    table[start, length] = which
+    ranks = np.append(m.piece_rank, np.int64(1) << 31)  # at -1: no piece
+    at = np.concatenate([np.zeros(0, np.int64)] + [np.arange(n)[np.repeat(chosen, np.diff(bounds))]])
+    chunk = np.repeat(np.arange(len(chosen)), np.diff(bounds))[at]
+    at, chunk = at[(keep := at + 1 != bounds[chunk + 1])], chunk[keep]  # separators are no symbols
+    size = np.ones(len(at), np.int64)
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def rank_of(i: np.ndarray) -> np.ndarray:
+        """Rank of the pair of symbols i and i + 1."""
+        j = np.minimum(i + 1, len(at) - 1)
+        both = size[i] + size[j]
+        ok = (j > i) & (chunk[i] == chunk[j]) & (both <= m.width)
+        return ranks[np.where(ok, table[at[i], np.where(ok, both, 0)], -1)]
+
+    rank = rank_of(np.arange(len(at)))
+    while len(at):
+        firsts = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1])))
+        best = np.minimum.reduceat(rank * len(at) + np.arange(len(at)), firsts)
+        live = best < ranks[none] * len(at)
+        merge = best[live] % len(at)
+        size[merge] += size[merge + 1]
+        stay = np.repeat(live, np.diff(np.append(firsts, len(at))))
+        done.append((at[~stay], size[~stay]))
+        stay[merge + 1] = False
+        place = np.cumsum(stay) - 1
+        at, size, chunk, rank = at[stay], size[stay], chunk[stay], rank[stay]
+        merged = place[merge]
+        rank[merged] = rank_of(merged)
+        left = merged[(merged > 0)] - 1
+        rank[left] = rank_of(left)
+    at, size = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (at, size)
+    order = np.argsort(at, kind="stable")
+    at, size = at[order], size[order]
+    return at, size, np.where(size > 1, table[at, size], -1)
+
+
+def symbol_ids(m: Model, points: np.ndarray, at: np.ndarray, size: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """The id of each symbol; -1 for a character that is no piece."""
+    k = np.minimum(np.searchsorted(m.single_points, points[at]), len(m.single_points) - 1)
+    single = np.where(m.single_points[k] == points[at], m.single_ids[k], -1)
+    return np.where(size > 1, m.piece_ids[piece], single).astype("<i4")
+
+
 class Known(dict):
     """Chunk -> ids: those remembered, and behind them those of the present batch."""
 
@@ -150,25 +225,39 @@ class Codec:
     def learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids (little-endian int32) of each chunk, by one index over all of them."""
         m, out = self.model, {}
-        bounds = np.cumsum([0, *(len(c) + 1 for c in chunks)])
-        text = "\n".join(chunks)  # any edge that runs over a bound is left out below, so the separator may be any character
-        start, length, which = m.edges(m.codes(text)) if text else (np.zeros(0, np.int64),) * 3
-        cuts = np.searchsorted(start, bounds)
-        for i, chunk in enumerate(chunks):
-            a, b = cuts[i], cuts[i + 1]
-            s = (start[a:b] - bounds[i]).tolist()
-            own = {(x, x + n): (r, p) for x, n, r, p in zip(s, length[a:b].tolist(), m.piece_rank[which[a:b]].tolist(), m.piece_ids[which[a:b]].tolist(), strict=True) if x + n <= len(chunk)}
-            ids: list[int] = []
-            for x, y in relaxed(len(chunk), own):
-                if y - x > 1:
-                    ids.append(own[x, y][1])
-                elif chunk[x] in m.id_of:
-                    ids.append(m.id_of[chunk[x]])
-                else:
-                    ids += [m.byte_id[v] for v in chunk[x].encode("utf-8", "surrogatepass")]
-            out[chunk] = np.array(ids, "<i4").tobytes()
+        text = "\n".join(chunks) + "\n"  # an edge that runs over a bound is left out, so the separator may be any character
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        bounds = np.cumsum(np.concatenate(([0], sizes + 1)))
+        chunk_of = np.repeat(np.arange(len(chunks)), sizes + 1)
+        start, length, which = m.edges(m.codes(text))
+        inside = start + length < bounds[chunk_of[start] + 1]
+        start, length, which = start[inside], length[inside], which[inside]
+        short = sizes <= ROUND_CHARS
+        symbols = relaxed_together(m, bounds, short, start, length, which)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ids = symbol_ids(m, points, *symbols)
+        cuts, raw, unknown = np.searchsorted(symbols[0], bounds), ids.tobytes(), np.add.reduceat(np.append(ids < 0, False), np.searchsorted(symbols[0], bounds[:-1])) > 0
+        unknown &= cuts[1:] > cuts[:-1]
+        for chunk, x, y in zip(chunks, (4 * cuts[:-1]).tolist(), (4 * cuts[1:]).tolist(), strict=True):
+            out[chunk] = raw[x:y]
+        for i in np.flatnonzero(unknown & short).tolist():  # characters that are no piece
+            x, y = cuts[i], cuts[i + 1]
+            out[chunks[i]] = self.spelled(chunks[i], [(int(s - bounds[i]), int(n)) for s, n in zip(symbols[0][x:y], symbols[1][x:y], strict=True)], ids[x:y].tolist())
+        edge_cuts = np.searchsorted(start, bounds)
+        for i in np.flatnonzero(~short).tolist():  # long chunks one by one, by a heap
+            x, y = edge_cuts[i], edge_cuts[i + 1]
+            own = {(a, a + n): (r, p) for a, n, r, p in zip((start[x:y] - bounds[i]).tolist(), length[x:y].tolist(), m.piece_rank[which[x:y]].tolist(), m.piece_ids[which[x:y]].tolist(), strict=True)}
+            spans = relaxed(len(chunks[i]), own)
+            out[chunks[i]] = self.spelled(chunks[i], [(a, e - a) for a, e in spans], [own[a, e][1] if e - a > 1 else m.id_of.get(chunks[i][a], -1) for a, e in spans])
         return out
 
+    def spelled(self, chunk: str, spans: list[tuple[int, int]], ids: list[int]) -> bytes:
+        """ids, with the bytes of a character instead of each -1."""
+        m, out = self.model, []
+        for (a, _), k in zip(spans, ids, strict=True):
+            out += [k] if k >= 0 else [m.byte_id[v] for v in chunk[a].encode("utf-8", "surrogatepass")]
+        return np.array(out, "<i4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         chunked = [CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         new = list(set().union(*chunked).difference(self.known)) if chunked else []
