@@ -279,6 +279,18 @@ def votes(html: str) -> list[tuple[str, float]]:
     return sorted(out.items())
 
 
+def chosen(containers: list[Node], path: str) -> list[Node]:
+    """The elements to extract at a path: the best one; if it is an article or well named, also others there of a third of its text at least."""
+    at = [x for x in containers if x.score > 0 and path_of(x) == path]
+    there = set(map(id, at))
+    at = [x for x in at if not any(id(y) in there for y in above(x))]
+    if not at:
+        return []
+    best = best_of(at)
+    several = best.tag == "article" or POSITIVE.search(f"{best.attributes.get('class', '')} {best.attributes.get('id', '')}")
+    return [x for x in at if x is best or several and 3 * x.text_n >= best.text_n]
+
+
 def extracted(html: str, path: str | None) -> tuple[str, bool]:
     """The page's main text, by the host's path if that holds at least half of the own best container's text; and whether it did."""
     root = parsed(html)
@@ -286,14 +298,9 @@ def extracted(html: str, path: str | None) -> tuple[str, bool]:
     own = best_of(containers)
     if own is None:
         return text_of([root]), False
-    if path:
-        at = [x for x in containers if x.score > 0 and path_of(x) == path]
-        there = set(map(id, at))
-        at = [x for x in at if not any(id(y) in there for y in above(x))]
-        if at and 2 * sum(x.text_n for x in at) >= own.text_n:
-            most = max(x.text_n for x in at)
-            return text_of([x for x in at if 3 * x.text_n >= most]), True
-    return text_of([own]), False
+    if path and (at := chosen(containers, path)) and 2 * sum(x.text_n for x in at) >= own.text_n:
+        return text_of(at), True
+    return text_of(chosen(containers, path_of(own)) or [own]), False
 
 
 def above(node: Node) -> Iterator[Node]:
