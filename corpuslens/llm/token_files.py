@@ -30,12 +30,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, small_arrow_batches, table, text_key, text_of
-from .token_count import CACHE_CHARS, CACHE_ENTRIES, LETTERS, LONG_TEXT, NUMBERS, SPACES, encoder
+from .token_count import CACHE_CHARS, LETTERS, LONG_TEXT, NUMBERS, SPACES, byte_alphabet, encoder
 
 END_ID = 2
+#: Words that a Python worker remembers, some 150 MB.
+KNOWN_WORDS = 700_000
 #: U+0130 lowers to two characters, one of them a mark.
 NOT_PLAIN = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa0-\\u012f\\u0131-\\u024f]")
-WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+#: As the file's own pattern, but letters first: no two of the alternatives before the last can start alike.
+WORD = re.compile(f"[{LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
 #: Writer settings: 16 MB row groups, 64 kB pages, version 2 pages (delta encoding of plain integers).
 WRITE = {
@@ -56,14 +59,17 @@ class Words(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.encoder, self.room = encoder(path), CACHE_ENTRIES
+        self.encoder, self.room = encoder(path), KNOWN_WORDS
+        self.model, self.shown = self.encoder.model, {b: c for c, b in byte_alphabet().items()}
         self.special = [x.content for x in self.encoder.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.whole(word)
+        # a word is a pre-token already, so the library's model alone is asked, in its byte alphabet
+        shown = word if word.isascii() else "".join(map(self.shown.__getitem__, word.encode()))
+        ids = np.array([t.id for t in self.model.tokenize(shown)], "<i4").tobytes()
         if len(word) <= CACHE_CHARS and self.room:
             self.room -= 1
             self[word] = ids
