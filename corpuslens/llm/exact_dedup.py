@@ -157,8 +157,9 @@ def byte_checked(docs: DataFrame, incoming: DataFrame, matched: DataFrame) -> No
     matched: digest, old (doc_id and text_key of the snapshot's row). The texts wanted are chosen by row key, broadcast
     up to BROADCAST_ROWS keys; a digest with very many rows is split by AQE's skew join, since only the join needs it.
     """
+    near = F.broadcast if matched.count() <= BROADCAST_ROWS else lambda df: df  # else AQE turns to a broadcast after dealing by digest
     olds = matched.select(F.col("least.doc_id").alias("k_id"), F.col("least.text_key").alias("k_key"), F.col("digest").alias("k_digest"))
-    news = incoming.join(matched.select("digest"), "digest", "left_semi").select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key"), F.col("digest").alias("k_digest")).distinct()
+    news = incoming.join(near(matched.select("digest")), "digest", "left_semi").select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key"), F.col("digest").alias("k_digest")).distinct()
     texts = docs.select("doc_id", text_key().alias("text_key"), text_of().alias("text"))
 
     def with_text(keys: DataFrame, name: str) -> DataFrame:
