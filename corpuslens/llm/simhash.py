@@ -19,6 +19,7 @@ row each; an empty table gives an empty result; extra columns aren't looked at;
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 from itertools import combinations
 from typing import NamedTuple
 
@@ -33,7 +34,8 @@ from .common import BROADCAST_ROWS, small_arrow_batches, stored, table, text_key
 SHINGLE, THRESHOLD = 4, 4
 #: Shingles hashed at a time: 64 bits are spread to bytes for that many.
 HASH_BLOCK = 16_384
-#: Nodes of a task's union-find, and edges of a partition of them: some 30 MB of a Python worker.
+#: Nodes of a task's union-find, and edges of a partition of them: some 30 MB of a Python worker. The last partition of all,
+#: which isn't flushed, may have two nodes an edge.
 FOREST_NODES, FOREST_EDGES = 200_000, 200_000
 
 
@@ -187,12 +189,12 @@ class Forest:
         return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
 
-def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges (a, b) of a partition as stars (least, other)."""
+def contract(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The edges (a, b) of a partition as stars (least, other), each time there are more than `most` nodes and at the end."""
     forest = Forest()
     for b in batches:
         forest.join(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        if len(forest.parent) > FOREST_NODES:
+        if len(forest.parent) > most:
             yield forest.stars()
     yield forest.stars()
 
@@ -271,7 +273,8 @@ def starred(edges: DataFrame, most_rounds: int = 60, block: int = FOREST_EDGES)
     n, before = edges.count(), None
     for _ in range(most_rounds):
         parts = max(1, -(-n // block))
-        edges = stored(edges.repartition(parts).mapInArrow(contract, "a long, b long"), "contracted")
+        most = 2 * n if parts == 1 else FOREST_NODES  # n edges have no more nodes than that, so a single partition is one forest
+        edges = stored(edges.repartition(parts).mapInArrow(partial(contract, most=most), "a long, b long"), "contracted")
         if parts == 1:
             break
         ab = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))

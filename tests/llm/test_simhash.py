@@ -86,3 +86,24 @@ def test_operator_on_odd_rows(spark):
     assert sorted(c for a, _, c in out if a == "None") == ["7", "None"]
     assert sh.near_duplicates(df.limit(0)).collect() == []
     assert sum(r.kept for r in sh.representatives(df).collect()) == len({c for _, _, c in out})
+
+
+def test_one_partition_of_more_nodes_than_a_forest_holds(spark):
+    n = 100_000  # as many components of three, on 200,000 edges: contracted by one task
+    edges = spark.range(n).selectExpr("id a", f"id + {n} b").unionByName(spark.range(n).selectExpr(f"id + {n} a", f"id + {2 * n} b"))
+    star = sh.starred(edges)
+    assert star.count() == 2 * n
+    assert star.selectExpr("v", "root").exceptAll(spark.range(n, 3 * n).selectExpr("id v", f"id % {n} root")).count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_small_forests_and_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(sh, "FOREST_NODES", 5)
+    monkeypatch.setattr(sh, "FOREST_EDGES", block)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        edges = spark.createDataFrame([(i, i + 10) for i in range(60)], "a long, b long")  # ten chains
+        got = {(r.v, r.root) for r in sh.starred(edges, block=block).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(v, v % 10) for v in range(10, 70)}
