@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-Each source's rows, in a seeded order, are cut into blocks of `block_rows`. With weights a/L (integers that sum to L), the
-j-th block of a source (from 0) is released at slot floor(j * L / a) and due before slot ceil((j + 1) * L / a). In every
-slot the released block with the earliest deadline goes, so after t slots a source has had less than one block more or
-less than t * a / L. That schedule repeats every L slots, so it is made once, from the weights alone (no data), and a block's
-slot is arithmetic: its round times L plus the place of its turn in the round.
+Each source's rows, in a seeded order, are cut into blocks of `block_rows`. The weights are taken exactly, as fractions a/L
+(integers that sum to L). The j-th block of a source (from 0) is released at slot floor(j * L / a) and due before slot
+ceil((j + 1) * L / a). In every slot the released block with the earliest deadline goes, so after t slots a source has had
+less than one block more or less than t * a / L. That schedule repeats every L slots. It is made once, on the driver, from
+the weights and counts alone: for one round of L slots, or for the whole phase (see below) where that is shorter. A block's
+slot is its round times L plus the place of its turn in the round. The turns are a table of at most one row a block.
 
 All rows are put out. When a source has no block left, its last one ends a phase: the other sources go on with their weights
 scaled up, by a new schedule. There is one phase for each source at most, and what is gathered from the table is one
@@ -21,22 +22,25 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 from collections.abc import Mapping
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, fresh, stored, table, text_key
 
-#: Slots of a round: weights are rounded to this share (more if there are many sources).
-ROUND = 1_000
+#: A deadline beyond 64 bits (of a source with a tiny weight) is put out as this.
+LAST_SLOT = 2**63 - 1
 #: Rows of a range that is numbered by one window, on average.
 RANGE_ROWS = 20_000
 LEAST_RANGES = 64
 
 
 def shares(weights: Mapping, slots: int) -> dict:
-    """Integers that sum to `slots`, in proportion to the weights, 1 at least (largest remainders)."""
+    """Integers that sum to `slots`, in proportion to the weights, 1 at least (largest remainders): rounded, so not for a mix."""
     total = sum(weights.values())
     exact = {s: w * slots / total for s, w in weights.items()}
     out = {s: max(1, int(x)) for s, x in exact.items()}
@@ -50,8 +54,20 @@ def shares(weights: Mapping, slots: int) -> dict:
     return out
 
 
-def schedule(share: Mapping) -> list:
-    """The source of each slot of a round: of the released blocks, the one that is due first."""
+def exact_shares(weights: Mapping) -> dict:
+    """The least integers in exactly the proportion of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    out = {s: int(x * unit) for s, x in exact.items()}
+    common = math.gcd(*out.values())
+    return {s: a // common for s, a in out.items()}
+
+
+def schedule(share: Mapping, left: Mapping | None = None) -> list:
+    """The source of each slot of a round: of the released blocks, the one that is due first.
+
+    left: blocks of each source; the schedule ends with the last block of one of them if that is before the round's end.
+    """
     slots, order = sum(share.values()), sorted(share, key=str)
     waiting = [(0, i, 0) for i in range(len(order))]  # release, source, block
     heapq.heapify(waiting)
@@ -65,32 +81,39 @@ def schedule(share: Mapping) -> list:
         if t >= deadline:
             raise AssertionError("a block missed its deadline")
         out.append(order[i])
+        if left is not None and j + 1 == left[order[i]]:
+            break
         if (j + 1) * slots // share[order[i]] < slots:
             heapq.heappush(waiting, ((j + 1) * slots // share[order[i]], i, j + 1))
     return out
 
 
-def phases(counts: Mapping, weights: Mapping, block_rows: int, round_slots: int = ROUND) -> list[dict]:
-    """For each phase and source: first and one-past-last block, slot of the phase's start, the source's places in a round,
-    and by how many rows the blocks before the phase fall short of full ones."""
+def phases(counts: Mapping, weights: Mapping, block_rows: int) -> list[dict]:
+    """For each phase and source: first and one-past-last block, slot of the phase's start, the exact weight (share of
+    length), the slots of its turns from the phase's start, after how many slots they come again (0: never), and by how many
+    rows the blocks before the phase fall short of full ones."""
     left = {s: -(-n // block_rows) for s, n in counts.items() if n}
     short = {s: -n % block_rows for s, n in counts.items()}
     done = dict.fromkeys(left, 0)
     out, start, missing = [], 0, 0
     while left:
-        weighted = {s: weights[s] for s in left if weights.get(s, 0) > 0} or dict.fromkeys(left, 1.0)
-        share = shares(weighted, max(round_slots, 2 * len(weighted)))
-        round_ = schedule(share)
-        length = len(round_)
+        weighted = {s: weights[s] for s in left if weights.get(s, 0) > 0} or dict.fromkeys(left, 1)
+        share = exact_shares(weighted)
+        length = sum(share.values())
+        round_ = schedule(share, left)
         places: dict = {s: [] for s in weighted}
         for t, s in enumerate(round_):
             places[s].append(t)
-        last = {s: (left[s] - 1) // share[s] * length + places[s][(left[s] - 1) % share[s]] for s in weighted}
-        ends = min(weighted, key=lambda s: last[s])
-        slots = last[ends] + 1
+        again = length if len(round_) == length else 0
+        if again:
+            last = {s: (left[s] - 1) // share[s] * length + places[s][(left[s] - 1) % share[s]] for s in weighted}
+            ends = min(weighted, key=lambda s: last[s])
+            slots = last[ends] + 1
+        else:
+            ends, slots = round_[-1], len(round_)
         for s in weighted:
             n = slots // length * share[s] + sum(t < slots % length for t in places[s])
-            out.append({"source": s, "is_null": s is None, "first": done[s], "last": done[s] + n, "start": start, "length": length, "places": places[s], "missing": missing, "share": share[s]})
+            out.append({"source": s, "is_null": s is None, "first": done[s], "last": done[s] + n, "start": start, "again": again, "places": places[s], "missing": missing, "share": share[s], "length": length})
             done[s] += n
             left[s] -= n
         start += slots
@@ -99,6 +122,20 @@ def phases(counts: Mapping, weights: Mapping, block_rows: int, round_slots: int
     return out
 
 
+def turns(plan: list[dict]) -> pa.Table:
+    """id (in plan), turn, slot, release, deadline: a row for each turn, slots from the phase's start."""
+    ids, turn, slot, release, deadline = [], [], [], [], []
+    for i, p in enumerate(plan):
+        share, length, places = p["share"], p["length"], p["places"]
+        ids += [i] * len(places)
+        turn += range(len(places))
+        slot += places
+        release += [k * length // share for k in range(len(places))]
+        deadline += [min(-(-(k + 1) * length // share), LAST_SLOT - p["start"]) for k in range(len(places))]
+    columns = {"id": ids, "turn": turn, "slot": slot, "release": release, "deadline": deadline}
+    return pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()})
+
+
 def temperature(counts: Mapping, alpha: float) -> dict:
     """Weights n ** alpha: between the sources' own shares (1) and equal ones (0)."""
     return {s: n**alpha for s, n in counts.items()}
@@ -136,23 +173,30 @@ def mixed(docs: DataFrame, weights: Mapping | None = None, *, source: str = "sou
     rows, counts = numbered(docs, source, seed, names[:4])
     number, mix = names[0], names[4]
     plan = phases(counts, temperature(counts, alpha) if weights is None else weights, block_rows)
-    schema = "array<struct<source:string,is_null:boolean,first:bigint,last:bigint,start:bigint,length:bigint,places:array<int>,missing:bigint,share:bigint>>"
+    spark = docs.sparkSession
+    schema = "array<struct<id:bigint,source:string,is_null:boolean,first:bigint,last:bigint,start:bigint,again:bigint,n_turns:bigint,missing:bigint>>"
     # a row for each phase and source, from the counts: at most the number of sources squared
-    table_ = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{**p, "source": None if p["source"] is None else str(p["source"])} for p in plan])), schema)))
-    (plan_col,) = fresh(rows, "plan_")
+    sent = [{k: p[k] for k in ("is_null", "first", "last", "start", "again", "missing")} | {"id": i, "n_turns": max(1, len(p["places"])), "source": None if p["source"] is None else str(p["source"])} for i, p in enumerate(plan)]
+    table_ = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(sent)), schema)))
+    plan_col, turn_col = fresh(rows, "plan_", "turn_")
     table_ = F.broadcast(table_.select(F.struct("*").alias(plan_col)))
-    p, block = F.col(plan_col), F.floor(F.col(number) / F.lit(block_rows))
+    turn_table = turns(plan)
+    turn_rows = stored(spark.createDataFrame(turn_table), "turns").select(F.struct("*").alias(turn_col))
+    turn_rows = F.broadcast(turn_rows) if len(turn_table) <= BROADCAST_ROWS else turn_rows
+    p, turn, block = F.col(plan_col), F.col(turn_col), F.floor(F.col(number) / F.lit(block_rows))
     match = F.col(source).cast("string").eqNullSafe(p["source"]) & (block >= p["first"]) & (block < p["last"])
     j = block - p["first"]
-    slot = p["start"] + F.floor(j / p["share"]) * p["length"] + F.element_at(p["places"], (F.pmod(j, p["share"]) + 1).cast("int"))
+    k = F.pmod(j, p["n_turns"])
+    since = p["start"] + F.floor((j - k) / p["n_turns"]) * p["again"]
+    slot = since + turn["slot"]
     row = F.struct(
         block.alias("block"),
-        (p["start"] + F.floor(j * p["length"] / p["share"])).alias("release"),
-        (p["start"] + F.ceil((j + 1) * p["length"] / p["share"])).alias("deadline"),
+        (since + turn["release"]).alias("release"),
+        (since + turn["deadline"]).alias("deadline"),
         slot.alias("slot"),
         (slot * block_rows + F.pmod(F.col(number), F.lit(block_rows)) - p["missing"]).alias("position"),
     )
-    return rows.join(table_, match).withColumn(mix, row).drop(plan_col, number)
+    return rows.join(table_, match).join(turn_rows, (p["id"] == turn["id"]) & (k == turn["turn"])).withColumn(mix, row).drop(plan_col, turn_col, number)
 
 
 def in_mixed_order(docs: DataFrame, weights: Mapping | None = None, **options) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 
@@ -60,3 +61,26 @@ def test_in_mixed_order_keeps_rows_and_columns(spark, tmp_path):
     mx.in_mixed_order(df, block_rows=10).write.parquet(str(tmp_path / "m"))
     back = spark.read.parquet(str(tmp_path / "m"))
     assert back.columns == df.columns and Counter(map(tuple, back.collect())) == Counter(rows)
+
+
+@pytest.mark.parametrize("tiny", [False, True])
+def test_exact_weights_over_many_slots(tiny):
+    """A third of the rows in one source and 19 equal ones: less than a block from the given weights, after any number of slots."""
+    counts = {"big": 400_000} | {f"s{i:02}": 42_105 for i in range(19)} | ({"tiny": 50} if tiny else {})
+    weights = mx.temperature(counts, 0.5) | ({"tiny": 0.01} if tiny else {})
+    plan = [p for p in mx.phases(counts, weights, 100) if p["start"] == 0]
+    slots = sorted((t, p["source"]) for p in plan for t in p["places"][: p["last"] - p["first"]])
+    assert len(slots) > 5_000 and [t for t, _ in slots] == list(range(len(slots)))
+    total, had = sum(map(Fraction, weights.values())), Counter()
+    for t, s in slots:
+        had[s] += 1
+        if t % 50 == 0 or t > len(slots) - 50:
+            assert all(abs(had[k] - (t + 1) * Fraction(w) / total) < 1 for k, w in weights.items())
+
+
+def test_many_rounds_of_integer_weights_and_a_vanishing_weight(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], "x") for i in range(400)] + [(900, "c", "x")], "doc_id long, source string, text string")
+    got = sorted(mx.mixed(df, {"a": 3, "b": 1, "c": 1e-300}, block_rows=2).collect(), key=lambda r: r.mix.position)
+    assert [r.mix.position for r in got] == list(range(401))
+    assert all(r.mix.release <= r.mix.slot < r.mix.deadline for r in got)
+    assert Counter(r.source for r in got[:240]) == {"a": 180, "b": 60}
