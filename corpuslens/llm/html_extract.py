@@ -4,8 +4,9 @@ Each page is parsed into a tree that forgives missing end tags. Its containers a
 (by distance, less the share of text in links), and the best are votes for their generalised path: tag and class names from
 the body down, digits left out. Spark sums the votes for each host and path, with a map-side combine, so a host of any
 size is one row for each path and task. Each host's winning path goes back to its pages, which are extracted again from the elements at
-that path; a page whose own best container disagrees by much (the path isn't there, or holds under half of the text)
-keeps its own.
+that path; a page with article text of its own choice outside them (or without the path) keeps its own: the elements at its
+best container's path, or the outermost container around them with more article text (its own text, blocks, or containers
+with a sentence; a container without one, of another class, is taken for a label).
 
 What isn't article text is left out of both passes: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, reader comments, by element, role, and the words of class and id; and lists that are nearly all links.
@@ -52,6 +53,7 @@ BOILERPLATE = re.compile(
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
+SENTENCE, WORD = re.compile(r"\w\W*?[.!?…。！？।؟]"), re.compile(r"\w")
 POSITIVE = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|main|story|body|text)(?:$|[\s_-])", re.I)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*(?:>|$)", re.S)
@@ -279,28 +281,90 @@ def votes(html: str) -> list[tuple[str, float]]:
     return sorted(out.items())
 
 
+def prose(node: Node) -> bool:
+    """Whether an element holds a sentence that isn't all links."""
+    return node.text_n > node.link_n and bool(SENTENCE.search(text_of([node])))
+
+
+def holds_more(node: Node, skip: set[int]) -> bool:
+    """Whether a node has article text of its own or in children that aren't in skip: a container's counts if it is prose."""
+    for c in node.children:
+        if isinstance(c, str):
+            if WORD.search(c):
+                return True
+        elif not c.out and id(c) not in skip and (prose(c) if c.tag in CONTAINERS else c.text_n > c.link_n):
+            return True
+    return False
+
+
+def uncovered(node: Node, inside: list[Node]) -> bool:
+    """Whether a node holds article text outside the given elements."""
+    skip = set(map(id, inside))
+    if id(node) in skip or any(id(y) in skip for y in above(node)):
+        return False
+    between: set[int] = set()
+    for x in inside:
+        for y in above(x):
+            if id(y) in between:
+                break
+            between.add(id(y))
+    if id(node) not in between:
+        return True
+    covered, stack = skip | between, [node]
+    while stack:
+        x = stack.pop()
+        if holds_more(x, covered):
+            return True
+        stack += [c for c in x.children if isinstance(c, Node) and id(c) in between and id(c) not in skip]
+    return False
+
+
 def chosen(containers: list[Node], path: str) -> list[Node]:
-    """The elements to extract at a path: the best one; if it is an article or well named, also others there of a third of its text at least."""
+    """The elements to extract at a path: all of them if articles or well named, otherwise the best one, those of its class, and prose."""
     at = [x for x in containers if x.score > 0 and path_of(x) == path]
     there = set(map(id, at))
     at = [x for x in at if not any(id(y) in there for y in above(x))]
     if not at:
         return []
     best = best_of(at)
-    several = best.tag == "article" or POSITIVE.search(f"{best.attributes.get('class', '')} {best.attributes.get('id', '')}")
-    return [x for x in at if x is best or several and 3 * x.text_n >= best.text_n]
+    named = best.attributes.get("class", "")
+    several = best.tag == "article" or POSITIVE.search(f"{named} {best.attributes.get('id', '')}")
+    return [x for x in at if x is best or several or x.attributes.get("class", "") == named or prose(x)]
+
+
+def completed(at: list[Node]) -> list[Node]:
+    """The elements, or the outermost container around them that holds more article text. An article or main element is whole."""
+    if any(x.tag in ("article", "main") for x in at):
+        return at
+    top = at[0]
+    if len(at) > 1:
+        common = {id(y) for y in above(at[0])}
+        for x in at[1:]:
+            common &= {id(y) for y in above(x)}
+        top = next(y for y in above(at[0]) if id(y) in common)
+        if uncovered(top, at):
+            at = [top]
+    below = top
+    for y in () if top.tag in ("article", "main") else above(top):
+        if holds_more(y, {id(below)}):
+            at = [y]
+        if y.tag in ("article", "main"):
+            break
+        below = y
+    return at
 
 
 def extracted(html: str, path: str | None) -> tuple[str, bool]:
-    """The page's main text, by the host's path if that holds at least half of the own best container's text; and whether it did."""
+    """The page's main text, by the host's path if that holds all article text of the page's own choice; and whether it did."""
     root = parsed(html)
     containers = measured(root)
     own = best_of(containers)
     if own is None:
         return text_of([root]), False
-    if path and (at := chosen(containers, path)) and 2 * sum(x.text_n for x in at) >= own.text_n:
+    mine = completed(chosen(containers, path_of(own)) or [own])
+    if path and (at := chosen(containers, path)) and not any(uncovered(x, at) for x in mine):
         return text_of(at), True
-    return text_of(chosen(containers, path_of(own)) or [own]), False
+    return text_of(mine), False
 
 
 def above(node: Node) -> Iterator[Node]:

@@ -86,3 +86,30 @@ def test_hosts_vote_and_odd_rows(spark):
     assert by[10].text and by[11].text == "" and by[None].n_chars == 0
     assert {r.host for r in df.select(he.host_of(df.url).alias("host")).collect()} == {"example.org", "", "b.org"}
     assert he.main_text(df.limit(0)).collect() == []
+
+
+def sentences(word, n):
+    return " ".join(f"The {word} sentence number {i} is here." for i in range(n))
+
+
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["<section>{}</section>", "<section>{}</section>"],
+        ["<div class=content>{}</div>"] * 4,
+        ["<div class=part1>{}</div>", "<div class=part2>{}</div>", "<div class=other>{}</div>"],
+        ["<section>{}</section>", "<p>{}</p>"],
+        ["<h1>{}</h1>", "<section><p>{}</p></section>", "<div><section>{}</section></div>"],
+    ],
+)
+def test_no_part_of_an_article_is_lost(parts):
+    texts = [sentences(f"w{i}", n) for i, n in enumerate([50, 30, 12, 8][: len(parts)])]
+    page = "<body><div>" + "".join(p.format(t) for p, t in zip(parts, texts, strict=True)) + "</div><div class=sidebar>" + sentences("side", 9) + "</div></body>"
+    assert he.extracted(page, None) == (" ".join(texts), False)
+    for path, _ in he.votes(page):
+        assert he.extracted(page, path)[0] == " ".join(texts)
+
+
+def test_host_path_with_half_of_the_page_is_not_enough():
+    page = f"<body><div><div class=lead>{sentences('a', 60)}</div><p>{sentences('b', 40)}</p></div></body>"
+    assert he.extracted(page, "body>div>div.lead") == (f"{sentences('a', 60)} {sentences('b', 40)}", False)
