@@ -8,8 +8,13 @@ that path; a page with article text of its own choice outside them (or without t
 best container's path, or the outermost container around them with more article text (its own text, blocks, or containers
 with a sentence; a container without one, of another class, is taken for a label).
 
-What isn't article text is left out of both passes: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments, by element, role, and the words of class and id; and lists that are nearly all links.
+What isn't article text is left out of both passes: menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
+styles, reader comments, by element, role, and the names of class and id (see `named_out`); and lists that are nearly all
+links. An article's own header stays, and so does a form that holds the article or half of the page's text (a page wrapped in one).
+A section with a name that an article's own part may have as well (alert, share, copyright) stays if it holds a sentence.
+
+A path is exact at any depth: beyond PATH_DEPTH elements the upper ones are written as a digest. Reading, scoring and choosing
+take linear time in the page.
 
 Defined results: a null or empty html has an empty text; a page without a host (or with a null url) votes for nothing and
 is extracted by its own best container; repeated rows give a row each; an empty table gives an empty result; extra
@@ -20,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import sha256
 from html import unescape
 
 import pyarrow as pa
@@ -45,103 +51,138 @@ CLOSES = {
     "th": (("td", "th"), ("tr", "table")),
     "option": (("option",), ("select", "datalist")),
 }
-#: Words of class and id attributes that name what isn't the article; the whole word, or with the ending shown.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|promo(?:ted|tion)?|banner|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side-?bar|aside|header|masthead|footer|cookies?|"
-    r"notices?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|comments?|commentlist|disqus|respond|replies|share|sharing|social|related|recommended|widgets?|pagination|pager|login|signup|"
-    r"toolbar|search|skip|disclaimer|copyright|alert)(?:$|[\s_-])",
-    re.I,
+#: Words of class and id names of what isn't the article; those that an article's own part may have too; words that only say what kind of box a name is of; words that say that something else has the thing named.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement adsense sponsor sponsored promo promoted promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars aside header masthead footer cookie cookies "
+    "notice notices consent gdpr popup modal overlay newsletter subscribe subscription comment comments commentlist disqus respond replies related recommended widget widgets pagination pager".split()
 )
+WEAK = frozenset("share sharing social search skip login signup toolbar disclaimer copyright alert".split())
+BOXES = frozenset("area articles bar bars block blocks body bottom box boxes button buttons col column container content contents footer form group header holder icons inner item items left link links list main nav notice outer panel posts primary right row secondary section sections slot stories text title top unit widget widgets wrap wrapper".split())
+HAVING = frozenset("has have with without no not hide show is".split())
+#: Headers with these words are an article's own.
+OWN_HEADER = frozenset("article entry post story".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 SENTENCE, WORD = re.compile(r"\w\W*?[.!?…。！？।؟]"), re.compile(r"\w")
 POSITIVE = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|main|story|body|text)(?:$|[\s_-])", re.I)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*(?:>|$)", re.S)
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: A tag from its first letter to its end; quoted values may hold ">" if the quote is closed. Possessive, so that nothing is tried twice.
+TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|$))""")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
-MOST_VOTES, PATH_DEPTH = 3, 12
+#: Elements of a path that are written out.
+PATH_DEPTH = 12
+#: Text, without links, that a weakly named section must have to stay.
+SECTION_CHARS = 60
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "attributes", "out", "text_n", "link_n", "score", "holds_article")
+    __slots__ = ("tag", "parent", "children", "attributes", "out", "weak", "in_article", "depth", "steps", "upper", "text_n", "link_n", "links", "sentence", "raw_n", "score", "holds_article")
 
     def __init__(self, tag: str, parent: Node | None, attributes: dict[str, str]):
         self.tag, self.parent, self.attributes = tag, parent, attributes
         self.children: list[Node | str] = []
-        self.out = tag in LEFT_OUT or left_out(attributes, tag)
-        self.text_n = self.link_n = 0
-        self.score, self.holds_article = 0.0, False
+        self.in_article = parent is not None and (parent.in_article or parent.tag == "article" and not parent.out)
+        self.weak = False
+        self.out = tag in LEFT_OUT and not (tag == "header" and self.in_article) or left_out(self)
+        self.depth, self.steps, self.upper = (0, (), b"") if parent is None else (parent.depth + 1, None, b"")
+        self.text_n = self.link_n = self.links = self.raw_n = 0
+        self.sentence = self.holds_article = False
+        self.score = 0.0
+
 
+def named_out(name: str, own: bool) -> str | None:
+    """Whether a class or id name is of what isn't the article: "strong", "weak" or None.
 
-def left_out(attributes: dict[str, str], tag: str) -> bool:
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return attributes.get("role", "") in ROLES or (tag == "article" and bool(BOILERPLATE.search(attributes.get("class", "") + " " + attributes.get("id", ""))))
-    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in ROLES or bool(BOILERPLATE.search(f"{attributes.get('class', '')} {attributes.get('id', '')}"))
+    The name's last word decides, or its first word if the others are only words for boxes, so that a section about a
+    thing ("social-science-article", "copyright-law") isn't taken for the thing. own: within an article, whose header stays.
+    """
+    words = re.findall(r"[a-z]+", name.lower().replace("side-bar", "sidebar"))
+    if not words or not HAVING.isdisjoint(words):
+        return None
+    for word, others in ((words[-1], ()), (words[0], words[1:])):
+        if all(w in BOXES for w in others):
+            if word == "header" and (own or not OWN_HEADER.isdisjoint(words)):
+                continue
+            if word in STRONG:
+                return "strong"
+            if word in WEAK:
+                return "weak"
+    return None
+
+
+def left_out(node: Node) -> bool:
+    """Whether an element's attributes say that it isn't article text; `weak` is set where its text must decide."""
+    a, tag = node.attributes, node.tag
+    if not a or tag in ("html", "body", "main"):
+        return a.get("role", "").lower() in ROLES and tag != "html"
+    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES:
+        return True
+    kinds = {named_out(name, node.in_article) for name in f"{a.get('class', '')} {a.get('id', '')}".split()}
+    node.weak = "weak" in kinds and tag != "article"
+    return "strong" in kinds
 
 
 class Builder:
-    """The open elements of a page while it is parsed. Counts of open tags keep a search from climbing in vain."""
+    """The open elements of a page while it is parsed, with the depths of those of each tag, so that none is searched for."""
 
     def __init__(self) -> None:
         self.root = self.node = Node("html", None, {})
-        self.open: dict[str, int] = {}
+        self.open: dict[str, list[int]] = {}
 
     def push(self, node: Node) -> None:
-        self.open[node.tag] = self.open.get(node.tag, 0) + 1
+        self.open.setdefault(node.tag, []).append(node.depth)
         self.node = node
 
-    def pop_through(self, last: Node) -> None:
-        while True:
-            node = self.node
-            self.open[node.tag] -= 1
-            self.node = node.parent
-            if node is last:
-                return
-
     def end(self, tags: tuple[str, ...], bounds: tuple[str, ...] = ()) -> bool:
         """End the nearest open element of `tags` that has no open element of `bounds` inside it."""
-        if not any(self.open.get(t) for t in tags):
+        deepest = max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+        if not deepest or any(self.open[t][-1] > deepest for t in bounds if self.open.get(t)):
             return False
-        up: Node | None = self.node
-        while up is not self.root and up.tag not in bounds:
-            if up.tag in tags:
-                self.pop_through(up)
-                return True
-            up = up.parent
-        return False
+        while self.node.depth >= deepest:
+            self.open[self.node.tag].pop()
+            self.node = self.node.parent
+        return True
 
 
 def parsed(html: str) -> Node:
     """The tree of a page, under an element 'html'. Strings are text as written, with references still in."""
     b = Builder()
     at, n = 0, len(html)
+    last_end = html.rfind(">")
     while at < n:
-        m = TOKEN.search(html, at)
-        if m is None:
+        start = html.find("<", at)
+        if start < 0:
             b.node.children.append(html[at:])
             break
-        if m.start() > at:
-            b.node.children.append(html[at : m.start()])
-        at = m.end()
-        t = TAG.match(m[0])
-        if t is None:
+        if start > at:
+            b.node.children.append(html[at:start])
+        m = TAG.match(html, start)
+        if m is None:
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                at = n if end < 0 else end + 3
+            elif html.startswith(("<!", "<?"), start) and start < last_end:
+                at = html.find(">", start) + 1
+            else:  # a "<" that begins nothing is text
+                b.node.children.append("<")
+                at = start + 1
             continue
-        tag = t[2].lower()
-        if t[1]:
+        at = m.end()
+        tag = m[1].lower()
+        if html.startswith("</", start):
             if not b.end((tag,)) and tag in ("p", "br"):
                 b.node.children.append(Node("br", b.node, {}))
             continue
-        if tag == "html":
+        if tag == "html" or tag == "form" and b.open.get("form"):  # a form within a form isn't one
             continue
         if tag in ENDS_P:
             b.end(("p",), ("td", "th", "table", "button", "object", "caption"))
         if tag in CLOSES:
             b.end(*CLOSES[tag])
-        rest = m[0][t.end() : -1]
+        rest = html[m.end(1) : at - 1]
         attributes = {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in ATTRIBUTE.finditer(rest)} if rest else {}
         new = Node(tag, b.node, attributes)
         b.node.children.append(new)
-        if tag in VOID or m[0].endswith("/>") and tag in ("path", "circle", "rect", "use", "g"):
+        if tag in VOID or rest.endswith("/") and tag in ("path", "circle", "rect", "use", "g"):
             continue
         if tag in RAW:
             end = re.compile(f"</{tag}", re.I).search(html, at)
@@ -167,7 +208,10 @@ def measured(root: Node) -> list[Node]:
     counts all text within it. Everything is summed from the leaves up, so a page of any depth takes linear time.
     """
     for node in reached_all(root):  # a frame named like a sidebar that holds the article isn't one
-        node.out = node.out and not (node.holds_article and node.tag not in LEFT_OUT)
+        if node.out and node.tag == "form":
+            node.out = not (node.holds_article or 2 * node.raw_n >= root.raw_n and prose(node, True)) or left_out(node)
+        else:
+            node.out = node.out and not (node.holds_article and node.tag not in LEFT_OUT)
     sums: dict[int, tuple[float, float]] = {}
     for node in reversed(reached(root)):  # children before parents
         own = near = whole = 0.0
@@ -176,11 +220,14 @@ def measured(root: Node) -> list[Node]:
                 k = len(" ".join(c.split()))
                 node.text_n += k
                 node.link_n += k if node.tag == "a" else 0
+                node.sentence = node.sentence or node.tag != "a" and bool(SENTENCE.search(c))
                 own += k
             elif not c.out:
-                if is_link_list(c):
+                if is_link_list(c) or c.weak and not (c.sentence and c.text_n - c.link_n >= SECTION_CHARS or c.holds_article):
                     c.out = True
                     continue
+                node.sentence = node.sentence or c.sentence
+                node.links += c.links
                 node.text_n += c.text_n
                 node.link_n += c.text_n if node.tag == "a" else c.link_n
                 n, w = sums.pop(id(c), (0.0, 0.0))
@@ -191,6 +238,7 @@ def measured(root: Node) -> list[Node]:
                     own += n
         if node.tag == "a":
             own = near = whole = 0.0
+            node.links += 1
         named = f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}"
         good = bool(POSITIVE.search(named))
         sums[id(node)] = (own + near, own + whole)
@@ -201,7 +249,7 @@ def measured(root: Node) -> list[Node]:
 
 
 def reached_all(root: Node) -> list[Node]:
-    """Every element, children before parents, with holds_article set."""
+    """Every element, children before parents, with holds_article and raw_n (characters within, left out by no name) set."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -209,33 +257,36 @@ def reached_all(root: Node) -> list[Node]:
         stack += [c for c in node.children if isinstance(c, Node)]
     order.reverse()
     for node in order:
-        node.holds_article = any(isinstance(c, Node) and (c.tag in ("article", "main") and not c.out or c.holds_article and c.tag not in LEFT_OUT) for c in node.children)
+        node.holds_article = any(isinstance(c, Node) and (c.tag in ("article", "main") and not c.out or c.holds_article and c.tag not in LEFT_OUT - {"form"}) for c in node.children)
+        node.raw_n = sum(len(c.strip()) if isinstance(c, str) else c.raw_n if not c.out or c.tag == "form" else 0 for c in node.children)
     return order
 
 
 def is_link_list(node: Node) -> bool:
     """A list or division with several links that are nearly all of its text."""
-    return node.tag in ("ul", "ol", "dl", "div", "table", "section", "p") and node.text_n > 0 and node.link_n >= 0.8 * node.text_n and count_links(node) >= 3
+    return node.tag in ("ul", "ol", "dl", "div", "table", "section", "p") and node.text_n > 0 and node.link_n >= 0.8 * node.text_n and node.links >= 3
 
 
-def count_links(node: Node) -> int:
-    n, stack = 0, [node]
-    while stack:
-        x = stack.pop()
-        n += x.tag == "a"
-        stack += [c for c in x.children if isinstance(c, Node)]
-    return n
+def step_of(node: Node) -> str:
+    """The element's tag and class names, digits left out."""
+    names = sorted({re.sub(r"\d+", "", c).strip("-_") for c in node.attributes.get("class", "").lower().split()} - {""})
+    return ".".join([node.tag, *names])
 
 
 def path_of(node: Node) -> str:
-    """Tags and class names from the body down to the node, digits left out, at most PATH_DEPTH elements from below."""
-    steps = []
+    """Tags and class names from the body down to the node, digits left out; of those above the last PATH_DEPTH a digest."""
+    todo = []
     up: Node | None = node
-    while up is not None and up.tag not in ("html",) and len(steps) < PATH_DEPTH:
-        names = sorted({re.sub(r"\d+", "", c).strip("-_") for c in up.attributes.get("class", "").lower().split()} - {""})
-        steps.append(".".join([up.tag, *names]))
+    while up.steps is None:
+        todo.append(up)
         up = up.parent
-    return ">".join(reversed(steps))
+    for x in reversed(todo):
+        steps, x.upper = (*x.parent.steps, step_of(x)), x.parent.upper
+        if len(steps) > PATH_DEPTH:
+            x.upper = sha256(x.upper + steps[0].encode("utf-8", "surrogatepass")).digest()
+            steps = steps[1:]
+        x.steps = steps
+    return ">".join([*([node.upper.hex()[:16]] if node.upper else []), *node.steps])
 
 
 def text_of(nodes: list[Node]) -> str:
@@ -272,17 +323,23 @@ def best_of(containers: list[Node]) -> Node | None:
 
 
 def votes(html: str) -> list[tuple[str, float]]:
-    """(generalised path, share of the best score) of the page's best containers."""
-    containers = sorted((x for x in measured(parsed(html)) if x.score > 0), key=lambda x: -x.score)[:MOST_VOTES]
+    """(generalised path, share of the best score) of all the page's scored containers."""
+    containers = [x for x in measured(parsed(html)) if x.score > 0]
+    best = max((x.score for x in containers), default=0.0)
     out: dict[str, float] = {}
     for x in containers:
         p = path_of(x)
-        out[p] = max(out.get(p, 0.0), x.score / containers[0].score)
+        out[p] = max(out.get(p, 0.0), x.score / best)
     return sorted(out.items())
 
 
-def prose(node: Node) -> bool:
+def prose(node: Node, as_form: bool = False) -> bool:
     """Whether an element holds a sentence that isn't all links."""
+    if as_form:  # before anything is measured, and read as if it weren't left out
+        node.out = False
+        found = bool(SENTENCE.search(text_of([node])))
+        node.out = True
+        return found
     return node.text_n > node.link_n and bool(SENTENCE.search(text_of([node])))
 
 
@@ -322,8 +379,6 @@ def uncovered(node: Node, inside: list[Node]) -> bool:
 def chosen(containers: list[Node], path: str) -> list[Node]:
     """The elements to extract at a path: all of them if articles or well named, otherwise the best one, those of its class, and prose."""
     at = [x for x in containers if x.score > 0 and path_of(x) == path]
-    there = set(map(id, at))
-    at = [x for x in at if not any(id(y) in there for y in above(x))]
     if not at:
         return []
     best = best_of(at)

@@ -113,3 +113,93 @@ def test_no_part_of_an_article_is_lost(parts):
 def test_host_path_with_half_of_the_page_is_not_enough():
     page = f"<body><div><div class=lead>{sentences('a', 60)}</div><p>{sentences('b', 40)}</p></div></body>"
     assert he.extracted(page, "body>div>div.lead") == (f"{sentences('a', 60)} {sentences('b', 40)}", False)
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<aaaa", "<aaaa ", "<a b=", "<a '", "<a \"x='", "<!", "<!--", "</", "<div>", "<p><b>", "<li>", "<div class='x1'>", "<form><p>a.", "<ul><li><a>x</a>", "<div class=share>a b c. ", "<table><td><p>", "&", "</p>", "<section class=alert><div>"],
+)
+def test_any_markup_takes_linear_time(html):
+    import time
+
+    took = []
+    for size in (50_000, 200_000):
+        page, t = html * (size // len(html)), time.time()
+        he.votes(page)
+        he.extracted(page, "body>div")
+        took.append(time.time() - t)
+    assert took[1] < max(2.0, 9 * took[0])
+
+
+def test_a_megabyte_of_tags_without_an_end():
+    import time
+
+    for html in ("<aaaa", "<a <", "<a b='", "<!"):
+        t = time.time()
+        he.extracted(html * (1_000_000 // len(html)), None)
+        assert time.time() - t < 4
+
+
+S = "A sentence of the story, which is long enough to be one of its own parts, ends here."
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<body><form id=f><div><p>{S}</p><p>{S}</p><input></div></form></body>", f"{S} {S}"),
+        (f"<body><div><p>{S}</p><form><p>Your name, please. <input></p></form></div></body>", S),
+        (f"<body><header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>{S}</p></article></body>", f"Title {S}"),
+        (f"<body><article><div class='entry-header'>Title</div><p>{S}</p><div class='entry-footer'>tags</div></article></body>", f"Title {S}"),
+        *((f"<body><article><p>{S}</p><section class='{c}'><p>{S}</p></section></article></body>", f"{S} {S}") for c in ("social-science-article", "search-engine-history", "copyright-law", "alert", "share", "no-sidebar", "part notice-of-dawn")),
+        *((f"<body><article><p>{S}</p><section class='{c}'><p>{S}</p></section></article></body>", S) for c in ("ad", "ads", "sidebar", "side-bar right", "cookie-notice", "notice", "comments-area", "newsletter-box", "widget", "related-posts", "main-menu", "AD-SLOT", "ad-content")),
+        (f"<body><article><p>{S}</p><div class=share>Share</div><div class='social-links'>Like us</div></article></body>", S),
+        (f"<body><div class=x>{S} {S}</div><div class=x><p>The end.</p></div></body>", f"{S} {S} The end."),
+    ],
+)
+def test_names_headers_and_forms(html, want):
+    assert he.extracted(html, None)[0] == want
+    for path, _ in he.votes(html):
+        assert he.extracted(html, path)[0] == want
+
+
+def test_paths_of_any_depth():
+    inner = f"<p>{S}</p><p>{S}</p>"
+    one, two = ("<div>" * 40 + f"<div class={c}9>" + "<div>" * 20 + f"<div class=x>{inner}</div>" for c in ("a", "b"))
+    paths = [{p for p, _ in he.votes(h)} for h in (one, two, one.replace("9", "7"))]
+    assert paths[0] == paths[2] and len(paths[0]) == len(paths[1]) == 63 and len(paths[0] & paths[1]) == 41
+    assert max(map(len, paths[0])) < 120
+
+
+def labelled_page(rng, layout):
+    """A page of one of six layouts, and its main text by construction."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    sentence = lambda: " ".join(word() for _ in range(rng.randint(8, 20))).capitalize() + "."
+    blocks = [sentence() if rng.random() < 0.7 else f"{sentence()} {sentence()}" for _ in range(rng.randint(4, 12))]
+    marked = [rng.choice(["<p>{}</p>", "<p>{}", "<P class=c{}>".replace("{}", str(rng.randint(0, 9))) + "{}</P>", "<p><em>{}</em></p>"]).format(b) for b in blocks]
+    title = sentence()
+    links = "<ul>" + "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(rng.randint(3, 8))) + "</ul>"
+    junk = [f"<nav>{links}</nav>", f"<div class='ad ad-{rng.randint(1, 9)}'>{sentence()}</div>", f"<aside><p>{sentence()}</p></aside>", f"<div class=cookie-notice>{sentence()}</div>", f"<form><label>{word()}</label><input></form>", f"<section id=comments><p>{sentence()}</p><p>{sentence()}</p></section>"]
+    rng.shuffle(junk)
+    body = f"<h1>{title}</h1>" + "".join(marked)
+    half = len(marked) // 2
+    frames = [
+        f"<article>{body}</article>",
+        f"<article><header><h1>{title}</h1></header>{''.join(marked)}{junk[5]}</article>",
+        f"<div id=main-content><h1>{title}</h1>{''.join(marked[:half])}{junk[4]}{''.join(marked[half:])}</div>",
+        f"<main><h1>{title}</h1><section>{''.join(marked[:half])}</section><section>{''.join(marked[half:])}</section></main>",
+        f"<form action=/><div class=wrap{rng.randint(1, 99)}>{body}</div></form>",
+        f"<div class=story-{rng.randint(1, 99)}>{body}</div>",
+    ]
+    html = f"<html><head><title>{title}</title><script>var a='<p>{sentence()}</p>'</script></head><body><header>{word()}</header>{junk[0]}{junk[1]}{frames[layout]}{junk[2]}{junk[3]}<footer>{sentence()}</footer></body></html>"
+    return html, " ".join([title, *blocks])
+
+
+def test_labelled_pages(spark):
+    import random
+
+    rng = random.Random(8)
+    made = [(i, f"https://h{i % 6}.org/{i}", *labelled_page(rng, i % 6)) for i in range(240)]
+    df = spark.createDataFrame([r[:3] for r in made], "page_id long, url string, html string").repartition(5)
+    out = {r.page_id: r for r in he.main_text(df).collect()}
+    assert [i for i, _, _, want in made if out[i].text != want] == []
+    assert sum(r.by_host_path for r in out.values()) > 200
