@@ -8,6 +8,10 @@ plus threshold, so at the home anchor of one of a pair the other is present too.
 each anchor gives the edges of a spanning forest of its links, not all pairs. The forests of all anchors together have the
 components of the whole link graph, which are found by large-star and small-star rounds on written tables.
 
+An anchor with more than HOT_ROWS members isn't one task's: its members are dealt again by the bits outside the part, cut
+into five segments, of which two fingerprints with at most 4 differing bits must share one. A group that is still larger is
+cut into slices, and each pair of slices is compared by itself. Both are exact.
+
 The layout of parts is chosen by the number of distinct fingerprints: a finer code has more anchors, with fewer
 fingerprints at each. Any layout is exact.
 
@@ -37,6 +41,8 @@ HASH_BLOCK = 16_384
 #: Nodes of a task's union-find, and edges of a partition of them: some 30 MB of a Python worker. The last partition of all,
 #: which isn't flushed, may have two nodes an edge.
 FOREST_NODES, FOREST_EDGES = 200_000, 200_000
+#: Members of an anchor that are compared by one task.
+HOT_ROWS = 50_000
 
 
 # --- fingerprints ---------------------------------------------------------------------------------------------------
@@ -232,8 +238,42 @@ def compare_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield forest.stars()
 
 
-def near_links(nodes: DataFrame, layout: tuple[Part, ...]) -> DataFrame:
-    """a, b: edges, a < b, whose components are those of all links among the distinct fingerprints (fp)."""
+def outside_segments(anchor: np.ndarray, fps: np.ndarray, layout: tuple[Part, ...]) -> Iterator[np.ndarray]:
+    """For each segment of the bits outside an anchor's part: a key of (anchor, segment, its bits) of every fingerprint.
+
+    Keys are mixed to 64 bits; two groups of one key are compared together, which only costs time.
+    """
+    number = (anchor >> np.int64(40)).astype(np.int64)
+    for k in range(THRESHOLD + 1):
+        key = np.zeros(len(fps), np.uint64)
+        for i, p in enumerate(layout):
+            width, low = p.code + p.free, np.uint64(p.low)
+            below = fps & np.uint64((1 << p.low) - 1)
+            above = fps >> np.uint64(p.low + width) if p.low + width < 64 else np.zeros_like(fps)
+            rest, n = above << low | below, 64 - width
+            first, last = k * n // (THRESHOLD + 1), (k + 1) * n // (THRESHOLD + 1)
+            bits = (rest >> np.uint64(first)) & np.uint64((1 << (last - first)) - 1)
+            key = np.where(number == i, np.uint64(k << 40) | bits, key)
+        mixed = anchor.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ key * np.uint64(0xC2B2AE3D27D4EB4F)
+        yield (mixed ^ mixed >> np.uint64(29)).view(np.int64)
+
+
+def split_hot(placed: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of placed (anchor, fp, home) at anchors of at most `most` rows, and the others with their number n (None if there are none)."""
+    hot = stored(placed.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > most), "hot")
+    n_hot = hot.count()
+    if not n_hot:
+        return placed, None
+    hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+    return placed.join(hot.select("anchor"), "anchor", "left_anti"), placed.join(hot, "anchor")
+
+
+def near_links(nodes: DataFrame, layout: tuple[Part, ...], most: int | None = None) -> DataFrame:
+    """a, b: edges, a < b, whose components are those of all links among the distinct fingerprints (fp).
+
+    most: members of an anchor that one task compares (HOT_ROWS).
+    """
+    most = most or HOT_ROWS
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -242,8 +282,23 @@ def near_links(nodes: DataFrame, layout: tuple[Part, ...]) -> DataFrame:
                 key, row, home = anchors(fps.view(np.uint64), layout)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row]), pa.array(home)], ["anchor", "fp", "home"])
 
-    placed = nodes.select("fp").mapInArrow(replicate, "anchor long, fp long, home boolean")
-    return placed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare_sorted, "a long, b long")
+    def by_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            anchor, fps = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for key in outside_segments(anchor, fps.view(np.uint64), layout):
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(1), b.column(2)], ["anchor", "fp", "home"])
+
+    schema = "anchor long, fp long, home boolean"
+    rows, hot = split_hot(nodes.select("fp").mapInArrow(replicate, schema), most)
+    if hot is not None:
+        cut, still = split_hot(hot.select("anchor", "fp", "home").mapInArrow(by_segments, schema), most)
+        rows = rows.unionByName(cut)
+        if still is not None:
+            slices = F.ceil(F.col("n") / F.lit(most)).cast("long")
+            own = F.pmod(F.xxhash64("fp"), slices)
+            cells = still.select("anchor", "fp", "home", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("other"))
+            rows = rows.unionByName(cells.select(F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")).alias("anchor"), "fp", "home"))
+    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare_sorted, "a long, b long")
 
 
 # --- components -----------------------------------------------------------------------------------------------------

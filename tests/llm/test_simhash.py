@@ -74,6 +74,50 @@ def test_components_match_brute_force(spark, layout, block):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize(("layout", "most"), [("coarse", 3), ("coarse", 40), ("fine", 10)])
+def test_hot_anchors_match_brute_force(spark, layout, most):
+    """Fingerprints that share their lowest 32 bits, some linked; groups stay hot after the second dealing, too."""
+    rng = random.Random(6)
+    fps = [rng.getrandbits(32) << 32 | 77 for _ in range(100)] + [rng.getrandbits(64) for _ in range(50)]
+    for i in range(250):
+        base = fps[rng.randrange(len(fps))] if i % 2 else fps[0]
+        for b in rng.sample(range(64), rng.randint(1, 4)):
+            base ^= 1 << b
+        fps.append(base)
+    arr = np.unique(np.array(fps, np.uint64))
+    nodes = spark.createDataFrame([(int(x),) for x in arr.view(np.int64)], "fp long").repartition(3)
+    star = {r.v: r.root for r in sh.starred(sh.near_links(nodes, sh.LAYOUTS[layout], most)).collect()}
+    got, want = {}, {}
+    for x, r in zip(arr.view(np.int64).tolist(), brute(arr), strict=True):
+        got.setdefault(star.get(x, x), set()).add(x)
+        want.setdefault(r, set()).add(x)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_a_hot_anchor_is_split_over_tasks(spark):
+    """100,000 fingerprints at one anchor: no group that a task compares has more than HOT_ROWS twice."""
+    from pyspark.sql import functions as F
+
+    n = 100_000
+    nodes = spark.range(n).select((F.xxhash64("id").bitwiseAND(F.lit(-(2**21)))).alias("fp")).distinct()
+    placed = []
+
+    def spy(df, most):
+        placed.append(df)
+        return real_split(df, most)
+
+    real_split = sh.split_hot
+    sh.split_hot = spy
+    try:
+        links = sh.near_links(nodes, sh.LAYOUTS["coarse"])
+        assert links.count() >= 0
+    finally:
+        sh.split_hot = real_split
+    assert len(placed) == 2  # hot once; its segments aren't
+    first, second = (p.groupBy("anchor").count().agg(F.max("count")).first()[0] for p in placed)
+    assert first > sh.HOT_ROWS > second
+
+
 def test_operator_on_odd_rows(spark):
     base = " ".join(f"w{i}" for i in range(400))
     rows = [(5, base), (3, base + " x"), (9, base), (9, base), (None, None), (7, ""), (8, "lonely words here and now"), (None, "only null has this text, it is alone")]
