@@ -6,8 +6,9 @@ the model is loaded), so no merge crosses into a run of U+2581, and a text can b
 chunks of an Arrow batch, those not yet known to the Python worker are concatenated; the batch text gets a suffix array
 (suffixes ordered by as many characters as the longest piece has), every piece of the vocabulary is binary-searched in it
 for its range of occurrences, the occurrences are the edges, sorted by position, and each chunk is relaxed over its edges:
-the best edge that spans two neighbouring symbols joins them, until none is left. What stays single and isn't a piece
-becomes its UTF-8 bytes' pieces.
+the best edge that spans two neighbouring symbols joins them, until none is left. Short chunks are relaxed together over a
+dense table; a longer one over its edges as they lie, sorted by position, in plain arrays of a few bytes an edge, so that a
+chunk of ten million characters fits a worker. What stays single and isn't a piece becomes its UTF-8 bytes' pieces.
 
 Decoding puts pieces and bytes together again; `round_trip` says whether that gave the text back.
 
@@ -21,13 +22,14 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
@@ -84,10 +86,10 @@ class Model:
         at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
         return np.where(self.alphabet[at] == points, at + 2, 1).astype(">u2")
 
-    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, length, index of the piece) of every occurrence of every piece, sorted by start."""
+    def edges(self, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, index of the piece) of every occurrence of every piece that ends before the next of bounds, sorted by start."""
         n, w = len(codes), self.width
-        starts, lengths, which = [], [], []
+        starts, lengths, which = [np.zeros(0, np.int32)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int32)]
         for block in range(0, n, INDEX_CHARS):
             part = codes[block : block + INDEX_CHARS + w - 1]
             m = min(INDEX_CHARS, n - block)
@@ -95,17 +97,20 @@ class Model:
             suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, w)[:m]).view(f"S{2 * w}").ravel()
             order = suffix_order(part, w)
             order = order[order < m]
-            array = suffixes[order]
-            first, last = np.searchsorted(array, self.low, "left"), np.searchsorted(array, self.high, "right")
+            ordered = suffixes[order]
+            first, last = np.searchsorted(ordered, self.low, "left"), np.searchsorted(ordered, self.high, "right")
             times = last - first
-            k = np.repeat(np.arange(len(times)), times)
+            k = np.repeat(np.arange(len(times), dtype=np.int32), times)
             at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
-            starts.append(order[at] + block)
-            lengths.append(self.piece_len[k])
-            which.append(k)
-        s, length, k = np.concatenate(starts), np.concatenate(lengths), np.concatenate(which)
-        by = np.argsort(s, kind="stable")
-        return s[by], length[by], k[by]
+            s = order[at] + block
+            length = self.piece_len[k]
+            inside = s + length < bounds[np.searchsorted(bounds, s, "right")]
+            s, length, k = s[inside], length[inside], k[inside]
+            by = np.argsort(s, kind="stable")
+            starts.append(s[by].astype(np.int32))
+            lengths.append(length[by].astype(np.uint8))
+            which.append(k[by])
+        return np.concatenate(starts), np.concatenate(lengths), np.concatenate(which)
 
 
 def suffix_order(codes: np.ndarray, width: int) -> np.ndarray:
@@ -131,31 +136,53 @@ def model(path: str) -> Model:
     return Model(path)
 
 
-def relaxed(n: int, edges: dict[tuple[int, int], tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans that cut [0, n): from single positions, the best edge (rank, then leftmost) over two neighbours joins them."""
-    end, begin = list(range(1, n + 1)), list(range(n))  # end[start] of the symbol that starts there; begin[end - 1] of the one that ends there
-    alive = [True] * n
-    heap = [(edges[a, a + 2][0], a, a + 1, a + 2) for a in range(n - 1) if (a, a + 2) in edges]
-    heapq.heapify(heap)
-    while heap:
-        _, a, m, b = heapq.heappop(heap)
-        if not (alive[a] and alive[m] and end[a] == m and end[m] == b):
+def relaxed(n: int, start: np.ndarray, length: np.ndarray, which: np.ndarray, ranks: np.ndarray) -> tuple[array, array]:
+    """(starts, edges or -1) of the symbols that cut [0, n): from single positions, the best edge (rank, then leftmost) over two
+    neighbours joins them. start, length, which: the chunk's edges, by start; ranks: by piece.
+
+    An edge is looked up among the few that start at a position. First pairs wait in one sorted array, later ones in a heap
+    of numbers (rank and position in one), so there is no object for each edge.
+    """
+    first = np.searchsorted(start, np.arange(n + 1, dtype=np.int32)).astype(np.int32)
+    pairs = np.flatnonzero(length == 2)
+    waiting = memoryview(np.sort(ranks[which[pairs]] << 40 | start[pairs]))
+    first, lengths, rank = memoryview(first), length.tobytes(), memoryview(ranks.astype(np.int32)[which])
+    end, begin = array("i", range(1, n + 1)), array("i", range(n))  # end[start] of the symbol that starts there; begin[end - 1] of the one that ends there
+    alive = bytearray(b"\x01") * n
+    heap: list[int] = []
+    i, mask = 0, (1 << 40) - 1
+
+    def edge(a: int, b: int) -> int:
+        """The edge of [a, b), -1 if there is none."""
+        return lengths.find(b - a, first[a], first[a + 1]) if b - a < 256 else -1
+
+    while heap or i < len(waiting):
+        if heap and (i == len(waiting) or heap[0] < waiting[i]):
+            key = heapq.heappop(heap)
+        else:
+            key, i = waiting[i], i + 1
+        a = key & mask
+        if not alive[a] or (m := end[a]) == n:
             continue
-        alive[m] = False
+        b = end[m]
+        if (e := edge(a, b)) < 0 or rank[e] != key >> 40:
+            continue  # one of the two has been joined with another
+        alive[m] = 0
         end[a], begin[b - 1] = b, a
-        if a and (left := begin[a - 1], b) in edges:
-            heapq.heappush(heap, (edges[left, b][0], left, a, b))
-        if b < n and (a, right := end[b]) in edges:
-            heapq.heappush(heap, (edges[a, right][0], a, b, right))
-    out, a = [], 0
+        if a and (e := edge(left := begin[a - 1], b)) >= 0:
+            heapq.heappush(heap, rank[e] << 40 | left)
+        if b < n and (e := edge(a, end[b])) >= 0:
+            heapq.heappush(heap, rank[e] << 40 | a)
+    at, edges, a = array("i"), array("i"), 0
     while a < n:
-        out.append((a, end[a]))
+        at.append(a)
+        edges.append(edge(a, end[a]) if end[a] - a > 1 else -1)
         a = end[a]
-    return out
+    return at, edges
 
 
-def relaxed_together(m: Model, bounds: np.ndarray, chosen: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, piece or -1) of the symbols of all chosen chunks, by start: `relaxed` for many short chunks at once.
+def relaxed_together(m: Model, bounds: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, piece or -1) of the symbols of all chunks, by start: `relaxed` for many short chunks at once.
 
     In each round every chunk merges its best pair (rank, then leftmost); chunks without a pair are done. Only the pairs
     beside a merge are looked up again.
@@ -164,8 +191,7 @@ def relaxed_together(m: Model, bounds: np.ndarray, chosen: np.ndarray, start: np
     table = np.full((n, m.width + 1), -1, np.int32)
     table[start, length] = which
     ranks = np.append(m.piece_rank, np.int64(1) << 31)  # at -1: no piece
-    at = np.concatenate([np.zeros(0, np.int64)] + [np.arange(n)[np.repeat(chosen, np.diff(bounds))]])
-    chunk = np.repeat(np.arange(len(chosen)), np.diff(bounds))[at]
+    at, chunk = np.arange(n), np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     at, chunk = at[(keep := at + 1 != bounds[chunk + 1])], chunk[keep]  # separators are no symbols
     size = np.ones(len(at), np.int64)
     done: list[tuple[np.ndarray, np.ndarray]] = []
@@ -225,38 +251,44 @@ class Codec:
     def learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids (little-endian int32) of each chunk, by one index over all of them."""
         m, out = self.model, {}
+        chunks = sorted(chunks, key=lambda c: len(c) > ROUND_CHARS)
         text = "\n".join(chunks) + "\n"  # an edge that runs over a bound is left out, so the separator may be any character
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         bounds = np.cumsum(np.concatenate(([0], sizes + 1)))
-        chunk_of = np.repeat(np.arange(len(chunks)), sizes + 1)
-        start, length, which = m.edges(m.codes(text))
-        inside = start + length < bounds[chunk_of[start] + 1]
-        start, length, which = start[inside], length[inside], which[inside]
-        short = sizes <= ROUND_CHARS
-        symbols = relaxed_together(m, bounds, short, start, length, which)
+        start, length, which = m.edges(m.codes(text), bounds)
+        n_short = int(np.count_nonzero(sizes <= ROUND_CHARS))
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        ids = symbol_ids(m, points, *symbols)
-        cuts, raw, unknown = np.searchsorted(symbols[0], bounds), ids.tobytes(), np.add.reduceat(np.append(ids < 0, False), np.searchsorted(symbols[0], bounds[:-1])) > 0
-        unknown &= cuts[1:] > cuts[:-1]
-        for chunk, x, y in zip(chunks, (4 * cuts[:-1]).tolist(), (4 * cuts[1:]).tolist(), strict=True):
-            out[chunk] = raw[x:y]
-        for i in np.flatnonzero(unknown & short).tolist():  # characters that are no piece
-            x, y = cuts[i], cuts[i + 1]
-            out[chunks[i]] = self.spelled(chunks[i], [(int(s - bounds[i]), int(n)) for s, n in zip(symbols[0][x:y], symbols[1][x:y], strict=True)], ids[x:y].tolist())
+        if n_short:
+            short = bounds[: n_short + 1]
+            mine = int(np.searchsorted(start, short[-1]))
+            symbols = relaxed_together(m, short, start[:mine], length[:mine], which[:mine])
+            ids = symbol_ids(m, points, *symbols)
+            cuts, raw = np.searchsorted(symbols[0], short), ids.tobytes()
+            unknown = np.add.reduceat(np.append(ids < 0, False), cuts[:-1]) > 0
+            unknown &= cuts[1:] > cuts[:-1]
+            for chunk, x, y in zip(chunks, (4 * cuts[:-1]).tolist(), (4 * cuts[1:]).tolist(), strict=False):
+                out[chunk] = raw[x:y]
+            for i in np.flatnonzero(unknown).tolist():  # characters that are no piece
+                x, y = cuts[i], cuts[i + 1]
+                out[chunks[i]] = self.spelled(points[symbols[0][x:y]], ids[x:y])
         edge_cuts = np.searchsorted(start, bounds)
-        for i in np.flatnonzero(~short).tolist():  # long chunks one by one, by a heap
-            x, y = edge_cuts[i], edge_cuts[i + 1]
-            own = {(a, a + n): (r, p) for a, n, r, p in zip((start[x:y] - bounds[i]).tolist(), length[x:y].tolist(), m.piece_rank[which[x:y]].tolist(), m.piece_ids[which[x:y]].tolist(), strict=True)}
-            spans = relaxed(len(chunks[i]), own)
-            out[chunks[i]] = self.spelled(chunks[i], [(a, e - a) for a, e in spans], [own[a, e][1] if e - a > 1 else m.id_of.get(chunks[i][a], -1) for a, e in spans])
+        for i in range(n_short, len(chunks)):  # long chunks one by one
+            x, y, at = edge_cuts[i], edge_cuts[i + 1], int(bounds[i])
+            symbols, edges = (np.frombuffer(v, np.int32) for v in relaxed(int(sizes[i]), start[x:y] - np.int32(at), length[x:y], which[x:y], m.piece_rank))
+            size = np.where(edges >= 0, length[x:y][edges] if y > x else 1, 1)
+            ids = symbol_ids(m, points, symbols + at, size, which[x:y][edges] if y > x else edges)
+            out[chunks[i]] = self.spelled(points[symbols + at], ids) if (ids < 0).any() else ids.tobytes()
         return out
 
-    def spelled(self, chunk: str, spans: list[tuple[int, int]], ids: list[int]) -> bytes:
-        """ids, with the bytes of a character instead of each -1."""
-        m, out = self.model, []
-        for (a, _), k in zip(spans, ids, strict=True):
-            out += [k] if k >= 0 else [m.byte_id[v] for v in chunk[a].encode("utf-8", "surrogatepass")]
-        return np.array(out, "<i4").tobytes()
+    def spelled(self, points: np.ndarray, ids: np.ndarray) -> bytes:
+        """ids, with the bytes of a character (points: of each symbol's first) instead of each -1."""
+        m, out = self.model, array("i")
+        for c, k in zip(points, ids, strict=True):
+            if k >= 0:
+                out.append(k)
+            else:
+                out.extend(m.byte_id[v] for v in chr(c).encode("utf-8", "surrogatepass"))
+        return out.tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         chunked = [CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
@@ -300,9 +332,11 @@ def codec(path: str) -> Codec:
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, ids_crc32 long, decoded_chars long, round_trip boolean"
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids, ids_crc32 (of the ids as little-endian 32-bit integers), decoded_chars, round_trip."""
+def encoded(docs: DataFrame, path: str, carried: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids, ids_crc32 (of the ids as little-endian 32-bit integers), decoded_chars, round_trip, and the carried columns of docs."""
     small_arrow_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), *carried)
+    schema = ", ".join([SCHEMA, *(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -321,11 +355,12 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                     pa.array([zlib.crc32(r) for r in raw], pa.int64()),
                     pa.array([len(t) for t in back], pa.int64()),
                     pa.array([x == y for x, y in zip(back, texts, strict=True)], pa.bool_()),
+                    *b.columns[2:],
                 ],
-                ["doc_id", "n_tokens", "ids", "ids_crc32", "decoded_chars", "round_trip"],
+                ["doc_id", "n_tokens", "ids", "ids_crc32", "decoded_chars", "round_trip", *b.schema.names[2:]],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, schema)
 
 
 def decoded(encoded_: DataFrame, path: str) -> DataFrame:

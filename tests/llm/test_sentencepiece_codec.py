@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -48,3 +52,20 @@ def test_operator_rows_and_decoding(spark):
     back = sorted(str(r.text) for r in sc.decoded(sc.encoded(df, PATH), PATH).collect())
     assert back == sorted(t or "" for _, t, _ in rows)
     assert sc.encoded(df.limit(0), PATH).collect() == []
+
+
+def test_long_chunks_equal_the_library():
+    import random
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["the", "ing", "tion", "a", "e", "日", "\n", "é", "x", "qz", "="]) for _ in range(n)) for n in (20, 41, 400, 30_000)]
+    texts += ["ab" * 20_000, "a" * 39 + " " + "b" * 41, "é" * 300 + "퟿" * 50, "=" * 1000]
+    got = sc.Codec(PATH).encode(texts)
+    assert [np.frombuffer(g, "<i4").tolist() for g in got] == [LIBRARY.encode(t) for t in texts]
+
+
+def test_millions_of_characters_without_a_space_take_bounded_memory():
+    code = "import random,sys,resource;sys.path.insert(0,sys.argv[1]);from corpuslens.llm import sentencepiece_codec as sc;r=random.Random(1);t=''.join(r.choices(['the','ing','e','tion','q','st'],k=700_000));c=sc.Codec(sys.argv[2]);a=resource.getrusage(resource.RUSAGE_SELF).ru_maxrss;n=len(c.encode([t])[0]);print(len(t),n,(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss-a)//1024)"
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    chars, size, megabytes = map(int, subprocess.run([sys.executable, "-c", code, root, PATH], capture_output=True, text=True, check=True).stdout.split())
+    assert chars > 1_400_000 and size > 1_000_000 and megabytes < 350
