@@ -6,7 +6,8 @@ equals a proved string counts 1 without any merge; the library merges only the o
 Python worker (bounded cache).
 
 Pre-tokens are found with a plain pattern whose classes are spelled out for the characters below U+0250. A text with any
-other character, or with the vocabulary's special string, is given whole to the library, so that its rules hold.
+other character is cut by the file's own pre-tokenizer, so that the library's Unicode tables hold, and its pre-tokens are
+looked up all the same. The vocabulary's special strings are cut out first; each is one token, as is the library's default.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows are counted each; an empty table gives an
 empty result; very long texts are counted whole, by a running sum without a list of their pre-tokens; other columns of
@@ -81,7 +82,11 @@ class Counts(dict):
     def __init__(self, path: str, whole: frozenset[str]):
         super().__init__(dict.fromkeys(whole, 1))
         self.encoder, self.room = encoder(path), CACHE_ENTRIES
-        self.special = [x.content for x in self.encoder.get_added_tokens_decoder().values()]
+        added = list(self.encoder.get_added_tokens_decoder().values())
+        if self.encoder.normalizer is not None or any(x.normalized or x.lstrip or x.rstrip or x.single_word for x in added):
+            raise ValueError("expected a file without normalizer, whose special strings stand for themselves alone")
+        self.special = re.compile("|".join(re.escape(x.content) for x in sorted(added, key=lambda x: -len(x.content)))) if added else None
+        self.cut = self.encoder.pre_tokenizer.pre_tokenize_str
 
     def __missing__(self, word: str) -> int:
         n = len(self.encoder.encode(word, add_special_tokens=False).ids)
@@ -90,12 +95,17 @@ class Counts(dict):
             self[word] = n
         return n
 
+    def pre_tokens(self, text: str) -> Iterator[str]:
+        """The pre-tokens of a text without special strings."""
+        if not NOT_PLAIN.search(text):
+            return (m[0] for m in PRE_TOKEN.finditer(text)) if len(text) > LONG_TEXT else iter(PRE_TOKEN.findall(text))
+        return (text[a:b] for _, (a, b) in self.cut(text))
+
     def count(self, text: str) -> int:
-        if NOT_PLAIN.search(text) or any(s in text for s in self.special):
-            return len(self.encoder.encode(text, add_special_tokens=False).ids)
-        if len(text) > LONG_TEXT:
-            return sum(self[m[0]] for m in PRE_TOKEN.finditer(text))
-        return sum(map(self.__getitem__, PRE_TOKEN.findall(text)))
+        if self.special is None or not self.special.search(text):
+            return sum(map(self.__getitem__, self.pre_tokens(text)))
+        parts = self.special.split(text)
+        return len(parts) - 1 + sum(sum(map(self.__getitem__, self.pre_tokens(p))) for p in parts if p)
 
 
 _counts: dict[str, Counts] = {}

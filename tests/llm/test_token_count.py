@@ -26,6 +26,23 @@ def test_long_special_and_odd_texts():
     assert COUNTS.count(text) == by_library(text)
 
 
+def test_texts_of_any_script_are_looked_up(monkeypatch):
+    """No text goes to the library whole: only pre-tokens do."""
+    asked = []
+    counts = tc.Counts(PATH, tc.whole_tokens(PATH))
+
+    class Asked:
+        def encode(self, text, **options):
+            asked.append(text)
+            return tc.encoder(PATH).encode(text, **options)
+
+    counts.encoder = Asked()
+    texts = ["It’s “quoted” — isn’t it?  ", "Привет, мир! Как дела 2024", "汉字 と かな 한국어", "naïve ﬁ 𝟘𝟙 😀😀 x\u2003y\u3000 z\u200b", "ĳ\u0301a ٣٤ ⅷ\x85\x1c", "a<|endoftext|>’b<|endoftext|>"]
+    for text in texts:
+        assert counts.count(text) == by_library(text)
+    assert max(map(len, asked)) < 12 and not set(asked) & set(texts)
+
+
 def test_whole_tokens_are_single():
     some = sorted(tc.whole_tokens(PATH))[::500]
     assert len(tc.whole_tokens(PATH)) > 40_000 and all(by_library(s) == 1 for s in some)
