@@ -14,7 +14,8 @@ count for each source.
 Rows are numbered without putting a source into one task: the seeded hash deals them into ranges, ranges are counted, and
 numbers within a range are added to the counts before it.
 
-Defined results: a null source is a source; rows that are repeated exactly take neighbouring places; sources with weight
+Defined results: a null source is a source; rows of one id and text are ordered by a hash of all their columns, and rows that
+are repeated exactly take neighbouring places; very long texts are only hashed; sources with weight
 0 or none come after all others; an empty table gives an empty result; extra columns stay as they are, whatever their names.
 """
 
@@ -146,7 +147,7 @@ def numbered(docs: DataFrame, source: str, seed: int, names: list[str]) -> tuple
 
     names: free column names to use; all but the first are dropped again.
     """
-    number, key, part, before = names
+    number, key, part, before, tie = names
     hashed = docs.withColumn(key, F.xxhash64(F.lit(seed), F.col("doc_id"), text_key()))
     n = docs.count()
     ranges = max(LEAST_RANGES, -(-n // RANGE_ROWS))
@@ -157,10 +158,10 @@ def numbered(docs: DataFrame, source: str, seed: int, names: list[str]) -> tuple
     counts = {r.s: r.n for r in sizes.groupBy("s").agg(F.sum("n").alias("n")).collect()}  # a row for each source
     sizes = sizes.select(F.col("s").alias(f"{before}_s"), F.col("p").alias(f"{before}_p"), F.col("b").alias(before))
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
-    within = Window.partitionBy(source, part).orderBy(key, "doc_id")
-    rows = hashed.withColumn(number, F.row_number().over(within).cast("long") - 1)
+    within = Window.partitionBy(source, part).orderBy(key, "doc_id", tie)
+    rows = hashed.withColumn(tie, F.xxhash64(*(docs[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()))).withColumn(number, F.row_number().over(within).cast("long") - 1)
     joined = rows.join(sizes, rows[source].eqNullSafe(sizes[f"{before}_s"]) & (rows[part] == sizes[f"{before}_p"]))
-    return joined.withColumn(number, F.col(number) + F.col(before)).drop(key, part, before, f"{before}_s", f"{before}_p"), counts
+    return joined.withColumn(number, F.col(number) + F.col(before)).drop(key, part, before, tie, f"{before}_s", f"{before}_p"), counts
 
 
 def mixed(docs: DataFrame, weights: Mapping | None = None, *, source: str = "source", block_rows: int = 100, seed: int = 7, alpha: float = 0.5) -> DataFrame:
@@ -169,9 +170,9 @@ def mixed(docs: DataFrame, weights: Mapping | None = None, *, source: str = "sou
 
     weights: source -> weight; None: the sources' counts to the power alpha.
     """
-    names = fresh(docs, "number_", "key_", "part_", "before_", "mix")
-    rows, counts = numbered(docs, source, seed, names[:4])
-    number, mix = names[0], names[4]
+    names = fresh(docs, "number_", "key_", "part_", "before_", "tie_", "mix")
+    rows, counts = numbered(docs, source, seed, names[:5])
+    number, mix = names[0], names[5]
     plan = phases(counts, temperature(counts, alpha) if weights is None else weights, block_rows)
     spark = docs.sparkSession
     schema = "array<struct<id:bigint,source:string,is_null:boolean,first:bigint,last:bigint,start:bigint,again:bigint,n_turns:bigint,missing:bigint>>"
@@ -179,7 +180,8 @@ def mixed(docs: DataFrame, weights: Mapping | None = None, *, source: str = "sou
     sent = [{k: p[k] for k in ("is_null", "first", "last", "start", "again", "missing")} | {"id": i, "n_turns": max(1, len(p["places"])), "source": None if p["source"] is None else str(p["source"])} for i, p in enumerate(plan)]
     table_ = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(sent)), schema)))
     plan_col, turn_col = fresh(rows, "plan_", "turn_")
-    table_ = F.broadcast(table_.select(F.struct("*").alias(plan_col)))
+    table_ = table_.select(F.struct("*").alias(plan_col))
+    table_ = F.broadcast(table_) if len(sent) <= BROADCAST_ROWS else table_
     turn_table = turns(plan)
     turn_rows = stored(spark.createDataFrame(turn_table), "turns").select(F.struct("*").alias(turn_col))
     turn_rows = F.broadcast(turn_rows) if len(turn_table) <= BROADCAST_ROWS else turn_rows

@@ -84,3 +84,41 @@ def test_many_rounds_of_integer_weights_and_a_vanishing_weight(spark):
     assert [r.mix.position for r in got] == list(range(401))
     assert all(r.mix.release <= r.mix.slot < r.mix.deadline for r in got)
     assert Counter(r.source for r in got[:240]) == {"a": 180, "b": 60}
+
+
+def by_lists(counts, weights, block_rows):
+    """Pfair by definition, slot by slot: of the released blocks of live sources the one that is due first, all by fractions."""
+    left = {s: -(-n // block_rows) for s, n in counts.items() if n}
+    done, out, start, j = dict.fromkeys(left, 0), [], 0, dict.fromkeys(left, 0)
+    while left:
+        w = {s: Fraction(weights.get(s, 0)) for s in left if weights.get(s, 0) > 0} or {s: Fraction(1) for s in left}
+        total, t = sum(w.values()), 0
+        j = dict.fromkeys(w, 0)
+        while True:
+            ready = [(-(-(j[s] + 1) * total // w[s]), str(s), s) for s in w if j[s] * total // w[s] <= t]
+            due, _, s = min(ready, key=lambda r: r[:2])
+            out.append((s, done[s], start + j[s] * total // w[s], start + due, start + t))
+            j[s] += 1
+            done[s] += 1
+            t += 1
+            left[s] -= 1
+            if not left[s]:
+                del left[s]
+                break
+        start += t
+    return out
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 1, "b": 5, "c": 3, None: 2, "zz": 1}, {"a": 3, "b": 1}, {"absent": 1}])
+def test_every_block_by_a_plain_loop(spark, weights):
+    rows, df = rows_of(spark, 1200)
+    counts = Counter(r[1] for r in rows)
+    want = by_lists(counts, mx.temperature(counts, 0.5) if weights is None else weights, 20)
+    got = {(r.source, r.mix.block, r.mix.release, r.mix.deadline, r.mix.slot) for r in mx.mixed(df, weights, block_rows=20).collect()}
+    assert got == set(want) and len(want) == len(got)
+
+
+def test_rows_that_differ_elsewhere_are_ordered(spark):
+    rows = [(1, "a", "t", x) for x in range(40)]
+    one, two = ({r.x: r.mix.position for r in mx.mixed(spark.createDataFrame(rs, "doc_id long, source string, text string, x int").repartition(3), block_rows=4).collect()} for rs in (rows, rows[::-1]))
+    assert one == two and sorted(one.values()) == list(range(40))
