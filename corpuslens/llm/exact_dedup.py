@@ -4,8 +4,9 @@ Texts are equal when they are identical after each run of white space has become
 digests (SHA-256 of the normalised text) are dealt into buckets; each bucket has one static binary-fuse filter of 8 bits a
 key. Digests of the incoming batch are made distinct first (new-batch duplicates are grouped among themselves, with a
 map-side combine, so a group of any size is a row for each task), then screened by the filter of their bucket. The
-positives join the snapshot's exact buckets, and the bytes of every incoming text with such a digest are compared with the
-snapshot's own text. Two texts of one SHA-256 and different bytes would stop the job.
+positives join the snapshot's exact buckets, whose group they then belong to, and the bytes of every incoming text with such
+a digest are compared with the snapshot's own text. Two texts of one SHA-256 and different bytes would stop the job. What the
+filters reject is in no group of the snapshot and keeps its own new-batch group.
 
 Defined results: null counts as the empty text; a null doc_id sorts last and is a keep_id only if the group has no
 other; of exactly repeated rows one is kept; an empty table gives an empty result; extra columns are not looked at;
@@ -173,6 +174,15 @@ def byte_checked(docs: DataFrame, incoming: DataFrame, matched: DataFrame) -> No
         raise RuntimeError("two texts of one SHA-256 differ in their bytes")
 
 
+def merged_groups(old: DataFrame, new: DataFrame, matched: DataFrame) -> DataFrame:
+    """digest, group_size, least: the snapshot's groups, with the new batch's where the screened digests matched, and its other groups."""
+    near = F.broadcast if matched.count() <= BROADCAST_ROWS else lambda df: df
+    of_old = matched.select("digest", F.col("n").alias("old_n"), F.col("least").alias("old_least"))
+    grown = new.join(near(of_old), "digest", "left").select("digest", (F.col("n") + F.coalesce("old_n", F.lit(0))).alias("group_size"), F.least("least", "old_least").alias("least"))
+    same_as_before = old.join(near(matched.select("digest")), "digest", "left_anti").select("digest", F.col("n").alias("group_size"), "least")
+    return grown.unionByName(same_as_before)
+
+
 def exact_dedup(docs: DataFrame, in_snapshot: Column) -> DataFrame:
     """doc_id, text_key, keep_id, group_size, kept, text_sha256: a row for each row of docs (doc_id, text).
 
@@ -189,7 +199,7 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column) -> DataFrame:
     if matched.head(1):
         byte_checked(docs, incoming, matched)
     # Written, so that the join below has a plain exchange on either side and AQE can split a group of very many rows.
-    both = stored(old.unionByName(new).groupBy("digest").agg(F.sum("n").alias("group_size"), F.min("least").alias("least")), "groups")
+    both = stored(merged_groups(old, new, matched), "groups")
     out = rows.join(both, "digest")
     return out.select("doc_id", "text_key", F.col("least.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("least.rid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
