@@ -35,6 +35,10 @@ STOP_WORDS = sorted(
 )
 
 
+#: Languages that STOP_WORDS knows; a text said to be in another one isn't held to them.
+LANGUAGES = ("en", "de", "fr", "es")
+
+
 class Rule(NamedTuple):
     """Fails where value is below lowest or above highest (None: no bound)."""
 
@@ -51,7 +55,7 @@ BASE = [
 ]
 
 #: The method's rules: mean word length 2 to 15, symbols at most a tenth of the words, duplicate lines at most half of the
-#: lines, two different stop words at least. Ratios are compared without division.
+#: lines, two different stop words at least (in languages that have them). Ratios are compared without division.
 TABLE = [
     Rule("word_length", lambda m: m["word_chars"] - 2 * m["n_words"], 0, None),
     Rule("word_length_high", lambda m: m["word_chars"] - 15 * m["n_words"], None, 0),
@@ -120,26 +124,35 @@ def fails(rules: list[Rule], m: dict[str, Column]) -> Column:
     return failed
 
 
-def compiled(text: str = "text", table_: list[Rule] = TABLE, base: list[Rule] = BASE) -> Column:
-    """The table as one expression: a struct of MEASURES, base_failed and kept, every measure evaluated once."""
+def compiled(text: str = "text", table_: list[Rule] = TABLE, base: list[Rule] = BASE, lang: Column | None = None) -> Column:
+    """The table as one expression: a struct of MEASURES, base_failed and kept, every measure evaluated once.
+
+    lang: the text's language; where it is one without stop words, that rule doesn't hold. None or null: it holds.
+    """
 
     def judged(m: Column) -> Column:
         by_name = {k: m[k] for k in MEASURES}
         base_failed = fails(base, by_name)
-        return F.struct(*(m[k].alias(k) for k in MEASURES), base_failed.alias("base_failed"), (~base_failed & ~fails(table_, by_name)).alias("kept"))
+        stops = [r for r in table_ if r.name == "stop_words"]
+        failed = fails([r for r in table_ if r not in stops], by_name) | fails(stops, by_name) & (F.lit(True) if lang is None else F.coalesce(lang.isin(*LANGUAGES), F.lit(True)))
+        return F.struct(*(m[k].alias(k) for k in MEASURES), base_failed.alias("base_failed"), (~base_failed & ~failed).alias("kept"))
 
     words = F.regexp_extract_all(text_of(text), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     return let(let(words, lambda w: F.struct(*measures(text_of(text), w))), judged)
 
 
+def language(docs: DataFrame) -> Column | None:
+    return F.col("lang") if "lang" in docs.columns else None
+
+
 def quality(docs: DataFrame) -> DataFrame:
-    """doc_id, MEASURES, base_failed, kept for each row of docs (doc_id, text)."""
-    return docs.select("doc_id", compiled().alias("v")).select("doc_id", *(F.col("v")[k].alias(k) for k in (*MEASURES, "base_failed", "kept")))
+    """doc_id, MEASURES, base_failed, kept for each row of docs (doc_id, text, lang if there is one)."""
+    return docs.select("doc_id", compiled(lang=language(docs)).alias("v")).select("doc_id", *(F.col("v")[k].alias(k) for k in (*MEASURES, "base_failed", "kept")))
 
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with their columns as they were."""
-    return docs.filter(compiled()["kept"])
+    return docs.filter(compiled(lang=language(docs))["kept"])
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,16 +160,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = rf"""
-WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, doc_id, lang, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
 windows AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS x FROM (SELECT rid, words, unnest(range(1, greatest(1, len(words) - 1))) AS i FROM w)),
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, x) AS c FROM windows) WHERE c > 1),
 covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY rid),
 m AS (
-  SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+  SELECT doc_id, lang, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
          len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines,
          len(list_distinct(list_filter(words, lambda x: x IN ({", ".join(f"'{w}'" for w in STOP_WORDS)})))) AS n_stop_words
   FROM w LEFT JOIN covered USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-SELECT *, NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 15 * n_words AND 10 * n_symbols <= n_words AND 10 * n_dup_lines <= 5 * n_lines AND n_stop_words >= 2 AS kept FROM b
+SELECT * EXCLUDE (lang), NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 15 * n_words AND 10 * n_symbols <= n_words AND 10 * n_dup_lines <= 5 * n_lines AND (n_stop_words >= 2 OR lang NOT IN ({", ".join(f"'{x}'" for x in LANGUAGES)}) IS TRUE) AS kept FROM b
 """

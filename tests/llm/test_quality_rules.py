@@ -48,3 +48,11 @@ def test_verdicts_columns_and_empty_table(spark):
     assert {(r.n_words, r.kept) for r in qr.quality(df).filter("doc_id = 2 or doc_id = 1").collect()} == {(120, True), (0, False)}
     assert qr.quality(df.limit(0)).collect() == []
     assert "Exchange" not in qr.quality(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stop_words_are_asked_of_known_languages_only(spark):
+    text = " ".join(f"sana{i % 70}x" for i in range(80))
+    df = spark.createDataFrame([(1, text, "fi"), (2, text, "en"), (3, text, None)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.kept for r in qr.quality(df).collect()} == {1: True, 2: False, 3: False}
+    assert [r.doc_id for r in qr.filtered(df).collect()] == [1]
+    assert {r.kept for r in qr.quality(df.drop("lang")).collect()} == {False}
