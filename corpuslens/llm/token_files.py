@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_arrow_batches, table, text_key, text_of
+from .common import BROADCAST_ROWS, shared_dir, small_arrow_batches, stored, table, text_key, text_of
 from .token_count import CACHE_CHARS, LETTERS, LONG_TEXT, NUMBERS, SPACES, byte_alphabet, encoder
 
 END_ID = 2
@@ -146,7 +146,8 @@ def checked_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     small_arrow_batches(spark)
     rows = read_tokens(spark, path).select("part", "file_start", "doc_id", "ids").mapInArrow(run, "part int, file_start long, doc_id long, n_tokens long, ids_crc32 long")
-    starts = F.broadcast(file_starts(spark, path))  # a row for each file
+    starts = stored(file_starts(spark, path), "starts")  # a row for each file
+    starts = F.broadcast(starts) if starts.count() <= BROADCAST_ROWS else starts
     return rows.join(starts, "part").select("doc_id", (F.col("before") + F.col("file_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
