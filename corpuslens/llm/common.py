@@ -30,14 +30,22 @@ def small_arrow_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; a
+    cluster's executors couldn't meet there, so they get one in the warehouse."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="corpuslens-")
+        local = spark.sparkContext.master.startswith("local")
+        where = tempfile.mkdtemp(prefix="corpuslens-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/corpuslens-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def remove_tables(spark: SparkSession) -> None:
+    """Delete every table that `stored` has written in this session's shared folder: for callers that have read their results."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
