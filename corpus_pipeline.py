@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpuslens.llm import exact_dedup, mixing, quality_rules, sentencepiece_codec, simhash
 from corpuslens.llm.common import keep_rows, stored
@@ -36,8 +37,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document."""
-    return sentencepiece_codec.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """The token ids of every document, and its place in the mix: the file that holds it and its row there.
+
+    The files' names are in the order of the mix, so a training job reads by (mix_file, mix_row), however Spark splits the files.
+    """
+    place = (F.col("_metadata.file_name").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row")) if docs.inputFiles() else ()
+    return sentencepiece_codec.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), place)
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("encoding", encode)]
