@@ -65,6 +65,9 @@ def test_stages_match_brute_force(spark, tmp_path):
         else:
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and sort(got) == sort(rows), name
     assert 100 < len(rows) < 130
+    # the mix's order outlives the last stage: places are the rows' places in the files of the stage before
+    before = {(r.f, r.i): r.doc_id for r in spark.read.parquet(str(tmp_path / "3")).selectExpr("_metadata.file_name f", "_metadata.row_index i", "doc_id").collect()}
+    assert {(r.mix_file, r.mix_row): r.doc_id for r in got} == before and len(before) == len(rows)
 
 
 def test_run_and_empty_table(spark, tmp_path):
