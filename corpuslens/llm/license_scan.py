@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import small_arrow_batches, table, text_of
 
-#: Every known sentence and statement holds one of these (any case).
-ANCHORS = ("licen[sc]", "permission", "warrant", "copyright", "reserved", "domain", "redistribut", "software", "liable", "commons", r"\bcc0?\b", "spdx", "gpl", "wtfpl", "cddl", r"\b[em]pl\b", r"(?:released|distributed|available|published|provided|made) under")
-
+#: Every known sentence and statement holds one of these (any case), as a part of a word, as a whole word, or as a verb before "under".
+ANCHORS = ("licen", "permission", "warrant", "copyright", "reserved", "domain", "redistribut", "software", "liable", "commons", "spdx", "gpl", "wtfpl", "cddl", "cc0")
+WHOLE_WORDS = ("cc", "epl", "mpl")
+VERBS = ("released", "distributed", "available", "published", "provided", "made")
 #: Sentences of the standard texts and notices, with the identifier that each maps to. {v} stands for one word, which the identifier takes over.
 SENTENCES = (
     ("all-rights-reserved", "All rights reserved"),
@@ -228,16 +229,25 @@ YEAR = re.compile(r"(?:19|20)\d\d")
 SPDX = re.compile(r"spdx-license-identifier:[ \t]*([a-z0-9.+-]+(?:[ \t]+(?:or|and|with)[ \t]+[a-z0-9.+-]+)*)", re.I)
 ENDS = re.compile(r"(?<=[.!?;])\s+|\n\s*\n")
 CLOSING = re.compile(r"[.;:!?)\"'”’]*")
-ANCHOR = re.compile("|".join(ANCHORS), re.I)
+WHOLE = re.compile(rf"\b(?:{'|'.join(WHOLE_WORDS)})\b")
+UNDER = re.compile(rf"(?:{'|'.join(VERBS)})\s+under")
 #: A sentence is looked up by this many of its first words.
 FIRST = 2
 Found = tuple[int, int, int, int, str, str]
 
 
+def anchored(text: str) -> bool:
+    """Whether a text holds an anchor: plain searches first, a pattern only where they leave it open."""
+    low = text.lower()
+    if any(a in low for a in ANCHORS):
+        return True
+    return any(w in low for w in WHOLE_WORDS) and bool(WHOLE.search(low)) or "under" in low and any(v in low for v in VERBS) and bool(UNDER.search(low))
+
+
 def tables_hold() -> bool:
     """Every known sentence and linked name has an anchor."""
-    linked = all(ANCHOR.search(x if "license" in x.lower() or ANCHOR.search(x) else f"released under {x}") for x, _, _ in NAMES)
-    return linked and all(ANCHOR.search(s) for name, s in SENTENCES if not name.startswith("or-later"))
+    linked = all(anchored(x if "license" in x.lower() or anchored(x) else f"released under {x}") for x, _, _ in NAMES)
+    return linked and all(anchored(s) for name, s in SENTENCES if not name.startswith("or-later"))
 
 
 def words(text: str) -> list[tuple[str, int, int]]:
@@ -268,7 +278,7 @@ class Licences:
     def __init__(self, texts: Mapping[str, str] | None = None):
         sentences, rules = list(SENTENCES), list(RULES)
         for name, text in (texts or {}).items():
-            cut = [s for s in ENDS.split(text) if len(words(s)) >= FIRST and ANCHOR.search(s)]
+            cut = [s for s in ENDS.split(text) if len(words(s)) >= FIRST and anchored(s)]
             sentences += [(f"{name}#{i}", s) for i, s in enumerate(cut)]
             rules.insert(0, (name, tuple(f"{name}#{i}" for i in range(len(cut)))))
         self.sentences: dict[tuple[str, ...], list[tuple[tuple[str, ...], int | None, str]]] = {}
@@ -289,7 +299,7 @@ class Licences:
 
     def known(self, text: str) -> list[Found]:
         """(number of the sentence it starts in, of the one it ends in, start, end, identifier, variable part) of the known sentences of a text, in order."""
-        if not ANCHOR.search(text):
+        if not anchored(text):
             return []
         found = words(text)
         w = [x for x, _, _ in found]
@@ -355,9 +365,12 @@ class Licences:
     def recognised(self, found: list[Found]) -> tuple[list[tuple[str, int, int]], list[str]]:
         """(licence, start, end) by the ordered rules, in order of place, and the identifiers that no rule takes."""
         free, out = list(range(len(found))), []
+        there = {f[4] for f in found}
         for licence, rule in self.rules:
             if not free:
                 break
+            if rule[0].removesuffix("-*") not in there:
+                continue
             left, i = [], 0
             while i < len(free):
                 part = self.matched(rule, found, free, i)
