@@ -83,14 +83,16 @@ def running(values: Column, block: int = 128) -> Column:
     return let(values, whole)
 
 
-def occurrences(text: Column, pattern: str) -> Column:
-    """array<struct<byte_start,byte_end>> of the non-overlapping matches of a pattern that can't match nothing."""
-    size = lambda x: F.octet_length(x).cast("long")
+def occurrences(text: Column, pattern: str, unit=F.octet_length, names: tuple[str, str] = ("byte_start", "byte_end")) -> Column:
+    """array<struct<byte_start,byte_end>> of the non-overlapping matches of a pattern that can't match nothing.
+
+    unit: what offsets count (F.length: code points), and the names of the two."""
+    size = lambda x: unit(x).cast("long")
 
     def placed(found: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
         ends = running(F.zip_with(gaps, found, lambda g, m: size(g) + size(m)))
-        return F.zip_with(ends, found, lambda e, m: F.struct((e - size(m)).alias("byte_start"), e.alias("byte_end")))
+        return F.zip_with(ends, found, lambda e, m: F.struct((e - size(m)).alias(names[0]), e.alias(names[1])))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as tx
+from corpuslens.sources.shared import written
 
 
 def same_revision(a: str, b: str) -> Column:
@@ -67,13 +68,22 @@ def line_similarity(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFra
     return known.join(common, ["old_path", "new_path"], "left").select("old_path", "new_path", score.cast("long").alias("similarity"))
 
 
+def equal_pairs(removed: DataFrame, added: DataFrame) -> DataFrame:
+    """old_path, new_path, similarity (100): contents that are once on either side. Counted by hash first, so that k equal files on
+    either side aren't joined to all their pairs."""
+    once = lambda df, p: df.groupBy("content_hash").agg(F.count("*").alias("c"), F.min("path").alias(p)).filter("c = 1").select("content_hash", p)
+    return once(removed, "old_path").join(once(added, "new_path"), "content_hash").select("old_path", "new_path", F.lit(100).cast("long").alias("similarity"))
+
+
 def rename_pairs(removed: DataFrame, added: DataFrame, least: int = 50) -> DataFrame:
     """old_path, new_path, similarity: pairs of at least that similarity that are each other's only best.
 
     Candidates are equal contents, or share a line of both prefixes: with lines ordered by rarity, the common lines of a pair weigh at
     least half of either source, so the rarest of them has at least that weight from it on. Very common lines thus bring few pairs
     together, and none is lost. Ties on either side take a row out."""
-    equal = removed.select(F.col("path").alias("old_path"), "content_hash").join(added.select(F.col("path").alias("new_path"), "content_hash"), "content_hash").select("old_path", "new_path")
+    equal = equal_pairs(removed, added)
+    # a path whose content the other side has too is in a pair of equal contents or, where it has several partners, in none
+    removed, added = removed.join(added.select("content_hash"), "content_hash", "left_anti"), added.join(removed.select("content_hash"), "content_hash", "left_anti")
     old, new = line_counts(removed), line_counts(added)
     rarity = old.unionByName(new).groupBy("line").agg(F.count("*").alias("df"))
 
@@ -84,11 +94,11 @@ def rename_pairs(removed: DataFrame, added: DataFrame, least: int = 50) -> DataF
         return own.filter((F.col("size") - F.col("before")) * 100 >= F.col("size") * least).select(F.col("path").alias(p), "line")
 
     sharing = prefix(old, "old_path").join(prefix(new, "new_path"), "line").select("old_path", "new_path")
-    scored = line_similarity(equal.unionByName(sharing).distinct(), removed, added).filter(F.col("similarity") >= least)
+    scored = line_similarity(sharing.distinct(), removed, added).filter(F.col("similarity") >= least)
     best = lambda p: F.max("similarity").over(Window.partitionBy(p))
     top = scored.withColumn("old_best", best("old_path")).withColumn("new_best", best("new_path"))
     n = lambda p: F.sum((F.col("similarity") == F.col(f"{p}_best")).cast("int")).over(Window.partitionBy(f"{p}_path"))
-    return top.withColumn("old_n", n("old")).withColumn("new_n", n("new")).filter("similarity = old_best and similarity = new_best and old_n = 1 and new_n = 1").select("old_path", "new_path", "similarity")
+    return top.withColumn("old_n", n("old")).withColumn("new_n", n("new")).filter("similarity = old_best and similarity = new_best and old_n = 1 and new_n = 1").select("old_path", "new_path", "similarity").unionByName(equal)
 
 
 def audit(lines: DataFrame, literals: list[str], n_files: Column | None = None, closed: bool = True) -> DataFrame:
@@ -110,8 +120,9 @@ def statistics(matches: DataFrame, most: int = 5, most_files: int = 8) -> DataFr
     """kind (extension, directory, file), key, matches, omitted: the largest groups of each kind, and how many more there are.
     matches: path, n."""
     keyed = matches.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in (("extension", tx.extension(F.col("path"))), ("directory", tx.directory(F.col("path"))), ("file", F.col("path")))))).alias("g"), "n")
-    sums = keyed.groupBy("g.kind", "g.key").agg(F.sum("n").alias("matches"))
+    sums = written(keyed.groupBy("g.kind", "g.key").agg(F.sum("n").alias("matches")), "sums")
     cut = F.when(F.col("kind") == "file", most_files).otherwise(most)
-    top = sums.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("matches"), "key"))).filter(F.col("r") <= cut).drop("r")
+    of = lambda k, n: sums.filter(F.col("kind") == k).orderBy(F.desc("matches"), "key").limit(n)  # noqa: E731  heaps of a few rows in each task
+    top = of("extension", most).unionByName(of("directory", most)).unionByName(of("file", most_files))
     totals = sums.groupBy("kind").agg(F.count("*").alias("groups"))
     return top.join(F.broadcast(totals), "kind").withColumn("omitted", F.greatest(F.lit(0), F.col("groups") - cut)).drop("groups")  # three rows

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as tx
+from corpuslens.sources.shared import written
 
 MAX_HOPS = 8
+HOPS_WRITTEN = 3
+#: How a trace ends, and why a specifier has no file.
+CIRCULAR, RESOLVED, EXHAUSTED, MISSING, AMBIGUOUS, EXTERNAL = "circular-re-export", "resolved", "hop-budget-exhausted", "missing-or-excluded-module", "ambiguous-module-candidates", "external-package-or-path-alias-unsupported"
 #: Suffixes tried for a specifier without one, and the sources of compiled names.
 SUFFIXES = [".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs"]
 COMPILED = {".js": [".ts", ".tsx"], ".jsx": [".tsx"], ".mjs": [".mts"], ".cjs": [".cts"]}
@@ -23,7 +27,9 @@ def traced(edges: DataFrame, declared: DataFrame, max_hops: int = MAX_HOPS) -> D
     e = edges.select("from_path", "from_name", F.col("to_path").alias("t_path"), F.col("to_name").alias("t_name"))
     walk = edges.select(F.col("from_path").alias("start_path"), F.col("from_name").alias("start_name"), F.col("from_path").alias("path"), F.col("from_name").alias("name"), F.lit(0).alias("hops"), F.array(key("from_path", "from_name")).alias("seen"), F.lit(False).alias("cycle"))
     ended = None
-    for _ in range(max_hops):
+    for hop in range(max_hops):
+        if hop and hop % HOPS_WRITTEN == 0:  # a plan of a few joins at a time
+            walk, ended = written(walk, "walk"), written(ended, "ended")
         step = walk.join(e, (walk.path == e.from_path) & (walk.name == e.from_name), "left")
         done = step.filter(F.col("t_path").isNull() | F.col("cycle")).select(walk.columns)
         ended = done if ended is None else ended.unionByName(done)
@@ -34,7 +40,7 @@ def traced(edges: DataFrame, declared: DataFrame, max_hops: int = MAX_HOPS) -> D
     d = declared.select(F.col("path").alias("d_path"), F.col("name").alias("d_name"))
     more = edges.select(F.col("from_path").alias("m_path"), F.col("from_name").alias("m_name")).distinct()
     known = ends.join(d, (ends.path == d.d_path) & (ends.name == d.d_name), "left").join(more, (ends.path == more.m_path) & (ends.name == more.m_name), "left")
-    status = F.when(F.col("cycle"), "circular-re-export").when(F.col("d_path").isNotNull(), "resolved").when(F.col("m_path").isNotNull(), "hop-budget-exhausted").otherwise("missing-or-excluded-module")
+    status = F.when(F.col("cycle"), CIRCULAR).when(F.col("d_path").isNotNull(), RESOLVED).when(F.col("m_path").isNotNull(), EXHAUSTED).otherwise(MISSING)
     return known.select("start_path", "start_name", F.col("path").alias("end_path"), "hops", status.alias("status"))
 
 
@@ -51,5 +57,5 @@ def resolved_modules(asked: DataFrame, files: DataFrame) -> DataFrame:
     candidates = F.when(~relative, F.array().cast("array<string>")).when(ext == "", F.array(*bare)).otherwise(named)
     met = asked.withColumn("candidate", F.explode_outer(candidates)).join(files.select(F.col("path").alias("found")), F.col("candidate") == F.col("found"), "left")
     n = met.groupBy("from_path", "specifier").agg(F.count("found").alias("n"), F.min("found").alias("path"))
-    reason = F.when(~relative, "external-package-or-path-alias-unsupported").when(F.col("n") == 0, "missing-or-excluded-module").when(F.col("n") > 1, "ambiguous-module-candidates")
+    reason = F.when(~relative, EXTERNAL).when(F.col("n") == 0, MISSING).when(F.col("n") > 1, AMBIGUOUS)
     return n.select("from_path", "specifier", F.when(F.col("n") == 1, F.col("path")).alias("path"), reason.alias("reason"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as tx
 from corpuslens.sources.shared import written
 
 K1, B = 1.2, 0.75
+#: Rows of a table whose size was counted that may be broadcast.
+BROADCAST_ROWS = 400_000
 
 
 def term_frequencies(sources: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
@@ -25,7 +27,7 @@ def bm25(sources: DataFrame, query_terms: list[str], text: str = "text") -> Data
     terms = list(dict.fromkeys(query_terms))
     if not terms:
         return sources.select("path", F.lit(0.0).alias("bm25"))
-    docs = term_frequencies(sources, terms, text)
+    docs = written(term_frequencies(sources, terms, text), "frequencies")  # texts are cut into tokens once; statistics and scores read the counts
     df = [F.sum((F.col("counts")[i]["tf"] > 0).cast("long")) for i in range(len(terms))]
     stats = docs.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.sum("length") / F.greatest(F.lit(1), F.count("*"))).alias("average"), F.array(*df).alias("df"))
     joined = docs.crossJoin(F.broadcast(stats))  # one row
@@ -37,16 +39,24 @@ def bm25(sources: DataFrame, query_terms: list[str], text: str = "text") -> Data
     return joined.select("path", score.alias("bm25"))
 
 
-def bm25_joined(postings: DataFrame, lengths: DataFrame, queries: DataFrame) -> DataFrame:
-    """query, path, bm25 for many queries at once. postings: term, path, tf; lengths: path, length; queries: query, term (distinct).
+def bm25_joined(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, path, bm25 for many queries at once. docs: path, tokens (array); queries: query, term (distinct).
 
-    Postings meet the queries on the term; a common term is split by AQE's skew join. The sum is combined map-side."""
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    stats = lengths.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.sum("length") / F.greatest(F.lit(1), F.count("*"))).alias("average"))
-    wanted = queries.join(df, "term")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    hits = postings.join(wanted, "term").join(lengths, "path").crossJoin(F.broadcast(stats))  # one row
-    return hits.groupBy("query", "path").agg(F.sum(idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("length") / F.col("average")))).alias("bm25"))
+    Texts are cut once: the postings of the asked terms and the lengths are written, and
+    statistics and scores read them. The asked terms go to every task up to BROADCAST_ROWS of them; beyond, postings meet
+    them by a shuffle, where AQE splits a common term. A document's postings stay together, so the sums are combined map-side."""
+    queries = written(queries, "queries")
+    near = F.broadcast if queries.count() <= BROADCAST_ROWS else lambda df: df
+    lengths = docs.select("path", F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term"))
+    asked = near(queries.select("term").distinct().withColumn("asked", F.lit(True)))
+    tf = lengths.join(asked, "term", "left").groupBy("path", "length", F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count("*").alias("tf"))
+    postings = written(tf, "postings")  # a row without a term stands for the other tokens of a document
+    one = postings.groupBy("path").agg(F.max("length").alias("length"))
+    stats = one.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.sum("length") / F.greatest(F.lit(1), F.count("*"))).alias("average"))
+    df = postings.filter("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+    wanted = written(queries.join(df, "term").crossJoin(F.broadcast(stats)).select("query", "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "average"), "wanted")
+    hits = postings.filter("term is not null").join(near(wanted), "term")
+    return hits.groupBy("path", "query").agg(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("length") / F.col("average")))).alias("bm25"))
 
 
 def ranked(rows: DataFrame, by: list, name: str, keep: int | None = None) -> DataFrame:
@@ -63,9 +73,33 @@ def ranked(rows: DataFrame, by: list, name: str, keep: int | None = None) -> Dat
     return numbered.join(F.broadcast(before), "part_").withColumn(name, F.col("n_") + F.col("b_")).drop("part_", "n_", "b_")  # a row for each partition
 
 
+def numbered_within(rows: DataFrame, key: Column, by: list, name: str, value: str | None = None) -> DataFrame:
+    """rows with their number from 1 within a group, in the given order; with a value column, its running sum instead.
+
+    A group of any size is dealt over ranges of (group, order), which are numbered each by itself; what lies before a range
+    within its group comes from the ranges' totals, a row for each range and group in it."""
+    ranged = written(rows.withColumn("key_", key).repartitionByRange("key_", *by).withColumn("part_", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy("part_", "key_").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    own = F.sum(value).over(w) if value else F.count("*").over(w)
+    totals = ranged.groupBy("key_", "part_").agg((F.sum(value) if value else F.count("*")).alias("t_"))
+    earlier = F.sum("t_").over(Window.partitionBy("key_").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))
+    before = written(totals.select(F.col("key_").alias("k_"), F.col("part_").alias("p_"), F.coalesce(earlier, F.lit(0)).alias("b_")), "before")
+    before = F.broadcast(before) if before.count() <= BROADCAST_ROWS else before
+    out = ranged.withColumn("n_", own).join(before, F.col("key_").eqNullSafe(F.col("k_")) & (F.col("part_") == F.col("p_")))
+    return out.withColumn(name, F.col("n_") + F.col("b_")).drop("key_", "part_", "k_", "p_", "n_", "b_")
+
+
+def median(rows: DataFrame, column: str) -> DataFrame:
+    """median of a column's values that aren't null: the middle ranks of sorted ranges, no buffer of all values. One row."""
+    r = written(ranked(rows.filter(F.col(column).isNotNull()).select(column), [column], "r_"), "ranks")
+    n = F.broadcast(r.agg(F.count("*").alias("n_")))  # one row
+    return r.crossJoin(n).filter((F.col("r_") == F.floor((F.col("n_") + 1) / 2)) | (F.col("r_") == F.floor(F.col("n_") / 2) + 1)).agg(F.avg(column).alias("median"))
+
+
 def fused(candidates: DataFrame, limit: int | None = None) -> DataFrame:
     """Weighted reciprocal rank fusion, semantic to lexical 2 : 1, k = 60. candidates: path, line_no, ranking_score, bm25, declaration."""
     tie = ["path", "line_no"]
+    candidates = written(candidates, "candidates")  # computed once for both rankings
     semantic = ranked(candidates, [F.desc("ranking_score"), *tie], "semantic_rank")
     lexical = ranked(candidates.filter("bm25 > 0").select(*tie, "bm25"), [F.desc("bm25"), *tie], "lexical_rank").select(*tie, "lexical_rank")
     both = semantic.join(lexical, tie, "left")
@@ -111,6 +145,32 @@ def score_profile(scores: DataFrame, score: str) -> DataFrame:
     """count, top, second, top_margin, median, min, spread of a column of scores. Top two by a bounded top-k aggregate."""
     top = F.slice(F.sort_array(F.collect_list(score), asc=False), 1, 2)
     best = scores.select(score).orderBy(F.desc(score)).limit(2).agg(top.alias("t"))
-    rest = scores.agg(F.count("*").alias("count"), F.min(score).alias("min"), F.percentile(score, F.lit(0.5)).alias("median"))
-    out = rest.crossJoin(F.broadcast(best))  # one row each
+    rest = scores.agg(F.count("*").alias("count"), F.min(score).alias("min"))
+    out = rest.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(median(scores, score)))  # one row each
     return out.select("count", F.col("t")[0].alias("top"), F.get("t", F.lit(1)).alias("second"), (F.col("t")[0] - F.get("t", F.lit(1))).alias("top_margin"), "median", "min", (F.col("t")[0] - F.col("min")).alias("spread"))
+
+
+def budget_skipping(rows: DataFrame, key: str, by: list[str], size: str, budget: int) -> DataFrame:
+    """The rows of each group that are kept in order while they fit: one that doesn't fit what is left is passed over.
+
+    A fold over a group can't be split, but a row larger than the budget is out at once, and a group's state is one number: the
+    rows are sorted by group and order and streamed through an Arrow function that holds a batch at a time, never a group."""
+    names = rows.columns
+    order = [key, *by]
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, left = object(), budget
+        for b in batches:
+            keep = []
+            for k, n in zip(b.column(names.index(key)).to_pylist(), b.column(names.index(size)).to_pylist(), strict=True):
+                if k != now:
+                    now, left = k, budget
+                fits = (n or 0) <= left
+                left -= (n or 0) if fits else 0
+                keep.append(fits)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    able = rows.filter(F.coalesce(F.col(size), F.lit(0)) <= budget)
+    return able.repartition(key).sortWithinPartitions(*order).mapInArrow(run, rows.schema)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions import text as tx
 from corpuslens.operators import compare as cm
 from corpuslens.operators import graph as gr
+from corpuslens.operators import ranking as rk
 from corpuslens.plans.scans import LINES, SRC, documents
 from corpuslens.sources import corpus as co
 
@@ -55,12 +56,10 @@ def validity_aggregate(spark, sf_dir):
 @query(f"WITH {VERSIONS} SELECT b.path, status, row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY CASE status WHEN 'stale' THEN 0 WHEN 'unknown' THEN 1 ELSE 2 END, path) AS place FROM (SELECT b.path, CASE WHEN t.content_hash IS NULL THEN 'unknown' WHEN t.content_hash = b.content_hash THEN 'current' ELSE 'stale' END AS status FROM base b LEFT JOIN target t USING (path)) b")
 def validation_listing(spark, sf_dir):
     """Stale, unknown, current, then path, within each folder."""
-    from pyspark.sql import Window
-
     v = cm.validated(*co.two_versions(spark, sf_dir))
     order = F.when(F.col("status") == "stale", 0).when(F.col("status") == "unknown", 1).otherwise(2)
-    w = Window.partitionBy(F.split("path", "/")[0]).orderBy(order, "path")
-    return v.select("path", "status", F.row_number().over(w).cast("long").alias("place"))
+    v = rk.numbered_within(v.withColumn("order_", order), F.split("path", "/")[0], ["order_", "path"], "place")
+    return v.select("path", "status", "place")
 
 
 @query(f"WITH {VERSIONS} SELECT b.path FROM base b JOIN target t ON b.path = t.path AND b.content_hash = t.content_hash")
@@ -96,9 +95,7 @@ def rename_pairs_exact(spark, sf_dir):
     """J10 for equal contents: removed and added paths that are each other's only match."""
     base, target = co.two_versions(spark, sf_dir)
     removed, added = base.join(target.select("path"), "path", "left_anti"), target.join(base.select("path"), "path", "left_anti")
-    equal = removed.select(F.col("path").alias("old_path"), "content_hash").join(added.select(F.col("path").alias("new_path"), "content_hash"), "content_hash")
-    one = lambda p: equal.groupBy(p).agg(F.count("*").alias("c")).filter("c = 1").select(p)
-    return equal.join(one("old_path"), "old_path", "left_semi").join(one("new_path"), "new_path", "left_semi").select("old_path", "new_path", F.lit(100).cast("long").alias("similarity"))
+    return cm.equal_pairs(removed, added)
 
 
 SIMILARITY = """ln AS (SELECT v, path, x, count(*) AS n, strlen(x) AS b FROM (
@@ -141,11 +138,19 @@ def content_hash_dedupe(spark, sf_dir):
     return d.groupBy("content_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
 
 
-@query(f"WITH {SRC}, h AS (SELECT source, path || '=' || sha256(text) AS e FROM src) SELECT source, sha256(array_to_string(list_sort(list(e)), chr(10))) AS inventory_hash FROM h GROUP BY source")
+#: Entries of an inventory that are hashed together.
+INVENTORY_BLOCK = 1_000
+
+
+@query(f"""WITH {SRC}, h AS (SELECT source, path || '=' || sha256(text) AS e FROM src), n AS (SELECT source, e, (row_number() OVER (PARTITION BY source ORDER BY e) - 1) // {INVENTORY_BLOCK} AS block FROM h),
+ b AS (SELECT source, block, sha256(array_to_string(list_sort(list(e)), chr(10))) AS x FROM n GROUP BY source, block) SELECT source, sha256(string_agg(x, chr(10) ORDER BY block)) AS inventory_hash FROM b GROUP BY source""")
 def inventory_hash(spark, sf_dir):
-    """One hash for each folder's ordered inventory."""
+    """One hash for each folder's ordered inventory: the hash of its blocks' hashes, in order, so that no row holds a whole inventory."""
     h = documents(spark, sf_dir).select("source", F.concat_ws("=", "path", F.sha2("text", 256)).alias("e"))
-    return h.groupBy("source").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("e")), "\n"), 256).alias("inventory_hash"))
+    n = rk.numbered_within(h, F.col("source"), ["e"], "place").withColumn("block", F.floor((F.col("place") - 1) / INVENTORY_BLOCK))
+    blocks = n.groupBy("source", "block").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("e")), "\n"), 256).alias("x"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("block", "x"))), lambda b: b["x"])
+    return blocks.groupBy("source").agg(F.sha2(F.array_join(listed, "\n"), 256).alias("inventory_hash"))
 
 
 @query("SELECT event_type, count(*) AS queries, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS complete, CASE WHEN count(value) = count(*) THEN round(sum(value), 3) END AS total FROM (SELECT event_type, CASE WHEN event_type = 'click' AND value < 1 THEN NULL ELSE value END AS value FROM events) GROUP BY event_type")

@@ -65,15 +65,20 @@ def map_back(spark, sf_dir):
     return staged.select("doc_id", F.when(F.col("n").isNull(), "unknown").when(F.col("n") > 1, "duplicate").otherwise("mapped").alias("status"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LINES}, n AS (SELECT path, count(*) AS lines_ FROM lines GROUP BY path), m AS (SELECT path, line_no FROM lines WHERE contains(line, 'the')),
+ top AS (SELECT path, count(*) AS c FROM m GROUP BY path ORDER BY c DESC, path LIMIT 5),
+ f AS (SELECT path, min(line_no) AS line_no, 1 AS k FROM m WHERE path IN (SELECT path FROM top) GROUP BY path
+  UNION ALL SELECT f.path, (SELECT min(m.line_no) FROM m WHERE m.path = f.path AND m.line_no > f.line_no + 6), k + 1 FROM f WHERE k < 2)
+ SELECT path, greatest(1, line_no - 3) AS first_line, least(lines_, line_no + 3) AS last_line FROM f JOIN n USING (path) WHERE line_no IS NOT NULL""")
 def preview_windows(spark, sf_dir):
     """For the five files with most matches, the first two windows of seven lines that don't overlap; a fold over a file's lines."""
     docs = documents(spark, sf_dir).filter(F.contains("text", F.lit("the")))
     hit = F.transform(tx.lines_of(F.col("text")), lambda x, i: F.when(F.contains(x, F.lit("the")), i + 1))
-    top = docs.select("path", F.array_compact(hit).alias("at")).orderBy(F.desc(F.size("at")), "path").limit(5)
+    top = docs.select("path", F.array_compact(hit).alias("at"), F.size(tx.lines_of(F.col("text"))).alias("n")).orderBy(F.desc(F.size("at")), "path").limit(5)
     start = F.array().cast("array<int>")
     kept = F.aggregate("at", start, lambda acc, x: F.when((F.size(acc) < 2) & ((F.size(acc) == 0) | (x - F.element_at(acc, -1) > 6)), F.concat(acc, F.array(x))).otherwise(acc))
-    return top.select("path", F.explode(kept).alias("line_no")).select("path", F.greatest(F.lit(1), F.col("line_no") - 3).alias("first_line"), (F.col("line_no") + 3).alias("last_line"))
+    windows = top.select("path", "n", F.explode(kept).alias("line_no"))
+    return windows.select("path", F.greatest(F.lit(1), F.col("line_no") - 3).alias("first_line"), F.least("n", F.col("line_no") + 3).alias("last_line"))
 
 
 @query(f"""WITH {LINES}, m AS (SELECT path, line_no, row_number() OVER (ORDER BY path, line_no) AS rn FROM lines WHERE contains(line, 'License')) SELECT path, line_no, rn, CASE WHEN rn <= 5 THEN 'served' ELSE 'next' END AS part FROM m WHERE rn <= 20""")
@@ -96,13 +101,13 @@ def term_count_page(spark, sf_dir):
 
 
 @query(f"""WITH {SRC}, o AS (SELECT path, substr(text, 1, strpos(text, 'License') - 1) AS b FROM src WHERE contains(text, 'License'))
- SELECT path, strlen(b) AS byte_start, len(string_split(b, chr(10))) AS line_no, length(string_split(b, chr(10))[-1]) AS column_no FROM o""")
+ SELECT path, strlen(b) AS byte_start, len(string_split(b, chr(10))) AS line_no, length(replace(string_split(b, chr(10))[-1], chr(13), '')) + len(regexp_extract_all(string_split(b, chr(10))[-1], '[\\x{{10000}}-\\x{{10FFFF}}]')) AS column_no FROM o""")
 def occurrence_positions(spark, sf_dir):
-    """Byte, line and column of the first occurrence."""
+    """Byte, line and column (UTF-16 units, without CR) of the first occurrence."""
     d = documents(spark, sf_dir).filter(F.contains("text", F.lit("License")))
     before = F.substring("text", F.lit(1), F.instr("text", "License") - 1)
     d = d.select("path", before.alias("b"))
-    return d.select("path", F.octet_length("b").cast("long").alias("byte_start"), (F.regexp_count("b", F.lit("\n")) + 1).cast("long").alias("line_no"), F.length(F.substring_index("b", "\n", -1)).cast("long").alias("column_no"))
+    return d.select("path", F.octet_length("b").cast("long").alias("byte_start"), (F.regexp_count("b", F.lit("\n")) + 1).cast("long").alias("line_no"), tx.utf16_length(F.replace(F.substring_index("b", "\n", -1), F.lit("\r"), F.lit(""))).cast("long").alias("column_no"))
 
 
 @query(f"""WITH {SRC}, a AS (SELECT path, string_split(text, chr(10)) AS l, len(string_split(substr(text, 1, strpos(text, 'License') - 1), chr(10))) AS k FROM src WHERE contains(text, 'License'))

@@ -10,6 +10,7 @@ from corpuslens.operators import intervals as iv
 from corpuslens.operators import ranking as rk
 from corpuslens.plans.scans import LINES, SRC, documents
 from corpuslens.sources import corpus as co
+from corpuslens.sources.shared import written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -58,21 +59,19 @@ def bm25_documents(spark, sf_dir):
 
 
 @query(rf"""WITH {SRC}, {TOKENS}, stat AS (SELECT count(*) AS n, greatest(1.0, sum(len(tokens)) / greatest(1, count(*))) AS average FROM toks),
- b AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda w: w NOT IN ({STOPS}))[1:3])) AS term FROM benchmark),
+ b AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda w: w NOT IN ({STOPS})))) AS term FROM benchmark),
  post AS (SELECT path, term, count(*) AS tf FROM (SELECT path, unnest(tokens) AS term FROM toks) WHERE term IN (SELECT term FROM b) GROUP BY path, term),
  dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term), lens AS (SELECT path, len(tokens) AS length FROM toks),
  s AS (SELECT item_id, path, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))) AS bm25 FROM b JOIN post USING (term) JOIN dfs USING (term) JOIN lens USING (path), stat GROUP BY item_id, path),
  r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(bm25, 6) DESC, path) AS rank FROM s)
  SELECT item_id, rank, path, round(bm25, 6) AS bm25 FROM r WHERE rank <= 3""")
 def bm25_benchmark_terms(spark, sf_dir):
-    """A5, X8 for many queries at once: the three best documents for the first tokens of every benchmark passage."""
+    """A5, X8 for many queries at once: the three best documents for all words of every benchmark passage."""
     docs = documents(spark, sf_dir).select("path", tx.retrieval_tokens(F.col("text")).alias("tokens"))
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     stops = F.array(*map(F.lit, tx.STOP_WORDS))
-    wanted = co.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(F.slice(F.filter(words, lambda w: ~F.array_contains(stops, w)), 1, 3))).alias("term"))
-    asked = wanted.select("term").distinct()
-    postings = docs.select("path", F.explode("tokens").alias("term")).join(asked, "term", "left_semi").groupBy("path", "term").agg(F.count("*").alias("tf"))
-    scores = rk.bm25_joined(postings, docs.select("path", F.size("tokens").alias("length")), wanted)
+    wanted = co.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(F.filter(words, lambda w: ~F.array_contains(stops, w)))).alias("term"))
+    scores = rk.bm25_joined(docs, wanted)
     scores = scores.withColumn("bm25", F.round("bm25", 6))
     top = scores.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bm25"), "path"))).filter("rank <= 3")
     return top.select(F.col("query").alias("item_id"), F.col("rank").cast("long").alias("rank"), "path", "bm25")
@@ -104,10 +103,15 @@ def rrf_fusion(spark, sf_dir):
     return out.select("rank", "path", "declaration", "semantic_rank", "lexical_rank", F.round("relevance_score", 9).alias("relevance_score"))
 
 
+#: Rows that a lane hands to the fusion: a page of the feature.
+LANE_ROWS = 50
+
+
 def lanes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     c = candidates(spark, sf_dir)
-    native = rk.ranked(c, [F.desc("ranking_score"), "path"], "rank", 50)
-    current = rk.ranked(c.filter("bm25 > 0"), [F.desc("bm25"), "path"], "rank", 50)
+    c = written(c, "candidates")  # computed once for both lanes
+    native = rk.ranked(c, [F.desc("ranking_score"), "path"], "rank", LANE_ROWS)
+    current = rk.ranked(c.filter("bm25 > 0"), [F.desc("bm25"), "path"], "rank", LANE_ROWS)
     return current.select("path", "rank"), native.select("path", "rank")
 
 
@@ -207,15 +211,21 @@ def distinct_passages(spark, sf_dir):
     return iv.kept_greedily(p, "path", "rank")
 
 
-LITERAL_RANGES = "lit AS (SELECT path, strpos(text, 'License') - 1 AS s, strpos(text, 'License') + 6 AS e FROM src WHERE contains(text, 'License'))"
+LITERAL_RANGES = """lit AS (SELECT path, CAST(list_sum(list_transform(p[1:k], lambda x: length(x))) + 7 * (k - 1) AS BIGINT) AS s, CAST(list_sum(list_transform(p[1:k], lambda x: length(x))) + 7 * k AS BIGINT) AS e
+ FROM (SELECT path, p, unnest(range(1, len(p))) AS k FROM (SELECT path, string_split(text, 'License') AS p FROM src WHERE contains(text, 'License'))))"""
+
+
+def literal_ranges(docs: DataFrame, literal: str) -> DataFrame:
+    """path, start, end (code points) of every occurrence of a literal."""
+    found = tx.occurrences(F.col("text"), tx.escaped(literal), F.length, ("start", "end"))
+    return docs.filter(F.contains("text", F.lit(literal))).select("path", F.inline(found))
 
 
 @query(f"WITH {SRC}, {PASSAGES}, {LITERAL_RANGES} SELECT path, passage_no FROM pas p WHERE NOT EXISTS (SELECT 1 FROM lit l WHERE l.path = p.path AND l.s < p.e AND p.s < l.e)")
 def concept_overlap_antijoin(spark, sf_dir):
-    """Passages that overlap no literal range of their file."""
+    """Passages that overlap no literal range of their file, whichever occurrence it is."""
     docs = documents(spark, sf_dir)
-    at = F.instr("text", "License").cast("long") - 1
-    literal = docs.filter(F.contains("text", F.lit("License"))).select("path", at.alias("start"), (at + 7).alias("end"))
+    literal = literal_ranges(docs, "License")
     return iv.without_overlap(passages(docs), literal, "path").select("path", "passage_no")
 
 
@@ -225,8 +235,7 @@ def concept_overlap_antijoin(spark, sf_dir):
 def hybrid_exact_first(spark, sf_dir):
     """All literal hits, then the best concept passages that overlap none (three, a limit of the feature)."""
     docs = documents(spark, sf_dir)
-    at = F.instr("text", "License").cast("long") - 1
-    literal = docs.filter(F.contains("text", F.lit("License"))).select("path", at.alias("start"), (at + 7).alias("end"))
+    literal = literal_ranges(docs, "License")
     concept = iv.without_overlap(passages(docs), literal, "path").orderBy(F.desc("hits"), "path", "passage_no").limit(3)
     return literal.select(F.lit("literal").alias("evidence_source"), "path", F.col("start").alias("at")).unionByName(concept.select(F.lit("concept").alias("evidence_source"), "path", F.col("passage_no").alias("at")))
 
@@ -301,12 +310,70 @@ def page_slice(spark, sf_dir):
 def budget_prefix_stop(spark, sf_dir):
     """W9, stop rule: rows of each source while their running size fits the budget."""
     d = co.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    so_far = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn("so_far", so_far).filter("so_far <= 50000").groupBy("source").agg(F.count("*").alias("kept"), F.max("so_far").alias("chars"))
+    return rk.numbered_within(d, F.col("source"), ["doc_id"], "so_far", "n_chars").filter("so_far <= 50000").groupBy("source").agg(F.count("*").alias("kept"), F.max("so_far").alias("chars"))
 
 
 @query("SELECT doc_id, CAST(ceil(row_number() OVER (PARTITION BY source ORDER BY doc_id) / 8.0) AS BIGINT) AS batch, source FROM documents")
 def judge_batches(spark, sf_dir):
     """Batches of eight candidates."""
-    rn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return co.table(spark, sf_dir, "documents").select("doc_id", F.ceil(rn / 8.0).cast("long").alias("batch"), "source")
+    d = rk.numbered_within(co.table(spark, sf_dir, "documents").select("doc_id", "source"), F.col("source"), ["doc_id"], "rn")
+    return d.select("doc_id", F.ceil(F.col("rn") / 8.0).cast("long").alias("batch"), "source")
+
+
+@query("""WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+ f AS (SELECT source, doc_id, k, CASE WHEN n_chars <= 50000 THEN n_chars ELSE 0 END AS used, n_chars <= 50000 AS kept FROM d WHERE k = 1
+  UNION ALL SELECT d.source, d.doc_id, d.k, f.used + CASE WHEN f.used + d.n_chars <= 50000 THEN d.n_chars ELSE 0 END, f.used + d.n_chars <= 50000 FROM f JOIN d ON d.source = f.source AND d.k = f.k + 1)
+ SELECT source, doc_id FROM f WHERE kept""")
+def budget_skip(spark, sf_dir):
+    """W9, skip rule: rows of each source that fit what is left of the budget; one that doesn't fit is passed over."""
+    d = co.table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    return rk.budget_skipping(d, "source", ["doc_id"], "n_chars", 50_000).select("source", "doc_id")
+
+
+@query("""WITH f AS (SELECT lang, source, min(doc_id) AS first_id, count(*) * 40 AS metadata FROM documents GROUP BY lang, source),
+ s AS (SELECT lang, source, sum(metadata) OVER (PARTITION BY lang ORDER BY first_id, source ROWS UNBOUNDED PRECEDING) AS so_far FROM f) SELECT d.lang, d.source, d.doc_id FROM documents d JOIN s USING (lang, source) WHERE so_far <= 200 * 40""")
+def budget_latch(spark, sf_dir):
+    """W9, latch rule: once a folder's entries fill the metadata share of their language, no further folder is begun."""
+    d = co.table(spark, sf_dir, "documents").select("lang", "source", "doc_id")
+    folders = d.groupBy("lang", "source").agg(F.min("doc_id").alias("first_id"), (F.count("*") * 40).alias("metadata"))
+    open_ = rk.numbered_within(folders, F.col("lang"), ["first_id", "source"], "so_far", "metadata").filter(F.col("so_far") <= 200 * 40)
+    return d.join(open_.select("lang", "source"), ["lang", "source"], "left_semi")
+
+
+@query(f"WITH {Q0}, s AS (SELECT vec_id, {DOT} AS score FROM embeddings e, q) SELECT vec_id, score FROM s ORDER BY score DESC, vec_id LIMIT 300")
+def candidate_retention(spark, sf_dir):
+    """The candidates that a concept search retains, by score (three hundred here, a limit of the feature)."""
+    return scored_vectors(spark, sf_dir).select("vec_id", "score").orderBy(F.desc("score"), "vec_id").limit(300)
+
+
+@query(f"""WITH {SRC}, {PASSAGES}, {LITERAL_RANGES}, free AS (SELECT path, passage_no, hits FROM pas p WHERE NOT EXISTS (SELECT 1 FROM lit l WHERE l.path = p.path AND l.s < p.e AND p.s < l.e)),
+ l3 AS (SELECT 'literal' AS evidence_source, path, s AS at FROM lit ORDER BY path, s LIMIT 3), c AS (SELECT 'concept' AS evidence_source, path, CAST(passage_no AS BIGINT) AS at FROM free ORDER BY hits DESC, path, passage_no LIMIT 27)
+ SELECT * FROM l3 UNION ALL SELECT * FROM c""")
+def hybrid_preview(spark, sf_dir):
+    """The first three literal hits and the best concept passages, thirty rows at most (limits of the feature)."""
+    docs = documents(spark, sf_dir)
+    literal = literal_ranges(docs, "License")
+    concept = iv.without_overlap(passages(docs), literal, "path").orderBy(F.desc("hits"), "path", "passage_no").limit(27)
+    first = literal.orderBy("path", "start").limit(3)
+    return first.select(F.lit("literal").alias("evidence_source"), "path", F.col("start").alias("at")).unionByName(concept.select(F.lit("concept").alias("evidence_source"), "path", F.col("passage_no").alias("at")))
+
+
+@query(f"""WITH {SRC}, p AS (SELECT path, string_split(text, 'the') AS a FROM src WHERE contains(text, 'the')), q AS (SELECT path, string_split(text, 'the ') AS a FROM src WHERE contains(text, 'the ')),
+ o AS (SELECT path, strlen(array_to_string(a[1:k], 'the')) AS byte_start FROM (SELECT path, a, unnest(range(1, len(a))) AS k FROM p) UNION SELECT path, strlen(array_to_string(a[1:k], 'the ')) FROM (SELECT path, a, unnest(range(1, len(a))) AS k FROM q))
+ SELECT path, count(*) AS starts FROM o GROUP BY path""")
+def occurrence_dedupe(spark, sf_dir):
+    """Places that two patterns both find count once. Deduplicated within a document's row, so nothing is shuffled."""
+    docs = documents(spark, sf_dir).filter(F.contains("text", F.lit("the")))
+    starts = lambda p: F.transform(tx.occurrences(F.col("text"), tx.escaped(p)), lambda o: o["byte_start"])
+    return docs.select("path", F.size(F.array_union(starts("the"), starts("the "))).cast("long").alias("starts"))
+
+
+@query("""WITH d AS (SELECT source, doc_id, strlen(text) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS so_far FROM documents)
+ SELECT source, doc_id, k AS place, CAST(so_far AS BIGINT) AS bytes_so_far, CASE WHEN k > 40 THEN 'file-budget' WHEN so_far > 200000 THEN 'byte-budget' ELSE 'read' END AS status FROM d""")
+def read_ledger(spark, sf_dir):
+    """The ledger of a reader's budgets: files in order, bytes so far, and which are left unread for which budget."""
+    d = co.table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("size"))
+    placed = rk.numbered_within(d, F.col("source"), ["doc_id"], "place")
+    summed = rk.numbered_within(placed, F.col("source"), ["doc_id"], "bytes_so_far", "size")
+    status = F.when(F.col("place") > 40, "file-budget").when(F.col("bytes_so_far") > 200_000, "byte-budget").otherwise("read")
+    return summed.select("source", "doc_id", "place", "bytes_so_far", status.alias("status"))

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own, a cluster's one in the warehouse, which its
+    executors share."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="corpuslens-")
+        local = spark.sparkContext.master.startswith("local")
+        where = tempfile.mkdtemp(prefix="corpuslens-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/corpuslens-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
