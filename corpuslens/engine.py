@@ -12,19 +12,30 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.functions import modules as md
 from corpuslens.functions import scanners as sc
 from corpuslens.functions import text as tx
 from corpuslens.operators import compare as cm
+from corpuslens.operators import graph as gr
+from corpuslens.operators import intervals as iv
 from corpuslens.operators import ranking as rk
 from corpuslens.request import Cursor, RequestError, normalized, parse_cursor, validated
 from corpuslens.sources import corpus as co
+from corpuslens.sources.shared import written
 
 PAGE, SUMMARY_PAGE, PAGE_BYTES = 100, 30, 16 * 1024
-UNAVAILABLE = ("structure", "tests")
+UNAVAILABLE = ("structure",)
+BYTES_OF_TOKEN = 4
+
+
+def page_bytes(r: dict) -> int:
+    """Bytes of a page: PAGE_BYTES, or less if the request's budget of tokens is smaller."""
+    return min(PAGE_BYTES, BYTES_OF_TOKEN * r.get("resultTokenBudget", PAGE_BYTES))
 
 
 @dataclass
@@ -37,6 +48,7 @@ class Result:
     page_size: int = PAGE
     coverage: dict[str, str] = field(default_factory=dict)
     notes: list[str] = field(default_factory=list)
+    page_bytes: int = PAGE_BYTES
     id: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @property
@@ -51,7 +63,7 @@ class Result:
         for r in rows[: self.page_size]:
             d = {k: sc.redacted(v)[0] if isinstance(v, str) else v for k, v in r.asDict(True).items() if k != "row_"}
             size += len(str(d).encode())
-            if out and size > PAGE_BYTES:
+            if out and size > self.page_bytes:
                 more = True
                 break
             out.append(d)
@@ -84,6 +96,7 @@ class Engine:
         else:
             result = getattr(self, "_" + mode.replace("-", "_"))(r)
         result.notes = notes + result.notes
+        result.page_bytes = page_bytes(r)
         self.results = {**dict(list(self.results.items())[-19:]), result.id: result}  # twenty at most, the oldest go
         return result
 
@@ -106,64 +119,109 @@ class Engine:
             inside = inside if at[1] is None else inside & (F.col("mtime") < at[1])
             known = F.coalesce(inside, F.lit(r.get("mode") != "files"))  # an unknown time stays in a content search only
             df, coverage["time"] = df.filter(known), "partial"
-        return df.filter(~F.contains("text", F.lit("\0"))), coverage
+        if "paths" in r:
+            df = df.filter(F.col("path").isin(*r["paths"]))
+        return df.filter(~F.contains("text", F.lit("\0")) & ~tx.is_protected(F.col("path"))), coverage
+
+    def _missing(self, r: dict) -> list[str]:
+        """A note on asked paths that aren't there. At most twenty paths are asked for."""
+        if "paths" not in r:
+            return []
+        there = {x.path for x in self.sources.filter(F.col("path").isin(*r["paths"])).select("path").collect()}
+        gone = [p for p in r["paths"] if p not in there]
+        return [f"no such source: {', '.join(gone)}"] if gone else []
+
+    def _how(self, r: dict) -> dict:
+        return {"literal": bool(r.get("literal")), "ignore_case": r.get("ignoreCase"), "whole_word": bool(r.get("wholeWord"))}
+
+    def _term(self, r: dict, term: str) -> str:
+        """The pattern of a term of anyOf or allOf: literal, with the request's case and word fields."""
+        return tx.compiled_pattern(term, literal=True, ignore_case=bool(r.get("ignoreCase")), whole_word=bool(r.get("wholeWord")))
 
     def _scan(self, r: dict) -> tuple[DataFrame, dict[str, str], list[str]]:
-        how = {"literal": bool(r.get("literal")), "ignore_case": r.get("ignoreCase"), "whole_word": bool(r.get("wholeWord"))}
+        how, notes = self._how(r), self._missing(r)
+
+        def lines(docs: DataFrame) -> DataFrame:
+            if r.get("roles"):
+                return co.role_lines(docs, r["pattern"], list(r["roles"]), **how)
+            if r.get("context"):
+                return co.matches_with_context(docs, r["pattern"], r["context"], **how)
+            return co.matching_lines(docs, r["pattern"], **how)
+
         scope = r.get("path")
         docs, coverage = self._admitted(r, scope)
-        lines = co.matching_lines(docs, r["pattern"], **how)
-        if scope and r.get("scope") != "strict" and not lines.head(1):
-            docs, coverage = self._admitted(r)
-            return co.matching_lines(docs, r["pattern"], **how), coverage, [f"nothing matched in {scope}; the whole corpus was searched"]
-        return lines, coverage, []
+        if r.get("roles"):
+            coverage["parser"] = "partial"
+        found = lines(docs)
+        if scope and r.get("scope") != "strict" and not found.head(1):
+            docs, wider = self._admitted(r)
+            return lines(docs), coverage | wider, [*notes, f"nothing matched in {scope}; the whole corpus was searched"]
+        return found, coverage, notes
 
     # --- modes -------------------------------------------------------------------------------------------------------
 
     def _matches(self, r: dict) -> Result:
         lines, coverage, notes = self._scan(r)
         focus = F.regexp_instr("line", F.lit(tx.compiled_pattern(r["pattern"], literal=bool(r.get("literal")), ignore_case=r.get("ignoreCase")))) - 1
-        return Result(lines.select("path", "line_no", tx.excerpt(F.col("line"), focus, focus + 1).alias("excerpt")), ["path", "line_no"], "matches", r.get("limit", PAGE), coverage, notes)
+        more = ["context"] if "context" in lines.columns else []
+        return Result(lines.select("path", "line_no", tx.excerpt(F.col("line"), focus, focus + 1).alias("excerpt"), *more), ["path", "line_no"], "matches", r.get("limit", PAGE), coverage, notes)
 
     def _summary(self, r: dict) -> Result:
         lines, coverage, notes = self._scan(r)
-        counts = lines.groupBy("path").agg(F.count("*").alias("matches"), F.min("line_no").alias("first_line"))
+        counts = lines.groupBy("path").agg(F.count("*").alias("matches"), F.min(F.struct("line_no", F.substring("line", 1, tx.MAX_LINE_CHARACTERS).alias("line"))).alias("f"))
+        counts = counts.select("path", "matches", F.col("f.line_no").alias("first_line"), F.col("f.line").alias("sample"))
         return Result(counts, [F.desc("matches"), "path"], "summary", SUMMARY_PAGE, coverage, notes)
 
     def _auto(self, r: dict) -> Result:
-        """A page if everything fits on one, a summary otherwise."""
+        """A page if everything fits on one, within its bytes, a summary otherwise."""
         page = self._matches(r)
-        return page if len(page.evidence.head(PAGE + 1)) <= PAGE else self._summary(r)
+        rows = page.evidence.head(PAGE + 1)
+        fits = len(rows) <= PAGE and sum(len(str(x.asDict()).encode()) for x in rows) <= page_bytes(r)
+        return page if fits or not rows else self._summary(r)
 
     def _any_of(self, r: dict) -> Result:
-        from corpuslens.plans.scans import any_of
-
         docs, coverage = self._admitted(r, r.get("path"))
-        return Result(any_of(docs, list(r["anyOf"])), ["term_index", "path", "byte_start"], "analysis", SUMMARY_PAGE, coverage)
+        each = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(i).alias("term_index"), tx.occurrences(F.col("text"), self._term(r, t)).alias("o")) for i, t in enumerate(r["anyOf"])))
+        rows = docs.select("path", F.explode(each).alias("x")).select("path", F.col("x.term").alias("term"), F.col("x.term_index").alias("term_index"), F.inline("x.o"))
+        return Result(rows, ["term_index", "path", "byte_start"], "analysis", SUMMARY_PAGE, coverage, self._missing(r))
+
+    def term_counts(self, r: dict) -> DataFrame:
+        """term, term_index, occurrences, files for each term of an anyOf request, zeros included. Counted within the documents' rows."""
+        docs, _ = self._admitted(r, r.get("path"))
+        n = [F.regexp_count("text", F.lit(self._term(r, t))) for t in r["anyOf"]]
+        sums = docs.agg(*(F.sum(x).alias(f"n{i}") for i, x in enumerate(n)), *(F.sum((x > 0).cast("long")).alias(f"f{i}") for i, x in enumerate(n)))
+        return sums.select(F.inline(F.array(*(F.struct(F.lit(t).alias("term"), F.lit(i).alias("term_index"), F.coalesce(f"n{i}", F.lit(0)).alias("occurrences"), F.coalesce(f"f{i}", F.lit(0)).alias("files")) for i, t in enumerate(r["anyOf"])))))
 
     def _all_of(self, r: dict) -> Result:
         docs, coverage = self._admitted(r, r.get("path"))
-        keep = F.lit(True)
-        for t in r["allOf"]:
-            keep &= F.contains("text", F.lit(t))
-        if r.get("allOfScope", "file") == "function":
-            spans = docs.filter(keep).select("path", "text", F.explode(sc.python_outline(F.col("text"))).alias("s"))
-            body = F.array_join(F.slice(F.split("text", "\n", -1), F.col("s.start_line"), F.col("s.end_line") - F.col("s.start_line") + 1), "\n")
-            inside = F.lit(True)
-            for t in r["allOf"]:
-                inside &= F.contains(body, F.lit(t))
-            return Result(spans.filter((F.col("s.kind") != "class") & inside).select("path", F.col("s.start_line").alias("line_no"), F.col("s.name").alias("label")), ["path", "line_no"], "analysis", SUMMARY_PAGE, coverage | {"parser": "partial"})
-        return Result(docs.filter(keep).select("path"), ["path"], "analysis", SUMMARY_PAGE, coverage)
+        terms = [self._term(r, t) for t in r["allOf"]]
+        holds = lambda c: reduce(lambda a, b: a & b, (c.rlike(t) for t in terms))
+        docs = docs.filter(holds(F.col("text")))
+        if r.get("allOfScope", "file") == "function":  # in a function's own code, without that of the functions within it
+            own = docs.select("path", F.inline(md.own(F.col("path"), F.col("text")))).filter(holds(F.col("own")))
+            return Result(own.select("path", F.col("start_line").alias("line_no"), F.col("name").alias("label")), ["path", "line_no"], "analysis", SUMMARY_PAGE, coverage | {"parser": "partial"}, self._missing(r))
+        counts = F.array(*(F.regexp_count("text", F.lit(t)) for t in terms))
+        return Result(docs.select("path", counts.alias("occurrences")), ["path"], "analysis", SUMMARY_PAGE, coverage, self._missing(r))
 
     def _changes(self, r: dict) -> Result:
         c = r["changes"]
         if c["base"] not in self.versions or c["target"] not in self.versions:
             raise RequestError("E_VERSION_UNKNOWN", "base and target must be versions that the engine was given")
-        base, target = self.versions[c["base"]], self.versions[c["target"]]
+        admit = lambda v: co.enumerated(v, scope=r.get("path"), include=r.get("glob", ()), exclude=r.get("exclude", ()), hidden=r.get("hidden", True)).filter(~tx.is_protected(F.col("path")))
+        base, target = admit(self.versions[c["base"]]), admit(self.versions[c["target"]])
         out = cm.changed(base, target)
+        if r.get("pattern"):  # changed files that hold the pattern now
+            now = target.filter(tx.line_matches(F.col("text"), r["pattern"], **self._how(r))).select("path")
+            out = out.join(now, "path", "left_semi")
         if c.get("scope") == "lines":
             both = base.select("path", F.col("text").alias("a")).join(target.select("path", F.col("text").alias("b")), "path").join(out.filter("change = 'modified'").select("path"), "path")
             out = both.select("path", F.lit("modified").alias("change"), sc.changed_line_ranges(F.col("a"), F.col("b")).alias("ranges"))
+        elif c.get("renames"):
+            facts = lambda v: v.select("path", "text", "content_hash", F.octet_length("text").alias("size"))
+            gone, new = facts(base).join(target.select("path"), "path", "left_anti"), facts(target).join(base.select("path"), "path", "left_anti")
+            pairs = cm.rename_pairs(gone, new)
+            rest = out.join(pairs.select(F.col("old_path").alias("path")), "path", "left_anti").join(pairs.select(F.col("new_path").alias("path")), "path", "left_anti")
+            out = rest.select("path", "change", F.lit(None).cast("string").alias("old_path"), F.lit(None).cast("long").alias("similarity")).unionByName(pairs.select(F.col("new_path").alias("path"), F.lit("renamed").alias("change"), "old_path", "similarity"))
         return Result(out, ["path"], "analysis", SUMMARY_PAGE, {"versions": "complete"})
 
     def _files(self, r: dict) -> Result:
@@ -185,47 +243,90 @@ class Engine:
         if self.embedder is None or self.vectors is None:
             raise RequestError("E_CONCEPT_UNAVAILABLE", "the engine has no embedder or no vectors")
         q = self.spark.sql(f"SELECT array({', '.join(f'{float(x)}D' for x in self.embedder(r['query']))}) AS v")
-        scored = self.vectors.crossJoin(F.broadcast(q))  # one row
+        vectors = co.enumerated(self.vectors, scope=r.get("path"), include=r.get("glob", ()), exclude=r.get("exclude", ()), hidden=r.get("hidden", True)).filter(~tx.is_protected(F.col("path")))
+        scored = vectors.crossJoin(F.broadcast(q))  # one row
         score = tx.cosine(F.col("embedding"), F.col("v"))
         out = scored.select("path", "line_no", "text", score.alias("score"), tx.concept_ranking_score(score, tx.utf16_length(F.col("text"))).alias("ranking_score"))
         return Result(out, [F.desc("ranking_score"), "path", "line_no"], "analysis", SUMMARY_PAGE, {"passages": "complete"})
 
     def _hybrid(self, r: dict) -> Result:
         concept = self._concept(r)
+        keys = [c for c in concept.evidence.columns]
+        ranges = concept.evidence.withColumn("start", F.col("line_no").cast("long")).withColumn("end", F.col("start") + F.regexp_count("text", F.lit("\n")) + 1)
+        place = rk.ranked(ranges, concept.order, "place")
+        kept = iv.kept_greedily(place, "path", "place")  # of passages that overlap the better one stays
+        distinct = written(place.join(kept.select("path", "place"), ["path", "place"], "left_semi"), "passages")
         if r.get("ranking") == "relevance":
             words = self.spark.range(1).select(tx.retrieval_tokens(F.lit(r["query"])).alias("t")).first().t  # the query's own words
-            scores = rk.bm25(self.vectors.select(F.concat_ws("\0", "path", "line_no").alias("path"), "text"), words).withColumnRenamed("path", "key_")
-            both = concept.evidence.withColumn("key_", F.concat_ws("\0", "path", "line_no")).join(scores, "key_").drop("key_").withColumn("declaration", F.lit(0))
+            evidence = distinct.select(keys)
+            scores = rk.bm25(evidence.select(F.concat_ws("\0", "path", "line_no").alias("path"), "text"), words).withColumnRenamed("path", "key_")
+            both = evidence.withColumn("key_", F.concat_ws("\0", "path", "line_no")).join(scores, "key_").drop("key_").withColumn("declaration", F.lit(0))
             return Result(rk.fused(both), ["rank"], "analysis", SUMMARY_PAGE, concept.coverage)
         literal = self._matches({"pattern": r["query"], "literal": True, **{k: r[k] for k in ("path", "glob", "exclude", "hidden") if k in r}})
-        best = rk.ranked(concept.evidence, concept.order, "place", r.get("conceptLimit", 3)).select(F.lit(1).alias("tier"), "place", "path", "line_no", F.col("text").alias("excerpt"))
+        lines = literal.evidence.select("path", F.col("line_no").cast("long").alias("start"), (F.col("line_no") + 1).cast("long").alias("end"))
+        free = iv.without_overlap(distinct, lines, "path", cell=1024)  # passages that hold a literal hit are said by it already
+        best = free.orderBy("place").limit(r.get("conceptLimit", 3)).select(F.lit(1).alias("tier"), "place", "path", "line_no", F.col("text").alias("excerpt"))
         rows = literal.evidence.select(F.lit(0).alias("tier"), F.lit(0).cast("long").alias("place"), "path", "line_no", "excerpt").unionByName(best)
         return Result(rows, ["tier", "place", "path", "line_no"], "analysis", SUMMARY_PAGE, literal.coverage | concept.coverage, literal.notes)
 
     def _inspect(self, r: dict) -> Result:
-        line = r.get("line", 1)
-        rows = co.lines(self.sources.filter(F.col("path") == r["path"]))
-        return Result(rows.filter(F.col("line_no").between(line - 10, line + 10)), ["line_no"], "analysis", SUMMARY_PAGE, {"source": "complete"})
+        """Lines around a place, or around each of several targets (path, line, and the content hash that the caller has, if any).
+
+        A target whose source has another content now is stale and shows no lines; one that is gone is unknown."""
+        targets = r.get("targets") or [{"path": r["path"], "line": r.get("line", 1)}]
+        around, coverage = r.get("context", 10), "complete"
+        asked = self.spark.createDataFrame([(i, t["path"], int(t.get("line", 1)), t.get("content_hash")) for i, t in enumerate(targets)], "target int, path string, at int, want string")
+        now = self.sources.filter(F.col("path").isin(*{t["path"] for t in targets}) & ~tx.is_protected(F.col("path")))
+        met = asked.join(now.select(F.col("path").alias("p_"), "text"), F.col("path") == F.col("p_"), "left")
+        status = F.when(F.col("text").isNull(), "unknown").when(F.coalesce(F.sha2("text", 256) != F.col("want"), F.lit(False)), "stale").otherwise("current")
+        met = written(met.withColumn("status", status), "targets")
+        if met.filter("status != 'current'").head(1):
+            coverage = "partial"
+        shown = co.lines(met.filter("status = 'current'").select("path", "text").dropDuplicates(["path"]))
+        rows = met.filter("status = 'current'").select("target", "path", "at", "status").join(shown, "path").filter(F.abs(F.col("line_no") - F.col("at")) <= around).select("target", "path", "status", "line_no", "line", "byte_start")
+        lost = met.filter("status != 'current'").select("target", "path", "status", F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("string").alias("line"), F.lit(None).cast("long").alias("byte_start"))
+        return Result(rows.unionByName(lost), ["target", "line_no"], "analysis", SUMMARY_PAGE, {"source": coverage})
 
     def _outline(self, r: dict) -> Result:
-        rows = self.sources.filter(F.col("path") == r["path"]).select("path", F.inline(sc.python_outline(F.col("text"))))
+        rows = self.sources.filter((F.col("path") == r["path"]) & ~tx.is_protected(F.col("path"))).select("path", F.inline(md.outline(F.col("path"), F.col("text"))))
         rows = rows.filter(F.col("name") == r["symbol"]) if "symbol" in r else rows
         return Result(rows, ["start_line"], "analysis", SUMMARY_PAGE, {"parser": "partial"})
 
     def _imports(self, r: dict) -> Result:
-        from corpuslens.operators import graph as gr
-
+        """Traces along import edges: those that the engine was given, or those of the admitted script sources."""
         if self.edges is None:
-            raise RequestError("E_IMPORTS_UNAVAILABLE", "the engine was given no import edges")
-        return Result(gr.traced(*self.edges), ["start_path", "start_name"], "analysis", SUMMARY_PAGE, {"graph": "complete"})
+            docs, coverage = self._admitted(r, r.get("path"))
+            edges, declared, _ = gr.module_edges(docs)
+        else:
+            (edges, declared), coverage = self.edges, {"graph": "complete"}
+        out = gr.traced(edges, declared)
+        out = out.filter(F.col("start_name") == r["symbol"]) if "symbol" in r else out
+        return Result(out, ["start_path", "start_name"], "analysis", SUMMARY_PAGE, coverage | ({} if self.edges else {"parser": "partial"}))
+
+    def _tests(self, r: dict) -> Result:
+        """Test files of the admitted sources, or of those in scope, by how they are related, with their test cases."""
+        docs, coverage = self._admitted({k: v for k, v in r.items() if k != "path"})
+        related = gr.test_relations(docs, gr.module_edges(docs)[2])
+        if "path" in r:
+            related = related.filter(tx.in_scope(F.col("path"), r["path"]))
+        cases = docs.filter(F.col("path").rlike(md.TEST_PATH)).select(F.col("path").alias("test_path"), F.filter(md.tests(F.col("path"), F.col("text")), lambda c: c["kind"] == "test").alias("cases"))
+        order = F.when(F.col("relation") == "direct", 0).when(F.col("relation") == "indirect", 1).otherwise(2)
+        return Result(related.join(cases, "test_path", "left"), ["path", order, "test_path"], "analysis", SUMMARY_PAGE, coverage | {"parser": "partial"})
 
     def _validate(self, r: dict) -> Result:
+        if not {"saved", "current"} <= self.versions.keys():
+            raise RequestError("E_VERSION_UNKNOWN", "the engine has no versions saved and current", "give both to the engine")
         base, target = self.versions["saved"], self.versions["current"]
         return Result(cm.validated(base, target), ["status", "path"], "analysis", SUMMARY_PAGE, {"sources": "complete"})
 
     def _capabilities(self, r: dict) -> Result:
         docs, coverage = self._admitted(r, r.get("path"))
-        return Result(docs.groupBy(tx.extension(F.col("path")).alias("extension")).agg(F.count("*").alias("files")), [F.desc("files"), "extension"], "analysis", SUMMARY_PAGE, coverage)
+        ext = tx.extension(F.col("path"))
+        language = F.lit("none")
+        for name, ends in md.LANGUAGES.items():
+            language = F.when(ext.isin(*ends), name).otherwise(language)
+        can = F.when(language == "python", "outline,roles,tests").when(language == "script", "outline,roles,imports,tests").when(language == "go", "outline,roles,tests").otherwise("")
+        return Result(docs.groupBy(ext.alias("extension"), language.alias("language"), can.alias("capabilities")).agg(F.count("*").alias("files")), [F.desc("files"), "extension"], "analysis", SUMMARY_PAGE, coverage)
 
     def _source_list(self, r: dict) -> Result:
         return Result(self.spark.sql("SELECT 'records' AS id, 'search,read' AS operations"), ["id"], "analysis", SUMMARY_PAGE, {"sources": "complete" if self.records is not None else "not-applicable"})

@@ -148,7 +148,7 @@ def outline(text: str) -> list[tuple[str, str, int, int, str]]:
         m = re.match(r"[ \t]*(?:async[ \t]+)?(def|class)[ \t]+([^\W\d]\w*)[ \t]*(?=[:(\[])", line)
         if not m:
             continue
-        end = next((n - 1 for n, w, _ in logical[at + 1 :] if w <= width), len(code))
+        end = next((logical[k][0] - 1 for k in range(at + 1, len(logical)) if logical[k][1] <= width), len(code))
         kind = "class" if m[1] == "class" else "method" if open_ and open_[-1][1] == "class" else "function"
         out.append((m[2], kind, number, end, ".".join(x[2] for x in open_)))
         open_.append((width, "class" if m[1] == "class" else "function", m[2]))

@@ -188,7 +188,8 @@ def glob_pattern(glob: str) -> str:
             out += {"*": "[^/]*", "?": "[^/]"}.get(c) or (c if c.isalnum() or c in "_/" else "\\" + c)
         i += 1
     out += ")" * depth
-    return ("^" if "/" in g.rstrip("/") else "^(?:.*/)?") + out.lstrip("/") + ("(?:/.*)?$" if g.endswith("/") else "$")
+    body = out.lstrip("/").rstrip("/") + "/.*" if g.endswith("/") else out.lstrip("/")  # a folder is what lies in it
+    return ("^" if "/" in g.rstrip("/") else "^(?:.*/)?") + body + "$"
 
 
 def globs_admit(path: Column, include: list[str], exclude: list[str]) -> Column:
@@ -199,6 +200,17 @@ def globs_admit(path: Column, include: list[str], exclude: list[str]) -> Column:
     return admitted
 
 
+#: Credential and system roots that are never read, as parts of a path from one of its directories on.
+DENIED = ["etc/shadow", ".ssh/", ".aws/credentials", ".gnupg/", "proc/"]
+
+
+def is_protected(path: Column) -> Column:
+    denied = F.lit(False)
+    for d in DENIED:
+        denied |= F.contains(F.concat(F.lit("/"), path), F.lit("/" + d))
+    return denied
+
+
 def in_scope(path: Column, scope: str) -> Column:
     s = scope.removeprefix("@").rstrip("/")
     return (path == s) | F.startswith(path, F.lit(s + "/"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.functions import modules as md
 from corpuslens.functions import text as tx
 from corpuslens.sources.shared import written
 
@@ -59,3 +60,31 @@ def resolved_modules(asked: DataFrame, files: DataFrame) -> DataFrame:
     n = met.groupBy("from_path", "specifier").agg(F.count("found").alias("n"), F.min("found").alias("path"))
     reason = F.when(~relative, EXTERNAL).when(F.col("n") == 0, MISSING).when(F.col("n") > 1, AMBIGUOUS)
     return n.select("from_path", "specifier", F.when(F.col("n") == 1, F.col("path")).alias("path"), reason.alias("reason"))
+
+
+def module_edges(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of sources (path, text): edges (from_path, from_name, to_path, to_name) by imports and re-exports, declared names (path, name),
+    and every imported module as from_path, specifier, path, reason.
+
+    A module that isn't a file keeps its specifier as the edge's end, so a trace says that it is missing."""
+    found = written(sources.select(F.col("path").alias("from_path"), F.inline(md.facts(F.col("path"), F.col("text")))), "facts")
+    modules = written(resolved_modules(found.filter("specifier != ''").select("from_path", "specifier").distinct(), sources.select("path")), "modules")
+    linked = found.filter(F.col("kind").isin("import", "re-export")).join(modules, ["from_path", "specifier"])
+    edges = linked.select("from_path", F.col("local").alias("from_name"), F.coalesce("path", "specifier").alias("to_path"), F.col("imported").alias("to_name")).dropDuplicates(["from_path", "from_name"])
+    return edges, found.filter("kind = 'export'").select(F.col("from_path").alias("path"), F.col("local").alias("name")).distinct(), modules
+
+
+def test_relations(sources: DataFrame, modules: DataFrame) -> DataFrame:
+    """test_path, path, relation of test files and the others: direct (the test imports the file), indirect (it imports a file that does),
+    weak (only their names' stems are the same). modules: from_path, specifier, path, reason. The strongest of a pair counts."""
+    is_test = F.col("path").rlike(md.TEST_PATH)
+    tests_, others = sources.filter(is_test).select(F.col("path").alias("test_path")), sources.filter(~is_test).select("path")
+    links = modules.filter("path is not null").select("from_path", "path").distinct()
+    direct = links.join(tests_, F.col("from_path") == F.col("test_path")).select("test_path", "path")
+    through = direct.withColumnRenamed("path", "from_path").join(links, "from_path").select("test_path", "path")
+    stem = lambda c: F.regexp_replace(tx.basename(F.col(c)), r"(?i)^test_|(?:[._](?:test|spec))?\.[^.]*$", "")
+    weak = others.withColumn("stem", stem("path")).join(tests_.withColumn("stem", stem("test_path")), "stem").select("test_path", "path")
+    rank = lambda df, k: df.select("test_path", "path", F.lit(k).alias("k"))
+    every = rank(direct, 0).unionByName(rank(through, 1)).unionByName(rank(weak, 2)).join(others, "path", "left_semi")
+    best = every.groupBy("test_path", "path").agg(F.min("k").alias("k"))
+    return best.select("test_path", "path", F.element_at(F.array(F.lit("direct"), F.lit("indirect"), F.lit("weak")), F.col("k") + 1).alias("relation"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuslens.functions import modules as md
 from corpuslens.functions import text as tx
 from corpuslens.operators import compare as cm
 from corpuslens.operators import graph as gr
@@ -196,24 +197,87 @@ def source_read(spark, sf_dir):
     return co.record_read(b, "1", revision[0] if revision else "")
 
 
-EDGES = "SELECT * FROM VALUES ('a', 'x', 'b', 'x'), ('b', 'x', 'c', 'y'), ('c', 'y', 'd', 'z'), ('p', 'n', 'q', 'n'), ('q', 'n', 'p', 'n'), ('m', 'k', 'gone', 'k'), ('l1', 'v', 'l2', 'v'), ('l2', 'v', 'l3', 'v'), ('l3', 'v', 'l4', 'v'), ('l4', 'v', 'l5', 'v'), ('l5', 'v', 'l6', 'v'), ('l6', 'v', 'l7', 'v'), ('l7', 'v', 'l8', 'v'), ('l8', 'v', 'l9', 'v'), ('l9', 'v', 'l10', 'v') AS t(from_path, from_name, to_path, to_name)"
-DECLARED = "SELECT * FROM VALUES ('d', 'z'), ('l10', 'v') AS t(path, name)"
-
-
-@query(f"""WITH RECURSIVE e AS ({EDGES.replace('VALUES ', '(VALUES ').replace(' AS t(', ') AS t(')}), d AS ({DECLARED.replace('VALUES ', '(VALUES ').replace(' AS t(', ') AS t(')}),
+# --- module facts ---------------------------------------------------------------------------------------------------
+
+#: Script sources made of documents: German ones declare v, English ones re-export the next document's, French ones a file that
+#: isn't there, Spanish ones a package's. Documents of src0 have an empty .js beside the .ts; those of src1 are a folder's index.
+SCRIPTS = """s AS (SELECT doc_id, lang, source, CASE source WHEN 'src1' THEN 'src/' || doc_id || '/index.ts' ELSE 'src/' || doc_id || '.ts' END AS path, CASE source WHEN 'src1' THEN '../' ELSE './' END AS up FROM documents),
+ f AS (SELECT path FROM s UNION ALL SELECT 'src/' || doc_id || '.js' FROM s WHERE source = 'src0' UNION ALL SELECT 'tests/' || doc_id || '.test.ts' FROM s WHERE lang IN ('en', 'es')),
+ x AS (SELECT path AS from_path, CASE lang WHEN 'en' THEN up || (doc_id + 1) WHEN 'fr' THEN './gone' ELSE 'react' END AS specifier, lang, doc_id FROM s WHERE lang <> 'de'
+  UNION ALL SELECT 'tests/' || doc_id || '.test.ts', '../src/' || doc_id, 'test', doc_id - 1 FROM s WHERE lang = 'en'),
+ r AS (SELECT x.from_path, x.specifier, CASE WHEN x.lang IN ('en', 'test') AND t.source <> 'src0' THEN t.path END AS path,
+  CASE WHEN x.lang = 'es' THEN 'external-package-or-path-alias-unsupported' WHEN x.lang = 'fr' OR t.path IS NULL THEN 'missing-or-excluded-module' WHEN t.source = 'src0' THEN 'ambiguous-module-candidates' END AS reason
+  FROM x LEFT JOIN s t ON t.doc_id = x.doc_id + 1 AND x.lang IN ('en', 'test')),
+ e AS (SELECT from_path, 'v' AS from_name, coalesce(path, specifier) AS to_path, 'v' AS to_name FROM r), d AS (SELECT path, 'v' AS name FROM s WHERE lang = 'de')"""
+
+
+def script_sources(spark, sf_dir):
+    """path, text of the sources that SCRIPTS says, each with the document's first line as a comment and an import within a string."""
+    d = co.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.substring_index("text", "\n", 1).alias("line"))
+    n, index = F.col("doc_id").cast("string"), F.col("source") == "src1"
+    path = F.concat(F.lit("src/"), n, F.when(index, "/index.ts").otherwise(".ts"))
+    to = F.when(F.col("lang") == "en", F.concat(F.when(index, "../").otherwise("./"), (F.col("doc_id") + 1).cast("string"))).when(F.col("lang") == "fr", "./gone").otherwise("react")
+    head = F.concat(F.lit("// import { no } from './no' "), "line", F.lit("\nconst s = \"import './not'\";\n"))
+    body = F.when(F.col("lang") == "de", "export function v(a: number) {\n  return call(s);\n}\n").otherwise(F.concat(F.lit("export {\n  v,\n} from '"), to, F.lit("';\n")))
+    test = F.when(F.col("lang") == "en", F.concat(F.lit("import { v } from '../src/"), n, F.lit("';\n"))).otherwise("")
+    cases = F.concat(test, F.lit('describe("of '), n, F.lit('", () => {\n  it.only("works", () => { v(); });\n  test("twice", f);\n  x.test("not");\n});\n'))
+    return (
+        d.select(path.alias("path"), F.concat(head, body).alias("text"))
+        .unionByName(d.filter("source = 'src0'").select(F.concat(F.lit("src/"), n, F.lit(".js")).alias("path"), F.lit("").alias("text")))
+        .unionByName(d.filter("lang in ('en', 'es')").select(F.concat(F.lit("tests/"), n, F.lit(".test.ts")).alias("path"), cases.alias("text")))
+    )
+
+
+@query(f"WITH {SCRIPTS} SELECT from_path, kind, specifier, imported, local FROM (SELECT from_path, CASE WHEN lang = 'test' THEN 'import' ELSE 're-export' END AS kind, specifier, 'v' AS imported, 'v' AS local FROM x UNION ALL SELECT path, 'export', '', 'v', 'v' FROM s WHERE lang = 'de')")
+def module_facts(spark, sf_dir):
+    """Imports, exports and re-exports of script sources; comments and strings have none."""
+    s = script_sources(spark, sf_dir)
+    return s.select(F.col("path").alias("from_path"), F.inline(md.facts(F.col("path"), F.col("text")))).select("from_path", "kind", "specifier", "imported", "local")
+
+
+@query(f"""WITH RECURSIVE {SCRIPTS},
  w AS (SELECT from_path AS start_path, from_name AS start_name, from_path AS path, from_name AS name, 0 AS hops, [from_path || ':' || from_name] AS seen, FALSE AS cycle FROM e
   UNION ALL SELECT w.start_path, w.start_name, e.to_path, e.to_name, hops + 1, list_append(seen, e.to_path || ':' || e.to_name), list_contains(seen, e.to_path || ':' || e.to_name) FROM w JOIN e ON w.path = e.from_path AND w.name = e.from_name WHERE hops < 8 AND NOT cycle),
  l AS (SELECT *, row_number() OVER (PARTITION BY start_path, start_name ORDER BY hops DESC) AS r FROM w)
  SELECT start_path, start_name, path AS end_path, hops, CASE WHEN cycle THEN 'circular-re-export' WHEN EXISTS (SELECT 1 FROM d WHERE d.path = l.path AND d.name = l.name) THEN 'resolved' WHEN EXISTS (SELECT 1 FROM e WHERE e.from_path = l.path AND e.from_name = l.name) THEN 'hop-budget-exhausted' ELSE 'missing-or-excluded-module' END AS status FROM l WHERE r = 1""")
 def import_trace(spark, sf_dir):
-    """Traces along import edges, eight hops at most, cycles and missing ends told apart (on a small made-up graph)."""
-    return gr.traced(spark.sql(EDGES), spark.sql(DECLARED))
+    """Traces along the import edges of script sources, eight hops at most, cycles and missing ends told apart."""
+    edges, declared, _ = gr.module_edges(script_sources(spark, sf_dir))
+    return gr.traced(edges, declared)
 
 
-@query("""WITH f(path) AS (VALUES ('src/a.ts'), ('src/b.ts'), ('src/b.js'), ('src/c/index.ts'), ('src/d.tsx')), s(from_path, specifier) AS (VALUES ('src/a.ts', './b'), ('src/a.ts', './c'), ('src/a.ts', './d.jsx'), ('src/a.ts', './none'), ('src/a.ts', 'react'))
- SELECT * FROM (VALUES ('src/a.ts', './b', NULL, 'ambiguous-module-candidates'), ('src/a.ts', './c', 'src/c/index.ts', NULL), ('src/a.ts', './d.jsx', 'src/d.tsx', NULL), ('src/a.ts', './none', NULL, 'missing-or-excluded-module'), ('src/a.ts', 'react', NULL, 'external-package-or-path-alias-unsupported')) t(from_path, specifier, path, reason)""")
+@query(f"WITH {SCRIPTS} SELECT from_path, specifier, path, reason FROM r")
 def module_candidates(spark, sf_dir):
-    """The candidate paths of module specifiers; exactly one existing file resolves (on a small made-up list)."""
-    files = spark.sql("SELECT * FROM VALUES ('src/a.ts'), ('src/b.ts'), ('src/b.js'), ('src/c/index.ts'), ('src/d.tsx') AS t(path)")
-    asked = spark.sql("SELECT * FROM VALUES ('src/a.ts', './b'), ('src/a.ts', './c'), ('src/a.ts', './d.jsx'), ('src/a.ts', './none'), ('src/a.ts', 'react') AS t(from_path, specifier)")
-    return gr.resolved_modules(asked, files)
+    """The candidate files of module specifiers; exactly one existing file resolves."""
+    return gr.module_edges(script_sources(spark, sf_dir))[2]
+
+
+@query(f"""WITH {SCRIPTS}, links AS (SELECT DISTINCT from_path, path FROM r WHERE path IS NOT NULL), direct AS (SELECT from_path AS test_path, path FROM links WHERE starts_with(from_path, 'tests/')),
+ every AS (SELECT test_path, path, 0 AS k FROM direct UNION ALL SELECT test_path, l.path, 1 FROM direct t JOIN links l ON l.from_path = t.path
+  UNION ALL SELECT 'tests/' || doc_id || '.test.ts', p, 2 FROM (SELECT doc_id, CASE WHEN source = 'src1' THEN NULL ELSE path END AS p FROM s WHERE lang IN ('en', 'es') UNION ALL SELECT doc_id, 'src/' || doc_id || '.js' FROM s WHERE source = 'src0' AND lang IN ('en', 'es')) WHERE p IS NOT NULL)
+ SELECT test_path, path, ['direct', 'indirect', 'weak'][min(k) + 1] AS relation FROM every GROUP BY test_path, path""")
+def test_relation(spark, sf_dir):
+    """Which tests are of which files: by import, by an import's import, or by name only."""
+    s = script_sources(spark, sf_dir)
+    return gr.test_relations(s, gr.module_edges(s)[2])
+
+
+@query("SELECT 'tests/' || doc_id || '.test.ts' AS path, kind, name, line + CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS line FROM documents, (VALUES ('describe', 1), ('test', 2), ('test', 3)) t(kind, line), LATERAL (SELECT CASE line WHEN 1 THEN 'of ' || doc_id WHEN 2 THEN 'works' ELSE 'twice' END AS name) WHERE lang IN ('en', 'es')")
+def test_recognizer(spark, sf_dir):
+    """The test cases of test files."""
+    s = script_sources(spark, sf_dir).filter(F.col("path").rlike(md.TEST_PATH))
+    return s.select("path", F.inline(md.tests(F.col("path"), F.col("text")))).select("path", "kind", "name", "line")
+
+
+@query(f"WITH {SCRIPTS} SELECT path, 'v' AS name, 'function' AS kind, 3 AS start_line, 5 AS end_line, '' AS scope FROM s WHERE lang = 'de'")
+def script_outline(spark, sf_dir):
+    """Declarations of script sources, lexically."""
+    s = script_sources(spark, sf_dir).filter(F.startswith("path", F.lit("src/")))
+    return s.select("path", F.inline(md.outline(F.col("path"), F.col("text"))))
+
+
+@query(f"WITH {SCRIPTS} SELECT path, role, n FROM s, (VALUES ('comment', 1, 1, 1), ('string', 1, 2, 2), ('import', 0, 1, 1), ('declaration', 2, 1, 1), ('call', 1, 0, 0)) t(role, a, b, n0), LATERAL (SELECT CASE WHEN lang = 'de' THEN a ELSE b END AS n) WHERE n > 0")
+def script_roles(spark, sf_dir):
+    """Lexical roles of script sources, counted for each file."""
+    s = script_sources(spark, sf_dir).filter(F.startswith("path", F.lit("src/")))
+    return s.select("path", F.inline(md.roles(F.col("path"), F.col("text")))).filter("role != 'code'").groupBy("path", "role").agg(F.count("*").alias("n"))

@@ -121,27 +121,25 @@ def support_excerpt(spark, sf_dir):
     return d.select("path", F.col("k").cast("long").alias("line_no"), F.array_join(F.slice("l", first, F.col("k") + 2 - first + 1), "\n").alias("support"))
 
 
-NAMES = "('getUserName'), ('snake_case'), ('Plain'), ('plain'), ('two words'), ('X'), ('$x_1'), ('9a_b')"
-
-
-@query(f"SELECT name, regexp_matches(name, '^[A-Za-z_$][A-Za-z0-9_$]*$') AND regexp_matches(name, '[a-z][A-Z]|_|^[A-Z].*[a-z]') AS identifier FROM (VALUES {NAMES}) t(name)")
+@query(f"""WITH {SRC}, w AS (SELECT doc_id, unnest([lang || 'Of' || source, lang || '_' || source, upper(lang) || source, source, lang || ' ' || source, '$' || lang || '_1', doc_id || 'a_b', string_split(text, ' ')[1]]) AS name FROM src)
+ SELECT name, count(*) AS n, regexp_matches(name, '^[A-Za-z_$][A-Za-z0-9_$]*$') AND regexp_matches(name, '[a-z][A-Z]|_|^[A-Z].*[a-z]') AS identifier FROM w GROUP BY name""")
 def identifier_queries(spark, sf_dir):
-    """Which queries are a single code-shaped identifier (on a small list)."""
-    n = spark.sql(f"SELECT * FROM VALUES {NAMES} AS t(name)")
-    return n.select("name", (F.col("name").rlike(r"^[A-Za-z_$][\w$]*$") & F.col("name").rlike(r"[a-z][A-Z]|_|^[A-Z].*[a-z]")).alias("identifier"))
-
-
-DENIED = ["etc/shadow", ".ssh/", ".aws/credentials", "proc/"]
+    """Which queries are a single code-shaped identifier (names made of documents' fields, and their first words)."""
+    d, c = documents(spark, sf_dir), F.concat
+    lang, source = F.col("lang"), F.col("source")
+    made = [c(lang, F.lit("Of"), source), c(lang, F.lit("_"), source), c(F.upper(lang), source), source, c(lang, F.lit(" "), source), c(F.lit("$"), lang, F.lit("_1")), c(F.col("doc_id").cast("string"), F.lit("a_b")), F.split("text", " ", -1)[0]]
+    n = d.select(F.explode(F.array(*made)).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return n.select("name", "n", (F.col("name").rlike(r"^[A-Za-z_$][\w$]*$") & F.col("name").rlike(r"[a-z][A-Z]|_|^[A-Z].*[a-z]")).alias("identifier"))
 
 
-@query(f"SELECT path, NOT list_has_any(list_transform({DENIED!r}, lambda d: contains('/' || path, '/' || d)), [TRUE]) AS allowed FROM (VALUES ('etc/shadow'), ('home/u/.ssh/id'), ('src/proc.c'), ('proc/1/mem'), ('x/.aws/credentials'), ('docs/etc.md')) t(path)")
+@query(f"""WITH {SRC}, p AS (SELECT CASE source WHEN 'src0' THEN 'home/' || lang || '/.ssh/' || doc_id WHEN 'src1' THEN 'proc/' || doc_id || '/mem' WHEN 'src2' THEN 'src/proc' || doc_id || '.c' WHEN 'src3' THEN lang || '/.aws/credentials' ELSE path END AS path FROM src)
+ SELECT path, NOT list_has_any(list_transform({tx.DENIED!r}, lambda d: contains('/' || path, '/' || d)), [TRUE]) AS allowed FROM p""")
 def protected_paths(spark, sf_dir):
-    """paths of credentials and system roots are never read (on a small list)."""
-    p = spark.sql("SELECT * FROM VALUES ('etc/shadow'), ('home/u/.ssh/id'), ('src/proc.c'), ('proc/1/mem'), ('x/.aws/credentials'), ('docs/etc.md') AS t(path)")
-    denied = F.lit(False)
-    for d in DENIED:
-        denied |= F.contains(F.concat(F.lit("/"), "path"), F.lit("/" + d))
-    return p.select("path", (~denied).alias("allowed"))
+    """paths of credentials and system roots are never read (documents at such paths, by their source)."""
+    d, c, n = documents(spark, sf_dir), F.concat, F.col("doc_id").cast("string")
+    at = lambda k: F.col("source") == k
+    path = F.when(at("src0"), c(F.lit("home/"), "lang", F.lit("/.ssh/"), n)).when(at("src1"), c(F.lit("proc/"), n, F.lit("/mem"))).when(at("src2"), c(F.lit("src/proc"), n, F.lit(".c"))).when(at("src3"), c("lang", F.lit("/.aws/credentials"))).otherwise(F.col("path"))
+    return d.select(path.alias("path")).select("path", (~tx.is_protected(F.col("path"))).alias("allowed"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM documents), w AS (SELECT doc_id, n, unnest(range(0, greatest(1, CAST(ceil((n - 64) / 192.0) AS BIGINT)))) AS k FROM t)

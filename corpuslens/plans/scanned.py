@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuslens.functions import modules as md
 from corpuslens.functions import scanners as sc
 from corpuslens.operators import compare as cm
+from corpuslens.operators import intervals as iv
 from corpuslens.plans.comparisons import VERSIONS
 from corpuslens.sources import corpus as co
 
@@ -32,21 +34,48 @@ def changed_line_ranges(spark, sf_dir):
     return pairs.select("path", sc.changed_line_ranges(F.col("a"), F.col("b")).alias("r")).select("path", F.col("r.old").alias("old"), F.col("r.new").alias("new"))
 
 
-PYTHON = 'import os\\nclass A(B):\\n    """Doc # no."""\\n    def f(self, x=(1,\\n        2)):\\n        return g(x)  # call\\n\\n    async def h(self): pass\\ndef top():\\n    def inner():\\n        return os.path.join("a")\\n    return inner\\nx = 1\\n'
+PYTHON = f"""{VERSIONS}, py AS (SELECT doc_id, 'py/' || doc_id || '.py' AS path, string_split(text, chr(10)) AS l FROM src), k AS (SELECT doc_id, path, unnest(range(1, len(l) + 1)) AS i, len(l) AS n FROM py)"""
 
 
-@query("SELECT * FROM (VALUES ('a.py', 'A', 'class', 2, 8, ''), ('a.py', 'f', 'method', 4, 7, 'A'), ('a.py', 'h', 'method', 8, 8, 'A'), ('a.py', 'top', 'function', 9, 12, ''), ('a.py', 'inner', 'function', 10, 11, 'top')) t(path, name, kind, start_line, end_line, scope)")
+def python_sources(spark, sf_dir):
+    """path, text: a class for each document, a method for each of its lines, with the line as a comment, a call and a nested function."""
+    d = co.table(spark, sf_dir, "documents")
+    method = lambda x, i: F.concat(F.lit("    def m"), (i + 1).cast("string"), F.lit("(self,\n            x=(1, 2)):\n        # def no(): "), x, F.lit("\n        def inner():\n            return 'class No:'\n        return call(x)\n"))
+    body = F.array_join(F.transform(F.split("text", "\n", -1), method), "")
+    return d.select(F.concat(F.lit("py/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("import os\nclass D"), F.col("doc_id").cast("string"), F.lit("(Base):\n"), body).alias("text"))
+
+
+@query(f"""WITH {PYTHON} SELECT path, 'D' || doc_id AS name, 'class' AS kind, 2 AS start_line, 3 + 6 * len(l) AS end_line, '' AS scope FROM py
+ UNION ALL SELECT path, 'm' || i, 'method', 3 + 6 * (i - 1), 2 + 6 * i + CASE WHEN i = n THEN 1 ELSE 0 END, 'D' || doc_id FROM k UNION ALL SELECT path, 'inner', 'function', 6 + 6 * (i - 1), 1 + 6 * i, 'D' || doc_id || '.m' || i FROM k""")
 def python_outline(spark, sf_dir):
-    """Declarations of Python text, by indentation (on a small made-up source)."""
-    src = spark.sql(f"SELECT 'a.py' AS path, '{PYTHON}' AS text")
-    return src.select("path", F.inline(sc.python_outline(F.col("text"))))
+    """Declarations of Python text, by indentation."""
+    return python_sources(spark, sf_dir).select("path", F.inline(sc.python_outline(F.col("text"))))
 
 
-@query("SELECT * FROM (VALUES ('comment', 1), ('string', 2), ('import', 1), ('declaration', 5), ('call', 2)) t(role, n)")
+@query(f"WITH {PYTHON} SELECT path, role, n FROM (SELECT path, 'import' AS role, 1 AS n FROM py UNION ALL SELECT path, 'declaration', 1 + 2 * len(l) FROM py UNION ALL SELECT path, unnest(['comment', 'string', 'call']), len(l) FROM py)")
 def python_roles(spark, sf_dir):
-    """Lexical roles of Python text, counted (on the same source)."""
-    src = spark.sql(f"SELECT '{PYTHON}' AS text")
-    return src.select(F.inline(sc.python_roles(F.col("text")))).filter("role != 'code'").groupBy("role").agg(F.count("*").alias("n"))
+    """Lexical roles of Python text, counted for each file."""
+    return python_sources(spark, sf_dir).select("path", F.inline(sc.python_roles(F.col("text")))).filter("role != 'code'").groupBy("path", "role").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {PYTHON} SELECT path, name, own_lines FROM (SELECT path, 'm' || i AS name, CASE WHEN i = n THEN 5 ELSE 4 END AS own_lines FROM k UNION ALL SELECT path, 'inner', 2 FROM k)")
+def own_code(spark, sf_dir):
+    """A10: the lines of each function that aren't a nested one's."""
+    rows = python_sources(spark, sf_dir).select("path", F.inline(md.own(F.col("path"), F.col("text"))))
+    return rows.select("path", "name", (F.regexp_count("own", F.lit("\n")) + 1).alias("own_lines"))
+
+
+@query(f"WITH {PYTHON}, r AS (SELECT path, 3 + 6 * (i - 1) + 5 AS line_no, 'm' || i AS inside FROM k) SELECT path, line_no, inside FROM r")
+def calls_within_functions(spark, sf_dir):
+    """The smallest declaration around each line with a call, from outlines and roles."""
+    s = python_sources(spark, sf_dir)
+    roles = s.select("path", "text", F.explode(sc.python_roles(F.col("text"))).alias("r")).filter("r.role = 'call'")
+    line = F.regexp_count(F.substring("text", F.lit(1), F.col("r.start")), F.lit("\n")) + 1
+    calls = roles.select(F.col("path"), line.cast("long").alias("start")).select("path", F.concat_ws(":", "path", "start").alias("id"), "start", (F.col("start") + 1).alias("end"))
+    spans = s.select("path", F.inline(sc.python_outline(F.col("text")))).select("path", F.lit("x").alias("category"), F.col("start_line").cast("long").alias("start"), (F.col("end_line") + 1).cast("long").alias("end"), "name")
+    near = iv.nearest_enclosing(calls, spans, "path", cell=64)
+    at = near.select(F.regexp_extract("id", r"^(.*):\d+$", 1).alias("path"), F.regexp_extract("id", r":(\d+)$", 1).cast("long").alias("line_no"), F.col("o_start").alias("start"), F.col("o_end").alias("end"))
+    return at.join(spans, ["path", "start", "end"]).select("path", "line_no", F.col("name").alias("inside"))
 
 
 @query()

@@ -17,21 +17,24 @@ FIELDS = {
     "audit": (*COMMON, "patterns", *FILTERS, "ignorePolicy"),
     "concept": (*COMMON, "query", *FILTERS),
     "hybrid": (*COMMON, "query", *FILTERS, "conceptLimit", "ranking"),
-    "inspect": (*COMMON, "path", "line", "cursor", "matchIndex", "targets"),
+    "inspect": (*COMMON, "path", "line", "context", "targets"),
     "outline": (*COMMON, "path", "symbol"),
     "imports": (*COMMON, *FILTERS, "symbol"),
-    "tests": (*COMMON, *FILTERS, "symbol"),
+    "tests": (*COMMON, *FILTERS),
     "structure": (*COMMON, "pattern", *FILTERS),
-    "validate": (*COMMON, "cursor"),
+    "validate": COMMON,
     "capabilities": (*COMMON, *FILTERS),
     "source-list": COMMON,
     "source-search": (*COMMON, "query", "limit", "pageToken"),
     "source-read": (*COMMON, "recordId", "revision"),
 }
-REQUIRED = {"files": (), "audit": ("patterns",), "concept": ("query",), "hybrid": ("query",), "inspect": ("path",), "outline": ("path",), "structure": ("pattern",), "source-search": ("query",), "source-read": ("recordId", "revision")}
+REQUIRED = {"files": (), "audit": ("patterns",), "concept": ("query",), "hybrid": ("query",), "outline": ("path",), "structure": ("pattern",), "source-search": ("query",), "source-read": ("recordId", "revision")}
 RANGES = {"context": (0, 20), "limit": (1, 100), "conceptLimit": (1, 20)}
-MOST = {"anyOf": (1, 64), "allOf": (1, 3), "patterns": (1, 32), "glob": (1, 64), "exclude": (1, 64), "paths": (1, 20)}
+MOST = {"anyOf": (1, 64), "allOf": (1, 3), "patterns": (1, 32), "glob": (1, 64), "exclude": (1, 64), "paths": (1, 20), "targets": (1, 20)}
 TERM_BYTES = 256
+ROLES = ("comment", "string", "code", "import", "declaration", "call")
+#: Fields of an ordinary search that can't go together: the first says what the others don't do.
+APART = {"anyOf": ("roles", "context"), "allOf": ("roles", "context"), "changes": ("context",), "roles": ("context",)}
 
 
 class RequestError(ValueError):
@@ -77,6 +80,15 @@ def validated(request: dict) -> dict:
             raise RequestError("E_FIELD_MISSING", "one of pattern, anyOf, allOf, changes or cursor is needed")
         if len([k for k in given if k in ("pattern", "anyOf", "allOf")]) > 1:
             raise RequestError("E_FIELD_CONFLICT", "only one of pattern, anyOf and allOf")
+    for k, others in APART.items():
+        if request.get(k) and (clash := [o for o in others if request.get(o)]):
+            raise RequestError("E_FIELD_CONFLICT", f"{k} does not go with {', '.join(clash)}", f"leave out {clash[0]}")
+    if unknown := set(request.get("roles", ())) - set(ROLES):
+        raise RequestError("E_ROLE_UNKNOWN", f"no role {sorted(unknown)}", "roles: " + ", ".join(ROLES))
+    if "resultTokenBudget" in request and not (isinstance(request["resultTokenBudget"], int) and request["resultTokenBudget"] > 0):
+        raise RequestError("E_RANGE", "resultTokenBudget must be a positive number")
+    if mode == "inspect" and not (request.get("path") or request.get("targets")):
+        raise RequestError("E_FIELD_MISSING", "mode inspect needs path or targets")
     for k, (low, high) in RANGES.items():
         if k in request and not (isinstance(request[k], int) and low <= request[k] <= high):
             raise RequestError("E_RANGE", f"{k} must be from {low} to {high}")

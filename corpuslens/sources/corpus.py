@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuslens.functions import modules as md
 from corpuslens.functions import text as tx
 
 #: Extensions of the media inventory.
@@ -154,3 +155,29 @@ def media_inventory(files: DataFrame, most_files: int = 512, most_bytes: int = 2
     return media.join(fits.select("path", so_far.alias("so_far")), "path", "left").select(
         "path", "size", "kind", F.when(F.col("size") > most_bytes, "too-large").when(F.col("so_far").isNull(), "file-limit").when(F.col("so_far") > most_total, "total-limit").otherwise("admitted").alias("status")
     )
+
+
+def matches_with_context(sources: DataFrame, pattern: str, context: int, **how) -> DataFrame:
+    """path, line_no, line, context: each matching line with `context` lines on either side, of its file. Matches are found within the
+    document's row, so its lines are copied for matches only."""
+    if how.get("literal") and "\n" not in pattern:
+        sources = sources.filter(tx.line_matches(F.col("text"), pattern, **how))
+    arr = sources.select("path", tx.lines_of(F.col("text")).alias("l"))
+    at = F.array_compact(F.transform("l", lambda x, i: F.when(tx.line_matches(x, pattern, **how), i + 1)))
+    hits = arr.select("path", "l", F.explode(at).alias("line_no"))
+    first = F.greatest(F.lit(1), F.col("line_no") - context)
+    return hits.select("path", "line_no", F.col("l")[F.col("line_no") - 1].alias("line"), F.array_join(F.slice("l", first, F.col("line_no") + context - first + 1), "\n").alias("context"))
+
+
+def role_lines(sources: DataFrame, pattern: str, wanted: list[str], **how) -> DataFrame:
+    """path, line_no, line of the lines with a match that lies within one of the wanted lexical roles. A source of no known language
+    has no roles, so it has no such line."""
+    known = sources.filter(tx.extension(F.col("path")).isin(*(e for ends in md.LANGUAGES.values() for e in ends)))
+    if how.get("literal") and "\n" not in pattern:
+        known = known.filter(tx.line_matches(F.col("text"), pattern, **how))
+    spans = known.select("path", "text", F.filter(md.roles(F.col("path"), F.col("text")), lambda r: r["role"].isin(*wanted)).alias("spans")).filter(F.size("spans") > 0)
+    found = tx.occurrences(F.col("text"), tx.compiled_pattern(pattern, **how).replace("(?d", "(?dm", 1), F.length, ("start", "end"))
+    hits = spans.select("path", "text", "spans", F.explode(found).alias("o")).filter(F.exists("spans", lambda r: (r["start"] <= F.col("o.start")) & (F.col("o.end") <= r["end"])))
+    line_no = F.regexp_count(F.substring("text", F.lit(1), F.col("o.start").cast("int")), F.lit("\n")) + 1
+    numbered = hits.select("path", line_no.alias("line_no"), "text").dropDuplicates(["path", "line_no"])
+    return numbered.select("path", "line_no", F.split("text", "\n", -1)[F.col("line_no") - 1].alias("line"))
