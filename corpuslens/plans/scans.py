@@ -150,10 +150,10 @@ def admission_status(spark, sf_dir):
     return d.select("doc_id", status.alias("status"), F.col("text").rlike(r"\r(?!\n)").alias("bare_cr"))
 
 
-@query(f"WITH {SRC} SELECT path, sha256(text) AS content_hash, strlen(text) AS size FROM src ORDER BY path LIMIT 500")
+@query(f"WITH {SRC} SELECT path, sha256(text) AS content_hash, strlen(text) AS size FROM src")
 def file_enumeration(spark, sf_dir):
-    """The first sources by path, with their hash and size (a cap of the feature itself)."""
-    return co.enumerated(documents(spark, sf_dir), max_files=500).select("path", F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("size"))
+    """All sources with their hash and size."""
+    return co.enumerated(documents(spark, sf_dir)).select("path", F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("size"))
 
 
 @query("SELECT doc_id, source FROM documents WHERE list_contains(['src1', 'src7'], source)")
