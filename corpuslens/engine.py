@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,13 +50,15 @@ class Result:
     notes: list[str] = field(default_factory=list)
     page_bytes: int = PAGE_BYTES
     id: str = field(default_factory=lambda: uuid.uuid4().hex)
+    start: int = 0
 
     @property
     def complete(self) -> bool:
         return set(self.coverage.values()) <= {"complete", "not-applicable"}
 
-    def page(self, offset: int = 0) -> tuple[list[dict], str | None]:
-        """Up to page_size rows from the offset, as dicts with sensitive text redacted last, and the next page's cursor."""
+    def page(self, offset: int | None = None) -> tuple[list[dict], str | None]:
+        """Up to page_size rows from the offset (that of the request's cursor, if none is given), as dicts with sensitive text redacted last, and the next page's cursor."""
+        offset = self.start if offset is None else offset
         rows = rk.ranked(self.evidence, self.order, "row_", offset + self.page_size + 1).filter(F.col("row_") > offset).orderBy("row_").collect()
         more = len(rows) > self.page_size
         out, size = [], 0
@@ -72,6 +74,11 @@ class Result:
     def count(self) -> int:
         return self.evidence.count()
 
+    def save(self, path: str) -> None:
+        """The whole evidence as Parquet, its text redacted as a page's is."""
+        text = {f.name for f in self.evidence.schema.fields if f.dataType.simpleString() == "string"}
+        self.evidence.select(*(sc.redaction(F.col(c))["shown"].alias(c) if c in text else F.col(c) for c in self.evidence.columns)).write.parquet(path)
+
 
 class Engine:
     def __init__(self, spark: SparkSession, sources: DataFrame, *, versions: dict[str, DataFrame] | None = None, records: DataFrame | None = None, edges: tuple[DataFrame, DataFrame] | None = None, embedder: Callable | None = None, vectors: DataFrame | None = None):
@@ -83,7 +90,8 @@ class Engine:
         r, notes = normalized(request)
         validated(r)
         if "cursor" in r:
-            return self.results[parse_cursor(r["cursor"]).id]
+            found, c = self._stored(r["cursor"])
+            return replace(found, start=c.offset, notes=notes + found.notes)
         mode = r.get("mode", "auto")
         if mode in UNAVAILABLE:
             result = Result(self.spark.createDataFrame([], "path string"), ["path"], "analysis", coverage={"parser": "unavailable"})
@@ -101,10 +109,17 @@ class Engine:
         return result
 
     def next_page(self, cursor: str) -> tuple[list[dict], str | None]:
+        found, c = self._stored(cursor)
+        return found.page(c.offset)
+
+    def _stored(self, cursor: str) -> tuple[Result, Cursor]:
+        """The result that a cursor is of; kind and selection must be those it was made with."""
         c = parse_cursor(cursor)
         if c.id not in self.results:
             raise RequestError("E_CURSOR_NOT_FOUND", "the search of this cursor is gone", "start a new search")
-        return self.results[c.id].page(c.offset)
+        if c.kind != self.results[c.id].kind or c.selection != "all":
+            raise RequestError("E_CURSOR_MISMATCH", "this cursor is of another kind of result or selection", "use the cursor as it was given")
+        return self.results[c.id], c
 
     # --- admission ---------------------------------------------------------------------------------------------------
 
@@ -121,7 +136,8 @@ class Engine:
             df, coverage["time"] = df.filter(known), "partial"
         if "paths" in r:
             df = df.filter(F.col("path").isin(*r["paths"]))
-        return df.filter(~F.contains("text", F.lit("\0")) & ~tx.is_protected(F.col("path"))), coverage
+        df = df if r.get("text") else df.filter(~F.contains("text", F.lit("\0")))  # an audit may ask for binary sources as text
+        return df.filter(~tx.is_protected(F.col("path"))), coverage
 
     def _missing(self, r: dict) -> list[str]:
         """A note on asked paths that aren't there. At most twenty paths are asked for."""
@@ -226,13 +242,16 @@ class Engine:
 
     def _files(self, r: dict) -> Result:
         docs, coverage = self._admitted(r, r.get("path"))
-        query = r.get("query", "").strip()
-        if set(query) <= set("*/.") or any(c in query for c in "*?["):
-            keep = tx.globs_admit(F.col("path"), [query], []) if set(query) - set("*/.") else F.lit(True)
-            scored = docs.filter(keep).select("path", F.lit(0).alias("score"))
+        query, notes = r.get("query", "").strip(), []
+        if set(query) <= set("*/."):
+            scored, notes = docs.select("path", F.lit(0).alias("score")), [f"{query!r} lists every file"] if query else []
+        elif set(query) & set("*?["):
+            if r.get("glob") or set(query) & set("^$()|\\+ \t") or ".*" in query:
+                raise RequestError("E_QUERY", "a file query is a name, a path or one glob, no regular expression", "give glob, or leave out query")
+            scored, notes = docs.filter(tx.globs_admit(F.col("path"), [query], [])).select("path", F.lit(0).alias("score")), [f"{query!r} was taken as a glob"]
         else:
             scored = docs.select("path", tx.file_score(F.col("path"), query).alias("score")).filter("score is not null")
-        return Result(scored, [F.desc("score"), "path"], "analysis", r.get("limit", SUMMARY_PAGE), coverage)
+        return Result(scored, [F.desc("score"), "path"], "analysis", r.get("limit", SUMMARY_PAGE), coverage, notes)
 
     def _audit(self, r: dict) -> Result:
         docs, coverage = self._admitted(r, r.get("path"))
@@ -321,18 +340,18 @@ class Engine:
 
     def _capabilities(self, r: dict) -> Result:
         docs, coverage = self._admitted(r, r.get("path"))
-        ext = tx.extension(F.col("path"))
-        language = F.lit("none")
-        for name, ends in md.LANGUAGES.items():
-            language = F.when(ext.isin(*ends), name).otherwise(language)
-        can = F.when(language == "python", "outline,roles,tests").when(language == "script", "outline,roles,imports,tests").when(language == "go", "outline,roles,tests").otherwise("")
-        return Result(docs.groupBy(ext.alias("extension"), language.alias("language"), can.alias("capabilities")).agg(F.count("*").alias("files")), [F.desc("files"), "extension"], "analysis", SUMMARY_PAGE, coverage)
+        return Result(cm.capabilities(docs), [F.desc("files"), "extension"], "analysis", SUMMARY_PAGE, coverage)
 
     def _source_list(self, r: dict) -> Result:
         return Result(self.spark.sql("SELECT 'records' AS id, 'search,read' AS operations"), ["id"], "analysis", SUMMARY_PAGE, {"sources": "complete" if self.records is not None else "not-applicable"})
 
+    def _records(self) -> DataFrame:
+        if self.records is None:
+            raise RequestError("E_SOURCES_UNAVAILABLE", "the engine was given no records")
+        return self.records
+
     def _source_search(self, r: dict) -> Result:
-        return Result(co.record_search(self.records, r["query"], r.get("limit", 5), r.get("pageToken")).select("id", "title"), ["id"], "analysis", 50, {"records": "complete"})
+        return Result(co.record_search(self._records(), r["query"], r.get("limit", 5), r.get("pageToken")).select("id", "title"), ["id"], "analysis", 50, {"records": "complete"})
 
     def _source_read(self, r: dict) -> Result:
-        return Result(co.record_read(self.records, r["recordId"], r["revision"]), ["id"], "analysis", 1, {"records": "complete"})
+        return Result(co.record_read(self._records(), r["recordId"], r["revision"]), ["id"], "analysis", 1, {"records": "complete"})

@@ -102,6 +102,21 @@ def utf16_length(text: Column) -> Column:
     return F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
 
 
+def byte_pages(text: Column, most: int) -> Column:
+    """array<struct<byte_start,byte_end>>: the text's UTF-8 bytes in pieces of at most `most` (4 or more), each as long as it can be
+    without a character cut in two. Of an empty text, none; of null, null."""
+
+    def cut(raw: Column) -> Column:
+        n = F.octet_length(raw)
+        inside = lambda p: F.hex(F.substring(raw, p + 1, F.lit(1))).between("80", "BF")  # noqa: E731  a byte within a character
+        snapped = lambda p: F.when(p >= n, n).when(~inside(p), p).when(~inside(p - 1), p - 1).when(~inside(p - 2), p - 2).otherwise(p - 3)
+        steps = F.sequence(F.lit(0), F.ceil(n / F.lit(most - 3)).cast("int"))
+        ends = F.aggregate(steps, F.array(F.lit(0)), lambda acc, _: F.when(F.element_at(acc, -1) >= n, acc).otherwise(F.concat(acc, F.array(snapped(F.element_at(acc, -1) + most)))))
+        return let(ends, lambda e: F.zip_with(F.slice(e, F.lit(1), F.size(e) - 1), F.slice(e, F.lit(2), F.size(e) - 1), lambda a, b: F.struct(a.cast("long").alias("byte_start"), b.cast("long").alias("byte_end"))))
+
+    return let(F.encode(text, "UTF-8"), cut)
+
+
 # --- projections ----------------------------------------------------------------------------------------------------
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.functions import modules as md
 from corpuslens.functions import text as tx
+from corpuslens.operators import ranking as rk
 from corpuslens.sources.shared import written
 
 
@@ -116,6 +118,43 @@ def audit(lines: DataFrame, literals: list[str], n_files: Column | None = None,
     return out.select("pattern", F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("evidence", F.lit("")).alias("evidence"), F.when(F.col("matches") > 0, "present").otherwise(absent).alias("status"))
 
 
+def capabilities(sources: DataFrame) -> DataFrame:
+    """extension, language, capabilities, files: what can be said of sources, by their extension."""
+    ext, language, can = tx.extension(F.col("path")), F.lit("none"), F.lit("")
+    for name, ends in md.LANGUAGES.items():
+        language = F.when(ext.isin(*ends), name).otherwise(language)
+        can = F.when(ext.isin(*ends), ",".join(md.CAPABILITIES[name])).otherwise(can)
+    return sources.groupBy(ext.alias("extension"), language.alias("language"), can.alias("capabilities")).agg(F.count("*").alias("files"))
+
+
+def closure(before: DataFrame, after: DataFrame, most_bytes: int) -> DataFrame:
+    """folder, closed, searched, skipped of two scans (path, size, content_hash): a folder is closed if every source of it is the same
+    in both and none was passed over for its size; searched is the lesser of the scans' counts."""
+    b = before.select("path", F.col("size").alias("b_size"), F.col("content_hash").alias("b_hash"))
+    a = after.select("path", F.col("size").alias("a_size"), F.col("content_hash").alias("a_hash"))
+    fits = lambda c: F.sum(F.coalesce((F.col(c) <= most_bytes).cast("long"), F.lit(0)))
+    same = F.coalesce(F.col("b_hash") == F.col("a_hash"), F.lit(False))
+    return b.join(a, "path", "left").groupBy(tx.directory(F.col("path")).alias("folder")).agg(F.bool_and(same & (F.col("b_size") <= most_bytes)).alias("closed"), F.least(fits("b_size"), fits("a_size")).alias("searched"), F.sum((F.col("b_size") > most_bytes).cast("long")).alias("skipped"))
+
+
+def bounded_reasons(rows: DataFrame, key: str, most: int = 64, most_bytes: int = 4094) -> DataFrame:
+    """key, reasons, omitted, unsupported, examples: a group's distinct reasons in order while they fit the bounds (one that doesn't fit
+    is passed over), how many were left out, and those of unsupported sources as a count with three examples.
+
+    rows: the key, name, reason, unsupported. A group's reasons are distinct before they meet; at most some 1,000 fit the bytes."""
+    rows = written(rows, "reasons")
+    distinct = written(rows.filter("not unsupported").select(key, "reason").distinct().withColumn("size", F.octet_length("reason") + 3), "distinct")
+    fit = rk.budget_skipping(distinct, key, ["reason"], "size", most_bytes)
+    kept = fit.withColumn("r_", F.row_number().over(Window.partitionBy(key).orderBy("reason"))).filter(F.col("r_") <= most)
+    shown = kept.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list("reason")), "|").alias("reasons"), F.count("*").alias("shown_"))
+    bare = rows.filter("unsupported")
+    first = bare.withColumn("r_", F.row_number().over(Window.partitionBy(key).orderBy("name"))).filter("r_ <= 3").groupBy(key).agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("examples"))
+    n = rows.groupBy(key).agg(F.sum(F.col("unsupported").cast("long")).alias("unsupported"))
+    out = n.join(distinct.groupBy(key).agg(F.count("*").alias("all_")), key, "left").join(shown, key, "left").join(first, key, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return out.select(key, F.coalesce("reasons", F.lit("")).alias("reasons"), (zero("all_") - zero("shown_")).alias("omitted"), "unsupported", F.coalesce("examples", F.lit("")).alias("examples"))
+
+
 def statistics(matches: DataFrame, most: int = 5, most_files: int = 8) -> DataFrame:
     """kind (extension, directory, file), key, matches, omitted: the largest groups of each kind, and how many more there are.
     matches: path, n."""

@@ -125,11 +125,10 @@ def audit_receipt(spark, sf_dir):
     return cm.audit(co.plain_lines(documents(spark, sf_dir)), LITERALS)
 
 
-@query("SELECT source, bool_and(n_chars >= 0) AND bool_and(text IS NOT NULL) AS closed, count(*) AS searched, min(n_chars) AS least FROM documents GROUP BY source")
+@query(f"WITH {VERSIONS} SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, bool_and(coalesce(b.content_hash = t.content_hash, FALSE) AND b.size <= 20000) AS closed, least(sum(CASE WHEN b.size <= 20000 THEN 1 ELSE 0 END), sum(CASE WHEN t.size <= 20000 THEN 1 ELSE 0 END)) AS searched, sum(CASE WHEN b.size > 20000 THEN 1 ELSE 0 END) AS skipped FROM base b LEFT JOIN target t USING (path) GROUP BY 1")
 def audit_closure(spark, sf_dir):
-    """Whether every part of a scan is complete, and the least of what was searched."""
-    d = co.table(spark, sf_dir, "documents")
-    return d.groupBy("source").agg((F.bool_and(F.col("n_chars") >= 0) & F.bool_and(F.col("text").isNotNull())).alias("closed"), F.count("*").alias("searched"), F.min("n_chars").alias("least"))
+    """Whether a folder's scan is complete: the same sources before and after, and none passed over."""
+    return cm.closure(*co.two_versions(spark, sf_dir), most_bytes=20_000)
 
 
 @query("SELECT content_hash, min(doc_id) AS first_id, count(*) AS copies FROM (SELECT doc_id, sha256(text) AS content_hash FROM documents) GROUP BY content_hash")
@@ -161,19 +160,18 @@ def session_counters(spark, sf_dir):
     return e.groupBy("event_type").agg(F.count("*").alias("queries"), F.sum(F.when(F.col("value") > 50, 1).otherwise(0)).alias("complete"), F.when(F.count("value") == F.count("*"), F.round(F.sum("value"), 3)).alias("total"))
 
 
-@query("SELECT CASE WHEN regexp_matches(url, '/en/') THEN 'english' WHEN regexp_matches(url, '/de/') THEN 'german' ELSE 'other' END AS language, count(*) AS files, array_to_string(list_sort(list(DISTINCT regexp_extract(url, '^([a-z]+)://', 1))), ',') AS capabilities FROM pages GROUP BY 1")
-def capability_inventory(spark, sf_dir):
-    """Files for each language and the distinct capabilities among them."""
-    p = co.table(spark, sf_dir, "pages")
-    language = F.when(F.contains("url", F.lit("/en/")), "english").when(F.contains("url", F.lit("/de/")), "german").otherwise("other")
-    return p.groupBy(language.alias("language")).agg(F.count("*").alias("files"), F.array_join(F.sort_array(F.collect_set(F.regexp_extract("url", r"^([a-z]+)://", 1))), ",").alias("capabilities"))
-
-
-@query("SELECT source, array_to_string(list_sort(list(DISTINCT lang))[1:64], ',') AS reasons FROM documents GROUP BY source")
+@query("""WITH RECURSIVE d AS (SELECT source, reason, strlen(reason) + 3 AS size, row_number() OVER (PARTITION BY source ORDER BY reason) AS k FROM (SELECT DISTINCT source, substr(string_split(text, chr(10))[1], 1, 200) AS reason FROM documents WHERE lang <> 'de')),
+ f AS (SELECT source, reason, k, CASE WHEN size <= 4094 THEN size ELSE 0 END AS used, CASE WHEN size <= 4094 THEN 1 ELSE 0 END AS n, size <= 4094 AS kept FROM d WHERE k = 1
+  UNION ALL SELECT d.source, d.reason, d.k, f.used + CASE WHEN f.n < 64 AND f.used + d.size <= 4094 THEN d.size ELSE 0 END, f.n + CASE WHEN f.n < 64 AND f.used + d.size <= 4094 THEN 1 ELSE 0 END, f.n < 64 AND f.used + d.size <= 4094 FROM f JOIN d ON d.source = f.source AND d.k = f.k + 1),
+ g AS (SELECT source, coalesce(string_agg(reason, '|' ORDER BY reason) FILTER (kept), '') AS reasons, sum(CASE WHEN kept THEN 0 ELSE 1 END) AS omitted FROM f GROUP BY source),
+ u AS (SELECT source, sum(CASE WHEN lang = 'de' THEN 1 ELSE 0 END) AS unsupported, coalesce(array_to_string((list(lpad(CAST(doc_id AS VARCHAR), 12, '0') ORDER BY doc_id) FILTER (lang = 'de'))[1:3], ','), '') AS examples FROM documents GROUP BY source)
+ SELECT source, coalesce(reasons, '') AS reasons, coalesce(omitted, 0) AS omitted, unsupported, examples FROM u LEFT JOIN g USING (source)""")
 def distinct_reasons(spark, sf_dir):
-    """Distinct reasons, sixty-four at most (a display bound of the feature)."""
+    """Distinct reasons of each source within 64 and 4 KiB (bounds of the feature), unsupported ones counted (documents' first lines
+    stand for reasons, German documents for unsupported ones)."""
     d = co.table(spark, sf_dir, "documents")
-    return d.groupBy("source").agg(F.array_join(F.slice(F.sort_array(F.collect_set("lang")), 1, 64), ",").alias("reasons"))
+    reason = F.substring(F.split("text", "\n", -1)[0], 1, 200)
+    return cm.bounded_reasons(d.select("source", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("name"), reason.alias("reason"), (F.col("lang") == "de").alias("unsupported")), "source")
 
 
 @query("SELECT 'lang-' || lang AS id, count(*) AS revision, min(doc_id) AS first_record FROM documents GROUP BY lang")
@@ -228,6 +226,13 @@ def script_sources(spark, sf_dir):
     )
 
 
+@query(f"""WITH {SCRIPTS}, p AS (SELECT path FROM f UNION ALL SELECT doc_id || '.txt' FROM documents), x2 AS (SELECT regexp_extract(path, '\\.[a-z]+$') AS extension FROM p)
+ SELECT extension, CASE WHEN extension IN ('.ts', '.js') THEN 'script' ELSE 'none' END AS language, CASE WHEN extension IN ('.ts', '.js') THEN 'outline,roles,imports,tests' ELSE '' END AS capabilities, count(*) AS files FROM x2 GROUP BY extension""")
+def capability_inventory(spark, sf_dir):
+    """Files by extension, with their language and what can be said of it (scripts made of documents, and documents)."""
+    return cm.capabilities(script_sources(spark, sf_dir).select("path").unionByName(documents(spark, sf_dir).select("path")))
+
+
 @query(f"WITH {SCRIPTS} SELECT from_path, kind, specifier, imported, local FROM (SELECT from_path, CASE WHEN lang = 'test' THEN 'import' ELSE 're-export' END AS kind, specifier, 'v' AS imported, 'v' AS local FROM x UNION ALL SELECT path, 'export', '', 'v', 'v' FROM s WHERE lang = 'de')")
 def module_facts(spark, sf_dir):
     """Imports, exports and re-exports of script sources; comments and strings have none."""

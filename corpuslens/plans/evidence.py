@@ -172,3 +172,18 @@ def coverage_by_folder(spark, sf_dir):
     """Coverage: what a size limit skips is said, so that nothing is claimed of it."""
     over = F.col("n_chars") > 5000
     return co.table(spark, sf_dir, "documents").groupBy("source").agg(F.sum("n_chars").alias("searched"), F.sum(over.cast("long")).alias("skipped"), F.when(F.bool_or(over), "partial").otherwise("complete").alias("coverage"))
+
+
+#: Bytes of a page of source text.
+SOURCE_PAGE = 4096
+SNAPPED = "CASE WHEN {0} >= n THEN n " + " ".join(f"WHEN substr(h, 2 * ({{0}} - {k}) + 1, 1) NOT IN ('8', '9', 'A', 'B') THEN {{0}} - {k}" for k in range(3)) + " ELSE {0} - 3 END"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, hex(encode(text)) AS h, CAST(strlen(text) AS BIGINT) AS n FROM documents WHERE text <> ''),
+ f AS (SELECT doc_id, 1 AS page_no, CAST(0 AS BIGINT) AS byte_start, CAST({SNAPPED.format(SOURCE_PAGE)} AS BIGINT) AS byte_end FROM d
+  UNION ALL SELECT doc_id, page_no + 1, byte_end, CAST({SNAPPED.format(f"(byte_end + {SOURCE_PAGE})")} AS BIGINT) FROM f JOIN d USING (doc_id) WHERE byte_end < n)
+ SELECT doc_id, page_no, byte_start, byte_end, n - byte_end AS remaining FROM f JOIN d USING (doc_id)""")
+def source_byte_pages(spark, sf_dir):
+    """Sources in pages of bytes that cut no character, with what remains after each. Within the row; no shuffle."""
+    d = co.table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n"), F.posexplode(tx.byte_pages(F.col("text"), SOURCE_PAGE)).alias("p", "page"))
+    return d.select("doc_id", (F.col("p") + 1).alias("page_no"), F.col("page.byte_start").alias("byte_start"), F.col("page.byte_end").alias("byte_end"), (F.col("n") - F.col("page.byte_end")).alias("remaining"))

@@ -14,7 +14,7 @@ FIELDS = {
     "summary": ORDINARY,
     "matches": ORDINARY,
     "files": (*COMMON, "query", *FILTERS, "ignorePolicy", "limit", "scope", "modifiedAfter", "modifiedBefore"),
-    "audit": (*COMMON, "patterns", *FILTERS, "ignorePolicy"),
+    "audit": (*COMMON, "patterns", *FILTERS, "ignorePolicy", "text"),
     "concept": (*COMMON, "query", *FILTERS),
     "hybrid": (*COMMON, "query", *FILTERS, "conceptLimit", "ranking"),
     "inspect": (*COMMON, "path", "line", "context", "targets"),

@@ -133,3 +133,67 @@ def test_validate_without_versions(engine):
     with pytest.raises(RequestError) as e:
         engine.search({"mode": "validate"})
     assert e.value.code == "E_VERSION_UNKNOWN"
+
+
+def test_cursors_are_checked(engine):
+    first = engine.search({"mode": "matches", "pattern": "License", "literal": True, "limit": 2})
+    rows, cursor = first.page()
+    more = engine.search({"cursor": cursor})
+    assert rows + more.page()[0] == first.page(0)[0] + first.page(2)[0] and len(more.page()[0]) == 2
+    for bad, code in ((cursor.replace(first.id, "0" * 32), "E_CURSOR_NOT_FOUND"), (cursor.replace("matches", "summary"), "E_CURSOR_MISMATCH"), (cursor.replace(".all", "." + "0" * 16), "E_CURSOR_MISMATCH")):
+        with pytest.raises(RequestError) as e:
+            engine.search({"cursor": bad})
+        assert e.value.code == code
+
+
+def test_file_queries(engine):
+    paths = lambda **r: sorted(x.path for x in engine.search({"mode": "files", **r}).evidence.collect())
+    assert paths(query="*.md") == ["docs/guide.md"] and len(paths(query="**")) == 5
+    assert "glob" in engine.search({"mode": "files", "query": "*.md"}).notes[0]
+    for bad in ({"query": "^a.*b$"}, {"query": "a *"}, {"query": "*.md", "glob": ["docs/**"]}):
+        with pytest.raises(RequestError) as e:
+            engine.search({"mode": "files", **bad})
+        assert e.value.code == "E_QUERY"
+
+
+def test_records_missing(engine):
+    with pytest.raises(RequestError) as e:
+        engine.search({"mode": "source-search", "query": "x"})
+    assert e.value.code == "E_SOURCES_UNAVAILABLE"
+
+
+def test_binary_as_text_and_bulk_sink(spark, tmp_path):
+    e = Engine(spark, spark.createDataFrame([("a.bin", "x\0License"), ("b.txt", "password = 'hunter2hunter2' License")], "path string, text string"))
+    n = lambda **r: e.search({"mode": "audit", "patterns": ["License"], **r}).evidence.first().files
+    assert n() == 1 and n(text=True) == 2
+    found = e.search({"mode": "matches", "pattern": "License", "literal": True})
+    found.save(str(tmp_path / "out"))
+    saved = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [r.asDict() for r in saved] == found.page()[0] and "hunter2" not in str(saved)
+
+
+def test_byte_pages(spark):
+    from corpuslens.functions import text as tx
+
+    texts = ["", "abc", "é" * 9, "a😀" * 7, "漢字" * 5 + "x", None]
+    for most in (4, 5, 7):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", tx.byte_pages(F.col("text"), most).alias("p"))
+        for i, p in df.collect():
+            if texts[i] is None:
+                assert p is None
+                continue
+            raw, want, at = texts[i].encode(), [], 0
+            while at < len(raw):
+                end = min(len(raw), at + most)
+                while end < len(raw) and raw[end] & 0xC0 == 0x80:
+                    end -= 1
+                want.append((at, end))
+                at = end
+            assert [tuple(x) for x in p] == want
+
+
+def test_max_files(spark):
+    from corpuslens.sources import corpus as co
+
+    src = spark.createDataFrame([(f"f{i}", "x") for i in range(9)], "path string, text string")
+    assert [r.path for r in co.enumerated(src, max_files=3).collect()] == ["f0", "f1", "f2"] and co.enumerated(src).count() == 9
