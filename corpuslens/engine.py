@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import modules as md
 from corpuslens.functions import scanners as sc
+from corpuslens.functions import structure as st
 from corpuslens.functions import text as tx
 from corpuslens.operators import compare as cm
 from corpuslens.operators import graph as gr
@@ -29,7 +30,6 @@ from corpuslens.sources import corpus as co
 from corpuslens.sources.shared import written
 
 PAGE, SUMMARY_PAGE, PAGE_BYTES = 100, 30, 16 * 1024
-UNAVAILABLE = ("structure",)
 BYTES_OF_TOKEN = 4
 
 
@@ -93,9 +93,7 @@ class Engine:
             found, c = self._stored(r["cursor"])
             return replace(found, start=c.offset, notes=notes + found.notes)
         mode = r.get("mode", "auto")
-        if mode in UNAVAILABLE:
-            result = Result(self.spark.createDataFrame([], "path string"), ["path"], "analysis", coverage={"parser": "unavailable"})
-        elif r.get("anyOf"):
+        if r.get("anyOf"):
             result = self._any_of(r)
         elif r.get("allOf"):
             result = self._all_of(r)
@@ -311,6 +309,20 @@ class Engine:
         rows = rows.filter(F.col("name") == r["symbol"]) if "symbol" in r else rows
         return Result(rows, ["start_line"], "analysis", SUMMARY_PAGE, {"parser": "partial"})
 
+    def _structure(self, r: dict) -> Result:
+        """Matches of a structural pattern in the admitted scripts and Go sources; a source that withholds its matches has one row that says why."""
+        try:
+            matches = st.structural(r["pattern"])
+        except ValueError as e:
+            raise RequestError("E_STRUCTURE_PATTERN", str(e), "write code with $NAME for an expression and $$$NAME for a sequence") from None
+        docs, coverage = self._admitted(r, r.get("path"))
+        known = docs.filter(F.lower("path").rlike(st.SOURCES))
+        if not known.head(1) and docs.head(1):
+            raise RequestError("E_STRUCTURE_SOURCES", "structural patterns are for script and Go sources, and none was found", "widen path or glob")
+        rows = known.select("path", "text", F.inline(matches(F.col("path"), F.col("text"))))
+        excerpt = F.substring(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")), 1, tx.MAX_LINE_CHARACTERS)
+        return Result(rows.select("path", "line_no", "start", "end", "status", excerpt.alias("excerpt")), ["path", "start"], "analysis", SUMMARY_PAGE, coverage | {"parser": "partial"})
+
     def _imports(self, r: dict) -> Result:
         """Traces along import edges: those that the engine was given, or those of the admitted script sources."""
         if self.edges is None:

@@ -25,7 +25,7 @@ TOKEN = re.compile(
 #: Extensions by language, words that a bracket may follow without a call, and single-character escapes.
 LANGUAGES = {"python": (".py", ".pyi"), "script": (".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".mts", ".cts"), "go": (".go",)}
 #: What can be said of each.
-CAPABILITIES = {"python": ("outline", "roles", "tests"), "script": ("outline", "roles", "imports", "tests"), "go": ("outline", "roles", "tests")}
+CAPABILITIES = {"python": ("outline", "roles", "tests"), "script": ("outline", "roles", "imports", "tests", "structure"), "go": ("outline", "roles", "tests", "structure")}
 KEYWORDS = frozenset("await case catch const continue default delete do else export extends finally for from func function go if import in instanceof let new of range return select super switch throw try typeof var void while with yield".split())
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v", "0": "\0"}
 #: Files that are tests by their path, and functions that declare a test case.

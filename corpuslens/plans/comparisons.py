@@ -227,7 +227,7 @@ def script_sources(spark, sf_dir):
 
 
 @query(f"""WITH {SCRIPTS}, p AS (SELECT path FROM f UNION ALL SELECT doc_id || '.txt' FROM documents), x2 AS (SELECT regexp_extract(path, '\\.[a-z]+$') AS extension FROM p)
- SELECT extension, CASE WHEN extension IN ('.ts', '.js') THEN 'script' ELSE 'none' END AS language, CASE WHEN extension IN ('.ts', '.js') THEN 'outline,roles,imports,tests' ELSE '' END AS capabilities, count(*) AS files FROM x2 GROUP BY extension""")
+ SELECT extension, CASE WHEN extension IN ('.ts', '.js') THEN 'script' ELSE 'none' END AS language, CASE WHEN extension IN ('.ts', '.js') THEN 'outline,roles,imports,tests,structure' ELSE '' END AS capabilities, count(*) AS files FROM x2 GROUP BY extension""")
 def capability_inventory(spark, sf_dir):
     """Files by extension, with their language and what can be said of it (scripts made of documents, and documents)."""
     return cm.capabilities(script_sources(spark, sf_dir).select("path").unionByName(documents(spark, sf_dir).select("path")))

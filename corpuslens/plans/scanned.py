@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import modules as md
 from corpuslens.functions import scanners as sc
+from corpuslens.functions import structure as st
 from corpuslens.operators import compare as cm
 from corpuslens.operators import intervals as iv
 from corpuslens.plans.comparisons import VERSIONS
@@ -78,6 +79,18 @@ def calls_within_functions(spark, sf_dir):
     return at.join(spans, ["path", "start", "end"]).select("path", "line_no", F.col("name").alias("inside"))
 
 
+@query("""WITH k AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
+ SELECT 'src/' || doc_id || '.ts' AS path, 2 * i - 1 AS line_no, length('call(x0,' || chr(10) || '  x0, [' || i || ', "call(a, a)"])') AS chars FROM k WHERE i % 2 = i % 3""")
+def structural_matches(spark, sf_dir):
+    """A pattern's matches over scripts (two lines for each line of a document): calls whose first two arguments are the same."""
+    number, chosen = lambda x: x.cast("string"), lambda i, n: F.pmod(i, F.lit(n)).cast("string")
+    call = lambda _, i: F.concat(F.lit("call(x"), chosen(i + 1, 2), F.lit(",\n  x"), chosen(i + 1, 3), F.lit(", ["), number(i + 1), F.lit(', "call(a, a)"]);\n'))
+    d = co.table(spark, sf_dir, "documents")
+    s = d.select(F.concat(F.lit("src/"), number(F.col("doc_id")), F.lit(".ts")).alias("path"), F.array_join(F.transform(F.split("text", "\n", -1), call), "").alias("text"))
+    rows = s.select("path", F.inline(st.structural("call($A, $A, $$$REST)")(F.col("path"), F.col("text"))))
+    return rows.filter("status = 'ok'").select("path", "line_no", (F.col("end") - F.col("start")).alias("chars"))
+
+
 @query()
 def passages_snapped(spark, sf_dir):
     """X11: passages that end at line ends where they can; tests compare it with a plain loop."""

@@ -68,7 +68,9 @@ def test_other_modes(engine):
     assert engine.search({"mode": "source-search", "query": "token"}).count() == 1
     assert engine.search({"mode": "source-read", "recordId": "1", "revision": "r0"}).page()[0] == [{"id": "1", "status": "stale", "content": None}]
     assert engine.search({"mode": "capabilities"}).count() == 3
-    assert engine.search({"mode": "structure", "pattern": "$A"}).coverage == {"parser": "unavailable"}
+    with pytest.raises(RequestError) as e:
+        engine.search({"mode": "structure", "pattern": "$A"})
+    assert e.value.code == "E_STRUCTURE_SOURCES"
 
 
 def test_redaction_is_last_and_changes_no_counts(engine):
