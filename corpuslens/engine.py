@@ -27,10 +27,12 @@ from corpuslens.operators import intervals as iv
 from corpuslens.operators import ranking as rk
 from corpuslens.request import Cursor, RequestError, normalized, parse_cursor, validated
 from corpuslens.sources import corpus as co
+from corpuslens.sources.providers import ProviderError, supported
 from corpuslens.sources.shared import written
 
 PAGE, SUMMARY_PAGE, PAGE_BYTES = 100, 30, 16 * 1024
 BYTES_OF_TOKEN = 4
+MEDIA_HITS = 10
 
 
 def page_bytes(r: dict) -> int:
@@ -71,6 +73,11 @@ class Result:
             out.append(d)
         return out, str(Cursor(self.id, self.kind, offset + len(out))) if more else None
 
+    @property
+    def cursor(self) -> str:
+        """The cursor of the whole result, for requests about its rows."""
+        return str(Cursor(self.id, self.kind, self.start))
+
     def count(self) -> int:
         return self.evidence.count()
 
@@ -81,15 +88,19 @@ class Result:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, sources: DataFrame, *, versions: dict[str, DataFrame] | None = None, records: DataFrame | None = None, edges: tuple[DataFrame, DataFrame] | None = None, embedder: Callable | None = None, vectors: DataFrame | None = None):
-        """embedder: text -> list of floats, for queries; vectors: path, line_no, text, embedding of the corpus's passages."""
+    def __init__(self, spark: SparkSession, sources: DataFrame, *, versions: dict[str, DataFrame] | None = None, records: DataFrame | None = None, edges: tuple[DataFrame, DataFrame] | None = None, embedder: Callable | None = None, vectors: DataFrame | None = None, assessor: Callable | None = None, media: DataFrame | None = None, media_embedder: Callable | None = None):
+        """embedder: text -> list of floats, for queries; vectors: path, line_no, text, embedding of the corpus's passages.
+
+        assessor: (question, claim, excerpts) -> supported, contradicted or insufficient; media: path, kind (image or scan), page,
+        width, height, embedding of images and scanned pages; media_embedder: (query, image's path), one of them None -> list of floats."""
         self.spark, self.sources, self.versions, self.records, self.edges, self.embedder, self.vectors = spark, sources, versions or {}, records, edges, embedder, vectors
+        self.assessor, self.media, self.media_embedder = assessor, media, media_embedder
         self.results: dict[str, Result] = {}
 
     def search(self, request: dict) -> Result:
         r, notes = normalized(request)
         validated(r)
-        if "cursor" in r:
+        if "cursor" in r and r.get("mode") != "support":
             found, c = self._stored(r["cursor"])
             return replace(found, start=c.offset, notes=notes + found.notes)
         mode = r.get("mode", "auto")
@@ -304,6 +315,42 @@ class Engine:
         lost = met.filter("status != 'current'").select("target", "path", "status", F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("string").alias("line"), F.lit(None).cast("long").alias("byte_start"))
         return Result(rows.unionByName(lost), ["target", "line_no"], "analysis", SUMMARY_PAGE, {"source": coverage})
 
+    def _support(self, r: dict) -> Result:
+        """What the assessor says of a claim on rows of a result, read from the sources as they are now: one row.
+
+        matchIndex or matchIndices count the rows from the cursor's place, from 1. Without an assessor, or where a source is gone,
+        the answer is unknown; the assessor sees redacted text."""
+        found, c = self._stored(r["cursor"])
+        if not {"path", "line_no"} <= set(found.evidence.columns):
+            raise RequestError("E_SUPPORT_EVIDENCE", "the rows of this result have no line", "give the cursor of a search for lines")
+        asked, around = list(r.get("matchIndices") or [r["matchIndex"]]), r.get("supportContextLines", 2)
+        places = rk.ranked(found.evidence, found.order, "row_", c.offset + max(asked)).filter(F.col("row_").isin(*(c.offset + i for i in asked))).select("row_", "path", "line_no").collect()  # twenty at most
+        if len(places) < len(set(asked)):
+            raise RequestError("E_RANGE", "the result has no such row", "give an index of a row that was shown")
+        by_row = {x.row_ - c.offset: {"path": x.path, "line": x.line_no} for x in places}
+        read = self._inspect({"targets": [by_row[i] for i in asked], "context": around})
+        shown = read.evidence.orderBy("target", "line_no").select("target", "status", "line").collect()  # 41 lines a target at most
+        valid = all(x.status == "current" for x in shown) and {x.target for x in shown} == set(range(len(asked)))
+        excerpts = [sc.redacted("\n".join(x.line for x in shown if x.target == i and x.line is not None))[0] for i in range(len(asked))]
+        try:
+            said = supported(r["supportQuestion"], r["supportClaim"], excerpts, self.assessor, valid)
+        except ProviderError as e:
+            raise RequestError(e.code, str(e), "ask for fewer rows or context lines") from None
+        row = self.spark.createDataFrame([(said, asked, around, excerpts)], "assessment string, evidence_items array<int>, context_lines int, excerpts array<string>")
+        return Result(row, ["assessment"], "analysis", SUMMARY_PAGE, read.coverage | {"assessor": "complete" if said != "unknown" else "unavailable"})
+
+    def _media(self, r: dict) -> Result:
+        """The ten images and scanned pages nearest to a query or an image (limit of the feature), of one kind or all."""
+        if self.media is None or self.media_embedder is None:
+            raise RequestError("E_MEDIA_UNAVAILABLE", "the engine has no media or no embedder of media")
+        kind = r.get("kind", "all")
+        media = co.enumerated(self.media, scope=r.get("path"), include=r.get("glob", ()), exclude=r.get("exclude", ()), hidden=r.get("hidden", True)).filter(~tx.is_protected(F.col("path")))
+        media = media if kind == "all" else media.filter(F.col("kind") == kind)
+        vector = self.media_embedder(r.get("query"), r.get("image"))
+        asked = F.array(*(F.lit(float(x)) for x in vector))
+        out = media.select("path", "kind", "page", "width", "height", tx.cosine(F.col("embedding"), asked).alias("score"))
+        return Result(out.orderBy(F.desc("score"), "path", "page").limit(MEDIA_HITS), [F.desc("score"), "path", "page"], "analysis", SUMMARY_PAGE, {"media": "complete"})
+
     def _outline(self, r: dict) -> Result:
         rows = self.sources.filter((F.col("path") == r["path"]) & ~tx.is_protected(F.col("path"))).select("path", F.inline(md.outline(F.col("path"), F.col("text"))))
         rows = rows.filter(F.col("name") == r["symbol"]) if "symbol" in r else rows

@@ -23,14 +23,16 @@ FIELDS = {
     "tests": (*COMMON, *FILTERS),
     "structure": (*COMMON, "pattern", *FILTERS),
     "validate": COMMON,
+    "support": (*COMMON, "cursor", "matchIndex", "matchIndices", "supportQuestion", "supportClaim", "supportContextLines"),
+    "media": (*COMMON, "query", "image", "kind", *FILTERS),
     "capabilities": (*COMMON, *FILTERS),
     "source-list": COMMON,
     "source-search": (*COMMON, "query", "limit", "pageToken"),
     "source-read": (*COMMON, "recordId", "revision"),
 }
-REQUIRED = {"files": (), "audit": ("patterns",), "concept": ("query",), "hybrid": ("query",), "outline": ("path",), "structure": ("pattern",), "source-search": ("query",), "source-read": ("recordId", "revision")}
-RANGES = {"context": (0, 20), "limit": (1, 100), "conceptLimit": (1, 20)}
-MOST = {"anyOf": (1, 64), "allOf": (1, 3), "patterns": (1, 32), "glob": (1, 64), "exclude": (1, 64), "paths": (1, 20), "targets": (1, 20)}
+REQUIRED = {"files": (), "audit": ("patterns",), "concept": ("query",), "hybrid": ("query",), "outline": ("path",), "structure": ("pattern",), "support": ("cursor", "supportQuestion", "supportClaim"), "source-search": ("query",), "source-read": ("recordId", "revision")}
+RANGES = {"context": (0, 20), "supportContextLines": (0, 20), "limit": (1, 100), "conceptLimit": (1, 20)}
+MOST = {"anyOf": (1, 64), "allOf": (1, 3), "patterns": (1, 32), "glob": (1, 64), "exclude": (1, 64), "paths": (1, 20), "targets": (1, 20), "matchIndices": (1, 20)}
 TERM_BYTES = 256
 ROLES = ("comment", "string", "code", "import", "declaration", "call")
 #: Fields of an ordinary search that can't go together: the first says what the others don't do.
@@ -89,6 +91,17 @@ def validated(request: dict) -> dict:
         raise RequestError("E_RANGE", "resultTokenBudget must be a positive number")
     if mode == "inspect" and not (request.get("path") or request.get("targets")):
         raise RequestError("E_FIELD_MISSING", "mode inspect needs path or targets")
+    if mode == "support":
+        if ("matchIndex" in request) == ("matchIndices" in request):
+            raise RequestError("E_FIELD_CONFLICT", "mode support needs matchIndex or matchIndices, not both")
+        asked = request.get("matchIndices", [request.get("matchIndex")])
+        if not all(isinstance(i, int) and i > 0 for i in asked if isinstance(asked, (list, tuple))):
+            raise RequestError("E_RANGE", "rows count from 1")
+    if mode == "media":
+        if bool(request.get("query")) == bool(request.get("image")):
+            raise RequestError("E_FIELD_CONFLICT", "mode media needs a query or an image, not both")
+        if request.get("kind", "all") not in ("all", "image", "scan"):
+            raise RequestError("E_FIELD_VALUE", "kind is all, image or scan")
     for k, (low, high) in RANGES.items():
         if k in request and not (isinstance(request[k], int) and low <= request[k] <= high):
             raise RequestError("E_RANGE", f"{k} must be from {low} to {high}")

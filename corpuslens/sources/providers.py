@@ -90,8 +90,8 @@ def judged_in_batches(candidates: list[dict], judge: Callable[[list[dict]], list
 def supported(question: str, claim: str, excerpts: list[str], assess: Callable[[str, str, list[str]], str] | None, valid: bool, most_chars: int = 4_000) -> str:
     """What an assessor says of a claim on current excerpts: supported, contradicted, insufficient; unknown if the sources aren't
     current or there is no assessor."""
-    if sum(map(len, excerpts)) > most_chars:
-        raise ProviderError("E_SUPPORT_TOO_LARGE", f"excerpts have more than {most_chars} characters")
+    if any(len(x) > most_chars for x in excerpts):
+        raise ProviderError("E_SUPPORT_TOO_LARGE", f"an excerpt has more than {most_chars} characters")
     if not valid or assess is None:
         return "unknown"
     said = assess(question, claim, excerpts)
