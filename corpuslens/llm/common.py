@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Space, tab, LF, VT, FF, CR: the white space that the operators' contracts know.
@@ -104,3 +104,18 @@ def keep_rows(docs: DataFrame, judged: DataFrame) -> DataFrame:
         match = same(left, again, [("doc_id", drop_id), (key, drop_key)])
         left = left.join(again, match, "left_anti").unionByName(left.join(again, match, "left_semi").dropDuplicates(["doc_id", key]))
     return left.drop(key)
+
+
+def numbered(rows: DataFrame, by: list, name: str) -> DataFrame:
+    """rows, written, with their place from 0 in the given order over all rows: sorted ranges, whose counts give each range's offset.
+
+    A row's place in its range is the low part of monotonically_increasing_id, the range's number its high part. The ranges are
+    written, as two computations of them need not have the same bounds; no task holds more than a range, no window more than a row
+    for each range."""
+    at, part, before, part_ = fresh(rows, "at_", "part_", "before_", "of_part_")
+    placed = stored(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(at, F.monotonically_increasing_id()), "ranges")
+    placed = placed.withColumn(part, F.shiftright(at, 33)).withColumn(at, F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = placed.groupBy(F.col(part).alias(part_)).agg(F.count("*").alias("n_"))
+    earlier = F.sum("n_").over(Window.orderBy(part_).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = stored(sizes.select(part_, F.coalesce(earlier, F.lit(0)).alias(before)), "offsets")  # a row for each range
+    return placed.join(F.broadcast(offsets), F.col(part) == F.col(part_)).withColumn(name, F.col(at) + F.col(before)).drop(at, part, part_, before)

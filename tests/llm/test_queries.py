@@ -17,13 +17,15 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_whole_table(spark, name):
     rows = registry.QUERIES[name](spark, SF).collect()
-    key = "page_id" if name.startswith("op3_") else "doc_id"
-    table = spark.read.parquet(f"{SF}/{'pages' if key == 'page_id' else 'documents'}.parquet")
-    assert sorted(r[key] for r in rows) == sorted(r[0] for r in table.select(key).collect())
+    key, of = {"op3_html_extraction": ("page_id", "pages"), "op13_vector_codes": ("vec_id", "embeddings")}.get(name, ("doc_id", "documents"))
+    table = spark.read.parquet(f"{SF}/{of}.parquet")
+    got = {r[key] for r in rows} if name == "op12_best_fit_packing" else [r[key] for r in rows]  # a row for each piece
+    assert sorted(got) == sorted(r[0] for r in table.select(key).collect())
     if name not in registry.ORACLE_SQL:
         return
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for x in ("documents", "benchmark", "embeddings"):
+        c.sql(f"CREATE VIEW {x} AS SELECT * FROM '{SF}/{x}.parquet'")
     r = c.sql(registry.ORACLE_SQL[name])
     columns = sorted(r.columns)
     assert sorted(rows[0].asDict()) == columns
@@ -56,3 +58,24 @@ def test_op7_by_brute_force(spark):
     fps = np.array([by_definition(t) for _, t in docs], np.uint64)
     want = {i: (f"{int(f):016x}", docs[k][0]) for (i, _), f, k in zip(docs, fps, brute(fps), strict=True)}
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in registry.QUERIES["op7_simhash_near_dedup"](spark, SF).collect()} == want
+
+
+def test_op12_by_the_library_and_plain_packing(spark):
+    t, at, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), {}, {}
+    rows = sorted(registry.QUERIES["op12_best_fit_packing"](spark, SF).collect(), key=lambda r: (r.sequence_id, r.offset))
+    for i, x in texts(spark).items():
+        own[i] = [*t.encode(x or "", add_special_tokens=False).ids, 2]
+    for r in rows:
+        assert r.offset == at.get(r.sequence_id, 0) and r.offset + r.length <= 1024
+        at[r.sequence_id] = r.offset + r.length
+        assert r.ids_crc32 == zlib.crc32(np.array(own[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+        assert r.length == 1024 or r.piece == 0
+    assert sum(r.length for r in rows) == sum(map(len, own.values()))
+    left = []  # plain best fit, from the longest piece on
+    for n in sorted((r.length for r in rows), reverse=True):
+        k = min((k for k, room in enumerate(left) if room >= n), key=lambda k: left[k], default=None)
+        if k is None:
+            left.append(1024 - n)
+        else:
+            left[k] -= n
+    assert len(at) <= len(left)
