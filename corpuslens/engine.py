@@ -21,6 +21,7 @@ from corpuslens.functions import modules as md
 from corpuslens.functions import scanners as sc
 from corpuslens.functions import structure as st
 from corpuslens.functions import text as tx
+from corpuslens.operators import changes as ch
 from corpuslens.operators import compare as cm
 from corpuslens.operators import graph as gr
 from corpuslens.operators import intervals as iv
@@ -104,12 +105,12 @@ class Engine:
             found, c = self._stored(r["cursor"])
             return replace(found, start=c.offset, notes=notes + found.notes)
         mode = r.get("mode", "auto")
-        if r.get("anyOf"):
+        if r.get("changes"):
+            result = self._changes(r)
+        elif r.get("anyOf"):
             result = self._any_of(r)
         elif r.get("allOf"):
             result = self._all_of(r)
-        elif r.get("changes"):
-            result = self._changes(r)
         else:
             result = getattr(self, "_" + mode.replace("-", "_"))(r)
         result.notes = notes + result.notes
@@ -208,7 +209,7 @@ class Engine:
         docs, coverage = self._admitted(r, r.get("path"))
         each = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(i).alias("term_index"), tx.occurrences(F.col("text"), self._term(r, t)).alias("o")) for i, t in enumerate(r["anyOf"])))
         rows = docs.select("path", F.explode(each).alias("x")).select("path", F.col("x.term").alias("term"), F.col("x.term_index").alias("term_index"), F.inline("x.o"))
-        return Result(rows, ["term_index", "path", "byte_start"], "analysis", SUMMARY_PAGE, coverage, self._missing(r))
+        return Result(rows, ["term_index", "path", "byte_start"], "analysis", r.get("limit", SUMMARY_PAGE), coverage, self._missing(r))
 
     def term_counts(self, r: dict) -> DataFrame:
         """term, term_index, occurrences, files for each term of an anyOf request, zeros included. Counted within the documents' rows."""
@@ -224,30 +225,71 @@ class Engine:
         docs = docs.filter(holds(F.col("text")))
         if r.get("allOfScope", "file") == "function":  # in a function's own code, without that of the functions within it
             own = docs.select("path", F.inline(md.own(F.col("path"), F.col("text")))).filter(holds(F.col("own")))
-            return Result(own.select("path", F.col("start_line").alias("line_no"), F.col("name").alias("label")), ["path", "line_no"], "analysis", SUMMARY_PAGE, coverage | {"parser": "partial"}, self._missing(r))
+            return Result(own.select("path", F.col("start_line").alias("line_no"), F.col("name").alias("label")), ["path", "line_no"], "analysis", r.get("limit", SUMMARY_PAGE), coverage | {"parser": "partial"}, self._missing(r))
         counts = F.array(*(F.regexp_count("text", F.lit(t)) for t in terms))
-        return Result(docs.select("path", counts.alias("occurrences")), ["path"], "analysis", SUMMARY_PAGE, coverage, self._missing(r))
+        return Result(docs.select("path", counts.alias("occurrences")), ["path"], "analysis", r.get("limit", SUMMARY_PAGE), coverage, self._missing(r))
 
-    def _changes(self, r: dict) -> Result:
+    def _changed(self, r: dict) -> tuple[DataFrame, dict[str, str], list[str]]:
+        """path, change, old_path, similarity, text, ranges of the changed sources: the text of the asked side (null where it lacks the
+        source), and the lines that changed there (all of a source that the other side lacks), if they are asked for."""
         c = r["changes"]
         if c["base"] not in self.versions or c["target"] not in self.versions:
             raise RequestError("E_VERSION_UNKNOWN", "base and target must be versions that the engine was given")
-        admit = lambda v: co.enumerated(v, scope=r.get("path"), include=r.get("glob", ()), exclude=r.get("exclude", ()), hidden=r.get("hidden", True)).filter(~tx.is_protected(F.col("path")))
-        base, target = admit(self.versions[c["base"]]), admit(self.versions[c["target"]])
-        out = cm.changed(base, target)
-        if r.get("pattern"):  # changed files that hold the pattern now
-            now = target.filter(tx.line_matches(F.col("text"), r["pattern"], **self._how(r))).select("path")
-            out = out.join(now, "path", "left_semi")
-        if c.get("scope") == "lines":
-            both = base.select("path", F.col("text").alias("a")).join(target.select("path", F.col("text").alias("b")), "path").join(out.filter("change = 'modified'").select("path"), "path")
-            out = both.select("path", F.lit("modified").alias("change"), sc.changed_line_ranges(F.col("a"), F.col("b")).alias("ranges"))
-        elif c.get("renames"):
-            facts = lambda v: v.select("path", "text", "content_hash", F.octet_length("text").alias("size"))
-            gone, new = facts(base).join(target.select("path"), "path", "left_anti"), facts(target).join(base.select("path"), "path", "left_anti")
-            pairs = cm.rename_pairs(gone, new)
-            rest = out.join(pairs.select(F.col("old_path").alias("path")), "path", "left_anti").join(pairs.select(F.col("new_path").alias("path")), "path", "left_anti")
-            out = rest.select("path", "change", F.lit(None).cast("string").alias("old_path"), F.lit(None).cast("long").alias("similarity")).unionByName(pairs.select(F.col("new_path").alias("path"), F.lit("renamed").alias("change"), "old_path", "similarity"))
-        return Result(out, ["path"], "analysis", SUMMARY_PAGE, {"versions": "complete"})
+        coverage, side = {"versions": "complete"}, c.get("side", "new")
+
+        def admit(version: DataFrame) -> DataFrame:
+            df = co.enumerated(version, scope=r.get("path"), include=r.get("glob", ()), exclude=r.get("exclude", ()), hidden=r.get("hidden", True)).filter(~tx.is_protected(F.col("path")))
+            if "ignored" in df.columns and r.get("ignorePolicy", "respect") == "respect":
+                df, coverage["ignored"] = df.filter(~F.col("ignored")), "policy-filtered"
+            return df.filter(F.col("path").isin(*r["paths"])) if "paths" in r else df
+
+        rows = ch.changed_sources(admit(self.versions[c["base"]]), admit(self.versions[c["target"]]), bool(c.get("renames")))
+        if c.get("scope") != "lines":
+            return rows.withColumn("text", F.col(side)).withColumn("ranges", F.lit(None).cast(ch.RANGE)), coverage, []
+        rows = written(rows.withColumn("ranges", ch.changed_ranges(F.col("old"), F.col("new"), side)).withColumn("text", F.col(side)), "changes")
+        unknown = rows.filter("text is not null and ranges.lines is null").select("path").limit(20)  # a sample for the note
+        paths = [x.path for x in unknown.collect()]
+        if paths:
+            coverage["versions"] = "partial"
+        return rows, coverage, [f"changed lines are unknown, as the comparison needs too much work: {', '.join(sorted(paths))}"] if paths else []
+
+    def _changes(self, r: dict) -> Result:
+        """Changed sources, or what the pattern, the terms or the roles find in them: in their changed lines with scope lines."""
+        rows, coverage, notes = self._changed(r)
+        ranged = r["changes"].get("scope") == "lines"
+        limit, own = r.get("limit", SUMMARY_PAGE), rows.filter("text is not null")
+        occurrences = lambda pattern: tx.occurrences(F.col("text"), ch.by_line(pattern))
+        if r.get("pattern") is not None:
+            own = own.filter(F.col("text").rlike(ch.by_line(tx.compiled_pattern(r["pattern"], **self._how(r)))))
+            if r.get("roles"):
+                own, coverage["parser"] = own.filter(tx.extension(F.col("path")).isin(*(e for ends in md.LANGUAGES.values() for e in ends))), "partial"
+            hits = ch.with_hits(own, occurrences(tx.compiled_pattern(r["pattern"], **self._how(r))), ranged).select("path", "change", F.inline("hits"))
+            if r.get("roles"):
+                places = co.role_occurrences(own, r["pattern"], list(r["roles"]), **self._how(r)).select("path", "byte_start")
+                hits = hits.join(places, ["path", "byte_start"], "left_semi")
+            shown = hits.select("path", "change", "line_no", "byte_start", "byte_end", F.substring("line", 1, tx.MAX_LINE_CHARACTERS).alias("excerpt"))
+            return Result(shown, ["path", "byte_start"], "analysis", limit, coverage, notes)
+        if r.get("anyOf"):
+            each = own.select("path", "change", "text", "ranges", F.explode(F.array(*(F.struct(F.lit(t).alias("term"), F.lit(i).alias("term_index")) for i, t in enumerate(r["anyOf"])))).alias("t"))
+            found = reduce(lambda rest, i: F.when(F.col("t.term_index") == i, occurrences(self._term(r, r["anyOf"][i]))).otherwise(rest), range(len(r["anyOf"])), F.lit(None).cast("array<struct<byte_start:bigint,byte_end:bigint>>"))
+            hits = ch.with_hits(each, found, ranged).select("path", "change", "t.term", "t.term_index", F.inline("hits")).drop("line")
+            return Result(hits, ["term_index", "path", "byte_start"], "analysis", limit, coverage, notes)
+        if r.get("allOf"):
+            terms = [self._term(r, t) for t in r["allOf"]]
+            holds = lambda c: reduce(lambda a, b: a & b, (F.col(c).rlike(t) for t in terms))
+            own = own.filter(holds("text"))
+            if r.get("allOfScope", "file") == "function":
+                own = own.filter("ranges.lines is not null") if ranged else own
+                bodies = md.own_in_lines(F.col("path"), F.col("text"), F.col("ranges.first"), F.col("ranges.last")) if ranged else md.own(F.col("path"), F.col("text"))
+                parts = own.select("path", "change", F.inline(bodies)).filter(holds("own"))
+                return Result(parts.select("path", "change", F.col("start_line").alias("line_no"), F.col("name").alias("label")), ["path", "line_no"], "analysis", limit, coverage | {"parser": "partial"}, notes)
+            for i, t in enumerate(terms):
+                own = ch.with_hits(own, occurrences(t), ranged).withColumn(f"n{i}_", F.size("hits")).drop("hits")
+            held = own.select("path", "change", F.array(*(f"n{i}_" for i in range(len(terms)))).alias("occurrences")).filter(F.forall("occurrences", lambda n: n > 0))
+            return Result(held, ["path"], "analysis", limit, coverage, notes)
+        more = [F.col("ranges.lines").alias("lines")] if ranged else []
+        more += [F.col("old_path"), F.col("similarity")] if r["changes"].get("renames") else []
+        return Result(rows.select("path", "change", *more), ["path"], "analysis", limit, coverage, notes)
 
     def _files(self, r: dict) -> Result:
         docs, coverage = self._admitted(r, r.get("path"))

@@ -273,8 +273,9 @@ def outline_of(path: str, text: str) -> list[tuple[str, str, int, int, str]]:
     return [] if not language else sc.outline(text) if language == "python" else declarations(text, language)
 
 
-def own_code(path: str, text: str) -> list[tuple[str, str, int, int, str]]:
-    """(name, kind, first line, last line, own text) of functions and methods: their lines less those of declarations within them."""
+def own_code(path: str, text: str, only: set[int] | None = None) -> list[tuple[str, str, int, int, str]]:
+    """(name, kind, first line, last line, own text) of functions and methods: their lines (with `only`, those of these numbers) less
+    those of declarations within them."""
     lines = text.split("\n")
     spans = sorted(outline_of(path, text), key=lambda d: (d[2], -d[3]))
     out, open_ = [], []  # open_: (last line, own lines of the declaration), innermost last
@@ -289,7 +290,7 @@ def own_code(path: str, text: str) -> list[tuple[str, str, int, int, str]]:
             open_.append((d[3], owner.setdefault(id(d), [])))
             if d[1] in ("function", "method"):
                 out.append((d[0], d[1], d[2], d[3], owner[id(d)]))
-        if open_:
+        if open_ and (only is None or number in only):
             open_[-1][1].append(line)
     return [(n, k, a, b, "\n".join(own)) for n, k, a, b, own in out]
 
@@ -332,3 +333,16 @@ outline = by_path(outline_of, ("name", "kind", "start_line", "end_line", "scope"
 roles = by_path(roles_of, ("start", "end", "role"), ("int", "int", "string"))
 own = by_path(own_code, ("name", "kind", "start_line", "end_line", "own"), ("string", "string", "int", "int", "string"))
 tests = by_path(test_cases, ("kind", "name", "line"), ("string", "string", "int"))
+
+
+def own_in_lines(path: Column, text: Column, first: Column, last: Column) -> Column:
+    """As `own`, of the lines of the given ranges (arrays of first and last numbers) alone."""
+    names = ("name", "kind", "start_line", "end_line", "own")
+
+    @F.pandas_udf("array<struct<name:string,kind:string,start_line:int,end_line:int,own:string>>")
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for rows in batches:
+            found = (own_code(p or "", t or "", {n for a, b in zip(x, y, strict=True) for n in range(a, b + 1)}) for p, t, x, y in zip(*rows, strict=True))
+            yield pd.Series([[dict(zip(names, f, strict=True)) for f in own] for own in found], dtype=object)
+
+    return run(path, text, first, last)

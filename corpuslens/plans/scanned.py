@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from corpuslens.functions import modules as md
 from corpuslens.functions import scanners as sc
 from corpuslens.functions import structure as st
+from corpuslens.functions import text as tx
+from corpuslens.operators import changes as ch
 from corpuslens.operators import compare as cm
 from corpuslens.operators import intervals as iv
 from corpuslens.plans.comparisons import VERSIONS
@@ -35,6 +37,33 @@ def changed_line_ranges(spark, sf_dir):
     return pairs.select("path", sc.changed_line_ranges(F.col("a"), F.col("b")).alias("r")).select("path", F.col("r.old").alias("old"), F.col("r.new").alias("new"))
 
 
+def in_changed_lines(spark, sf_dir, side: str, literal: str):
+    rows = ch.changed_sources(*co.two_versions(spark, sf_dir)).filter(F.contains(side, F.lit(literal)))
+    rows = rows.withColumn("ranges", ch.changed_ranges(F.col("old"), F.col("new"), side)).withColumn("text", F.col(side))
+    return ch.with_hits(rows, tx.occurrences(F.col("text"), tx.escaped(literal)), ranged=True).select("path", "change", F.inline("hits")).drop("line")
+
+
+def in_changed_lines_sql(side: str, other: str, change: str, literal: str) -> str:
+    """A modified text's changed lines go from the start of the old text's last line on, as a line was added."""
+    return f"""WITH {VERSIONS}, c AS (SELECT s.path, s.text, CASE WHEN o.path IS NULL THEN '{change}' ELSE 'modified' END AS change, CASE WHEN o.path IS NULL THEN 0 ELSE strlen(b.text) - strlen(string_split(b.text, chr(10))[-1]) END AS first_byte
+  FROM {side} s LEFT JOIN {other} o ON s.path = o.path LEFT JOIN base b ON b.path = s.path WHERE o.content_hash IS DISTINCT FROM s.content_hash AND contains(s.text, '{literal}')),
+ k AS (SELECT path, change, first_byte, pieces, unnest(range(1, len(pieces))) AS k FROM (SELECT *, string_split(text, '{literal}') AS pieces FROM c)),
+ o AS (SELECT path, change, first_byte, array_to_string(pieces[1:k], '{literal}') AS before FROM k)
+ SELECT path, change, CAST(strlen(before) AS BIGINT) AS byte_start, CAST(strlen(before) + {len(literal)} AS BIGINT) AS byte_end, CAST(len(string_split(before, chr(10))) AS INT) AS line_no FROM o WHERE strlen(before) >= first_byte"""
+
+
+@query(in_changed_lines_sql("target", "base", "added", "line"))
+def changed_line_occurrences(spark, sf_dir):
+    """F16 with J3: occurrences within the lines that changed, on the new side."""
+    return in_changed_lines(spark, sf_dir, "new", "line")
+
+
+@query(in_changed_lines_sql("base", "target", "removed", "er"))
+def changed_line_occurrences_old(spark, sf_dir):
+    """F16 with J3: the same on the old side."""
+    return in_changed_lines(spark, sf_dir, "old", "er")
+
+
 PYTHON = f"""{VERSIONS}, py AS (SELECT doc_id, 'py/' || doc_id || '.py' AS path, string_split(text, chr(10)) AS l FROM src), k AS (SELECT doc_id, path, unnest(range(1, len(l) + 1)) AS i, len(l) AS n FROM py)"""
 
 

@@ -35,8 +35,10 @@ RANGES = {"context": (0, 20), "supportContextLines": (0, 20), "limit": (1, 100),
 MOST = {"anyOf": (1, 64), "allOf": (1, 3), "patterns": (1, 32), "glob": (1, 64), "exclude": (1, 64), "paths": (1, 20), "targets": (1, 20), "matchIndices": (1, 20)}
 TERM_BYTES = 256
 ROLES = ("comment", "string", "code", "import", "declaration", "call")
+#: Fields of `changes` and their values; None: any text, needed.
+CHANGES = {"base": None, "target": None, "scope": ("files", "lines"), "side": ("new", "old"), "renames": (True, False)}
 #: Fields of an ordinary search that can't go together: the first says what the others don't do.
-APART = {"anyOf": ("roles", "context"), "allOf": ("roles", "context"), "changes": ("context",), "roles": ("context",)}
+APART = {"anyOf": ("roles", "context"), "allOf": ("roles", "context"), "changes": ("context", "modifiedAfter", "modifiedBefore"), "roles": ("context",)}
 
 
 class RequestError(ValueError):
@@ -85,6 +87,8 @@ def validated(request: dict) -> dict:
     for k, others in APART.items():
         if request.get(k) and (clash := [o for o in others if request.get(o)]):
             raise RequestError("E_FIELD_CONFLICT", f"{k} does not go with {', '.join(clash)}", f"leave out {clash[0]}")
+    if request.get("changes") is not None:
+        checked_changes(request)
     if unknown := set(request.get("roles", ())) - set(ROLES):
         raise RequestError("E_ROLE_UNKNOWN", f"no role {sorted(unknown)}", "roles: " + ", ".join(ROLES))
     if "resultTokenBudget" in request and not (isinstance(request["resultTokenBudget"], int) and request["resultTokenBudget"] > 0):
@@ -117,6 +121,24 @@ def validated(request: dict) -> dict:
     return request
 
 
+def checked_changes(request: dict) -> None:
+    """Refuse a `changes` object that names no two versions, or has a field or value that means nothing."""
+    c = request["changes"]
+    if not isinstance(c, dict):
+        raise RequestError("E_FIELD_VALUE", "changes must be an object", "changes: {base, target}")
+    if unknown := [k for k in c if k not in CHANGES]:
+        raise RequestError("E_FIELD_UNKNOWN", f"changes has no field {unknown[0]!r}", "fields: " + ", ".join(CHANGES))
+    for k, values in CHANGES.items():
+        if values is None and not isinstance(c.get(k), str):
+            raise RequestError("E_FIELD_MISSING", f"changes needs {k}")
+        if values is not None and k in c and c[k] not in values:
+            raise RequestError("E_FIELD_VALUE", f"{k} of changes is one of {', '.join(map(str, values))}")
+    if "side" in c and c.get("scope") != "lines" and not any(request.get(k) for k in ("pattern", "anyOf", "allOf")):
+        raise RequestError("E_FIELD_CONFLICT", "a list of changed files has no side", "give scope lines, or what is searched for")
+    if request.get("roles") and request.get("pattern") is None:
+        raise RequestError("E_FIELD_MISSING", "roles need a pattern")
+
+
 def checked_regex(pattern: str) -> None:
     """Refuse what a linear-time matcher has not (look-around, back references) and what doesn't compile."""
     if re.search(r"\(\?(?:[=!]|<[=!])|(?<!\\)(?:\\\\)*\\[1-9]|\(\?P=", pattern):

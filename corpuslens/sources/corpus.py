@@ -169,15 +169,23 @@ def matches_with_context(sources: DataFrame, pattern: str, context: int, **how)
     return hits.select("path", "line_no", F.col("l")[F.col("line_no") - 1].alias("line"), F.array_join(F.slice("l", first, F.col("line_no") + context - first + 1), "\n").alias("context"))
 
 
-def role_lines(sources: DataFrame, pattern: str, wanted: list[str], **how) -> DataFrame:
-    """path, line_no, line of the lines with a match that lies within one of the wanted lexical roles. A source of no known language
-    has no roles, so it has no such line."""
+def role_occurrences(sources: DataFrame, pattern: str, wanted: list[str], **how) -> DataFrame:
+    """path, text, start, end (characters), byte_start of the occurrences that lie within one of the wanted lexical roles. A source of no
+    known language has no roles, so it has none."""
     known = sources.filter(tx.extension(F.col("path")).isin(*(e for ends in md.LANGUAGES.values() for e in ends)))
     if how.get("literal") and "\n" not in pattern:
         known = known.filter(tx.line_matches(F.col("text"), pattern, **how))
+    by_line = tx.compiled_pattern(pattern, **how).replace("(?d", "(?dm", 1)
     spans = known.select("path", "text", F.filter(md.roles(F.col("path"), F.col("text")), lambda r: r["role"].isin(*wanted)).alias("spans")).filter(F.size("spans") > 0)
-    found = tx.occurrences(F.col("text"), tx.compiled_pattern(pattern, **how).replace("(?d", "(?dm", 1), F.length, ("start", "end"))
-    hits = spans.select("path", "text", "spans", F.explode(found).alias("o")).filter(F.exists("spans", lambda r: (r["start"] <= F.col("o.start")) & (F.col("o.end") <= r["end"])))
-    line_no = F.regexp_count(F.substring("text", F.lit(1), F.col("o.start").cast("int")), F.lit("\n")) + 1
+    both = F.zip_with(tx.occurrences(F.col("text"), by_line, F.length, ("start", "end")), tx.occurrences(F.col("text"), by_line), lambda c, b: F.struct(c["start"].alias("start"), c["end"].alias("end"), b["byte_start"].alias("byte_start")))
+    hits = spans.select("path", "text", "spans", F.explode(both).alias("o"))
+    return hits.filter(F.exists("spans", lambda r: (r["start"] <= F.col("o.start")) & (F.col("o.end") <= r["end"]))).select("path", "text", "o.*")
+
+
+def role_lines(sources: DataFrame, pattern: str, wanted: list[str], **how) -> DataFrame:
+    """path, line_no, line of the lines with a match that lies within one of the wanted lexical roles. A source of no known language
+    has no roles, so it has no such line."""
+    hits = role_occurrences(sources, pattern, wanted, **how)
+    line_no = F.regexp_count(F.substring("text", F.lit(1), F.col("start").cast("int")), F.lit("\n")) + 1
     numbered = hits.select("path", line_no.alias("line_no"), "text").dropDuplicates(["path", "line_no"])
     return numbered.select("path", "line_no", F.split("text", "\n", -1)[F.col("line_no") - 1].alias("line"))
