@@ -1,14 +1,22 @@
 """Half-open intervals [start, end) by a key: containment, overlap, merge, intersection, subtraction, greedy choice.
 
-Joins go by the key and a grid cell of the position, so an interval meets only those of its own cells, and a key with very
-many intervals is dealt over many tasks. `cell` should be about the usual interval's length; any value gives right results.
+Joins go by the key and a grid cell of the position, so an interval meets only those of its own cells. Union and difference are scans
+over sorted ranges, whose totals give each range what it needs of the others. So a key with very many intervals is dealt over many
+tasks; only the greedy choice, which is sequential, streams a key through one. `cell` should be about the usual interval's length; any value gives right results.
 """
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.operators.ranking import BROADCAST_ROWS
+from corpuslens.sources.shared import written
+
 
 def cells(start: Column, end: Column, cell: int) -> Column:
     """The grid cells that [start, end) touches; an empty interval has its start's."""
@@ -32,12 +40,39 @@ def without_overlap(rows: DataFrame, others: DataFrame, key: str, cell: int = 65
     return rows.join(hit, (F.col(key) == F.col("s_key")) & (F.col("start") == F.col("s_start")) & (F.col("end") == F.col("s_end")), "left_anti")
 
 
+def dealt(rows: DataFrame, key: str, *by: str) -> DataFrame:
+    """rows as a written table of ranges in the order of (key, by), each with its number, part_: a key with many rows is dealt over many."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number: ranges of few bytes aren't joined again
+    return written(rows.repartitionByRange(n, F.col(key), *by).withColumn("part_", F.spark_partition_id()), "ranges")
+
+
+def carried(ranged: DataFrame, key: str, **what: tuple[Column, Column]) -> DataFrame:
+    """key_, p_ and, by name, what the other ranges of a key give each of its ranges: a total of a range, and how the totals are joined
+    (a column over the window of the key's ranges in order). A row for each range and key in it, so no key has more than the ranges."""
+    totals = ranged.groupBy(F.col(key).alias("key_"), F.col("part_").alias("p_")).agg(*(total.alias(f"{name}_t") for name, (total, _) in what.items()))
+    out = written(totals.select("key_", "p_", *(joined.alias(name) for name, (_, joined) in what.items())), "carried")
+    return F.broadcast(out) if out.count() <= BROADCAST_ROWS else out
+
+
+def before(key: str = "key_"):
+    return Window.partitionBy(key).orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def with_carried(ranged: DataFrame, carry: DataFrame, key: str) -> DataFrame:
+    return ranged.join(carry, F.col(key).eqNullSafe(F.col("key_")) & (F.col("part_") == F.col("p_"))).drop("key_", "p_")
+
+
 def merged(rows: DataFrame, key: str) -> DataFrame:
-    """key, start, end: unions of intervals that overlap or touch."""
-    w = Window.partitionBy(key).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("start") <= reach, 0).otherwise(1)).over(w)
-    return rows.select(key, "start", "end").withColumn("island_", island).groupBy(key, "island_").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island_")
+    """key, start, end: unions of intervals that overlap or touch. A scan by ranges: what reaches furthest before a range, and how many
+    unions began before it, come from the ranges' totals; a union's pieces are combined in each task before they meet."""
+    ranged = dealt(rows.select(key, "start", "end"), key, "start", "end")
+    own = Window.partitionBy("part_", key).orderBy("start", "end")
+    reach = carried(ranged, key, reach=(F.max("end"), F.max("reach_t").over(before())))
+    so_far = F.greatest(F.col("reach"), F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = with_carried(ranged, reach, key).withColumn("new_", F.when(F.col("start") <= so_far, 0).otherwise(1))
+    islands = written(marked.withColumn("n_", F.sum("new_").over(own.rowsBetween(Window.unboundedPreceding, 0))).groupBy(key, "part_", "n_").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("new_").alias("new_")), "islands")
+    begun = carried(islands, key, begun=(F.sum("new_"), F.coalesce(F.sum("begun_t").over(before()), F.lit(0))))
+    return with_carried(islands, begun, key).groupBy(key, (F.col("n_") + F.col("begun")).alias("island_")).agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island_")
 
 
 def intersected(a: DataFrame, b: DataFrame, key: str, cell: int = 65_536) -> DataFrame:
@@ -53,18 +88,51 @@ def subtracted(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     mark = lambda df, column, sign, side: df.select(key, F.col(column).alias("at"), F.lit(sign if side == "a" else 0).alias("da"), F.lit(sign if side == "b" else 0).alias("db"))
     bounds = mark(a, "start", 1, "a").unionByName(mark(a, "end", -1, "a")).unionByName(mark(b, "start", 1, "b")).unionByName(mark(b, "end", -1, "b"))
     net = bounds.groupBy(key, "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
-    w = Window.partitionBy(key).orderBy("at")
-    sweep = net.select(key, F.col("at").alias("start"), F.lead("at").over(w).alias("end"), F.sum("da").over(w).alias("in_a"), F.sum("db").over(w).alias("in_b"))
+    ranged = dealt(net, key, "at")
+    sums = lambda c: (F.sum(c), F.coalesce(F.sum(f"{c}_0_t").over(before()), F.lit(0)))
+    carry = carried(ranged, key, da_0=sums("da"), db_0=sums("db"), next_0=(F.min("at"), F.lead("next_0_t").over(Window.partitionBy("key_").orderBy("p_"))))
+    w = Window.partitionBy("part_", key).orderBy("at")
+    sweep = with_carried(ranged, carry, key).select(key, F.col("at").alias("start"), F.coalesce(F.lead("at").over(w), F.col("next_0")).alias("end"), (F.col("da_0") + F.sum("da").over(w)).alias("in_a"), (F.col("db_0") + F.sum("db").over(w)).alias("in_b"))
     return merged(sweep.filter("in_a > 0 and in_b = 0 and end is not null"), key)
 
 
+class Disjoint:
+    """An ordered set of intervals that don't overlap; an interval's neighbours are found by bisection."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, start: int, end: int) -> bool:
+        """Put the interval in, unless one that is in overlaps it."""
+        k = bisect.bisect_left(self.starts, end)  # of those that begin before its end, the last one ends last
+        if k and self.ends[k - 1] > start:
+            return False
+        if start == end:
+            k = bisect.bisect_left(self.starts, start)
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+        return True
+
+
 def kept_greedily(rows: DataFrame, key: str, rank: str) -> DataFrame:
-    """By rank, rows (key, start, end, rank) that overlap no row of their key kept before. Sequential within a key: one fold over its ranges."""
-    ranges = F.sort_array(F.collect_list(F.struct(F.col(rank).alias("r"), F.col("start").alias("s"), F.col("end").alias("e"))))
-    empty = F.array().cast("array<struct<r:bigint,s:bigint,e:bigint>>")
-    typed = F.transform(ranges, lambda x: F.struct(x["r"].cast("long").alias("r"), x["s"].cast("long").alias("s"), x["e"].cast("long").alias("e")))
-    kept = F.aggregate(typed, empty, lambda acc, x: F.when(F.exists(acc, lambda k: (x["s"] < k["e"]) & (k["s"] < x["e"])), acc).otherwise(F.concat(acc, F.array(x))))
-    return rows.groupBy(key).agg(kept.alias("k")).select(key, F.explode("k").alias("x")).select(key, F.col("x.r").alias(rank), F.col("x.s").alias("start"), F.col("x.e").alias("end"))
+    """key, rank, start, end: by rank, rows that overlap no row of their key kept before.
+
+    The choice is sequential within a key. Rows are sorted by key and rank and streamed through one pass, a batch at a time; what is held
+    is the kept intervals of one key, in order, so a row costs a bisection."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept = object(), Disjoint()
+        for b in batches:
+            chosen = []
+            for k, _, start, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != now:
+                    now, kept = k, Disjoint()
+                chosen.append(start is not None and end is not None and kept.add(start, end))
+            yield b.filter(pa.array(chosen, pa.bool_()))
+
+    typed = rows.select(key, *(F.col(c).cast("long").alias(c) for c in (rank, "start", "end")))
+    return typed.repartition(key).sortWithinPartitions(key, rank, "start", "end").mapInArrow(run, typed.schema)
 
 
 def covers(inner: DataFrame, outer: DataFrame, key: str, cell: int = 65_536) -> DataFrame:
