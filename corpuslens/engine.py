@@ -24,6 +24,7 @@ from corpuslens.functions import text as tx
 from corpuslens.operators import changes as ch
 from corpuslens.operators import compare as cm
 from corpuslens.operators import graph as gr
+from corpuslens.operators import ignoring as ig
 from corpuslens.operators import intervals as iv
 from corpuslens.operators import ranking as rk
 from corpuslens.request import Cursor, RequestError, normalized, parse_cursor, validated
@@ -97,6 +98,7 @@ class Engine:
         self.spark, self.sources, self.versions, self.records, self.edges, self.embedder, self.vectors = spark, sources, versions or {}, records, edges, embedder, vectors
         self.assessor, self.media, self.media_embedder = assessor, media, media_embedder
         self.results: dict[str, Result] = {}
+        self._left_out: DataFrame | None = None
 
     def search(self, request: dict) -> Result:
         r, notes = normalized(request)
@@ -138,6 +140,8 @@ class Engine:
         coverage = {"filesystem": "complete"}
         if "ignored" in df.columns and r.get("ignorePolicy", "respect") == "respect":
             df, coverage["ignored"] = df.filter(~F.col("ignored")), "policy-filtered"
+        elif r.get("ignorePolicy", "respect") == "respect" and (left_out := self._ignored_paths()) is not None:
+            df, coverage["ignored"] = df.join(left_out.select("path"), "path", "left_anti"), "policy-filtered"
         if "mtime" in df.columns and ("modifiedAfter" in r or "modifiedBefore" in r):
             at = [F.timestamp_millis(F.lit(r[k])) if k in r else None for k in ("modifiedAfter", "modifiedBefore")]
             inside = F.lit(True) if at[0] is None else F.col("mtime") >= at[0]
@@ -149,6 +153,32 @@ class Engine:
         df = df if r.get("text") else df.filter(~F.contains("text", F.lit("\0")))  # an audit may ask for binary sources as text
         return df.filter(~tx.is_protected(F.col("path"))), coverage
 
+    def _ignored_paths(self) -> DataFrame | None:
+        """path, ignored_by of the sources that rule files among them leave out, written once for an engine; None if there are none."""
+        if self._left_out is None:
+            some = ig.rule_files(self.sources).head(1)
+            found = ig.with_rule(self.sources.select("path", "text")).filter("ignored_by is not null").select("path", "ignored_by") if some else self.spark.createDataFrame([], "path string, ignored_by string")
+            self._left_out = written(found, "ignored")
+            self._n_left_out = self._left_out.count() if some else 0
+        if not self._n_left_out:
+            return None
+        return F.broadcast(self._left_out) if self._n_left_out <= rk.BROADCAST_ROWS else self._left_out
+
+    def ignored(self, r: dict) -> DataFrame:
+        """path, ignored_by: the sources in the request's scope that ignore rules leave out of it."""
+        left_out = self._ignored_paths()
+        inside = self._admitted({**r, "ignorePolicy": "include"}, r.get("path"))[0].select("path")
+        return inside.join(left_out, "path") if left_out is not None else inside.filter("false").withColumn("ignored_by", F.lit(None).cast("string"))
+
+    def _said_of_ignored(self, r: dict) -> list[str]:
+        """A note on the sources in scope that ignore rules leave out, with a sample of twenty and their rules."""
+        if r.get("ignorePolicy", "respect") != "respect" or "ignored" in self.sources.columns or self._ignored_paths() is None:
+            return []
+        out = written(self.ignored(r), "ignored")
+        n = out.count()
+        shown = ", ".join(f"{x.path} ({x.ignored_by})" for x in out.orderBy("path").limit(20).collect())
+        return [f"{n} sources are left out by ignore rules: {shown}"] if n else []
+
     def _missing(self, r: dict) -> list[str]:
         """A note on asked paths that aren't there. At most twenty paths are asked for."""
         if "paths" not in r:
@@ -165,7 +195,7 @@ class Engine:
         return tx.compiled_pattern(term, literal=True, ignore_case=bool(r.get("ignoreCase")), whole_word=bool(r.get("wholeWord")))
 
     def _scan(self, r: dict) -> tuple[DataFrame, dict[str, str], list[str]]:
-        how, notes = self._how(r), self._missing(r)
+        how, notes = self._how(r), self._missing(r) + self._said_of_ignored(r)
 
         def lines(docs: DataFrame) -> DataFrame:
             if r.get("roles"):
@@ -287,7 +317,9 @@ class Engine:
                 own = ch.with_hits(own, occurrences(t), ranged).withColumn(f"n{i}_", F.size("hits")).drop("hits")
             held = own.select("path", "change", F.array(*(f"n{i}_" for i in range(len(terms)))).alias("occurrences")).filter(F.forall("occurrences", lambda n: n > 0))
             return Result(held, ["path"], "analysis", limit, coverage, notes)
-        more = [F.col("ranges.lines").alias("lines")] if ranged else []
+        if ranged:  # sources with changed lines on the asked side, and those whose changed lines are unknown
+            rows = rows.filter("text is not null and coalesce(ranges.lines, '?') != ''")
+        more = [F.when(F.col("ranges.lines").isNotNull(), F.struct("ranges.old", "ranges.new")).alias("ranges")] if ranged else []
         more += [F.col("old_path"), F.col("similarity")] if r["changes"].get("renames") else []
         return Result(rows.select("path", "change", *more), ["path"], "analysis", limit, coverage, notes)
 

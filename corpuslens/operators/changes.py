@@ -18,7 +18,7 @@ from corpuslens.functions import scanners as sc
 from corpuslens.functions import text as tx
 from corpuslens.operators import compare as cm
 
-RANGE = "struct<lines:string,first:array<bigint>,last:array<bigint>,start:array<bigint>,end:array<bigint>>"
+RANGE = "struct<old:string,new:string,lines:string,first:array<bigint>,last:array<bigint>,start:array<bigint>,end:array<bigint>>"
 HIT = "array<struct<byte_start:bigint,byte_end:bigint,line_no:int,line:string>>"
 
 
@@ -64,8 +64,10 @@ def inside(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.nda
 
 
 def changed_ranges(old: Column, new: Column, side: str) -> Column:
-    """struct<lines, first, last, start, end>: the lines of a side that a shortest edit script touches, as text, numbers and bytes; a
-    source that the other side lacks has all its lines. Null where this side has no source, or the comparison needs too much work."""
+    """struct<old, new, lines, first, last, start, end>: the lines of both sides that a shortest edit script touches, as text, and those
+    of the asked side also as numbers and bytes; a source that the other side lacks has all its lines. Null where the side has no source,
+    or the comparison needs too much work."""
+    all_lines = lambda text: [(1, n)] if text is not None and (n := len(line_starts(text)) - 1) else []
 
     @F.pandas_udf(RANGE)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -73,18 +75,17 @@ def changed_ranges(old: Column, new: Column, side: str) -> Column:
             rows = []
             for a, b in zip(olds, news, strict=True):
                 own = b if side == "new" else a
-                if own is None:
-                    rows.append((None,) * 5)
-                    continue
                 try:
-                    n = len(line_starts(own)) - 1
-                    lines = ([(1, n)] if n else []) if a is None or b is None else sc.changed_ranges(a, b)[side == "new"]
+                    both = (all_lines(a), all_lines(b)) if a is None or b is None else sc.changed_ranges(a, b)
                 except sc.WorkLimit:
-                    rows.append((None,) * 5)
+                    both = None
+                if own is None or both is None:
+                    rows.append((None,) * 7)
                     continue
+                lines = both[side == "new"]
                 start, end = byte_ranges(lines, own)
-                rows.append((sc.written(lines), [x for x, _ in lines], [y for _, y in lines], start, end))
-            yield pd.DataFrame(rows, columns=["lines", "first", "last", "start", "end"])
+                rows.append((*map(sc.written, both), sc.written(lines), [x for x, _ in lines], [y for _, y in lines], start, end))
+            yield pd.DataFrame(rows, columns=["old", "new", "lines", "first", "last", "start", "end"])
 
     return run.asNondeterministic()(old, new)  # so that it is computed once for all its fields
 

@@ -10,6 +10,7 @@ from corpuslens.functions import structure as st
 from corpuslens.functions import text as tx
 from corpuslens.operators import changes as ch
 from corpuslens.operators import compare as cm
+from corpuslens.operators import ignoring as ig
 from corpuslens.operators import intervals as iv
 from corpuslens.plans.comparisons import VERSIONS
 from corpuslens.sources import corpus as co
@@ -64,6 +65,20 @@ def changed_line_occurrences_old(spark, sf_dir):
     return in_changed_lines(spark, sf_dir, "old", "er")
 
 
+@query("""WITH p AS (SELECT lang || '/' || source || '/' || doc_id || '.txt' AS path, lang, source, CAST(doc_id AS VARCHAR) AS d FROM documents),
+ r AS (SELECT path, CASE WHEN source = 'src3' THEN lang || '/.gitignore:src3/' WHEN source = 'src2' AND right(d, 1) <> '5' THEN lang || '/src2/.ignore:*' WHEN source = 'src2' THEN NULL
+  WHEN right(d, 1) = '7' AND NOT (source = 'src1' AND starts_with(d, '1')) THEN lang || '/.gitignore:*7.txt' END AS ignored_by FROM p) SELECT path, ignored_by FROM r WHERE ignored_by IS NOT NULL""")
+def ignore_rules(spark, sf_dir):
+    """The sources that rule files among them leave out, with the deciding rule. The rule files are derived from the documents'
+    folders: one for each language, and one for each source src1 and src2."""
+    d = co.document_sources(spark, sf_dir)
+    at = lambda folder, name, text: d.select(F.concat_ws("/", *folder, F.lit(name)).alias("path"), F.lit(text).alias("text")).distinct()
+    lang = at(["lang"], ".gitignore", "# left out\nsrc3/\n*7.txt\n!src1/1*7.txt\n")
+    below = at(["lang", F.lit("src2")], ".ignore", "*\n!*5.txt\n").unionByName(at(["lang", F.lit("src3")], ".gitignore", "!*\n"))
+    every = d.select("path", "text").unionByName(lang).unionByName(below)
+    return ig.with_rule(every).filter("ignored_by is not null").filter(F.endswith("path", F.lit(".txt"))).select("path", "ignored_by")
+
+
 PYTHON = f"""{VERSIONS}, py AS (SELECT doc_id, 'py/' || doc_id || '.py' AS path, string_split(text, chr(10)) AS l FROM src), k AS (SELECT doc_id, path, unnest(range(1, len(l) + 1)) AS i, len(l) AS n FROM py)"""
 
 

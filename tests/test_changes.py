@@ -67,7 +67,7 @@ def test_roles(engine):
 
 def test_files_lists_and_fields(engine):
     assert rows(engine, "path", "change") == [("gone.txt", "removed"), ("new.txt", "added"), ("src/a.py", "modified")]
-    assert rows(engine, "path", "lines", changes={"scope": "lines"}) == [("gone.txt", None), ("new.txt", "1-2"), ("src/a.py", "3-6")]
+    assert rows(engine, "path", "ranges", changes={"scope": "lines"}) == [("new.txt", ("", "1-2")), ("src/a.py", ("3-4", "3-6"))]
     assert rows(engine, "path", paths=["new.txt"]) == [("new.txt",)]
     assert len(engine.search({"pattern": "needle", "limit": 2, "changes": {"base": "old", "target": "new"}}).page()[0]) == 2
     assert len(engine.search({"anyOf": ["needle"], "limit": 2}).page()[0]) == 2 and len(engine.search({"allOf": ["needle"], "limit": 1}).page()[0]) == 1
