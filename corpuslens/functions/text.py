@@ -132,12 +132,14 @@ def excerpt(text: Column, focus_start: Column, focus_end: Column, maximum: int =
 
 
 def retrieval_tokens(text: Column) -> Column:
-    """Words in lower case with camel case split, stop words left out, repeats kept; runs of three or more Han characters add their bigrams."""
-    words = F.regexp_extract_all(F.lower(F.regexp_replace(text, r"([a-z\d])([A-Z])", "$1 $2")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    stops = F.array(*map(F.lit, STOP_WORDS))
-    kept = F.filter(words, lambda w: ~F.array_contains(stops, w))
+    """Words in lower case with camel case split, stop words left out, repeats kept; runs of three or more Han characters add their bigrams.
+    What lies between words is split off, which is half the cost of collecting them."""
+    words = F.split(F.lower(F.regexp_replace(text, r"([a-z\d])([A-Z])", "$1 $2")), r"[^\p{L}\p{N}_]+", -1)
+    none = F.array(*map(F.lit, ["", *STOP_WORDS]))
+    kept = F.filter(words, lambda w: ~F.array_contains(none, w))
     bigrams = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))
-    return F.flatten(F.transform(kept, lambda w: F.when(w.rlike(r"^\p{IsHan}{3,}$"), F.concat(F.array(w), bigrams(w))).otherwise(F.array(w))))
+    with_bigrams = F.flatten(F.transform(kept, lambda w: F.when(w.rlike(r"^\p{IsHan}{3,}$"), F.concat(F.array(w), bigrams(w))).otherwise(F.array(w))))
+    return F.when(text.rlike(r"\p{IsHan}{3}"), with_bigrams).otherwise(kept)
 
 
 def concept_ranking_score(cosine: Column, length: Column) -> Column:

@@ -39,24 +39,95 @@ def bm25(sources: DataFrame, query_terms: list[str], text: str = "text") -> Data
     return joined.select("path", score.alias("bm25"))
 
 
-def bm25_joined(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query, path, bm25 for many queries at once. docs: path, tokens (array); queries: query, term (distinct).
+def near(df: DataFrame) -> DataFrame:
+    """df for a broadcast up to BROADCAST_ROWS rows, which are counted; beyond that the join shuffles, and AQE splits a common key."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+#: Documents of a posting block, on average, and the best ones by a query's rarest terms whose scores bound the others.
+BLOCK_DOCUMENTS, SEEDS = 4, 10
 
-    Texts are cut once: the postings of the asked terms and the lengths are written, and
-    statistics and scores read them. The asked terms go to every task up to BROADCAST_ROWS of them; beyond, postings meet
-    them by a shuffle, where AQE splits a common term. A document's postings stay together, so the sums are combined map-side."""
+
+def asked_postings(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """path, length, term, tf of the asked terms in docs (path, tokens), and the queries (query, term), both written. A posting without a
+    term stands for the other tokens of a document.
+
+    Texts are cut once: statistics and scores read the counts. The asked terms go to every task up to BROADCAST_ROWS of them; beyond,
+    tokens meet them by a shuffle, where AQE splits a common term. A document's tokens stay together, so the counts are combined map-side."""
     queries = written(queries, "queries")
-    near = F.broadcast if queries.count() <= BROADCAST_ROWS else lambda df: df
     lengths = docs.select("path", F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term"))
     asked = near(queries.select("term").distinct().withColumn("asked", F.lit(True)))
     tf = lengths.join(asked, "term", "left").groupBy("path", "length", F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count("*").alias("tf"))
-    postings = written(tf, "postings")  # a row without a term stands for the other tokens of a document
-    one = postings.groupBy("path").agg(F.max("length").alias("length"))
-    stats = one.agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.sum("length") / F.greatest(F.lit(1), F.count("*"))).alias("average"))
+    return written(tf, "postings"), queries
+
+
+def with_idf(queries: DataFrame, postings: DataFrame, lengths: DataFrame) -> DataFrame:
+    """query, term, idf, average of the asked terms that some document has; lengths: n, tokens of all documents, in parts."""
+    stats = lengths.agg(F.sum("n").alias("n"), F.greatest(F.lit(1.0), F.sum("tokens") / F.greatest(F.lit(1), F.sum("n"))).alias("average"))
     df = postings.filter("term is not null").groupBy("term").agg(F.count("*").alias("df"))
-    wanted = written(queries.join(df, "term").crossJoin(F.broadcast(stats)).select("query", "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "average"), "wanted")
-    hits = postings.filter("term is not null").join(near(wanted), "term")
-    return hits.groupBy("path", "query").agg(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("length") / F.col("average")))).alias("bm25"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return written(queries.join(df, "term").crossJoin(F.broadcast(stats)).select("query", "term", idf.alias("idf"), "average"), "wanted")  # one row
+
+
+def part_of(length: str = "length") -> Column:
+    """A term's part of a document's BM25."""
+    return F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col(length) / F.col("average")))
+
+
+def bm25_joined(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, path, bm25 of every document with a term of a query. docs: path, tokens (array); queries: query, term (distinct)."""
+    postings, queries = asked_postings(docs, queries)
+    one = postings.groupBy("path").agg(F.max("length").alias("tokens"), F.lit(1).alias("n"))
+    hits = postings.filter("term is not null").join(near(with_idf(queries, postings, one)), "term")
+    return hits.groupBy("path", "query").agg(F.sum(part_of()).alias("bm25"))
+
+
+def weighted_postings(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """term, path, block, w (the term's part of the document's BM25) of the asked terms, written; and query, term, idf.
+
+    A block is of documents of like length, some BLOCK_DOCUMENTS of them: a hash of the path deals a level of length to blocks."""
+    postings, queries = asked_postings(docs, queries)
+    level = F.floor(F.log(F.col("length") + 1) * 8)
+    levels = postings.groupBy("path").agg(F.max("length").alias("length")).groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum("length").alias("tokens"))
+    levels = written(levels, "levels")  # some 150 rows at most
+    wanted = with_idf(queries, postings, levels)
+    block = F.col("level") * F.lit(1 << 48) + F.pmod(F.xxhash64("path"), F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_DOCUMENTS)))
+    sized = postings.filter("term is not null").withColumn("level", level).join(F.broadcast(levels.select("level", "n")), "level")
+    once = near(wanted.select("term", "idf", "average").distinct())
+    rows = written(sized.join(once, "term").select("term", "path", block.alias("block"), part_of().alias("w")), "weighted")
+    return rows, near(wanted.select("query", "term", "idf"))
+
+
+def first_of_each(rows: DataFrame, key: str, by: list, most: int) -> DataFrame:
+    """rows with place, of each key the first `most`. The filter on the rank makes Spark keep the first ones of each task before they meet."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*by))).filter(F.col("place") <= most)
+
+
+def bm25_candidates(rows: DataFrame, wanted: DataFrame, most: int, margin: float) -> DataFrame:
+    """query, path, bm25 of the documents that may be among the `most` best of a query: the best ones, and few more.
+
+    First a query's rarest terms, up to half of all its idf, choose SEEDS documents or more; the score of the k-th best of them, less the
+    margin, is what a document must reach. A block's documents together have of each term no more than the block's
+    greatest w, and a block whose sum of these stays below is passed over. The documents of the other blocks are scored."""
+    rarest = Window.partitionBy("query").orderBy(F.desc("idf"), "term")
+    before = F.coalesce(F.sum("idf").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    strong = wanted.withColumn("before", before).withColumn("all", F.sum("idf").over(Window.partitionBy("query"))).filter("before < 0.5 * all")
+    score = lambda hits: hits.groupBy("query", "path").agg(F.sum("w").alias("bm25"))
+    part = score(rows.join(strong.select("query", "term"), "term"))
+    seeds = near(written(first_of_each(part, "query", [F.desc("bm25"), "path"], max(SEEDS, 3 * most)).select("query", "path"), "seeds"))
+    known = score(rows.join(wanted, "term").join(seeds, ["query", "path"], "left_semi"))
+    reached = first_of_each(known, "query", [F.desc("bm25"), "path"], most).groupBy("query").agg(F.when(F.count("*") == most, F.min("bm25")).alias("least"))
+    least = F.coalesce(F.col("least"), F.lit(0.0)) - margin
+    bounds = rows.groupBy("term", "block").agg(F.max("w").alias("w")).join(wanted, "term").groupBy("query", "block").agg(F.sum("w").alias("bound"))
+    open_ = near(written(bounds.join(reached, "query", "left").filter(F.col("bound") >= least).select("query", "block"), "open"))
+    return score(rows.join(wanted, "term").join(open_, ["query", "block"], "left_semi"))
+
+
+def bm25_best(docs: DataFrame, queries: DataFrame, most: int, digits: int = 6) -> DataFrame:
+    """query, path, bm25, rank: the `most` best documents of each query, by the score rounded to `digits`, then path."""
+    rows, wanted = weighted_postings(docs, queries)
+    scored = bm25_candidates(rows, wanted, most, 10.0 ** (1 - digits)).withColumn("bm25", F.round("bm25", digits))
+    return first_of_each(scored, "query", [F.desc("bm25"), "path"], most).withColumn("rank", F.col("place").cast("long")).drop("place")
 
 
 def ranked(rows: DataFrame, by: list, name: str, keep: int | None = None) -> DataFrame:

@@ -58,25 +58,37 @@ def bm25_documents(spark, sf_dir):
     return rk.bm25(documents(spark, sf_dir), terms()).select("path", F.round("bm25", 6).alias("bm25"))
 
 
-@query(rf"""WITH {SRC}, {TOKENS}, stat AS (SELECT count(*) AS n, greatest(1.0, sum(len(tokens)) / greatest(1, count(*))) AS average FROM toks),
+BEST_DOCUMENTS = rf"""WITH {SRC}, {TOKENS}, stat AS (SELECT count(*) AS n, greatest(1.0, sum(len(tokens)) / greatest(1, count(*))) AS average FROM toks),
  b AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda w: w NOT IN ({STOPS})))) AS term FROM benchmark),
  post AS (SELECT path, term, count(*) AS tf FROM (SELECT path, unnest(tokens) AS term FROM toks) WHERE term IN (SELECT term FROM b) GROUP BY path, term),
  dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term), lens AS (SELECT path, len(tokens) AS length FROM toks),
  s AS (SELECT item_id, path, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))) AS bm25 FROM b JOIN post USING (term) JOIN dfs USING (term) JOIN lens USING (path), stat GROUP BY item_id, path),
  r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(bm25, 6) DESC, path) AS rank FROM s)
- SELECT item_id, rank, path, round(bm25, 6) AS bm25 FROM r WHERE rank <= 3""")
-def bm25_benchmark_terms(spark, sf_dir):
-    """A5, X8 for many queries at once: the three best documents for all words of every benchmark passage."""
+ SELECT item_id, rank, path, round(bm25, 6) AS bm25 FROM r WHERE rank <= 3"""
+
+
+def passages_asked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """All documents' tokens, and all words of every benchmark passage as a query."""
     docs = documents(spark, sf_dir).select("path", tx.retrieval_tokens(F.col("text")).alias("tokens"))
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     stops = F.array(*map(F.lit, tx.STOP_WORDS))
-    wanted = co.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(F.filter(words, lambda w: ~F.array_contains(stops, w)))).alias("term"))
-    scores = rk.bm25_joined(docs, wanted)
-    scores = scores.withColumn("bm25", F.round("bm25", 6))
+    return docs, co.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(F.filter(words, lambda w: ~F.array_contains(stops, w)))).alias("term"))
+
+
+@query(BEST_DOCUMENTS)
+def bm25_benchmark_terms(spark, sf_dir):
+    """A5, X8 for many queries at once: the three best documents for all words of every benchmark passage."""
+    scores = rk.bm25_joined(*passages_asked(spark, sf_dir)).withColumn("bm25", F.round("bm25", 6))
     top = scores.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bm25"), "path"))).filter("rank <= 3")
     return top.select(F.col("query").alias("item_id"), F.col("rank").cast("long").alias("rank"), "path", "bm25")
 
 
+@query(BEST_DOCUMENTS)
+def bm25_best_by_bounds(spark, sf_dir):
+    """The same rows, by bounds of posting blocks: documents that can't be among the best aren't scored."""
+    return rk.bm25_best(*passages_asked(spark, sf_dir), 3).select(F.col("query").alias("item_id"), "rank", "path", "bm25")
+
+
 def candidates(spark, sf_dir) -> DataFrame:
     """Documents with two scores: the density of a frequent string stands for the semantic one, as no text encoder is at hand."""
     docs = documents(spark, sf_dir)
