@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslens.llm import secret_scan as ss
 
@@ -77,3 +79,11 @@ def test_trigram_queries_hold_for_every_match(rule):
 
 def test_empty_table(spark):
     assert ss.secret_spans(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("part", ["eyJ", "eyJabcdefgh.", "AKIA", "deadbee", "-----BEGIN A ", "ghp_", "xoxb-", "sk_live_", "token", "token ", "password='", "api_key = "])
+def test_a_megabyte_of_the_worst_text(spark, part):
+    df = spark.createDataFrame([(1, part)], "doc_id long, part string").select("doc_id", F.repeat("part", F.lit(1_000_000 // len(part))).alias("text"))
+    began = time.time()
+    ss.secret_spans(df).collect()
+    assert time.time() - began < 15  # a second or two on a free machine
