@@ -59,6 +59,11 @@ STRONG = frozenset(
 WEAK = frozenset("share sharing social search skip login signup toolbar disclaimer copyright alert".split())
 BOXES = frozenset("area articles bar bars block blocks body bottom box boxes button buttons col column container content contents footer form group header holder icons inner item items left link links list main nav notice outer panel posts primary right row secondary section sections slot stories text title top unit widget widgets wrap wrapper".split())
 HAVING = frozenset("has have with without no not hide show is".split())
+#: Of the strong words, those of readers' comments.
+COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+#: Elements that hold text rather than parts of a page: within an article a name doesn't take one out that holds prose. The ids of these
+#: and of sections are often made from their titles.
+TEXT_PARTS = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote pre table dl dt dd figure".split())
 #: Headers with these words are an article's own.
 OWN_HEADER = frozenset("article entry post story".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
@@ -75,14 +80,17 @@ SECTION_CHARS = 60
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "attributes", "out", "weak", "in_article", "depth", "steps", "upper", "text_n", "link_n", "links", "sentence", "raw_n", "score", "holds_article")
+    __slots__ = ("tag", "parent", "children", "attributes", "out", "weak", "in_article", "in_main", "in_quote", "depth", "steps", "upper", "text_n", "link_n", "links", "sentence", "raw_n", "score", "holds_article")
 
     def __init__(self, tag: str, parent: Node | None, attributes: dict[str, str]):
         self.tag, self.parent, self.attributes = tag, parent, attributes
         self.children: list[Node | str] = []
         self.in_article = parent is not None and (parent.in_article or parent.tag == "article" and not parent.out)
+        self.in_main = parent is not None and (parent.in_main or parent.tag in ("article", "main") and not parent.out)
+        self.in_quote = parent is not None and (parent.in_quote or parent.tag == "blockquote")
         self.weak = False
-        self.out = tag in LEFT_OUT and not (tag == "header" and self.in_article) or left_out(self)
+        own = tag == "header" and self.in_article or tag == "footer" and self.in_quote  # an article's header, a quotation's footer
+        self.out = tag in LEFT_OUT and not own or left_out(self)
         self.depth, self.steps, self.upper = (0, (), b"") if parent is None else (parent.depth + 1, None, b"")
         self.text_n = self.link_n = self.links = self.raw_n = 0
         self.sentence = self.holds_article = False
@@ -90,7 +98,7 @@ class Node:
 
 
 def named_out(name: str, own: bool) -> str | None:
-    """Whether a class or id name is of what isn't the article: "strong", "weak" or None.
+    """Whether a class or id name is of what isn't the article: "comments", "strong", "weak" or None.
 
     The name's last word decides, or its first word if the others are only words for boxes, so that a section about a
     thing ("social-science-article", "copyright-law") isn't taken for the thing. own: within an article, whose header stays.
@@ -103,7 +111,7 @@ def named_out(name: str, own: bool) -> str | None:
             if word == "header" and (own or not OWN_HEADER.isdisjoint(words)):
                 continue
             if word in STRONG:
-                return "strong"
+                return "comments" if word in COMMENTS else "strong"
             if word in WEAK:
                 return "weak"
     return None
@@ -116,9 +124,15 @@ def left_out(node: Node) -> bool:
         return a.get("role", "").lower() in ROLES and tag != "html"
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES:
         return True
-    kinds = {named_out(name, node.in_article) for name in f"{a.get('class', '')} {a.get('id', '')}".split()}
+    kinds = {named_out(name, node.in_article) for name in a.get("class", "").split()}
+    by_id = {named_out(name, node.in_article) for name in a.get("id", "").split()}
+    if tag in TEXT_PARTS or tag == "section" and node.in_main:  # an id made from a title: only that of comments says something
+        by_id &= {"comments"}
+    if tag in TEXT_PARTS and node.in_main and "strong" in kinds:
+        kinds = kinds - {"strong"} | {"weak"}
+    kinds |= by_id
     node.weak = "weak" in kinds and tag != "article"
-    return "strong" in kinds
+    return not kinds.isdisjoint(("strong", "comments"))
 
 
 class Builder:
@@ -263,7 +277,9 @@ def reached_all(root: Node) -> list[Node]:
 
 
 def is_link_list(node: Node) -> bool:
-    """A list or division with several links that are nearly all of its text."""
+    """A list or division with several links that are nearly all of its text; an article's own paragraphs, lists and tables are none."""
+    if node.in_article and node.tag in ("p", "ul", "ol", "dl", "table"):
+        return False
     return node.tag in ("ul", "ol", "dl", "div", "table", "section", "p") and node.text_n > 0 and node.link_n >= 0.8 * node.text_n and node.links >= 3
 
 

@@ -203,3 +203,58 @@ def test_labelled_pages(spark):
     out = {r.page_id: r for r in he.main_text(df).collect()}
     assert [i for i, _, _, want in made if out[i].text != want] == []
     assert sum(r.by_host_path for r in out.values()) > 200
+
+
+FOUR = f"{S} {S} {S} {S}"
+
+
+@pytest.mark.parametrize(
+    ("part", "want"),
+    [
+        ('<h2 id="navigation">Navigation of ships</h2>', "Navigation of ships"),
+        ('<h3 id="advertisement">Advertisement</h3>', "Advertisement"),
+        *((f'<section id="{i}"><h2>Part</h2><p>{FOUR}</p></section>', f"Part {FOUR}") for i in ("related", "cookies", "promotion", "navigation", "sidebar")),
+        (f'<p class="banner">{FOUR}</p>', FOUR),
+        (f'<table class="navigation"><tr><td>{FOUR}</td></tr></table>', FOUR),
+        (f'<blockquote class="promo"><p>{FOUR}</p></blockquote>', FOUR),
+        ("<ol><li><a href=1>First source</a><li><a href=2>Second source</a><li><a href=3>Third source</a></ol>", "First source Second source Third source"),
+        ("<p>See <a href=1>the first source</a>, <a href=2>the second one</a> and <a href=3>the third one</a>.</p>", "See the first source, the second one and the third one."),
+        (f"<blockquote><p>{S}</p><footer>Somebody</footer></blockquote>", f"{S} Somebody"),
+        # and what goes all the same
+        ('<p class="ad">Buy.</p>', ""),
+        ('<section id="comments"><p>I liked it, and I have a lot more to say about it than this.</p></section>', ""),
+        ('<li class="menu-item"><a href=1>Home</a></li>', ""),
+        ("<div><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></div>", ""),
+        (f'<div id="cookies"><p>{S}</p></div>', ""),
+        ("<footer>Filed under: things</footer>", ""),
+    ],
+)
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<main><article class=post>{}</article></main>"])
+def test_an_article_keeps_its_text(part, want, frame):
+    html = f"<body><nav><a href=/>x</a></nav>{frame.format(f'<h1>Title</h1><p>{S}</p>{part}<p>{S}</p>')}<div class=ad>{S}</div></body>"
+    text = " ".join(x for x in ("Title", S, want, S) if x)
+    assert he.extracted(html, None)[0] == text
+    for path, _ in he.votes(html):
+        assert he.extracted(html, path)[0] == text
+
+
+def test_votes_and_winners_by_plain_loops(spark):
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(8)
+    rows = [(i, f"http://host{i % 7}.org/{i}", labelled_page(rng, rng.randint(0, 5))[0]) for i in range(120)] + [(900, None, "<p>x.</p>"), (901, "http://host1.org/z", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sums = defaultdict(float)
+    for _, url, html in rows:
+        if url:
+            for path, score in he.votes(html or ""):
+                sums[url.split("/")[2], path] += score
+    named = pages.select(he.host_of("url").alias("host"), "html").fillna({"html": ""})
+    got = {(r.host, r.path): r.score for r in he.host_votes(named).collect()}
+    assert got.keys() == sums.keys() and all(abs(got[k] - 1e6 * sums[k]) <= 200 for k in got)
+    best = {}
+    for (host, path), score in sorted(got.items()):
+        if host not in best or score > best[host][0]:
+            best[host] = (score, path)
+    assert {r.host: r.path for r in he.winning_paths(he.host_votes(named)).collect()} == {h: p for h, (_, p) in best.items()}
