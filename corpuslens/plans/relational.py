@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.operators import intervals as iv
 from corpuslens.sources.corpus import table
+from corpuslens.streaming import keyed as kd
 from corpuslens.streaming import windows as st
 
 QUERIES: dict = {}
@@ -151,3 +152,38 @@ def stream_sliding(spark, sf_dir):
 def stream_session(spark, sf_dir):
     """Extension: sessions of a user with gaps under four hours."""
     return st.run_to_end(spark, sf_dir, st.sessions)
+
+
+def halfway(spark, sf_dir):
+    """The events, and the moment halfway between the first and the last."""
+    e = table(spark, sf_dir, "events")
+    span = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select((F.unix_micros(F.col("a").cast("timestamp")) / 2 + F.unix_micros(F.col("b").cast("timestamp")) / 2).cast("long")).first()[0]
+    return e, F.timestamp_micros(F.lit(span))
+
+
+HALF = "half AS (SELECT make_timestamp((epoch_us(min(ts)) // 2 + epoch_us(max(ts)) // 2)) AS mid FROM events)"
+
+
+@query(f"WITH {HALF} SELECT event_id, user_id, ts FROM events, half WHERE NOT (event_type = 'error' AND ts < mid - INTERVAL 3 HOUR)")
+def stream_deduplicated(spark, sf_dir):
+    """Extension: events in two steps, the second with repeats of all of the first and with errors that come hours too late: each event that
+    is in time once."""
+    e, mid = halfway(spark, sf_dir)
+    ts, late = F.col("ts").cast("timestamp"), F.col("event_type") == "error"
+    tardy = late & (ts < mid - F.expr("INTERVAL 3 HOURS")) | ~late & (ts > mid - F.expr("INTERVAL 1 HOUR"))
+    first = e.filter((ts <= mid) & ~F.coalesce(tardy, F.lit(False)))
+    second = e.filter((ts > mid) | F.coalesce(tardy, F.lit(False))).unionByName(first)
+    return st.run_in_steps(spark, [first.unionByName(first), second], kd.deduplicated).select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, value, CASE WHEN ts < lag(ts) OVER w + INTERVAL 4 hour THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, round(sum(coalesce(value, 0)), 3) AS total FROM s GROUP BY user_id, k""")
+def stream_idle_entries(spark, sf_dir):
+    """Extension: state by user with timers: entries put out when a user has been idle, of events that come in two steps out of order."""
+    e, mid = halfway(spark, sf_dir)
+    ts = F.col("ts").cast("timestamp")
+    tardy = (F.col("event_type") == "view") & (ts > mid - F.expr("INTERVAL 1 HOUR"))
+    first, second = e.filter((ts <= mid) & ~tardy), e.filter((ts > mid) | (ts <= mid) & tardy)
+    out = st.run_in_steps(spark, [first, second, st.far_end(e)], kd.idle_entries)
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return out.select("user_id", ntz("first_ts"), ntz("last_ts"), "n", F.round("total", 3).alias("total"))

@@ -26,18 +26,25 @@ def sessions(events: DataFrame) -> DataFrame:
     return events.groupBy(F.session_window("ts", "4 hours"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("window_start"), F.col("session_window.end").alias("window_end"), "n")
 
 
-def run_to_end(spark: SparkSession, sf_dir: str, windows: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """All windows of the stream's present content, closed by the stream itself: after the events a single one far beyond them moves the
-    watermark past every window. Its own window never closes, so it is in no result."""
-    at = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+def far_end(events: DataFrame) -> DataFrame:
+    """A single row far beyond all events, null but for its time: it moves a stream's watermark past everything before it."""
     last = events.agg(F.max(F.col("ts").cast("timestamp")).alias("ts")).withColumn("ts", F.col("ts") + F.expr("INTERVAL 30 DAYS"))
-    final = last.select(*(F.col("ts").cast(f.dataType).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields))
-    final.filter("ts is not null").write.parquet(f"{at}/final")
-    schema = events.schema
-    for source in (f"{sf_dir}/events.parquet", f"{at}/final"):  # two runs of one query: its state and watermark live in the checkpoint
-        events.limit(0).write.mode("ignore").parquet(f"{at}/in")
-        spark.read.schema(schema).parquet(source).write.mode("append").parquet(f"{at}/in")
-        stream = windows(spark.readStream.schema(schema).parquet(f"{at}/in").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS))
+    return last.select(*(F.col("ts").cast(f.dataType).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields)).filter("ts is not null")
+
+
+def run_in_steps(spark: SparkSession, arrivals: list[DataFrame], transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream gives, in append mode, of rows that arrive in these steps: runs of one query, whose state and watermark live in its
+    checkpoint. A step is a micro-batch or more; the watermark of one holds in the next."""
+    at, schema = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}", arrivals[0].schema
+    arrivals[0].limit(0).write.parquet(f"{at}/in")
+    stream = transform(spark.readStream.schema(schema).parquet(f"{at}/in").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS))
+    for rows in arrivals:
+        rows.write.mode("append").parquet(f"{at}/in")
         (stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()).awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+def run_to_end(spark: SparkSession, sf_dir: str, windows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All windows of the stream's present content, closed by the stream itself: the far end's own window never closes, so it is in no result."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return run_in_steps(spark, [events, far_end(events)], windows)
