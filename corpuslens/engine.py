@@ -9,12 +9,13 @@ Plans are lazy; the only actions inside are the emptiness test of a scope's expa
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions import modules as md
@@ -30,6 +31,7 @@ from corpuslens.operators import ranking as rk
 from corpuslens.request import Cursor, RequestError, normalized, parse_cursor, validated
 from corpuslens.sources import corpus as co
 from corpuslens.sources.providers import ProviderError, supported
+from corpuslens.sources.results import ResultStore, StoredResult, total_order
 from corpuslens.sources.shared import written
 
 PAGE, SUMMARY_PAGE, PAGE_BYTES = 100, 30, 16 * 1024
@@ -55,6 +57,8 @@ class Result:
     page_bytes: int = PAGE_BYTES
     id: str = field(default_factory=lambda: uuid.uuid4().hex)
     start: int = 0
+    store: ResultStore | None = None
+    stored: StoredResult | None = None
 
     @property
     def complete(self) -> bool:
@@ -63,11 +67,11 @@ class Result:
     def page(self, offset: int | None = None) -> tuple[list[dict], str | None]:
         """Up to page_size rows from the offset (that of the request's cursor, if none is given), as dicts with sensitive text redacted last, and the next page's cursor."""
         offset = self.start if offset is None else offset
-        rows = rk.ranked(self.evidence, self.order, "row_", offset + self.page_size + 1).filter(F.col("row_") > offset).orderBy("row_").collect()
+        rows = self.rows(offset, self.page_size + 1)
         more = len(rows) > self.page_size
         out, size = [], 0
         for r in rows[: self.page_size]:
-            d = {k: sc.redacted(v)[0] if isinstance(v, str) else v for k, v in r.asDict(True).items() if k != "row_"}
+            d = {k: sc.redacted(v)[0] if isinstance(v, str) else v for k, v in r.asDict(True).items()}
             size += len(str(d).encode())
             if out and size > self.page_bytes:
                 more = True
@@ -75,6 +79,15 @@ class Result:
             out.append(d)
         return out, str(Cursor(self.id, self.kind, offset + len(out))) if more else None
 
+    def rows(self, offset: int, most: int) -> list[Row]:
+        """Up to `most` rows from the offset on. The first ones are a top-k; for any other the result is stored once, and sought in."""
+        if self.stored is None and offset and self.store is not None:
+            self.stored = self.store.get(self.id) or self.store.put(self.id, self.evidence, self.order, {"kind": self.kind, "page_size": self.page_size, "page_bytes": self.page_bytes, "coverage": self.coverage, "notes": self.notes})
+        if self.stored is not None:
+            return self.stored.page(offset, most)
+        by = total_order(self.evidence, self.order)
+        return self.evidence.orderBy(*by).limit(offset + most).collect()[offset:]
+
     @property
     def cursor(self) -> str:
         """The cursor of the whole result, for requests about its rows."""
@@ -99,6 +112,7 @@ class Engine:
         self.assessor, self.media, self.media_embedder = assessor, media, media_embedder
         self.results: dict[str, Result] = {}
         self._left_out: DataFrame | None = None
+        self.store = ResultStore(spark)
 
     def search(self, request: dict) -> Result:
         r, notes = normalized(request)
@@ -116,7 +130,7 @@ class Engine:
         else:
             result = getattr(self, "_" + mode.replace("-", "_"))(r)
         result.notes = notes + result.notes
-        result.page_bytes = page_bytes(r)
+        result.page_bytes, result.store = page_bytes(r), self.store
         self.results = {**dict(list(self.results.items())[-19:]), result.id: result}  # twenty at most, the oldest go
         return result
 
@@ -127,6 +141,9 @@ class Engine:
     def _stored(self, cursor: str) -> tuple[Result, Cursor]:
         """The result that a cursor is of; kind and selection must be those it was made with."""
         c = parse_cursor(cursor)
+        if c.id not in self.results and re.fullmatch("[0-9a-f]{32}", c.id) and (stored := self.store.get(c.id)):
+            about = stored.about  # of a session before this one
+            self.results[c.id] = Result(stored.all(), [], about["kind"], about["page_size"], about["coverage"], about["notes"], about["page_bytes"], c.id, store=self.store, stored=stored)
         if c.id not in self.results:
             raise RequestError("E_CURSOR_NOT_FOUND", "the search of this cursor is gone", "start a new search")
         if c.kind != self.results[c.id].kind or c.selection != "all":
@@ -398,10 +415,9 @@ class Engine:
         if not {"path", "line_no"} <= set(found.evidence.columns):
             raise RequestError("E_SUPPORT_EVIDENCE", "the rows of this result have no line", "give the cursor of a search for lines")
         asked, around = list(r.get("matchIndices") or [r["matchIndex"]]), r.get("supportContextLines", 2)
-        places = rk.ranked(found.evidence, found.order, "row_", c.offset + max(asked)).filter(F.col("row_").isin(*(c.offset + i for i in asked))).select("row_", "path", "line_no").collect()  # twenty at most
-        if len(places) < len(set(asked)):
+        by_row = {i: {"path": x.path, "line": x.line_no} for i in set(asked) for x in found.rows(c.offset + i - 1, 1)}  # twenty at most
+        if len(by_row) < len(set(asked)):
             raise RequestError("E_RANGE", "the result has no such row", "give an index of a row that was shown")
-        by_row = {x.row_ - c.offset: {"path": x.path, "line": x.line_no} for x in places}
         read = self._inspect({"targets": [by_row[i] for i in asked], "context": around})
         shown = read.evidence.orderBy("target", "line_no").select("target", "status", "line").collect()  # 41 lines a target at most
         valid = all(x.status == "current" for x in shown) and {x.target for x in shown} == set(range(len(asked)))
