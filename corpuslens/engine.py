@@ -474,9 +474,7 @@ class Engine:
     def _tests(self, r: dict) -> Result:
         """Test files of the admitted sources, or of those in scope, by how they are related, with their test cases."""
         docs, coverage = self._admitted({k: v for k, v in r.items() if k != "path"})
-        related = gr.test_relations(docs, gr.module_edges(docs)[2])
-        if "path" in r:
-            related = related.filter(tx.in_scope(F.col("path"), r["path"]))
+        related = gr.test_relations(docs, *gr.module_edges(docs), targets=tx.in_scope(F.col("path"), r["path"]) if "path" in r else None)
         cases = docs.filter(F.col("path").rlike(md.TEST_PATH)).select(F.col("path").alias("test_path"), F.filter(md.tests(F.col("path"), F.col("text")), lambda c: c["kind"] == "test").alias("cases"))
         order = F.when(F.col("relation") == "direct", 0).when(F.col("relation") == "indirect", 1).otherwise(2)
         return Result(related.join(cases, "test_path", "left"), ["path", order, "test_path"], "analysis", SUMMARY_PAGE, coverage | {"parser": "partial"})

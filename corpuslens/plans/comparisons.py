@@ -257,14 +257,18 @@ def module_candidates(spark, sf_dir):
     return gr.module_edges(script_sources(spark, sf_dir))[2]
 
 
-@query(f"""WITH {SCRIPTS}, links AS (SELECT DISTINCT from_path, path FROM r WHERE path IS NOT NULL), direct AS (SELECT from_path AS test_path, path FROM links WHERE starts_with(from_path, 'tests/')),
- every AS (SELECT test_path, path, 0 AS k FROM direct UNION ALL SELECT test_path, l.path, 1 FROM direct t JOIN links l ON l.from_path = t.path
-  UNION ALL SELECT 'tests/' || doc_id || '.test.ts', p, 2 FROM (SELECT doc_id, CASE WHEN source = 'src1' THEN NULL ELSE path END AS p FROM s WHERE lang IN ('en', 'es') UNION ALL SELECT doc_id, 'src/' || doc_id || '.js' FROM s WHERE source = 'src0' AND lang IN ('en', 'es')) WHERE p IS NOT NULL)
+@query(f"""WITH RECURSIVE {SCRIPTS}, direct AS (SELECT DISTINCT from_path AS test_path, path FROM r WHERE path IS NOT NULL AND starts_with(from_path, 'tests/')),
+ w AS (SELECT from_path AS test_path, to_path AS path, to_name AS name, 1 AS hops, [from_path || ':' || from_name, to_path || ':' || to_name] AS seen, FALSE AS cycle FROM e WHERE starts_with(from_path, 'tests/')
+  UNION ALL SELECT w.test_path, e.to_path, e.to_name, hops + 1, list_append(seen, e.to_path || ':' || e.to_name), list_contains(seen, e.to_path || ':' || e.to_name) FROM w JOIN e ON w.path = e.from_path AND w.name = e.from_name WHERE hops < 8 AND NOT cycle),
+ l AS (SELECT *, row_number() OVER (PARTITION BY test_path ORDER BY hops DESC) AS back FROM w),
+ found AS (SELECT test_path FROM l WHERE back = 1 AND NOT cycle AND EXISTS (SELECT 1 FROM d WHERE d.path = l.path AND d.name = l.name)),
+ t AS (SELECT doc_id, 'tests/' || doc_id || '.test.ts' AS test_path FROM s WHERE lang IN ('en', 'es')), o AS (SELECT path, CASE WHEN source = 'src1' THEN 'index' ELSE CAST(doc_id AS VARCHAR) END AS stem FROM s UNION ALL SELECT 'src/' || doc_id || '.js', CAST(doc_id AS VARCHAR) FROM s WHERE source = 'src0'),
+ every AS (SELECT test_path, path, 0 AS k FROM direct UNION ALL SELECT test_path, path, 1 FROM w SEMI JOIN found USING (test_path) WHERE hops > 1 UNION ALL SELECT test_path, path, 2 FROM t JOIN o ON contains(CAST(t.doc_id AS VARCHAR), o.stem))
  SELECT test_path, path, ['direct', 'indirect', 'weak'][min(k) + 1] AS relation FROM every GROUP BY test_path, path""")
 def test_relation(spark, sf_dir):
-    """Which tests are of which files: by import, by an import's import, or by name only."""
+    """Which tests are of which files: by import, by an imported name's way through re-exports, or by name or text only."""
     s = script_sources(spark, sf_dir)
-    return gr.test_relations(s, gr.module_edges(s)[2])
+    return gr.test_relations(s, *gr.module_edges(s))
 
 
 @query("SELECT 'tests/' || doc_id || '.test.ts' AS path, kind, name, line + CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS line FROM documents, (VALUES ('describe', 1), ('test', 2), ('test', 3)) t(kind, line), LATERAL (SELECT CASE line WHEN 1 THEN 'of ' || doc_id WHEN 2 THEN 'works' ELSE 'twice' END AS name) WHERE lang IN ('en', 'es')")

@@ -164,13 +164,13 @@ def halfway(spark, sf_dir):
 HALF = "half AS (SELECT make_timestamp((epoch_us(min(ts)) // 2 + epoch_us(max(ts)) // 2)) AS mid FROM events)"
 
 
-@query(f"WITH {HALF} SELECT event_id, user_id, ts FROM events, half WHERE NOT (event_type = 'error' AND ts < mid - INTERVAL 3 HOUR)")
+@query(f"WITH {HALF} SELECT event_id, user_id, ts FROM events, half WHERE NOT (event_type = 'error' AND ts < mid - INTERVAL 12 HOUR)")
 def stream_deduplicated(spark, sf_dir):
     """Extension: events in two steps, the second with repeats of all of the first and with errors that come hours too late: each event that
     is in time once."""
     e, mid = halfway(spark, sf_dir)
     ts, late = F.col("ts").cast("timestamp"), F.col("event_type") == "error"
-    tardy = late & (ts < mid - F.expr("INTERVAL 3 HOURS")) | ~late & (ts > mid - F.expr("INTERVAL 1 HOUR"))
+    tardy = late & (ts < mid - F.expr("INTERVAL 12 HOURS")) | ~late & (ts > mid - F.expr("INTERVAL 1 HOUR"))
     first = e.filter((ts <= mid) & ~F.coalesce(tardy, F.lit(False)))
     second = e.filter((ts > mid) | F.coalesce(tardy, F.lit(False))).unionByName(first)
     return st.run_in_steps(spark, [first.unionByName(first), second], kd.deduplicated).select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))

@@ -95,8 +95,9 @@ def test_imports_tests_and_renames(engine):
     traces = {(r.start_path, r.start_name): (r.end_path, r.status) for r in engine.search({"mode": "imports"}).evidence.collect()}
     assert traces == {("src/run.ts", "check"): ("src/util.ts", "resolved"), ("src/run.test.ts", "run"): ("src/run.ts", "resolved")}
     tests = {(r.test_path, r.path): (r.relation, [c.name for c in r.cases]) for r in engine.search({"mode": "tests"}).evidence.collect()}
-    assert tests == {("src/run.test.ts", "src/run.ts"): ("direct", ["runs"]), ("src/run.test.ts", "src/util.ts"): ("indirect", ["runs"])}
-    assert [r.path for r in engine.search({"mode": "tests", "path": "src/util.ts"}).evidence.collect()] == ["src/util.ts"]
+    assert tests == {("src/run.test.ts", "src/run.ts"): ("direct", ["runs"])}  # a plain import of an import is no relation
+    assert [r.path for r in engine.search({"mode": "tests", "path": "src/run.ts"}).evidence.collect()] == ["src/run.ts"]
+    assert engine.search({"mode": "tests", "path": "src/util.ts"}).count() == 0
     changes = engine.search({"changes": {"base": "a", "target": "b", "renames": True}}).evidence.collect()
     assert [(r.path, r.change, r.old_path, r.similarity) for r in changes] == [("docs/moved.md", "renamed", "docs/guide.md", 100)]
     assert engine.search({"pattern": "License", "literal": True, "path": "docs", "changes": {"base": "a", "target": "b"}}).count() == 1
@@ -197,3 +198,26 @@ def test_max_files(spark):
 
     src = spark.createDataFrame([(f"f{i}", "x") for i in range(9)], "path string, text string")
     assert [r.path for r in co.enumerated(src, max_files=3).collect()] == ["f0", "f1", "f2"] and co.enumerated(src).count() == 9
+
+
+def test_relations_by_traced_names_and_text(spark):
+    files = [
+        ("a.ts", "export const one = 1;\n"), ("b.ts", "export { one } from './a';\n"), ("c.ts", "export { one } from './b';\n"), ("d.ts", "import { one } from './a';\nexport const two = one;\n"),
+        ("gone.ts", "export { x } from './missing';\n"), ("far/helper.ts", "export const h = 1;\n"), ("t/helper.test.ts", "// nothing\n"),
+        ("c.test.ts", "import { one } from './c';\n// about helper things\ntest('x', () => one);\n"), ("d.test.ts", "import { two } from './d';\n"), ("g.test.ts", "import { x } from './gone';\n"),
+    ]
+    e = Engine(spark, spark.createDataFrame(files, "path string, text string"))
+    got = {(r.test_path, r.path): r.relation for r in e.search({"mode": "tests"}).evidence.collect()}
+    strong = {k: v for k, v in got.items() if v != "weak"}
+    assert strong == {("c.test.ts", "c.ts"): "direct", ("c.test.ts", "b.ts"): "indirect", ("c.test.ts", "a.ts"): "indirect", ("d.test.ts", "d.ts"): "direct", ("g.test.ts", "gone.ts"): "direct"}
+    assert got["c.test.ts", "far/helper.ts"] == "weak" and got["t/helper.test.ts", "far/helper.ts"] == "weak" and ("d.test.ts", "far/helper.ts") not in got
+
+
+def test_mentions_by_parts(spark):
+    from corpuslens.operators import graph as gr
+
+    texts = spark.createDataFrame([("t1", "alpha beta"), ("t2", "gammabeta"), ("t3", None)], "path string, text string")
+    stems = spark.createDataFrame([(x,) for x in ("alpha", "beta", "gamma", "delta", "", "a")], "stem string")
+    want = {("t1", "alpha"), ("t1", "beta"), ("t1", "a"), ("t2", "gamma"), ("t2", "beta"), ("t2", "a")}
+    for most in (1, 2, 100):
+        assert {tuple(r) for r in gr.mentioned(texts, stems, most).collect()} == want
