@@ -3,6 +3,11 @@
 Each stage gets what the one before it kept, as a table, and works on all of it. All stages but the last return the columns
 of documents: the first three drop rows, mixing puts the rows in the order of the mix (over the part files and within
 them), the last returns each document's token ids.
+
+Defined results: a null or empty text has no words, so the quality rules reject it; of equal texts, and of a component of near
+duplicates, the smallest doc_id stays (a null one only where there is no other), and of rows repeated exactly one; in the mix, rows of one
+id and text are ordered by a hash of their columns; very long texts are taken whole by every stage; an empty table gives an empty result;
+extra columns, whatever their names, stay as they are through all stages but the last.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ without a stretch of mandatory trigrams (hex strings) is matched against every t
 Spans are found without a user function: the texts between matches and the matches, in turn, have lengths whose prefix
 sums are the code point offsets.
 
-Defined results: null counts as the empty text (no spans: empty strings and zeros); repeated rows are scanned each; an
-empty table gives an empty result; extra columns aren't looked at; texts are scanned whole.
+Defined results: null counts as the empty text (no spans: empty strings and zeros); repeated rows are scanned each; spans that begin at
+one place are ordered by the rules' order; every rule looks at a character a bounded number of times, so a text of any length takes time
+in proportion; an empty table gives an empty result; extra columns aren't looked at; texts are scanned whole.
 """
 
 from __future__ import annotations

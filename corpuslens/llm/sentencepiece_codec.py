@@ -12,7 +12,7 @@ chunk of ten million characters fits a worker. What stays single and isn't a pie
 
 Decoding puts pieces and bytes together again; `round_trip` says whether that gave the text back.
 
-Defined results: null and empty texts have no ids; repeated rows are encoded each; U+2581 in a text is decoded as a
+Defined results: null and empty texts have no ids; repeated rows are encoded each; of edges with equal scores the leftmost joins first; U+2581 in a text is decoded as a
 space, so such a row's round_trip is false; an empty table gives an empty result; extra columns aren't looked at. Very
 long texts are encoded whole: the index is built for blocks of INDEX_CHARS characters that overlap by a piece's length.
 """

@@ -9,7 +9,7 @@ Pre-tokens are found with a plain pattern whose classes are spelled out for the
 other character is cut by the file's own pre-tokenizer, so that the library's Unicode tables hold, and its pre-tokens are
 looked up all the same. The vocabulary's special strings are cut out first; each is one token, as is the library's default.
 
-Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows are counted each; an empty table gives an
+Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows and rows of one doc_id are counted each, so there are no ties; an empty table gives an
 empty result; very long texts are counted whole, by a running sum without a list of their pre-tokens; other columns of
 the input, whatever their names, are not looked at.
 """

@@ -76,3 +76,22 @@ def test_run_and_empty_table(spark, tmp_path):
     assert 100 < n < 130
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert cp.run(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_clashing_columns_and_a_very_long_text(spark, tmp_path):
+    rng, rows = random.Random(5), corpus()
+    words = [w for w in qr.STOP_WORDS if len(w) > 2]
+    long_ = " ".join(rng.choice(words) + str(rng.randint(0, 10**6)) + " " + rng.choice(words) for _ in range(200_000))  # some 3 MB
+    rows = [*rows, (900, long_, "en", "s3", len(long_))]
+    more = "kept string, text_key int, drop_id int, judged string, fingerprint int, component_id string, part int, place string, slot int, digest string, n_words string, ids int"
+    extra = ("k", 1, 2, "j", 3, "c", 4, "p", 5, "d", "n", 6)
+    plain = spark.createDataFrame(rows, SCHEMA)
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], f"{SCHEMA}, {more}")
+    for k, (name, stage) in enumerate(cp.STAGES):
+        stage(spark, docs, "").write.parquet(str(tmp_path / f"wide{k}"))
+        stage(spark, plain, "").write.parquet(str(tmp_path / f"plain{k}"))
+        docs, plain = spark.read.parquet(str(tmp_path / f"wide{k}")), spark.read.parquet(str(tmp_path / f"plain{k}"))
+        assert sorted(str(r.doc_id) for r in docs.select("doc_id").collect()) == sorted(str(r.doc_id) for r in plain.select("doc_id").collect()), name
+        if name != "encoding":
+            assert len(docs.columns) == 17 and all(tuple(r)[5:] == extra for r in docs.collect())
+    assert 900 in {r.doc_id for r in docs.select("doc_id").collect()}
