@@ -36,6 +36,8 @@ from corpuslens.sources.shared import written
 
 PAGE, SUMMARY_PAGE, PAGE_BYTES = 100, 30, 16 * 1024
 BYTES_OF_TOKEN = 4
+#: Limits of features: targets of one inspection, files with previews of a summary, lines on either side of a preview's match.
+TARGETS_SERVED, PREVIEW_FILES, AROUND = 5, 5, 3
 MEDIA_HITS = 10
 
 
@@ -46,7 +48,8 @@ def page_bytes(r: dict) -> int:
 
 @dataclass
 class Result:
-    """evidence: a lazy DataFrame; order: how its pages are ordered; coverage: dimension -> status; notes: what was changed or assumed."""
+    """evidence: a lazy DataFrame; order: how its pages are ordered; coverage: dimension -> status; notes: what was changed or assumed;
+    parts: further tables, made when they are asked for; next: the request for what this one left."""
 
     evidence: DataFrame
     order: list
@@ -59,6 +62,8 @@ class Result:
     start: int = 0
     store: ResultStore | None = None
     stored: StoredResult | None = None
+    parts: dict[str, Callable[[], DataFrame]] = field(default_factory=dict)
+    next: dict | None = None
 
     @property
     def complete(self) -> bool:
@@ -93,6 +98,12 @@ class Result:
         """The cursor of the whole result, for requests about its rows."""
         return str(Cursor(self.id, self.kind, self.start))
 
+    def part(self, name: str) -> DataFrame:
+        """What comes with a result of this kind beside its rows: statistics and windows of a summary."""
+        if name not in self.parts:
+            raise RequestError("E_PART_UNKNOWN", f"this result has no {name}", "parts: " + (", ".join(self.parts) or "none"))
+        return self.parts[name]()
+
     def count(self) -> int:
         return self.evidence.count()
 
@@ -243,7 +254,18 @@ class Engine:
         lines, coverage, notes = self._scan(r)
         counts = lines.groupBy("path").agg(F.count("*").alias("matches"), F.min(F.struct("line_no", F.substring("line", 1, tx.MAX_LINE_CHARACTERS).alias("line"))).alias("f"))
         counts = counts.select("path", "matches", F.col("f.line_no").alias("first_line"), F.col("f.line").alias("sample"))
-        return Result(counts, [F.desc("matches"), "path"], "summary", SUMMARY_PAGE, coverage, notes)
+        parts = {"statistics": lambda: cm.statistics(counts.select("path", F.col("matches").alias("n"))), "windows": lambda: self._windows(lines, counts)}
+        return Result(counts, [F.desc("matches"), "path"], "summary", SUMMARY_PAGE, coverage, notes, parts=parts)
+
+    def _windows(self, lines: DataFrame, counts: DataFrame) -> DataFrame:
+        """path, first_line, last_line, excerpt: of the files with most matches, the first two windows around a match that don't overlap."""
+        top = written(counts.orderBy(F.desc("matches"), "path").limit(PREVIEW_FILES).select("path", "first_line"), "top")
+        second = lines.join(F.broadcast(top), "path").filter(F.col("line_no") > F.col("first_line") + 2 * AROUND).groupBy("path").agg(F.min("line_no").alias("at"))
+        at = F.broadcast(top.select("path", F.col("first_line").alias("at")).unionByName(second))  # ten rows at most
+        shown = co.plain_lines(self.sources.join(F.broadcast(top.select("path")), "path", "left_semi")).join(at, "path").filter(F.abs(F.col("line_no") - F.col("at")) <= AROUND)
+        numbered = F.array_sort(F.collect_list(F.struct("line_no", F.substring("line", 1, tx.MAX_LINE_CHARACTERS).alias("line"))))
+        rows = shown.groupBy("path", "at").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), numbered.alias("l"))
+        return rows.select("path", "first_line", "last_line", F.array_join("l.line", "\n").alias("excerpt"))
 
     def _auto(self, r: dict) -> Result:
         """A page if everything fits on one, within its bytes, a summary otherwise."""
@@ -355,8 +377,15 @@ class Engine:
 
     def _audit(self, r: dict) -> Result:
         docs, coverage = self._admitted(r, r.get("path"))
-        closed = set(coverage.values()) <= {"complete"}
-        return Result(cm.audit(co.plain_lines(docs), list(r["patterns"]), closed=closed), ["pattern"], "analysis", SUMMARY_PAGE, coverage)
+        inventory = lambda: written(docs.select("path", F.sha2("text", 256).alias("content_hash")), "inventory")
+        before = inventory()
+        found = written(cm.audit(co.plain_lines(docs), list(r["patterns"]), closed=set(coverage.values()) <= {"complete"}), "audit")
+        moved = cm.changed(before, inventory()).limit(20).collect()  # a sample for the note
+        coverage["inventory"] = "partial" if moved else "complete"
+        if moved:  # absence can't be claimed of sources that changed while they were read
+            found = found.withColumn("status", F.when(F.col("status") == "present", "present").otherwise("unknown"))
+        notes = [f"sources changed during the audit: {', '.join(sorted(x.path for x in moved))}"] if moved else []
+        return Result(found, ["pattern"], "analysis", SUMMARY_PAGE, coverage, notes)
 
     def _concept(self, r: dict) -> Result:
         if self.embedder is None or self.vectors is None:
@@ -391,9 +420,18 @@ class Engine:
     def _inspect(self, r: dict) -> Result:
         """Lines around a place, or around each of several targets (path, line, and the content hash that the caller has, if any).
 
-        A target whose source has another content now is stale and shows no lines; one that is gone is unknown."""
-        targets = r.get("targets") or [{"path": r["path"], "line": r.get("line", 1)}]
-        around, coverage = r.get("context", 10), "complete"
+        A target whose source has another content now is stale and shows no lines; one that is gone is unknown. Of several targets the
+        first five are served; the result's `next` asks for the others."""
+        asked_for = r.get("targets") or [{"path": r["path"], "line": r.get("line", 1)}]
+        result = self._around(asked_for[:TARGETS_SERVED], r.get("context", 10))
+        if len(asked_for) > TARGETS_SERVED:
+            result.next = {**r, "targets": list(asked_for[TARGETS_SERVED:])}
+            result.notes = [*result.notes, f"{TARGETS_SERVED} of {len(asked_for)} targets are served; next asks for the others"]
+        return result
+
+    def _around(self, targets: list[dict], around: int) -> Result:
+        """The lines around the given targets, and what became of each."""
+        coverage = "complete"
         asked = self.spark.createDataFrame([(i, t["path"], int(t.get("line", 1)), t.get("content_hash")) for i, t in enumerate(targets)], "target int, path string, at int, want string")
         now = self.sources.filter(F.col("path").isin(*{t["path"] for t in targets}) & ~tx.is_protected(F.col("path")))
         met = asked.join(now.select(F.col("path").alias("p_"), "text"), F.col("path") == F.col("p_"), "left")
@@ -418,7 +456,7 @@ class Engine:
         by_row = {i: {"path": x.path, "line": x.line_no} for i in set(asked) for x in found.rows(c.offset + i - 1, 1)}  # twenty at most
         if len(by_row) < len(set(asked)):
             raise RequestError("E_RANGE", "the result has no such row", "give an index of a row that was shown")
-        read = self._inspect({"targets": [by_row[i] for i in asked], "context": around})
+        read = self._around([by_row[i] for i in asked], around)
         shown = read.evidence.orderBy("target", "line_no").select("target", "status", "line").collect()  # 41 lines a target at most
         valid = all(x.status == "current" for x in shown) and {x.target for x in shown} == set(range(len(asked)))
         excerpts = [sc.redacted("\n".join(x.line for x in shown if x.target == i and x.line is not None))[0] for i in range(len(asked))]

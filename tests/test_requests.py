@@ -221,3 +221,37 @@ def test_mentions_by_parts(spark):
     want = {("t1", "alpha"), ("t1", "beta"), ("t1", "a"), ("t2", "gamma"), ("t2", "beta"), ("t2", "a")}
     for most in (1, 2, 100):
         assert {tuple(r) for r in gr.mentioned(texts, stems, most).collect()} == want
+
+
+def test_summary_parts(spark):
+    files = [(f"d{i % 2}/f{i}.txt", "\n".join("needle" if n % (i + 2) == 0 else f"line {n}" for n in range(1, 31))) for i in range(7)]
+    e = Engine(spark, spark.createDataFrame(files, "path string, text string"))
+    r = e.search({"mode": "summary", "pattern": "needle"})
+    counts = {x.path: x.matches for x in r.evidence.collect()}
+    stats = {(x.kind, x.key): x.matches for x in r.part("statistics").collect()}
+    assert stats["extension", ".txt"] == sum(counts.values()) and stats["directory", "d1"] == sum(v for k, v in counts.items() if k.startswith("d1"))
+    windows = sorted((x.path, x.first_line, x.last_line, x.excerpt) for x in r.part("windows").collect())
+    assert [w[:3] for w in windows if w[0] == "d0/f0.txt"] == [("d0/f0.txt", 1, 5), ("d0/f0.txt", 7, 13)] and len({w[0] for w in windows}) == 5
+    assert all(t.split("\n") == dict(files)[p].split("\n")[a - 1 : b] for p, a, b, t in windows)
+    with pytest.raises(RequestError) as x:
+        e.search({"mode": "matches", "pattern": "needle"}).part("statistics")
+    assert x.value.code == "E_PART_UNKNOWN"
+
+
+def test_inspect_serves_five_and_names_the_rest(engine):
+    targets = [{"path": "docs/guide.md", "line": n} for n in range(1, 6)] + [{"path": "src/a.py", "line": 1}, {"path": "gone"}]
+    first = engine.search({"mode": "inspect", "targets": targets, "context": 0})
+    assert {x.target for x in first.evidence.collect()} == {0, 1, 2, 3, 4} and len(first.next["targets"]) == 2
+    rest = engine.search(first.next)
+    assert sorted((x.path, x.status) for x in rest.evidence.collect()) == [("gone", "unknown"), ("src/a.py", "current")] and rest.next is None
+
+
+def test_audit_is_closed_by_inventories(spark, tmp_path):
+    at = str(tmp_path / "t")
+    spark.createDataFrame([("a.txt", "x"), ("b.txt", "y")], "path string, text string").write.parquet(at)
+    e = Engine(spark, spark.read.parquet(at))
+    r = e.search({"mode": "audit", "patterns": ["zzz"]})
+    assert r.coverage["inventory"] == "complete" and r.evidence.first().status == "absent_with_complete_coverage"
+    noise = spark.read.parquet(at).withColumn("text", F.concat("text", F.current_timestamp().cast("string")))  # other contents each time it is read
+    r = Engine(spark, noise).search({"mode": "audit", "patterns": ["zzz"]})
+    assert r.coverage["inventory"] == "partial" and r.evidence.first().status == "unknown" and "a.txt" in r.notes[0]

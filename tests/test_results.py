@@ -71,3 +71,10 @@ def test_empty_and_maps(spark):
     assert store.put("maps", df, ["a"], {}).page(0, 5) == df.collect()
     empty = store.put("empty", df.filter("false"), ["a"], {})
     assert empty.count == 0 and empty.page(0, 5) == [] and empty.all().count() == 0
+
+
+def test_a_folder_of_one_machine_is_refused_on_a_cluster(spark):
+    from corpuslens.sources.shared import on_cluster
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        on_cluster(spark)  # the tests' warehouse is a file: folder
