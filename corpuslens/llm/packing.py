@@ -21,49 +21,103 @@ aren't looked at, whatever their names.
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from struct import pack as packed_ints
 from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
+from tokenizers import Tokenizer
 
 from .common import numbered, small_arrow_batches, stored, table, text_key, text_of
-from .token_count import CACHE_CHARS, Counts
+from .token_count import CACHE_CHARS, LONG_TEXT, NOT_PLAIN, Counts, byte_alphabet
 
 MAX_TOKENS, END_ID = 1024, 2
-#: Pre-tokens that a Python worker remembers with their ids, some 120 MB.
-KNOWN = 500_000
+#: Words, and pre-tokens of what isn't one word, that a Python worker remembers with their ids, some 200 MB.
+KNOWN_WORDS, KNOWN = 700_000, 300_000
+#: White space that may follow a space only where the pre-tokens of what is on either side depend on each other.
+AFTER_SPACE = tuple(f" {c}" for c in " \t\n\r\xa0")
+
+
+def merger(encoder: Tokenizer) -> Callable[[bytes], list[int]]:
+    """The ids of a pre-token's bytes, by the vocabulary's merges.
+
+    Where the merges make the tokens in the order of their ids, the rule is to join the neighbours that make the least id, and a
+    function that knows ids alone, and costs a third, gives the same; otherwise the library's own model is asked, in its byte alphabet."""
+    to_byte, model = byte_alphabet(), json.loads(encoder.to_str())["model"]
+    special = {x.content for x in encoder.get_added_tokens_decoder().values()}
+    ids = {bytes(map(to_byte.__getitem__, s)): i for s, i in model["vocab"].items() if s not in special}
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    made = [model["vocab"]["".join(m)] for m in pairs]
+    if made == sorted(set(made)) and len(made) + 256 == len(ids) and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return tiktoken.Encoding("merges", pat_str=".", mergeable_ranks=ids, special_tokens={})._core_bpe.encode_single_piece
+    own, shown = encoder.model, {b: c for c, b in to_byte.items()}
+    return lambda raw: [t.id for t in own.tokenize("".join(map(shown.__getitem__, raw)))]
+
+
+class Words(dict):
+    """What stands between two spaces -> the ids of it and the space before it, as little-endian bytes."""
+
+    def __init__(self, ids: Ids):
+        super().__init__()
+        self.own, self.room = ids, KNOWN_WORDS
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.own.merged(f" {word}") if word.isalpha() else self.own.cut_ids(f" {word}")  # letters alone are one pre-token
+        if len(word) <= CACHE_CHARS and self.room:
+            self.room -= 1
+            self[word] = ids
+        return ids
 
 
 class Ids(Counts):
-    """Pre-token -> its ids as little-endian bytes: the cutting of `Counts`, with ids in place of numbers."""
+    """Pre-token -> its ids as little-endian bytes: the cutting of `Counts`, with ids in place of numbers.
+
+    A pre-token has a space at its start only, and a single space before other than white space is always the start of one. So
+    a text in which no space is followed by white space, or ends it, is cut at its spaces, and each word is cut further once."""
 
     def __init__(self, path: str):
         super().__init__(path, frozenset())
-        self.room = KNOWN
+        self.room, self.words = KNOWN, Words(self)
+        self.merge = merger(self.encoder)
+
+    def merged(self, word: str) -> bytes:
+        """The ids of a pre-token."""
+        return packed_ints(f"<{len(found := self.merge(word.encode()))}I", *found)
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encoder.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.merged(word)
         if len(word) <= CACHE_CHARS and self.room:
             self.room -= 1
             self[word] = ids
         return ids
 
+    def cut_ids(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.pre_tokens(text)))
+
+    def plain_ids(self, text: str) -> bytes:
+        """The ids of a text without special strings."""
+        if len(text) > LONG_TEXT or text.endswith(" ") or any(x in text for x in AFTER_SPACE) or NOT_PLAIN.search(text):
+            return self.cut_ids(text)
+        first, *words = text.split(" ")
+        return self.cut_ids(first) + b"".join(map(self.words.__getitem__, words))
+
     def ids(self, text: str) -> bytes:
         if self.special is None or not self.special.search(text):
-            return b"".join(map(self.__getitem__, self.pre_tokens(text)))
+            return self.plain_ids(text)
         out, at = [], 0
         for m in self.special.finditer(text):
-            out += map(self.__getitem__, self.pre_tokens(text[at : m.start()]))
-            out.append(np.array([self.encoder.token_to_id(m[0])], "<u4").tobytes())
+            out += [self.plain_ids(text[at : m.start()]), np.array([self.encoder.token_to_id(m[0])], "<u4").tobytes()]
             at = m.end()
-        return b"".join([*out, *map(self.__getitem__, self.pre_tokens(text[at:]))])
+        return b"".join([*out, self.plain_ids(text[at:])])
 
 
 _ids: dict[str, Ids] = {}

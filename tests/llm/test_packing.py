@@ -27,6 +27,27 @@ def test_ids_equal_the_library(text):
     assert np.frombuffer(IDS.ids(text), "<u4").tolist() == by_library(text)
 
 
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from([" ", "  ", "\n", " \n", "\t", "\xa0", "a", "it's", "12", "é", ".", "!?", "中", "<|endoftext|>", "'", "\r\n"]), max_size=14))
+def test_ids_of_words_and_white_space(parts):
+    text = "".join(parts)
+    assert np.frombuffer(IDS.ids(text), "<u4").tolist() == by_library(text)
+
+
+def test_both_mergers_agree(monkeypatch):
+    import json
+
+    class Shuffled:
+        """The same tokenizer, whose merges can't be told to be in the order of ids."""
+
+        model, to_str = encoder(PATH).model, lambda self: json.dumps({"model": {**json.loads(encoder(PATH).to_str())["model"], "ignore_merges": True}})
+        get_added_tokens_decoder = lambda self: encoder(PATH).get_added_tokens_decoder()
+
+    by_ids, by_model, rng = pk.merger(encoder(PATH)), pk.merger(Shuffled()), random.Random(2)
+    words = [" " + "".join(rng.choice("abcdefghiklmnoprstuvé中") for _ in range(rng.randint(1, 15))) for _ in range(3000)] + ["'", "  ", "\n\n", "😀" * 9]
+    assert all(by_ids(w.encode()) == by_model(w.encode()) for w in words)
+
+
 def test_special_strings():
     for text in ("<|endoftext|>", "a <|endoftext|><|endoftext|> b", "word " * 300_000):
         assert np.frombuffer(IDS.ids(text), "<u4").tolist() == by_library(text)
