@@ -16,6 +16,7 @@ in proportion; an empty table gives an empty result; extra columns aren't looked
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from itertools import product
 from re import _constants as sre
@@ -51,8 +52,8 @@ RULES = (
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("payment", r"sk_live_[A-Za-z0-9]{16,}"),
-    # not within a run of such characters, and without going back in one: a run is looked at once
-    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
+    # not from within a run of such characters, so that a run is looked at once
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 BASE_KINDS = 3
 
@@ -232,11 +233,14 @@ def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
     """DuckDB SQL for op2's rows: the same prefix sums over texts between matches, for each kind, without the index."""
     each = []
     for k, r in enumerate(rules):
-        p = ("(?i)" if r.ignore_case else "") + r.pattern
+        # DuckDB has no look-behind: the character before is matched too, and taken off the span again
+        behind = re.match(r"\(\?<!\[(.*?)\]\)(.*)", r.pattern)
+        p = ("(?i)" if r.ignore_case else "") + (f"(^|[^{behind[1]}])({behind[2]})" if behind else r.pattern)
         p = "'" + p.replace("'", "''") + "'"
-        counted = f"regexp_extract_all(text, {p}, {r.group})"
+        counted = f"regexp_extract_all(text, {p}, {2 if behind else r.group})"
+        first = "s + n - counted" if behind else "s"
         each.append(
-            f"SELECT rid, {k} AS o, '{r.kind}' AS kind, s, s + n AS e FROM (SELECT rid, list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS s, length(m[k]) AS n, length(c[k]) AS counted"
+            f"SELECT rid, {k} AS o, '{r.kind}' AS kind, {first} AS s, s + n AS e FROM (SELECT rid, list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS s, length(m[k]) AS n, length(c[k]) AS counted"
             f" FROM (SELECT rid, m, g, c, unnest(range(1, len(m) + 1)) AS k FROM (SELECT rid, regexp_extract_all(text, {p}) AS m, regexp_split_to_array(text, {p}) AS g, {counted} AS c FROM t))) WHERE counted >= {r.least}"
         )
     written = "kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT)"
