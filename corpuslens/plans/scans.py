@@ -259,6 +259,7 @@ def excerpt_centered(spark, sf_dir):
  len(regexp_extract_all(text, '(?i)((?:password|passwd|secret|token|api_key)\s*[:=]\s*)("[^"\r\n]*"|[^\s,;}\r\n]+)')) AS hidden FROM documents""")
 def redact_text(spark, sf_dir):
     """F20, X19 in the simple form that SQL can say; functions.redaction has the full rule."""
+    # fixed values: the words of sensitive names and the starts of issued tokens
     assign = r"""(?i)((?:password|passwd|secret|token|api_key)\s*[:=]\s*)("[^"\r\n]*"|[^\s,;}\r\n]+)"""
     d = co.table(spark, sf_dir, "documents")
     shown = F.regexp_replace(F.regexp_replace("text", assign, "$1[REDACTED]"), r"\b(?:sk|ghp)[-_][A-Za-z0-9][A-Za-z0-9_-]{7,}\b", "[REDACTED]")
