@@ -332,16 +332,16 @@ class Engine:
             own = own.filter(F.col("text").rlike(ch.by_line(tx.compiled_pattern(r["pattern"], **self._how(r)))))
             if r.get("roles"):
                 own, coverage["parser"] = own.filter(tx.extension(F.col("path")).isin(*(e for ends in md.LANGUAGES.values() for e in ends))), "partial"
-            hits = ch.with_hits(own, occurrences(tx.compiled_pattern(r["pattern"], **self._how(r))), ranged).select("path", "change", F.inline("hits"))
+            hits = ch.with_hits(own, occurrences(tx.compiled_pattern(r["pattern"], **self._how(r))), ranged, tx.MAX_LINE_CHARACTERS).select("path", "change", F.inline("hits"))
             if r.get("roles"):
                 places = co.role_occurrences(own, r["pattern"], list(r["roles"]), **self._how(r)).select("path", "byte_start")
                 hits = hits.join(places, ["path", "byte_start"], "left_semi")
-            shown = hits.select("path", "change", "line_no", "byte_start", "byte_end", F.substring("line", 1, tx.MAX_LINE_CHARACTERS).alias("excerpt"))
+            shown = hits.select("path", "change", "line_no", "byte_start", "byte_end", F.col("line").alias("excerpt"))
             return Result(shown, ["path", "byte_start"], "analysis", limit, coverage, notes)
         if r.get("anyOf"):
             each = own.select("path", "change", "text", "ranges", F.explode(F.array(*(F.struct(F.lit(t).alias("term"), F.lit(i).alias("term_index")) for i, t in enumerate(r["anyOf"])))).alias("t"))
             found = reduce(lambda rest, i: F.when(F.col("t.term_index") == i, occurrences(self._term(r, r["anyOf"][i]))).otherwise(rest), range(len(r["anyOf"])), F.lit(None).cast("array<struct<byte_start:bigint,byte_end:bigint>>"))
-            hits = ch.with_hits(each, found, ranged).select("path", "change", "t.term", "t.term_index", F.inline("hits")).drop("line")
+            hits = ch.with_hits(each, found, ranged).select("path", "change", "t.term", "t.term_index", F.inline("hits"))
             return Result(hits, ["term_index", "path", "byte_start"], "analysis", limit, coverage, notes)
         if r.get("allOf"):
             terms = [self._term(r, t) for t in r["allOf"]]

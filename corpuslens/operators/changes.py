@@ -19,7 +19,7 @@ from corpuslens.functions import text as tx
 from corpuslens.operators import compare as cm
 
 RANGE = "struct<old:string,new:string,lines:string,first:array<bigint>,last:array<bigint>,start:array<bigint>,end:array<bigint>>"
-HIT = "array<struct<byte_start:bigint,byte_end:bigint,line_no:int,line:string>>"
+HIT = "byte_start:bigint,byte_end:bigint,line_no:int"
 
 
 def changed_sources(base: DataFrame, target: DataFrame, renames: bool = False) -> DataFrame:
@@ -69,7 +69,7 @@ def changed_ranges(old: Column, new: Column, side: str) -> Column:
     or the comparison needs too much work."""
     all_lines = lambda text: [(1, n)] if text is not None and (n := len(line_starts(text)) - 1) else []
 
-    @F.pandas_udf(RANGE)
+    @sc.batched_udf(RANGE)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for olds, news in batches:
             rows = []
@@ -95,14 +95,15 @@ def by_line(pattern: str) -> str:
     return pattern.replace("(?d", "(?dm", 1)
 
 
-def with_hits(rows: DataFrame, found: Column, ranged: bool) -> DataFrame:
-    """rows (text, ranges) with hits: array<struct<byte_start, byte_end, line_no, line>> of the given occurrences (`tx.occurrences`), with the
-    line that each begins in; if ranged, of those within the row's changed ranges. A text without an occurrence isn't passed on."""
+def with_hits(rows: DataFrame, found: Column, ranged: bool, characters: int = 0) -> DataFrame:
+    """rows (text, ranges) with hits: array<struct<byte_start, byte_end, line_no>> of the given occurrences (`tx.occurrences`); if ranged, of
+    those within the row's changed ranges. With `characters`, also the start of the line that each begins in, so many long at most: a
+    whole line with each of its occurrences would grow with the square of a long line. A text without an occurrence isn't passed on."""
 
-    @F.pandas_udf(HIT)
+    @sc.batched_udf(f"array<struct<{HIT}{',line:string' * bool(characters)}>>")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
-            yield pd.Series([hits(*x) for x in zip(*columns, strict=True)], dtype=object)
+            yield pd.Series([hits(*x, characters) for x in zip(*columns, strict=True)], dtype=object)
 
     some = F.array().cast("array<bigint>")
     bounds = [F.coalesce(F.col(f"ranges.{c}"), some) if ranged else F.lit(None).cast("array<bigint>") for c in ("start", "end")]
@@ -111,7 +112,8 @@ def with_hits(rows: DataFrame, found: Column, ranged: bool) -> DataFrame:
     return placed.withColumn("hits", run.asNondeterministic()(text, F.col("found_.byte_start"), F.col("found_.byte_end"), *bounds)).drop("found_")
 
 
-def hits(text: str | None, starts, ends, first, last) -> list[dict]:
+def hits(text: str | None, starts, ends, first, last, characters: int | None = None) -> list[dict]:
+    """The occurrences as `with_hits` gives them; without a number of characters, with whole lines."""
     if text is None:
         return []
     raw, at = text.encode("utf-8", "surrogatepass"), line_starts(text)
@@ -120,5 +122,11 @@ def hits(text: str | None, starts, ends, first, last) -> list[dict]:
         kept = inside(starts, ends, np.asarray(first, np.int64), np.asarray(last, np.int64), len(raw), not raw.endswith(b"\n"))
         starts, ends = starts[kept], ends[kept]
     number = np.clip(np.searchsorted(at, starts, "right"), 1, max(1, len(at) - 1))
-    line = lambda k: raw[at[k - 1] : at[k] if k < len(at) else len(raw)].decode("utf-8", "surrogatepass").removesuffix("\n")
-    return [{"byte_start": int(s), "byte_end": int(e), "line_no": int(k), "line": line(k)} for s, e, k in zip(starts, ends, number, strict=True)]
+    places = [{"byte_start": int(s), "byte_end": int(e), "line_no": int(k)} for s, e, k in zip(starts, ends, number, strict=True)]
+    lines: dict[int, str] = {}
+    for place in places if characters != 0 else ():
+        if (k := place["line_no"]) not in lines:
+            own = raw[at[k - 1] : at[k] if k < len(at) else len(raw)]
+            lines[k] = own.decode("utf-8", "surrogatepass").removesuffix("\n")[:characters]
+        place["line"] = lines[k]
+    return places

@@ -41,7 +41,7 @@ def changed_line_ranges(spark, sf_dir):
 def in_changed_lines(spark, sf_dir, side: str, literal: str):
     rows = ch.changed_sources(*co.two_versions(spark, sf_dir)).filter(F.contains(side, F.lit(literal)))
     rows = rows.withColumn("ranges", ch.changed_ranges(F.col("old"), F.col("new"), side)).withColumn("text", F.col(side))
-    return ch.with_hits(rows, tx.occurrences(F.col("text"), tx.escaped(literal)), ranged=True).select("path", "change", F.inline("hits")).drop("line")
+    return ch.with_hits(rows, tx.occurrences(F.col("text"), tx.escaped(literal)), ranged=True).select("path", "change", F.inline("hits"))
 
 
 def in_changed_lines_sql(side: str, other: str, change: str, literal: str) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.engine import Engine
 from corpuslens.functions import scanners as sc
+from corpuslens.functions import text as tx
 from corpuslens.operators import changes as ch
 from corpuslens.request import RequestError, validated
 
@@ -137,3 +138,14 @@ def test_a_megabyte_of_the_worst_text(scan, text):
     began = time.process_time()
     scan(text)
     assert time.process_time() - began < 6  # some tenths to two seconds on a free machine
+
+
+def test_hits_of_one_long_line(spark):
+    """A line with very many occurrences isn't repeated with each of them."""
+    text = "er" * 20_000
+    rows = spark.createDataFrame([(text,)], "text string")
+    found = tx.occurrences(F.col("text"), tx.escaped("er"))
+    bare = ch.with_hits(rows, found, ranged=False).select(F.inline("hits"))
+    assert bare.columns == ["byte_start", "byte_end", "line_no"] and bare.count() == 20_000
+    shown = ch.with_hits(rows, found, ranged=False, characters=500).select(F.inline("hits")).agg(F.count("*"), F.max(F.length("line")), F.min("line_no")).first()
+    assert tuple(shown) == (20_000, 500, 1)
