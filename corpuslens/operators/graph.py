@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import modules as md
+from corpuslens.functions import scanners as sc
 from corpuslens.functions import text as tx
 from corpuslens.operators.ranking import BROADCAST_ROWS
 from corpuslens.sources.shared import written
@@ -92,7 +93,7 @@ def stem_of(path: str) -> Column:
 def finder(stems: Broadcast) -> Callable[[Column], Column]:
     """A column function: the stems of a broadcast list that a text has somewhere in it, found in one pass by an automaton."""
 
-    @F.pandas_udf("array<string>")
+    @sc.batched_udf("array<string>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
 

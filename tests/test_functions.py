@@ -1,11 +1,14 @@
 import difflib
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslens.functions import modules as md
 from corpuslens.functions import scanners as sc
 from corpuslens.functions import text as tx
+from corpuslens.operators import changes as ch
 from corpuslens.operators import intervals as iv
 from corpuslens.operators import ranking as rk
 from corpuslens.sources import corpus as co
@@ -166,3 +169,30 @@ def test_cache(spark):
     assert {r.key for r in co.evicted(cache, 20).collect()} == {"a"} and {r.key for r in co.evicted(cache, 10).collect()} == {"a", "b"}
     wanted = spark.createDataFrame([("a",), ("z",), ("z",)], "key string")
     assert [r.key for r in co.cache_misses(wanted, cache).collect()] == ["z"]
+
+
+def test_python_batches_are_bounded(spark):
+    """What a worker holds doesn't grow with a task's rows: batches of few rows, and of few bytes if texts are long."""
+    kept = {k: spark.conf.get(k) for k in sc.BATCH}
+    x = F.col("text")
+    columns = [sc.passages, sc.python_outline, sc.python_roles, lambda t: md.own(F.lit("a.py"), t), lambda t: ch.changed_ranges(t, t, "old"), lambda t: sc.changed_line_ranges(t, t)]
+    try:
+        for make in columns:
+            for k in sc.BATCH:
+                spark.conf.set(k, "100000000")
+            make(x)
+            assert {k: int(spark.conf.get(k)) for k in sc.BATCH} == sc.BATCH
+
+        def size(texts: pd.Series) -> pd.Series:
+            return pd.Series([len(texts)] * len(texts))
+
+        seen = sc.batched_udf("int")(size)
+        rows = spark.range(0, 3000, 1, 1)
+        assert rows.select(F.max(seen(F.col("id").cast("string")))).first()[0] == 256
+        assert rows.limit(200).select(F.max(seen(F.repeat(F.lit("x"), 1 << 18)))).first()[0] <= 17
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        sc.passages(x)
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "7"
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
