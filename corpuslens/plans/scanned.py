@@ -11,7 +11,6 @@ from corpuslens.functions import text as tx
 from corpuslens.operators import changes as ch
 from corpuslens.operators import compare as cm
 from corpuslens.operators import ignoring as ig
-from corpuslens.operators import intervals as iv
 from corpuslens.plans.comparisons import VERSIONS
 from corpuslens.sources import corpus as co
 
@@ -112,15 +111,8 @@ def own_code(spark, sf_dir):
 
 @query(f"WITH {PYTHON}, r AS (SELECT path, 3 + 6 * (i - 1) + 5 AS line_no, 'm' || i AS inside FROM k) SELECT path, line_no, inside FROM r")
 def calls_within_functions(spark, sf_dir):
-    """The smallest declaration around each line with a call, from outlines and roles."""
-    s = python_sources(spark, sf_dir)
-    roles = s.select("path", "text", F.explode(sc.python_roles(F.col("text"))).alias("r")).filter("r.role = 'call'")
-    line = F.regexp_count(F.substring("text", F.lit(1), F.col("r.start")), F.lit("\n")) + 1
-    calls = roles.select(F.col("path"), line.cast("long").alias("start")).select("path", F.concat_ws(":", "path", "start").alias("id"), "start", (F.col("start") + 1).alias("end"))
-    spans = s.select("path", F.inline(sc.python_outline(F.col("text")))).select("path", F.lit("x").alias("category"), F.col("start_line").cast("long").alias("start"), (F.col("end_line") + 1).cast("long").alias("end"), "name")
-    near = iv.nearest_enclosing(calls, spans, "path", cell=64)
-    at = near.select(F.regexp_extract("id", r"^(.*):\d+$", 1).alias("path"), F.regexp_extract("id", r":(\d+)$", 1).cast("long").alias("line_no"), F.col("o_start").alias("start"), F.col("o_end").alias("end"))
-    return at.join(spans, ["path", "start", "end"]).select("path", "line_no", F.col("name").alias("inside"))
+    """The smallest declaration around each line with a call, from outlines and roles, which meet in a source's row."""
+    return python_sources(spark, sf_dir).select("path", F.inline(sc.python_calls_inside(F.col("text"))))
 
 
 @query("""WITH k AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)

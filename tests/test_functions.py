@@ -1,5 +1,6 @@
 import difflib
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -196,3 +197,18 @@ def test_python_batches_are_bounded(spark):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+def test_calls_inside_of_random_sources():
+    """The smallest declaration around each line with a call, against all declarations; long sources in linear time."""
+    rng = random.Random(4)
+    lines = ["def f():", "class C:", "x = g(1)", "h(i(2), j(3))", "# k(1)", "", "'l(1)'", "m(", ")", "async def n(a=o(1)):", "import p"]
+    for _ in range(300):
+        text = "\n".join(" " * rng.randint(0, 4) + rng.choice(lines) for _ in range(rng.randint(0, 25)))
+        spans, want = sc.outline(text), []
+        for n in sorted({text.count("\n", 0, start) + 1 for start, _, role in sc.roles(text) if role == "call"}):
+            around = [(b - a, a, name) for name, _, a, b, _ in spans if a <= n <= b]
+            want += [(n, min(around)[2])] if around else []
+        assert sc.calls_inside(text) == want
+    began = time.process_time()
+    assert len(sc.calls_inside("def f():\n    return g(1)\n" * 40_000)) == 40_000 and time.process_time() - began < 20
