@@ -179,7 +179,7 @@ def stream_deduplicated(spark, sf_dir):
 @query("""WITH g AS (SELECT user_id, ts, value, CASE WHEN ts < lag(ts) OVER w + INTERVAL 4 hour THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
  s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, round(sum(coalesce(value, 0)), 3) AS total FROM s GROUP BY user_id, k""")
 def stream_idle_entries(spark, sf_dir):
-    """Extension: state by user with timers: entries put out when a user has been idle, of events that come in two steps out of order."""
+    """Extension: state by user: entries put out when a user has been idle by the watermark, of events that come in two steps out of order."""
     e, mid = halfway(spark, sf_dir)
     ts = F.col("ts").cast("timestamp")
     tardy = (F.col("event_type") == "view") & (ts > mid - F.expr("INTERVAL 1 HOUR"))

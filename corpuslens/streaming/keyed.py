@@ -5,16 +5,11 @@ State grows with the keys seen within the watermark's delay, or not idle yet, ne
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-IDLE_MS = 4 * 3600 * 1000
-ENTRY = "user_id long, first_ts timestamp, last_ts timestamp, n long, total double"
-OPEN = "first array<long>, last array<long>, n array<long>, total array<double>"
+#: A microsecond less than four hours: Spark joins sessions that touch, and a gap of four hours parts entries.
+IDLE = "3 hours 59 minutes 59 seconds 999 milliseconds 999 microseconds"
 
 
 def deduplicated(events: DataFrame, key: str = "event_id") -> DataFrame:
@@ -22,39 +17,10 @@ def deduplicated(events: DataFrame, key: str = "event_id") -> DataFrame:
     return events.dropDuplicatesWithinWatermark([key])
 
 
-def joined_up(spans: list[list], idle: int) -> list[list]:
-    """[first, last, n, total] spans in order, those less than `idle` apart as one."""
-    out: list[list] = []
-    for first, last, n, total in sorted(spans):
-        if out and first < out[-1][1] + idle:
-            out[-1] = [out[-1][0], max(out[-1][1], last), out[-1][2] + n, out[-1][3] + total]
-        else:
-            out.append([first, last, n, total])
-    return out
-
-
-def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Takes a key's new events into its open spans, and puts out those that the watermark has left behind by the idle time."""
-    spans = [list(x) for x in zip(*state.get, strict=True)] if state.exists else []
-    if not state.hasTimedOut:
-        for b in batches:
-            spans += [[t, t, 1, v] for t, v in zip(b["us"].tolist(), b["value"].fillna(0.0).tolist(), strict=True)]
-    spans, now = joined_up(spans, IDLE_MS * 1000), state.getCurrentWatermarkMs()
-    open_ = [x for x in spans if x[1] // 1000 + IDLE_MS > now]
-    done = [x for x in spans if x[1] // 1000 + IDLE_MS <= now]
-    if open_:
-        state.update(tuple(map(list, zip(*open_, strict=True))))
-        state.setTimeoutTimestamp(min(x[1] // 1000 for x in open_) + IDLE_MS)
-    elif state.exists:
-        state.remove()
-    at = lambda k: pd.to_datetime([x[k] for x in done], unit="us")
-    if done:
-        yield pd.DataFrame({"user_id": [key[0]] * len(done), "first_ts": at(0), "last_ts": at(1), "n": [x[2] for x in done], "total": [x[3] for x in done]})
-
-
 def idle_entries(events: DataFrame) -> DataFrame:
     """user_id, first_ts, last_ts, n, total: a user's events with gaps under four hours, once the user has been idle for that long by the
-    watermark. Events may come in any order within the watermark's delay. A timer for each user with open entries; one that is idle costs
-    no more state."""
-    rows = events.select("user_id", "ts", F.unix_micros("ts").alias("us"), "value")
-    return rows.groupBy("user_id").applyInPandasWithState(step, ENTRY, OPEN, "append", GroupStateTimeout.EventTimeTimeout)
+    watermark. Events may come in any order within the watermark's delay. State holds a row for each open entry; an entry that the
+    watermark has left behind goes out of it. There is no Python for each user."""
+    entry = events.groupBy("user_id", F.session_window("ts", IDLE).alias("open_"))
+    out = entry.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"), F.sum(F.coalesce("value", F.lit(0.0))).alias("total"))
+    return out.select("user_id", "first_ts", "last_ts", "n", "total")
