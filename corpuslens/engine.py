@@ -315,7 +315,7 @@ class Engine:
         rows = ch.changed_sources(admit(self.versions[c["base"]]), admit(self.versions[c["target"]]), bool(c.get("renames")))
         if c.get("scope") != "lines":
             return rows.withColumn("text", F.col(side)).withColumn("ranges", F.lit(None).cast(ch.RANGE)), coverage, []
-        rows = written(rows.withColumn("ranges", ch.changed_ranges(F.col("old"), F.col("new"), side)).withColumn("text", F.col(side)), "changes")
+        rows = written(rows.withColumn("ranges", ch.changed_ranges(F.col("old"), F.col("new"), side, sc.MYERS_WORK)).withColumn("text", F.col(side)), "changes")
         unknown = rows.filter("text is not null and ranges.lines is null").select("path").limit(20)  # a sample for the note
         paths = [x.path for x in unknown.collect()]
         if paths:
@@ -326,7 +326,7 @@ class Engine:
         """Changed sources, or what the pattern, the terms or the roles find in them: in their changed lines with scope lines."""
         rows, coverage, notes = self._changed(r)
         ranged = r["changes"].get("scope") == "lines"
-        limit, own = r.get("limit", SUMMARY_PAGE), rows.filter("text is not null")
+        limit, own = r.get("limit", SUMMARY_PAGE), rows.filter("text is not null and ranges.lines is not null" if ranged else "text is not null")  # _changed says which are unknown
         occurrences = lambda pattern: tx.occurrences(F.col("text"), ch.by_line(pattern))
         if r.get("pattern") is not None:
             own = own.filter(F.col("text").rlike(ch.by_line(tx.compiled_pattern(r["pattern"], **self._how(r)))))
@@ -348,7 +348,6 @@ class Engine:
             holds = lambda c: reduce(lambda a, b: a & b, (F.col(c).rlike(t) for t in terms))
             own = own.filter(holds("text"))
             if r.get("allOfScope", "file") == "function":
-                own = own.filter("ranges.lines is not null") if ranged else own
                 bodies = md.own_in_lines(F.col("path"), F.col("text"), F.col("ranges.first"), F.col("ranges.last")) if ranged else md.own(F.col("path"), F.col("text"))
                 parts = own.select("path", "change", F.inline(bodies)).filter(holds("own"))
                 return Result(parts.select("path", "change", F.col("start_line").alias("line_no"), F.col("name").alias("label")), ["path", "line_no"], "analysis", limit, coverage | {"parser": "partial"}, notes)

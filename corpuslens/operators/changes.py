@@ -63,10 +63,10 @@ def inside(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.nda
     return held & ((ends > starts) | (starts < last[k]) | ((last[k] == size) & unended))
 
 
-def changed_ranges(old: Column, new: Column, side: str) -> Column:
+def changed_ranges(old: Column, new: Column, side: str, work: int | None = None) -> Column:
     """struct<old, new, lines, first, last, start, end>: the lines of both sides that a shortest edit script touches, as text, and those
     of the asked side also as numbers and bytes; a source that the other side lacks has all its lines. Null where the side has no source,
-    or the comparison needs too much work."""
+    or, if a number of steps is given, the comparison needs more: the caller has to say so."""
     all_lines = lambda text: [(1, n)] if text is not None and (n := len(line_starts(text)) - 1) else []
 
     @sc.batched_udf(RANGE)
@@ -76,7 +76,7 @@ def changed_ranges(old: Column, new: Column, side: str) -> Column:
             for a, b in zip(olds, news, strict=True):
                 own = b if side == "new" else a
                 try:
-                    both = (all_lines(a), all_lines(b)) if a is None or b is None else sc.changed_ranges(a, b)
+                    both = (all_lines(a), all_lines(b)) if a is None or b is None else sc.changed_ranges(a, b, work)
                 except sc.WorkLimit:
                     both = None
                 if own is None or both is None:
@@ -97,16 +97,18 @@ def by_line(pattern: str) -> str:
 
 def with_hits(rows: DataFrame, found: Column, ranged: bool, characters: int = 0) -> DataFrame:
     """rows (text, ranges) with hits: array<struct<byte_start, byte_end, line_no>> of the given occurrences (`tx.occurrences`); if ranged, of
-    those within the row's changed ranges. With `characters`, also the start of the line that each begins in, so many long at most: a
-    whole line with each of its occurrences would grow with the square of a long line. A text without an occurrence isn't passed on."""
+    those within the row's changed ranges; a text with occurrences and unknown ranges is an error, as no rows would look like no changes.
+    With `characters`, also the start of the line that each begins in, so many long at most: a whole line with each of its occurrences
+    would grow with the square of a long line. A text without an occurrence isn't passed on."""
 
     @sc.batched_udf(f"array<struct<{HIT}{',line:string' * bool(characters)}>>")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
+            if ranged and any(text is not None and first is None for text, first in zip(columns[0], columns[3], strict=True)):
+                raise ValueError("the changed lines of a source with occurrences are unknown")
             yield pd.Series([hits(*x, characters) for x in zip(*columns, strict=True)], dtype=object)
 
-    some = F.array().cast("array<bigint>")
-    bounds = [F.coalesce(F.col(f"ranges.{c}"), some) if ranged else F.lit(None).cast("array<bigint>") for c in ("start", "end")]
+    bounds = [F.col(f"ranges.{c}") if ranged else F.lit(None).cast("array<bigint>") for c in ("start", "end")]
     placed = rows.withColumn("found_", found)
     text = F.when(F.size("found_") > 0, F.col("text"))
     return placed.withColumn("hits", run.asNondeterministic()(text, F.col("found_.byte_start"), F.col("found_.byte_end"), *bounds)).drop("found_")

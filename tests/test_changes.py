@@ -12,6 +12,7 @@ from corpuslens.engine import Engine
 from corpuslens.functions import scanners as sc
 from corpuslens.functions import text as tx
 from corpuslens.operators import changes as ch
+from corpuslens.plans import scanned
 from corpuslens.request import RequestError, validated
 
 OLD = [
@@ -149,3 +150,28 @@ def test_hits_of_one_long_line(spark):
     assert bare.columns == ["byte_start", "byte_end", "line_no"] and bare.count() == 20_000
     shown = ch.with_hits(rows, found, ranged=False, characters=500).select(F.inline("hits")).agg(F.count("*"), F.max(F.length("line")), F.min("line_no")).first()
     assert tuple(shown) == (20_000, 500, 1)
+
+
+def moved_block(spark):
+    """Two versions of a source of 5,500 lines, of which the first 2,500 move to its end: some twelve million steps of the greedy search."""
+    head, rest = [f"her line {i}\n" for i in range(2500)], [f"another line {i}\n" for i in range(3000)]
+    version = lambda lines: spark.createDataFrame([("big.txt", "".join(lines)), ("small.txt", "er\n" + lines[0])], "path string, text string").withColumn("content_hash", F.sha2("text", 256))
+    return version(head + rest), version(rest + head)
+
+
+def test_changed_lines_of_much_work_are_found(spark, monkeypatch):
+    versions = moved_block(spark)
+    monkeypatch.setattr(scanned.co, "two_versions", lambda *_: versions)
+    for name, first in (("changed_line_occurrences_old", 1), ("changed_line_occurrences", 3001)):
+        got = sorted((r.path, r.line_no) for r in scanned.QUERIES[name](spark, "").collect())
+        assert got == [("big.txt", first + i) for i in range(2500)] + [("small.txt", 2)], name
+    assert {tuple(r) for r in scanned.QUERIES["changed_line_ranges"](spark, "").collect()} == {("big.txt", "1-2500", "3001-5500"), ("small.txt", "2-2", "2-2")}
+
+
+def test_unknown_changed_lines_are_no_result(spark):
+    base, target = moved_block(spark)
+    rows = ch.changed_sources(base, target).filter("path = 'big.txt'").withColumn("text", F.col("old"))
+    rows = rows.withColumn("ranges", ch.changed_ranges(F.col("old"), F.col("new"), "old", sc.MYERS_WORK))
+    with pytest.raises(Exception, match="changed lines of a source with occurrences are unknown"):
+        ch.with_hits(rows, tx.occurrences(F.col("text"), "er"), ranged=True).select(F.inline("hits")).count()
+    assert ch.with_hits(rows, tx.occurrences(F.col("text"), "no such"), ranged=True).select(F.inline("hits")).count() == 0

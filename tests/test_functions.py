@@ -136,6 +136,31 @@ def test_line_ranges_stop_at_their_limit():
         sc.changed_ranges("\n".join(map(str, range(900))), "\n".join(map(str, range(1000, 1900))), work=5_000)
 
 
+@pytest.mark.parametrize("kept", [2, 3, 128])
+def test_the_script_by_bits_is_the_greedy_one(monkeypatch, kept):
+    monkeypatch.setattr(sc, "KEPT_ROWS", kept)
+    rng = random.Random(kept)
+    for _ in range(1000):
+        k = rng.choice((2, 4, 20))
+        x = [rng.randrange(k) for _ in range(rng.randint(0, 30))]
+        y = [rng.choice((t, t, t, rng.randrange(k + 3))) for t in x if rng.random() < 0.8] if rng.random() < 0.5 else [rng.randrange(k + 3) for _ in range(rng.randint(0, 30))]
+        want = sc.edits(x, y, 1_000_000)
+        assert sc.edits_by_bits(x, y) == want
+        for steps in (-100, 1_000_000):  # by bits, by the greedy search
+            monkeypatch.setattr(sc, "GREEDY_WORK", steps)
+            assert sc.unlimited_edits(x, y) == want
+
+
+def test_line_ranges_have_no_limit_by_default():
+    head, rest = [f"a{i}\n" for i in range(2500)], [f"b{i}\n" for i in range(3000)]
+    old, new = "".join(head + rest), "".join(rest + head)
+    with pytest.raises(sc.WorkLimit):
+        sc.changed_ranges(old, new, sc.MYERS_WORK)
+    assert sc.changed_ranges(old, new) == ([(1, 2500)], [(3001, 5500)])
+    assert sc.changed_ranges("a\n" * 9000 + "b\n" * 9000, "c\n" + "b\n" * 9000 + "a\n" * 8000 + "d") == ([(1, 9000)], [(1, 1), (9002, 17002)])
+    assert sc.changed_ranges("\n".join(map(str, range(9000))), "\n".join(map(str, range(10_000, 19_000)))) == ([(1, 9000)], [(1, 9000)])
+
+
 def test_redaction_rule():
     keep = ["token: string", "const password = process.env.get('X')", "api_key = os.environ['K']", "monkey = banana"]
     assert all(sc.redacted(t) == (t, 0) for t in keep)
